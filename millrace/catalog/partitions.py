@@ -1,0 +1,140 @@
+"""A partitioned table whose partitions are cached one by one under a policy.
+
+Each partition is a directory ``base/k=v``; only the DataFrames of held
+partitions are persisted. The driver keeps names, never rows.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.catalog.policy import policy_from
+from millrace.errors import CatalogError
+
+
+class CachedPartitions:
+    def __init__(
+        self,
+        spark: SparkSession,
+        base: str,
+        schema: str | T.StructType,
+        partition_columns: list[str],
+        policy: str = "CACHE_ALL",
+        max_size: int = 10,
+        level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    ) -> None:
+        self.spark, self.base, self.level = spark, base.rstrip("/"), level
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.partition_columns = partition_columns
+        self.values: dict[str, tuple] = {}
+        self._versions: dict[str, list[str]] = {}  # partition key -> data directories
+        self._count = 0
+        self.policy = policy_from(policy, self._load, self._release, max_size)
+
+    # -- names
+
+    def key_of(self, values: tuple) -> str:
+        if len(values) != len(self.partition_columns):
+            raise CatalogError(f"expected values for {self.partition_columns}, got {values}")
+        return "/".join(f"{c}={v}" for c, v in zip(self.partition_columns, values))
+
+    @property
+    def cached_keys(self) -> list[str]:
+        return self.policy.keys
+
+    def contains(self, *values) -> bool:
+        return self.key_of(values) in self.values
+
+    # -- partitions
+
+    def _data_schema(self) -> T.StructType:
+        return T.StructType([f for f in self.schema.fields if f.name not in self.partition_columns])
+
+    def _read(self, key: str) -> DataFrame:
+        reader = self.spark.read.schema(self._data_schema())
+        dirs = self._versions[key]
+        df = reader.parquet(*dirs) if dirs else self.spark.createDataFrame([], self._data_schema())
+        for c, v in zip(self.partition_columns, self.values[key]):
+            df = df.withColumn(c, F.lit(v).cast(self.schema[c].dataType))
+        return df.select(*self.schema.names)
+
+    def _load(self, key: str) -> DataFrame:
+        return self._read(key).persist(self.level)
+
+    @staticmethod
+    def _release(key: str, df: DataFrame) -> None:
+        df.unpersist()
+
+    def add(self, *values) -> None:
+        """ALTER TABLE ADD PARTITION: an empty partition."""
+        key = self.key_of(values)
+        if key in self.values:
+            raise CatalogError(f"partition {key} exists")
+        self.values[key], self._versions[key] = tuple(values), []
+        self.policy.put(key, self._load(key))
+
+    def drop(self, *values) -> None:
+        key = self.key_of(values)
+        if key not in self.values:
+            raise CatalogError(f"no partition {key}")
+        held = self.policy.remove(key)
+        if held is not None:
+            held.unpersist()
+        del self.values[key], self._versions[key]
+
+    def _write(self, key: str, df: DataFrame) -> str:
+        self._count += 1
+        path = f"{self.base}/{key}/v{self._count:06d}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self._data_schema().fields]).write.parquet(path)
+        return path
+
+    def insert(self, df: DataFrame, *values) -> None:
+        """INSERT INTO a partition: read through the policy (a use of it), then
+        a new entry over old and new files takes its place."""
+        key = self.key_of(values)
+        path = self._write(key, df)
+        if key in self.values:
+            self.policy.get(key)
+        else:
+            self.values[key], self._versions[key] = tuple(values), []
+        self._versions[key] = [*self._versions[key], path]
+        self.policy.put(key, self._load(key))
+
+    def overwrite(self, df: DataFrame, *values) -> None:
+        key = self.key_of(values)
+        path = self._write(key, df)  # before the old entry goes: df may read it
+        self.values.setdefault(key, tuple(values))
+        self._versions[key] = [path]
+        self.policy.put(key, self._load(key))
+
+    def partition(self, *values) -> DataFrame:
+        key = self.key_of(values)
+        if key not in self.values:
+            raise CatalogError(f"no partition {key}")
+        return self.policy.get(key)
+
+    def scan(self, **wanted) -> DataFrame:
+        """Union of the partitions whose values match; only those are touched."""
+        position = {c: i for i, c in enumerate(self.partition_columns)}
+        hits = [
+            v for v in self.values.values() if all(v[position[c]] == x for c, x in wanted.items())
+        ]
+        if not hits:
+            return self.spark.createDataFrame([], self.schema)
+        dfs = [self.partition(*v) for v in hits]
+        out = dfs[0]
+        for d in dfs[1:]:
+            out = out.union(d)
+        return out
+
+    def release(self) -> None:
+        """DROP TABLE: nothing stays cached."""
+        for key in self.policy.keys:
+            df = self.policy.remove(key)
+            if df is not None:
+                df.unpersist()
+        self.values.clear()
+        self._versions.clear()
