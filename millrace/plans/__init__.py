@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "joins")
+MODULES = ("relational", "joins", "aggregates", "windows")
 
 
 def _gather(attribute: str) -> dict:
