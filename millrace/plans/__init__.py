@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "joins", "aggregates", "windows")
+MODULES = ("relational", "joins", "aggregates", "windows", "functions", "generators")
 
 
 def _gather(attribute: str) -> dict:
