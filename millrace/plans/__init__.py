@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "joins", "aggregates", "windows", "functions", "generators")
+MODULES = ("relational", "joins", "aggregates", "windows", "functions", "generators", "storage", "catalog")
 
 
 def _gather(attribute: str) -> dict:
