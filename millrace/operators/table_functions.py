@@ -45,8 +45,6 @@ def table_function(schema: str | None = None, name: str | None = None) -> Callab
             if kind not in (DataFrame, SparkSession, bool, *LITERALS):
                 raise TableFunctionError(f"{fn.__name__}: parameter {p} needs a supported type, not {kind}")
             parameters.append((p, kind))
-        if schema is not None:
-            parse_schema(schema)
         return TableFunction(name or fn.__name__, fn, schema, tuple(parameters))
 
     return declare
@@ -86,6 +84,8 @@ class TableFunctions:
     def register(self, fn: TableFunction) -> TableFunction:
         if not isinstance(fn, TableFunction):
             raise TableFunctionError("declare the function with @table_function first")
+        if fn.schema is not None:
+            parse_schema(fn.schema)
         self.known[fn.name.lower()] = fn
         return fn
 

@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ("relational", "joins", "aggregates", "windows", "functions", "generators", "storage", "catalog")
+MODULES = (
+    "relational", "joins", "aggregates", "windows", "functions", "generators", "storage", "catalog",
+    "user_code", "profiling",
+)
 
 
 def _gather(attribute: str) -> dict:

@@ -26,8 +26,12 @@ def load_new_files(
         reader.load(source).writeStream.format("parquet").option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start(target)
     )
-    run.awaitTermination()
-    return sum(p["numInputRows"] for p in run.recentProgress)
+    rows: dict[int, int] = {}  # by batch: the progress log keeps only the latest batches
+    finished = False
+    while not finished:
+        finished = run.awaitTermination(1)
+        rows.update({p["batchId"]: p["numInputRows"] for p in run.recentProgress})
+    return sum(rows.values())
 
 
 def unseen(files: DataFrame, seen: DataFrame) -> DataFrame:
