@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import CatalogError
@@ -142,10 +143,18 @@ class TableCatalog:
         self._aligned(name, df).write.insertInto(name)
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        """INSERT OVERWRITE. The rows are staged first, so they may come from the
-        table itself."""
-        staged = materialize(self._aligned(name, df), "overwrite")
-        staged.write.insertInto(name, overwrite=True)
+        """INSERT OVERWRITE; the rows may come from the table itself."""
+        self._replace(self._aligned(name, df), lambda rows: rows.write.insertInto(name, overwrite=True))
+
+    @staticmethod
+    def _replace(df: DataFrame, write: Callable[[DataFrame], object]) -> None:
+        """Write directly; only rows read from the target are staged first."""
+        try:
+            write(df)
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
+                raise
+            write(materialize(df, "overwrite"))
 
     def _aligned(self, name: str, df: DataFrame) -> DataFrame:
         target = self.spark.table(name)
@@ -157,8 +166,8 @@ class TableCatalog:
         """Static partition insert: ``PARTITION (k = v)``."""
         spec = ", ".join(f"{k} = {v!r}" for k, v in partition.items())
         word = "OVERWRITE TABLE" if overwrite else "INTO"
-        source = materialize(df, "overwrite") if overwrite else df
-        self.spark.sql(f"INSERT {word} {name} PARTITION ({spec}) SELECT * FROM {{rows}}", rows=source)
+        statement = f"INSERT {word} {name} PARTITION ({spec}) SELECT * FROM {{rows}}"
+        self._replace(df, lambda rows: self.spark.sql(statement, rows=rows))
 
     def insert_dynamic(self, name: str, df: DataFrame, overwrite: bool = False) -> None:
         """Dynamic partition insert: the last columns name the partition. With
@@ -167,8 +176,7 @@ class TableCatalog:
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "dynamic")
         try:
-            source = materialize(df, "overwrite") if overwrite else df
-            source.write.insertInto(name, overwrite=overwrite)
+            self._replace(df, lambda rows: rows.write.insertInto(name, overwrite=overwrite))
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.windows import running
+from millrace.scratch import materialize
 from millrace.skew import checked_broadcast, lookup, row_salt
 
 Measures = dict[str, tuple]  # output name -> ("sum"|"count"|"min"|"max"|"avg", column)
@@ -72,7 +73,8 @@ def exact_percentiles(
     Equal values are counted first; positions come from a running count that
     cuts large groups, so no task holds a group's values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counted, "value_counts")  # read several times below
     upto = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     placed = (

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import materialize
 from millrace.skew import (
     LEFT_SALT,
     LEFT_WAYS,
@@ -73,11 +74,10 @@ def bloom_words(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     words = (
         positions.groupBy(F.floor(F.col("p") / 64).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("b"))
-        .collect()
+        .toPandas()
     )
     out = np.zeros(bits // 64, dtype=np.int64)
-    for row in words:
-        out[row["w"]] = row["b"]
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out
 
 
@@ -105,8 +105,10 @@ def bloom_prefilter(big: DataFrame, keys: DataFrame, column: str, bits_per_key:
 
 def bloom_semi_join(big: DataFrame, small: DataFrame, column: str, hot_rows: int | None = None) -> DataFrame:
     """Semi join whose big side is thinned before the shuffle."""
-    keys = small.select(column).distinct()
-    return skew_join(bloom_prefilter(big, keys, column), keys, [column], "left_semi", hot_rows)
+    keys = materialize(small.select(column).distinct(), "bloom_keys")  # read three times below
+    return skew_join(
+        bloom_prefilter(big, keys, column), keys, [column], "left_semi", hot_rows, probe_left=big.select(column)
+    )
 
 
 # ---------------------------------------------------------------- bucketed tables

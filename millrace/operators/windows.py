@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from millrace.scratch import materialize
 from millrace.skew import HotKey, checked_broadcast, hot_keys, lookup
 
 Order = list[tuple[str, str]]  # (column, "asc" | "desc")
@@ -37,9 +38,11 @@ def over_partition(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> D
     """Aggregates over whole partitions, beside every row.
 
     Partial aggregation shrinks the groups before the shuffle, and the result
-    is joined back, so no task ever holds a partition.
+    is joined back, so no task ever holds a partition. The totals are written
+    once, measured there, and broadcast if they are small: then the rows
+    themselves are not shuffled at all.
     """
-    totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    totals = materialize(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), "totals")
     return lookup(df, checked_broadcast(totals), keys)
 
 

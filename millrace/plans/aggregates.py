@@ -217,7 +217,7 @@ def agg_collect_set(spark, sf):
 
 SENTENCES_SQL = """
     SELECT list_filter(regexp_split_to_array(s, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
-    FROM (SELECT unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) AS s FROM documents WHERE lang = 'en') t"""
+    FROM (SELECT unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) AS s FROM documents) t"""
 
 
 @query("agg_ngrams", f"""
@@ -226,7 +226,7 @@ SENTENCES_SQL = """
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_ngrams(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     return X.top_ngrams(d, X.word_sentences(F.col("text")), 2, 20)
 
 
@@ -236,7 +236,7 @@ def agg_ngrams(spark, sf):
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_context_ngrams(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     return X.top_context_ngrams(d, X.word_sentences(F.col("text")), ["the", None], 20)
 
 

@@ -43,8 +43,9 @@ def join_three_way(spark, sf):
     per_order = _lines(spark, sf, "l_quantity").groupBy("k").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("q")
     )
-    o = skew_join(_orders(spark, sf, F.col("o_custkey").alias("c"), "o_orderstatus"), per_order, ["k"])
-    all_three = skew_join(o, _dim(spark, sf, "customer", "c_custkey", "c_mktsegment", to="c"), ["c"])
+    orders = _orders(spark, sf, F.col("o_custkey").alias("c"), "o_orderstatus")
+    o = skew_join(orders, per_order, ["k"], unique_right=True)
+    all_three = skew_join(o, _dim(spark, sf, "customer", "c_custkey", "c_mktsegment", to="c"), ["c"], probe_left=orders)
     return all_three.groupBy("c_mktsegment", "o_orderstatus").agg(
         F.sum("lines").alias("n"), F.round(F.sum("q"), 2).alias("qty")
     )
@@ -83,7 +84,8 @@ def join_full_outer(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "k")
     count = lambda cond, name: o.where(cond).groupBy("k").agg(F.count(F.lit(1)).alias(name))
     return skew_join(
-        count("o_orderpriority = '1-URGENT'", "n_urgent"), count("o_totalprice > 400000", "n_big"), ["k"], "full"
+        count("o_orderpriority = '1-URGENT'", "n_urgent"), count("o_totalprice > 400000", "n_big"), ["k"], "full",
+        unique_left=True, unique_right=True,
     )
 
 
@@ -120,7 +122,7 @@ def join_mixed_outer_chain(spark, sf):
     c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("c"), "c_nationkey"
     )
-    chain = skew_join(skew_join(o, l, ["k"], "left"), c, ["c"], "right")
+    chain = skew_join(skew_join(o, l, ["k"], "left"), c, ["c"], "right", probe_left=o)
     return chain.groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("n"), F.count("has_order").alias("n_orders"), F.count("has_line").alias("n_lines")
     )
@@ -251,7 +253,7 @@ def join_salted_skew(spark, sf):
     e = table(spark, sf, "events").select("event_type", "user_id", "value")
     t = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_type"), F.max("value").alias("top"))
     # The low limit makes every event type hot, so the salted path is what runs here.
-    return skew_join(e, t, ["event_type"], hot_rows=100).groupBy("user_id").agg(
+    return skew_join(e, t, ["event_type"], hot_rows=100, unique_right=True).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") / F.col("top")), 6).alias("share")
     )
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.operators import profiles
 from millrace.operators import zone_maps as Z
 from millrace.plans.registry import Registry, table
+from millrace.scratch import materialize
 
 R = Registry()
 query = R.query
@@ -53,7 +54,8 @@ WHERE = "(l_orderkey BETWEEN 1010 AND 2345 OR l_orderkey > 9700) AND l_quantity
 @query("zone_map_prune", f"SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE {WHERE}")
 def zone_map_prune(spark, sf):
     l = _lines(spark, sf)
-    return Z.prune(l, _line_block(), _line_zones(l), _predicate()).select("l_orderkey", "l_quantity", "l_returnflag")
+    zones = materialize(_line_zones(l), "zones")  # statistics are kept beside a table
+    return Z.prune(l, _line_block(), zones, _predicate()).select("l_orderkey", "l_quantity", "l_returnflag")
 
 
 @query("zone_map_report", f"""

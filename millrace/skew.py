@@ -148,21 +148,36 @@ def _grid_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    hot_rows: int | None = None,
+    probe_left: DataFrame | None = None,
+    probe_right: DataFrame | None = None,
+    unique_left: bool = False,
+    unique_right: bool = False,
 ) -> DataFrame:
     """``left.join(right, keys, how)`` with the rows of hot keys spread over tasks.
 
     A hot key is cut into pieces by a row salt on the side where it is hot; the
     rows of the other side with that key are copied once per piece. Key columns
     of both sides must have the same type.
+
+    Keys are counted on the inputs themselves. If an input is costly to compute,
+    name a plain scan with the same key columns as its ``probe_*``; if its keys
+    are unique (a grouped result), say so and it is not counted at all.
     """
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys).distinct()  # copies on the right add nothing
-        hot_l, hot_r = hot_keys(left, keys, hot_rows), []
-    elif how in ("inner", "left", "full"):
-        hot_l, hot_r = hot_keys(left, keys, hot_rows), hot_keys(right, keys, hot_rows)
+        unique_right = True
+    if how in ("inner", "left", "full", "left_semi", "left_anti"):
+        hot_l = [] if unique_left else hot_keys(left if probe_left is None else probe_left, keys, hot_rows)
+        hot_r = [] if unique_right else hot_keys(right if probe_right is None else probe_right, keys, hot_rows)
     elif how == "right":
-        swapped = skew_join(right, left, keys, "left", hot_rows)
+        swapped = skew_join(
+            right, left, keys, "left", hot_rows, probe_right, probe_left, unique_right, unique_left
+        )
         rest = [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
         return swapped.select(*keys, *rest)
     else:
@@ -182,6 +197,6 @@ def skew_join(
     lost = a.where((F.col(RIGHT_WAYS) > 1) & null_key).drop(LEFT_WAYS, RIGHT_WAYS)
     result = cold.unionByName(hot).unionByName(lost, allowMissingColumns=True)
     if how == "full":
-        unmatched = skew_join(right, left, keys, "left_anti", hot_rows)
+        unmatched = skew_join(right, left, keys, "left_anti", hot_rows, probe_right, None, unique_right)
         result = result.unionByName(unmatched, allowMissingColumns=True)
     return result
