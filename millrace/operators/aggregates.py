@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.windows import running
 from millrace.scratch import materialize
-from millrace.skew import checked_broadcast, lookup, row_salt
+from millrace.skew import MIN_HOT_ROWS, checked_broadcast, lookup, row_salt
 
 Measures = dict[str, tuple]  # output name -> ("sum"|"count"|"min"|"max"|"avg", column)
 
@@ -70,13 +70,17 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbours.
 
-    Equal values are counted first; positions come from a running count that
-    cuts large groups, so no task holds a group's values.
+    Spark's ``percentile`` keeps a group's values in memory, which is fine up to
+    about a task's worth of rows. Beyond that equal values are counted first and
+    positions come from a running count that cuts large groups, so no task holds
+    a group's values.
     """
+    if df.count() <= (MIN_HOT_ROWS if hot_rows is None else hot_rows):
+        return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in points.items()])
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     counts = materialize(counted, "value_counts")  # read several times below
     upto = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    totals = df.groupBy(*keys).agg(F.count(value).alias("_all"))
     placed = (
         lookup(upto, checked_broadcast(totals), keys)
         if keys
@@ -93,7 +97,8 @@ def exact_percentiles(
         low, high = at(F.floor(spot)), at(F.ceil(spot))
         part = F.max(spot - F.floor(spot))
         aggs.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(*keys).agg(*aggs)
+    found = placed.groupBy(*keys).agg(*aggs)
+    return lookup(totals.drop("_all"), found, keys) if keys else found  # groups of NULLs only stay
 
 
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -8,39 +8,46 @@ from pyspark.sql import functions as F
 # Fixed patterns: where a sentence ends and what separates words.
 SENTENCE_END = r"[.!?\n]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+WORDS = "words"
 
 
-def word_sentences(text: Column) -> Column:
-    """Sentences of a text as arrays of lower-case words."""
-    sentences = F.split(F.lower(text), SENTENCE_END)
-    return F.transform(sentences, lambda s: F.filter(F.split(s, NOT_WORD), lambda w: w != ""))
+def sentence_words(df: DataFrame, text: str) -> DataFrame:
+    """One row per sentence with its lower-case words, in order."""
+    sentences = df.select(F.explode(F.split(F.lower(text), SENTENCE_END)).alias("_s"))
+    return sentences.select(F.array_remove(F.split("_s", NOT_WORD), "").alias(WORDS))
 
 
-def _windows(df: DataFrame, sentences: Column, n: int) -> DataFrame:
-    """One row per run of ``n`` consecutive words."""
-    words = df.select(F.explode(sentences).alias("_w")).where(F.size("_w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.slice("_w", i, n))
-    return words.select(F.explode(runs).alias("_run"))
+def _windows(sentences: DataFrame, n: int) -> DataFrame:
+    """One row per run of ``n`` consecutive words, in columns ``w0`` ... The
+    array is zipped with itself moved on, which needs no per-word function."""
+    long_enough = sentences.where(F.size(WORDS) >= n)
+    count = F.size(WORDS) - (n - 1)
+    moved = F.arrays_zip(*[F.slice(WORDS, F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
+    named = moved.cast("array<struct<" + ", ".join(f"w{i}: string" for i in range(n)) + ">>")
+    return long_enough.select(F.inline(named))
 
 
-def _top(runs: DataFrame, k: int) -> DataFrame:
-    counted = runs.groupBy("ngram").agg(F.count(F.lit(1)).alias("frequency"))
-    return counted.orderBy(F.desc("frequency"), "ngram").limit(k)
+def _top(runs: DataFrame, places: list[str], k: int) -> DataFrame:
+    counted = runs.groupBy(*places).agg(F.count(F.lit(1)).alias("frequency"))
+    return (
+        counted.select(F.concat_ws(" ", *places).alias("ngram"), "frequency")
+        .orderBy(F.desc("frequency"), "ngram").limit(k)
+    )
 
 
-def top_ngrams(df: DataFrame, sentences: Column, n: int, k: int) -> DataFrame:
-    """The k most frequent n-grams, ties by text. Exact: counts are combined
-    per task before the shuffle."""
-    return _top(_windows(df, sentences, n).select(F.array_join("_run", " ").alias("ngram")), k)
+def top_ngrams(sentences: DataFrame, n: int, k: int) -> DataFrame:
+    """The k most frequent n-grams, ties by text. ``sentences`` has an array
+    column ``words``. Exact: counts are combined per task before the shuffle."""
+    return _top(_windows(sentences, n), [f"w{i}" for i in range(n)], k)
 
 
-def top_context_ngrams(df: DataFrame, sentences: Column, pattern: list[str | None], k: int) -> DataFrame:
+def top_context_ngrams(sentences: DataFrame, pattern: list[str | None], k: int) -> DataFrame:
     """The k most frequent fillers of the ``None`` places in a word pattern."""
-    places = [i for i, p in enumerate(pattern) if p is None]
+    places = [f"w{i}" for i, p in enumerate(pattern) if p is None]
     if not places:
         raise ValueError("the pattern has no open place")
-    runs = _windows(df, sentences, len(pattern))
-    for i, word in enumerate(pattern):
-        if word is not None:
-            runs = runs.where(F.col("_run")[i] == word)
-    return _top(runs.select(F.concat_ws(" ", *[F.col("_run")[i] for i in places]).alias("ngram")), k)
+    fixed: list[Column] = [F.col(f"w{i}") == p for i, p in enumerate(pattern) if p is not None]
+    runs = _windows(sentences, len(pattern))
+    for condition in fixed:
+        runs = runs.where(condition)
+    return _top(runs, places, k)

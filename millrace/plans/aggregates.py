@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregates as A
 from millrace.operators import text_aggregates as X
 from millrace.plans.registry import Registry, table
+from millrace.sources.scans import spread_small
 
 R = Registry()
 query = R.query
@@ -226,8 +227,8 @@ SENTENCES_SQL = """
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_ngrams(spark, sf):
-    d = table(spark, sf, "documents")
-    return X.top_ngrams(d, X.word_sentences(F.col("text")), 2, 20)
+    d = spread_small(table(spark, sf, "documents").select("text"))
+    return X.top_ngrams(X.sentence_words(d, "text"), 2, 20)
 
 
 @query("agg_context_ngrams", f"""
@@ -236,8 +237,8 @@ def agg_ngrams(spark, sf):
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_context_ngrams(spark, sf):
-    d = table(spark, sf, "documents")
-    return X.top_context_ngrams(d, X.word_sentences(F.col("text")), ["the", None], 20)
+    d = spread_small(table(spark, sf, "documents").select("text"))
+    return X.top_context_ngrams(X.sentence_words(d, "text"), ["the", None], 20)
 
 
 def _stats_sql(column, text):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.plans.functions import URL_SQL
 from millrace.plans.registry import Registry, table
+from millrace.sources.scans import spread_small
 
 R = Registry()
 query = R.query
@@ -24,7 +25,7 @@ def udtf_explode(spark, sf):
 def lateral_view(spark, sf):
     return spark.sql(r"""
         SELECT lang, word, count(*) AS n FROM {docs} LATERAL VIEW explode(split(text, ' ')) w AS word
-        WHERE length(word) > 8 GROUP BY lang, word""", docs=table(spark, sf, "documents"))
+        WHERE length(word) > 8 GROUP BY lang, word""", docs=spread_small(table(spark, sf, "documents").select("lang", "text")))
 
 
 @query("lateral_view_chain", """
