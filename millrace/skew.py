@@ -33,7 +33,10 @@ class HotKey:
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Add the other columns of ``table`` (one row per key) to ``df``; keys
-    compare null-safe, so NULL finds the entry of NULL."""
+    compare null-safe, so NULL finds the entry of NULL. Without keys ``table``
+    is the single row that belongs to all."""
+    if not keys:
+        return df.crossJoin(table)
     renamed = table.select(
         *[F.col(k).alias(f"_lookup_{k}") for k in keys], *[c for c in table.columns if c not in keys]
     )

@@ -23,7 +23,7 @@ def split_write(df: DataFrame, targets: dict[str, str], path: str) -> dict[str,
     chosen = [F.when(F.expr(cond), F.lit(name)) for name, cond in targets.items()]
     tagged = df.withColumn(TARGET, F.explode(F.array_compact(F.array(*chosen))))
     tagged.write.partitionBy(TARGET).parquet(path)
-    schema = df.schema.add(TARGET, T.StringType())
+    schema = T.StructType([*df.schema.fields, T.StructField(TARGET, T.StringType())])
     written = df.sparkSession.read.schema(schema).parquet(path)
     return {name: written.where(F.col(TARGET) == name).drop(TARGET) for name in targets}
 

@@ -1,7 +1,7 @@
 """Small tables for the suites."""
 
-# Two keys per hundred repeat; 500 rows made by a rule.
-KV_ROWS = [((i * i + 3 * i) % 500, f"val_{(i * i + 3 * i) % 500}") for i in range(500)]
+# 500 rows made by a rule; some keys repeat.
+KV_ROWS = [((i * i // 5 + 3 * i) % 500, f"val_{(i * i // 5 + 3 * i) % 500}") for i in range(500)]
 USERS = [(1, "A"), (2, "B"), (3, "A")]
 CLICKS = [(1, 0), (2, 1), (1, 1), (2, 0), (1, 1)]
 ARRAYS = [(1, [0, 1, 2]), (2, [3, 4, 5]), (3, [6, 7, 8])]
