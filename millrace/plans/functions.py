@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import casts, collections, dates, numbers, text
 from millrace.plans.registry import Registry, table
+from millrace.sources.scans import spread_small
 
 R = Registry()
 query = R.query
@@ -209,7 +210,7 @@ def fn_xpath(spark, sf):
     tag = lambda name, col: F.concat(F.lit(f"<{name}>"), F.col(col).cast("string"), F.lit(f"</{name}>"))
     xml = F.concat(F.lit("<c>"), tag("v", "c_mktsegment"), tag("v", "c_name"), tag("b", "c_acctbal"),
                    tag("n", "c_nationkey"), tag("k", "c_custkey"), F.lit("</c>"))
-    c = table(spark, sf, "customer").select("c_custkey", xml.alias("x"))
+    c = spread_small(table(spark, sf, "customer")).select("c_custkey", xml.alias("x"))
     return c.selectExpr(
         "c_custkey", "xpath_string(x, 'c/v[2]') AS xs", "xpath_double(x, 'c/b') AS xd",
         "xpath_boolean(x, 'c/b > 5000') AS xb", "CAST(xpath_int(x, 'c/n') AS BIGINT) AS xi",
