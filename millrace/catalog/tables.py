@@ -89,10 +89,26 @@ class TableCatalog:
     def _set_property(self, name: str, mode: str) -> None:
         self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{PROPERTY}' = '{mode}')")
 
+    def _recorded(self, name: str) -> str | None:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
+        return next((r["value"] for r in rows if r["key"] == PROPERTY), None)
+
     def mode(self, name: str) -> str:
         """The recorded cache mode of a table."""
-        rows = self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
-        return cache_mode(next((r["value"] for r in rows if r["key"] == PROPERTY), None))
+        return cache_mode(self._recorded(name))
+
+    def sync(self, name: str) -> str:
+        """Bring the cache in line with a table's property, or with its name if
+        the suffix rule is on and no property is set."""
+        recorded = self._recorded(name)
+        mode = self.mode_for(name, recorded)
+        if recorded is None and mode != NONE:
+            self._set_property(name, mode)
+        if mode == NONE and self.is_cached(name):
+            self.spark.catalog.uncacheTable(name)
+        elif mode != NONE and not self.is_cached(name):
+            self._cache(name, mode)
+        return mode
 
     def _cache(self, name: str, mode: str) -> None:
         self.spark.catalog.cacheTable(name, LEVELS[mode])
@@ -121,20 +137,12 @@ class TableCatalog:
         """Bring the cache in line with the recorded property of every table, as
         at the start of a session. Returns the tables that are now cached."""
         database = database or self.spark.catalog.currentDatabase()
-        cached = []
-        for t in self.spark.catalog.listTables(database):
-            if t.isTemporary or t.tableType == "VIEW":
-                continue
-            name = f"{database}.{t.name}"
-            mode = self.mode(name)
-            if mode == NONE:
-                if self.is_cached(name):
-                    self.spark.catalog.uncacheTable(name)
-                continue
-            if not self.is_cached(name):
-                self._cache(name, mode)
-            cached.append(name)
-        return cached
+        return [
+            name
+            for t in self.spark.catalog.listTables(database)
+            if not t.isTemporary and t.tableType != "VIEW"
+            and self.sync(name := f"{database}.{t.name}") != NONE
+        ]
 
     # -- change
 

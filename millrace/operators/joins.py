@@ -100,7 +100,9 @@ def bloom_prefilter(big: DataFrame, keys: DataFrame, column: str, bits_per_key:
             hit = on if hit is None else hit & on
         return pd.Series(hit.astype(bool))
 
-    return big.where(F.col(column).isNotNull()).where(member(*_bit_positions(F.col(column), bits)))
+    # Marked nondeterministic so that Spark does not also apply it to the other join side.
+    hit = member.asNondeterministic()(*_bit_positions(F.col(column), bits))
+    return big.where(F.col(column).isNotNull()).where(hit)
 
 
 def bloom_semi_join(big: DataFrame, small: DataFrame, column: str, hot_rows: int | None = None) -> DataFrame:

@@ -21,13 +21,34 @@ def select_unmatched(df: DataFrame, pattern: str) -> DataFrame:
     return df.select(*[c for c in df.columns if not gone.fullmatch(c)])
 
 
+def _string_hash(col: Column) -> Column:
+    """``h = 31 h + byte`` over the signed UTF-8 bytes, in 32 bits."""
+    code = F.hex(F.encode(col, "UTF-8"))
+
+    def step(h: Column, i: Column) -> Column:
+        byte = F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+        signed = F.when(byte > 127, byte - 256).otherwise(byte)
+        return F.pmod(h * 31 + signed, F.lit(1 << 32))
+
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(col)), lambda i: i < F.octet_length(col))
+    return F.aggregate(places, F.lit(0).cast("bigint"), step)
+
+
 def bucket_of(df: DataFrame, column: str, buckets: int) -> Column:
-    """Bucket number of a value. Whole numbers are their own hash, as in Hive;
-    other types are spread by ``xxhash64`` (same sample size, other members)."""
-    col = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.pmod(col, F.lit(buckets))
-    return F.pmod(F.xxhash64(col), F.lit(buckets))
+    """Bucket number of a value as Hive assigns it: the low 31 bits of its hash,
+    modulo the bucket count. Whole numbers, booleans and strings hash as in
+    Hive; other types are spread by ``xxhash64`` (same sample size, other
+    members). NULL goes to bucket 0."""
+    col, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
+        h = col.cast("int").cast("bigint")
+    elif isinstance(kind, T.LongType):
+        h = col.bitwiseXOR(F.shiftrightunsigned(col, 32))
+    elif isinstance(kind, T.StringType):
+        h = _string_hash(col)
+    else:
+        h = F.xxhash64(col)
+    return F.coalesce(h, F.lit(0)).bitwiseAND(F.lit((1 << 31) - 1)) % buckets
 
 
 def sample_bucket(df: DataFrame, x: int, y: int, column: str) -> DataFrame:

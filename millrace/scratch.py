@@ -29,6 +29,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def remove_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a folder made by ``new_dir`` once nothing reads it any more."""
+    root = scratch_root(spark)
+    if not path.startswith(f"{root}/") or ".." in path:
+        raise ValueError(f"{path} is not in the scratch folder {root}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path nobody else uses; it is not created."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -16,10 +16,21 @@ from pyspark.sql import types as T
 from millrace.catalog.tables import TableCatalog
 from millrace.errors import QueryError, TableFunctionError
 from millrace.operators.table_functions import TableFunction, TableFunctions
+from millrace.sources.sinks import load_data
 
+# Statements Spark SQL does not know.
 GENERATE = re.compile(r"\s*generate\s+([\w.]+)\s*\((.*?)\)\s*(?:as\s+(\w+))?\s*;?\s*", re.IGNORECASE | re.DOTALL)
 CACHE = re.compile(r"\s*(cache|uncache)\s+(?!table\b)([\w.]+)\s*;?\s*", re.IGNORECASE)
-DDL = re.compile(r"\s*(create\s+table|alter\s+table)\b", re.IGNORECASE)
+LOAD = re.compile(
+    r"\s*load\s+data\s+(?:local\s+)?inpath\s+['\"](.+?)['\"]\s+(overwrite\s+)?into\s+table\s+([\w.]+)"
+    r"\s*(?:partition\s*\((.*?)\))?\s*;?\s*",
+    re.IGNORECASE,
+)
+# Statements after which the cache may differ from a table's property.
+DDL = re.compile(
+    r"\s*(?:create\s+table(?:\s+if\s+not\s+exists)?|alter\s+table)\s+([\w.`]+)(?:\s+rename\s+to\s+([\w.`]+))?",
+    re.IGNORECASE,
+)
 
 
 @dataclass(frozen=True)
@@ -27,6 +38,17 @@ class Options:
     max_rows: int = 1000  # rows handed to the driver by sql() and run_sql()
     cached_suffix: bool = False  # cache tables whose name ends in _cached
     null_text: str = "NULL"
+    load_format: str = "delimited"  # files named by LOAD DATA statements
+    compress_cache: bool | None = None  # None: as the session has it
+    prune_cache: bool | None = None  # skip cached batches by their minimum and maximum
+    regex_columns: bool | None = None  # back-quoted column names are patterns
+
+    def session_settings(self) -> dict[str, bool | None]:
+        return {
+            "spark.sql.inMemoryColumnarStorage.compressed": self.compress_cache,
+            "spark.sql.inMemoryColumnarStorage.partitionPruning": self.prune_cache,
+            "spark.sql.parser.quotedRegexColumnNames": self.regex_columns,
+        }
 
 
 @dataclass(frozen=True)
@@ -41,6 +63,9 @@ class Warehouse:
         self.options = options or Options()
         self.catalog = TableCatalog(spark, self.options.cached_suffix)
         self.functions = TableFunctions(spark)
+        for key, value in self.options.session_settings().items():
+            if value is not None:
+                spark.conf.set(key, str(value).lower())
 
     # -- statements
 
@@ -55,9 +80,18 @@ class Warehouse:
             if m:
                 (self.catalog.cache if m.group(1).lower() == "cache" else self.catalog.uncache)(m.group(2))
                 return self.spark.createDataFrame([], "result string")
+            m = LOAD.fullmatch(command)
+            if m:
+                pairs = [p.split("=", 1) for p in (m.group(4) or "").split(",") if p.strip()]
+                partition = {k.strip(): v.strip().strip("'\"") for k, v in pairs} or None
+                load_data(self.spark, m.group(1), m.group(3), bool(m.group(2)), partition, self.options.load_format)
+                return self.spark.createDataFrame([], "result string")
             df = self.spark.sql(command, args=params or None)
-            if DDL.match(command):
-                self.catalog.reload()
+            m = DDL.match(command)
+            if m:
+                name = m.group(2) or m.group(1)
+                if self.spark.catalog.tableExists(name.replace("`", "")):
+                    self.catalog.sync(name)
             return df
         except PySparkException as e:
             raise QueryError(str(e)) from e

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import CatalogError
 from millrace.sources.scans import as_table, scan
+from millrace.sources.text_formats import parse_delimited
 
 TARGET = "_target"
 
@@ -78,14 +79,21 @@ def load_data(
     format: str = "parquet",
 ) -> None:
     """LOAD DATA [OVERWRITE] INTO TABLE [PARTITION]: rows take the table's
-    schema on the way; files with other or missing columns are accepted."""
+    schema on the way; files with other or missing columns are accepted.
+    ``format`` may also be ``delimited`` (see ``text_formats``)."""
     from millrace.catalog.tables import TableCatalog
 
-    df = scan(spark, source, format=format) if isinstance(source, str) else source
     target = spark.table(table).schema
     unknown = set(partition or {}) - set(target.names)
     if unknown:
         raise CatalogError(f"{table} has no partition columns {sorted(unknown)}")
+    if not isinstance(source, str):
+        df = source
+    elif format == "delimited":
+        stored = T.StructType([f for f in target.fields if f.name not in (partition or {})])
+        df = parse_delimited(spark.read.text(source), stored)
+    else:
+        df = scan(spark, source, format=format)
     catalog = TableCatalog(spark)
     if partition:
         data = T.StructType([f for f in target.fields if f.name not in partition])

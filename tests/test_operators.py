@@ -78,6 +78,23 @@ def test_sample_buckets_partition_the_table(kv):
         projection.sample_bucket(kv, 5, 4, "key")
 
 
+def java_hash(text):
+    h = 0
+    for b in text.encode():
+        h = (h * 31 + (b - 256 if b > 127 else b)) % (1 << 32)
+    return h
+
+
+def test_bucket_numbers(spark):
+    words = ["", "a", "val_238", "élan", "x" * 50]
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    got = {r["s"]: r["b"] for r in df.withColumn("b", projection.bucket_of(df, "s", 7)).collect()}
+    assert got == {w: (java_hash(w) & 0x7FFFFFFF) % 7 for w in words}
+    nums = spark.createDataFrame([(-1, -1), (5, 1 << 40), (None, None)], "i int, l bigint")
+    out = nums.select(projection.bucket_of(nums, "i", 3).alias("i"), projection.bucket_of(nums, "l", 3).alias("l"))
+    assert [tuple(r) for r in out.collect()] == [(0x7FFFFFFF % 3, 0), (2, (1 << 8) % 3), (0, 0)]
+
+
 # ---------------------------------------------------------------- aggregates
 
 
