@@ -144,7 +144,12 @@ def _end_of(value: Column, order: Order, last: bool) -> Column:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: Order, functions: dict[str, tuple], hot_rows: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: Order,
+    functions: dict[str, tuple],
+    hot_rows: int | None = None,
+    hot: list[HotKey] | None = None,
 ) -> DataFrame:
     """Ordered window functions with the default frame (start of the partition
     to the current row and its peers).
@@ -153,8 +158,9 @@ def running(
     ``("count",)`` or ``("count", col)``, ``("row_number",)``, ``("rank",)``,
     ``("dense_rank",)``, ``("percent_rank",)``, ``("cume_dist",)``, ``("ntile", n)``,
     ``("first_value", col)``, ``("last_of_all", col)`` (last row of the partition).
+    ``hot`` gives the hot keys where they are known already.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     if not hot:
         w = plain_window(keys, order)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -266,15 +272,18 @@ def near_rows(
     rows ahead: lag, lead and ROWS frames with numeric bounds.
 
     Each expression gets an ordered window and adds its frame if it has one.
-    Hot keys are numbered by ``running`` and cut into blocks of equal row count;
-    the rows next to a border are copied into the neighbouring block. The order
-    must be total.
+    The rows of hot keys are numbered by ``running`` and cut into blocks of equal
+    row count; the rows next to a border are copied into the neighbouring block.
+    The order must be total.
     """
     hot = hot_keys(df, keys, hot_rows)
+    plain = plain_window(keys, order)
     if not hot:
-        w = plain_window(keys, order)
-        return df.select("*", *[e(w).alias(n) for n, e in exprs.items()])
-    numbered = running(df, keys, order, {ROWNUM: ("row_number",)}, hot_rows)
+        return df.select("*", *[e(plain).alias(n) for n, e in exprs.items()])
+    marked = lookup(df, F.broadcast(_hot_table(df, keys, hot)), keys)
+    ordinary = marked.where(F.col("_pieces").isNull()).select(*df.columns)
+    large = marked.where(F.col("_pieces").isNotNull()).select(*df.columns)
+    numbered = running(large, keys, order, {ROWNUM: ("row_number",)}, hot_rows, hot)
     size = max(max(h.rows // max(h.pieces - 1, 1) for h in hot), preceding, following, 1)
     zero_based = F.col(ROWNUM) - 1
     own = F.floor(zero_based / size)
@@ -288,11 +297,12 @@ def near_rows(
     )
     copies = numbered.withColumn(HOME, own).withColumn(BLOCK, F.explode(blocks))
     w = Window.partitionBy(*keys, BLOCK).orderBy(ROWNUM)
-    return (
+    blocked = (
         copies.select("*", *[e(w).alias(n) for n, e in exprs.items()])
         .where(F.col(HOME) == F.col(BLOCK))
         .select(*df.columns, *exprs)
     )
+    return blocked.union(ordinary.select("*", *[e(plain).alias(n) for n, e in exprs.items()]))
 
 
 def near_values(

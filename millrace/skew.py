@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 # A key with fewer rows than this fits comfortably in one task.
 MIN_HOT_ROWS = 1_000_000
 # Keys are counted on about this many rows when the input is larger.
-COUNTED_ROWS = 20_000_000
+COUNTED_ROWS = 2_000_000
 # Limits for a side that is copied to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
@@ -135,19 +135,27 @@ def _marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     return lookup(df, F.broadcast(marks), keys).fillna(1, [LEFT_WAYS, RIGHT_WAYS])
 
 
-def _spread(df: DataFrame, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
-    """Give each row its own salt and one copy per salt of the other side."""
-    salted = df.withColumn(own[0], row_salt(df, F.col(own[1])))
-    return salted.withColumn(
-        other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))
-    ).drop(own[1], other[1])
-
-
-def _grid_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def _spread(
+    df: DataFrame, own: tuple[str, str], other: tuple[str, str], own_hot: bool = True, other_hot: bool = True
+) -> DataFrame:
+    """Give each row its own salt and one copy per salt of the other side. A
+    side without hot keys needs no salts, and then the other one no copies."""
+    if own_hot:
+        salt = F.when(F.col(own[1]) > 1, row_salt(df, F.col(own[1]))).otherwise(F.lit(0))
+        df = df.withColumn(own[0], salt)
+    if other_hot:
+        df = df.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)))
+    return df.drop(own[1], other[1])
+
+
+def _grid_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, left_hot: bool, right_hot: bool
+) -> DataFrame:
     """Join two marked sides on keys plus salts."""
-    a = _spread(left, (LEFT_SALT, LEFT_WAYS), (RIGHT_SALT, RIGHT_WAYS))
-    b = _spread(right, (RIGHT_SALT, RIGHT_WAYS), (LEFT_SALT, LEFT_WAYS))
-    return a.join(b, [*keys, LEFT_SALT, RIGHT_SALT], how).drop(LEFT_SALT, RIGHT_SALT)
+    salts = [s for s, hot in ((LEFT_SALT, left_hot), (RIGHT_SALT, right_hot)) if hot]
+    a = _spread(left, (LEFT_SALT, LEFT_WAYS), (RIGHT_SALT, RIGHT_WAYS), left_hot, right_hot)
+    b = _spread(right, (RIGHT_SALT, RIGHT_WAYS), (LEFT_SALT, LEFT_WAYS), right_hot, left_hot)
+    return a.join(b, [*keys, *salts], how).drop(*salts)
 
 
 def skew_join(
@@ -190,16 +198,25 @@ def skew_join(
     marks = _marks(left, keys, hot_l, hot_r)
     a, b = _marked(left, marks, keys), _marked(right, marks, keys)
     if how in ("inner", "left_semi", "left_anti"):
-        return _grid_join(a, b, keys, how)
-    # A key hot on the right always has partners, so there an inner join says
-    # the same as an outer one and both sides may be cut.
-    cold = _grid_join(a.where(F.col(RIGHT_WAYS) == 1), b.where(F.col(RIGHT_WAYS) == 1), keys, "left")
-    hot = _grid_join(a.where(F.col(RIGHT_WAYS) > 1), b.where(F.col(RIGHT_WAYS) > 1), keys, "inner")
-    # NULL keys match nothing: the inner part above drops them, so keep them here.
-    null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
-    lost = a.where((F.col(RIGHT_WAYS) > 1) & null_key).drop(LEFT_WAYS, RIGHT_WAYS)
-    result = cold.unionByName(hot).unionByName(lost, allowMissingColumns=True)
+        return _grid_join(a, b, keys, how, bool(hot_l), bool(hot_r))
+    if not hot_r:
+        result = _grid_join(a, b, keys, "left", True, False)
+    else:
+        result = _outer_with_hot_right(a, b, keys, bool(hot_l))
     if how == "full":
         unmatched = skew_join(right, left, keys, "left_anti", hot_rows, probe_right, None, unique_right)
         result = result.unionByName(unmatched, allowMissingColumns=True)
     return result
+
+
+def _outer_with_hot_right(a: DataFrame, b: DataFrame, keys: list[str], left_hot: bool) -> DataFrame:
+    """Left outer join of marked sides. A key hot on the right always has
+    partners, so there an inner join says the same and both sides may be cut."""
+    cold_a, cold_b = a.where(F.col(RIGHT_WAYS) == 1), b.where(F.col(RIGHT_WAYS) == 1)
+    cold = _grid_join(cold_a, cold_b, keys, "left", left_hot, False)
+    hot_a, hot_b = a.where(F.col(RIGHT_WAYS) > 1), b.where(F.col(RIGHT_WAYS) > 1)
+    hot = _grid_join(hot_a, hot_b, keys, "inner", left_hot, True)
+    # NULL keys match nothing: the inner part drops them, so they are kept here.
+    null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    lost = hot_a.where(null_key).drop(LEFT_WAYS, RIGHT_WAYS)
+    return cold.unionByName(hot).unionByName(lost, allowMissingColumns=True)
