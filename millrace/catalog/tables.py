@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.errors import CatalogError
 from millrace.scratch import materialize, new_dir, new_name
@@ -30,6 +31,13 @@ def cache_mode(text: str | bool | None) -> str:
     raise CatalogError(f"unknown cache mode {text!r}")
 
 
+def gather(df: DataFrame, partition_columns: list[str]) -> DataFrame:
+    """Bring the rows of a table partition together before they are written, so
+    that not every task writes a file into every partition. A rebalance, not a
+    plain repartition: AQE cuts a large partition into several tasks."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_columns])
+
+
 class TableCatalog:
     """Create, fill, cache and drop tables. MEMORY tables write through to their
     files; the cache and the files always agree. MEMORY_ONLY differs in its
@@ -57,6 +65,8 @@ class TableCatalog:
         format: str = "parquet",
     ) -> str:
         """CREATE TABLE AS SELECT. Returns the cache mode."""
+        if partition_by:
+            df = gather(df, partition_by)
         writer = df.write.format(format).mode(mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -183,8 +193,10 @@ class TableCatalog:
         key = "spark.sql.sources.partitionOverwriteMode"
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "dynamic")
+        partitions = [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
+        rows = gather(df.toDF(*self.spark.table(name).columns), partitions)
         try:
-            self._replace(df, lambda rows: rows.write.insertInto(name, overwrite=overwrite))
+            self._replace(rows, lambda rows: rows.write.insertInto(name, overwrite=overwrite))
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
 

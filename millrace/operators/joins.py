@@ -34,6 +34,30 @@ def null_safe_join(left: DataFrame, right: DataFrame, pairs: dict[str, str], how
     return left.join(right, cond, how)
 
 
+def outer_join_with_filters(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    left_on: Column | None = None,
+    right_on: Column | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Outer join with one-sided conditions in the ON clause: a row that fails
+    its condition stays, unmatched, where its side is the outer one.
+
+    Such rows get NULL join keys, which match nothing. The sides' other columns
+    must not share names; the join keys themselves are not part of the result.
+    """
+    masked = [f"_on_{k}" for k in keys]
+
+    def mask(df: DataFrame, on: Column | None) -> DataFrame:
+        cols = [F.when(on, F.col(k)) if on is not None else F.col(k) for k in keys]
+        return df.select("*", *[c.alias(m) for c, m in zip(cols, masked)]).drop(*keys)
+
+    return skew_join(mask(left, left_on), mask(right, right_on), masked, how, hot_rows).drop(*masked)
+
+
 def map_join(fact: DataFrame, dimension: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Broadcast join if the dimension's measured size allows it, else a
     shuffled join that splits hot keys."""

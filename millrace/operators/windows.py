@@ -9,6 +9,7 @@ piece, and a summary with one row per piece supplies what came before.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,14 +35,22 @@ def plain_window(keys: list[str], order: Order) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order_cols(order))
 
 
-def over_partition(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+def over_partition(
+    df: DataFrame, keys: list[str], aggs: dict[str, Column], hot: list[HotKey] | None = None
+) -> DataFrame:
     """Aggregates over whole partitions, beside every row.
 
     Partial aggregation shrinks the groups before the shuffle, and the result
     is joined back, so no task ever holds a partition. The totals are written
     once, measured there, and broadcast if they are small: then the rows
     themselves are not shuffled at all.
+
+    A caller that knows the hot keys passes them. If there are none, this is
+    Spark's window, which shares its shuffle with other windows over ``keys``.
     """
+    if hot is not None and not hot:
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     totals = materialize(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), "totals")
     return lookup(df, checked_broadcast(totals), keys)
 
@@ -267,6 +276,7 @@ def near_rows(
     following: int,
     exprs: dict[str, Expr],
     hot_rows: int | None = None,
+    hot: list[HotKey] | None = None,
 ) -> DataFrame:
     """Functions that look at most ``preceding`` rows back and ``following``
     rows ahead: lag, lead and ROWS frames with numeric bounds.
@@ -276,7 +286,7 @@ def near_rows(
     row count; the rows next to a border are copied into the neighbouring block.
     The order must be total.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     plain = plain_window(keys, order)
     if not hot:
         return df.select("*", *[e(plain).alias(n) for n, e in exprs.items()])
@@ -356,14 +366,26 @@ def near_values(
 
 # ---------------------------------------------------------------- partition functions
 
-PartitionFunction = Callable[[DataFrame, list[str], Order], DataFrame]
+@dataclass(frozen=True)
+class Partitioning:
+    """What the functions of a chain share: counted once, for all of them."""
 
+    keys: list[str]
+    order: Order
+    hot: list[HotKey]
 
-def partition_functions(df: DataFrame, keys: list[str], order: Order, *functions: PartitionFunction) -> DataFrame:
+
+PartitionFunction = Callable[[DataFrame, Partitioning], DataFrame]
+
+
+def partition_functions(
+    df: DataFrame, keys: list[str], order: Order, *functions: PartitionFunction, hot_rows: int | None = None
+) -> DataFrame:
     """Chain table functions that share one partitioning: ``f2(f1(rows))``.
 
     Each function maps a DataFrame to a DataFrame and expresses its work with
-    the helpers above, so the chain stays inside Spark's plan and a large
-    partition is never handed to one Python call.
+    the helpers above, so the chain stays inside Spark's plan, shuffles once if
+    no key is hot, and never hands a partition to one Python call.
     """
-    return reduce(lambda d, f: f(d, keys, order), functions, df)
+    spec = Partitioning(keys, order, hot_keys(df, keys, hot_rows))
+    return reduce(lambda d, f: f(d, spec), functions, df)

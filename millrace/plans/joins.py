@@ -133,9 +133,12 @@ def join_mixed_outer_chain(spark, sf):
     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 40 AND o_totalprice > 100000
     GROUP BY o_orderstatus""")
 def join_outer_on_filter(spark, sf):
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    on = (o.o_orderkey == l.l_orderkey) & (l.l_quantity > 40) & (o.o_totalprice > 100000)
-    return o.join(l, on, "left").groupBy("o_orderstatus").agg(
+    o = _orders(spark, sf, "o_orderstatus", "o_totalprice")
+    l = _lines(spark, sf, F.col("l_orderkey"), "l_quantity")
+    joined = joins.outer_join_with_filters(
+        o, l, ["k"], "left", F.col("o_totalprice") > 100000, F.col("l_quantity") > 40
+    )
+    return joined.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.count("l_orderkey").alias("n_matched")
     )
 

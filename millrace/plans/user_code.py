@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.tables import temporary_database
-from millrace.operators import ordering, scripts
+from millrace.operators import scripts
 from millrace.operators.table_functions import table_function
 from millrace.operators.user_functions import aggregate_with, scalar_function
 from millrace.plans.registry import Registry, table
@@ -34,7 +34,7 @@ def script_map_reduce(spark, sf):
     counted = scripts.transform(
         mapped.sortWithinPartitions("word"), r"uniq -c | sed 's/^ *\([0-9]*\) \(.*\)/\2\t\1/'", "word string, n bigint"
     )
-    clustered = ordering.cluster_by(counted, 8, ["word"])
+    clustered = counted.repartition("word").sortWithinPartitions("word")  # one row per word and task
     return scripts.transform(
         clustered, "awk -F'\\t' '{s[$1] += $2} END {for (w in s) print w \"\\t\" s[w]}'", "word string, n bigint"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.dates import epoch_micros
 from millrace.operators import windows as W
 from millrace.plans.registry import Registry, table
+from millrace.skew import hot_keys
 
 R = Registry()
 query = R.query
@@ -49,8 +50,10 @@ def win_running_sum(spark, sf):
            round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS whole
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def win_rows_frame(spark, sf):
-    out = W.running(_orders(spark, sf), ["o_custkey"], BY_DATE, {"upto": ("sum", "o_totalprice")})
-    out = W.over_partition(out, ["o_custkey"], {"whole": F.sum("o_totalprice")})
+    o = _orders(spark, sf)
+    hot = hot_keys(o, ["o_custkey"])
+    out = W.running(o, ["o_custkey"], BY_DATE, {"upto": ("sum", "o_totalprice")}, hot=hot)
+    out = W.over_partition(out, ["o_custkey"], {"whole": F.sum("o_totalprice")}, hot)
     onward = F.col("whole") - F.col("upto") + F.col("o_totalprice")
     return out.select("o_orderkey", F.round("upto", 2).alias("upto"), F.round(onward, 2).alias("onward"),
                       F.round("whole", 2).alias("whole"))
@@ -108,9 +111,10 @@ def win_first_last(spark, sf):
            round(cume_dist() OVER w, 9) AS cd
     FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate)""")
 def win_ranking(spark, sf):
-    out = W.running(_orders(spark, sf, "o_orderpriority"), ["o_orderpriority"], [("o_orderdate", "asc")], {
+    o = _orders(spark, sf, "o_orderpriority")
+    out = W.running(o, ["o_orderpriority"], [("o_orderdate", "asc")], {
         "rk": ("rank",), "dr": ("dense_rank",), "pr": ("percent_rank",), "cd": ("cume_dist",)})
-    out = W.running(out, ["o_custkey"], BY_DATE, {"rn": ("row_number",)})
+    out = W.running(out, ["o_custkey"], BY_DATE, {"rn": ("row_number",)}, hot=hot_keys(o, ["o_custkey"]))
     return out.select("o_orderkey", F.col("rn").cast("bigint").alias("rn"), F.col("rk").cast("bigint").alias("rk"),
                       F.col("dr").cast("bigint").alias("dr"), F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"))
 
@@ -152,23 +156,26 @@ def win_over_agg(spark, sf):
     SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n_user, max(value) OVER (PARTITION BY event_type) AS top_type,
            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events""")
 def win_multi_spec(spark, sf):
-    out = W.running(_events(spark, sf, "event_type"), ["user_id"], BY_TIME, {"rn": ("row_number",)})
-    out = W.over_partition(out, ["user_id"], {"n_user": F.count(F.lit(1))})
-    out = W.over_partition(out, ["event_type"], {"top_type": F.max("value")})
+    e = _events(spark, sf, "event_type")
+    hot = hot_keys(e, ["user_id"])
+    out = W.over_partition(e, ["event_type"], {"top_type": F.max("value")})
+    out = W.running(out, ["user_id"], BY_TIME, {"rn": ("row_number",)}, hot=hot)
+    out = W.over_partition(out, ["user_id"], {"n_user": F.count(F.lit(1))}, hot)
     return out.select("event_id", "n_user", "top_type", F.col("rn").cast("bigint").alias("rn"))
 
 
 # ---------------------------------------------------------------- partition functions
 
 
-def gap_to_previous(df, keys, order):
+def gap_to_previous(df, p):
     """Microseconds since the previous event of the partition."""
-    return W.near_rows(df, keys, order, 1, 0, {"gap": lambda w: F.col("us") - F.lag("us").over(w)})
+    gap = {"gap": lambda w: F.col("us") - F.lag("us").over(w)}
+    return W.near_rows(df, p.keys, p.order, 1, 0, gap, hot=p.hot)
 
 
-def above_mean_gap(df, keys, order):
+def above_mean_gap(df, p):
     """Rows whose gap exceeds the partition's mean gap."""
-    return W.over_partition(df, keys, {"mean_gap": F.avg("gap")}).where("gap > mean_gap").drop("mean_gap")
+    return W.over_partition(df, p.keys, {"mean_gap": F.avg("gap")}, p.hot).where("gap > mean_gap").drop("mean_gap")
 
 
 CHAIN_SQL = """

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.sinks import file_sizes
+
 
 def load_new_files(
     spark: SparkSession,
@@ -34,13 +36,19 @@ def load_new_files(
     return sum(rows.values())
 
 
-def unseen(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Batch form: rows of ``files`` that come from a file not listed in ``seen``
-    (a column ``file``). ``files`` must be a direct scan."""
-    tagged = files.withColumn("_file", F.col("_metadata.file_path"))
-    return tagged.join(seen.select(F.col("file").alias("_file")), "_file", "left_anti").drop("_file")
+def file_listing(spark: SparkSession, source: str) -> DataFrame:
+    """The data files of a directory (a column ``file``): the snapshot a later
+    run compares with. No file is opened."""
+    return file_sizes(spark, source).select(F.col("path").alias("file"))
 
 
-def file_listing(files: DataFrame) -> DataFrame:
-    """The files behind a scan, as the ``seen`` table of a later run."""
-    return files.select(F.col("_metadata.file_path").alias("file")).distinct()
+def read_unseen(
+    spark: SparkSession, source: str, schema: T.StructType, seen: DataFrame, format: str = "parquet"
+) -> DataFrame:
+    """Batch form: read only files that are not in the ``seen`` listing. File
+    names pass through the driver, as in any file scan; rows do not."""
+    new = file_listing(spark, source).join(seen.select("file").distinct(), "file", "left_anti")
+    files = [r["file"] for r in new.toLocalIterator()]
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.format(format).schema(schema).load(files)

@@ -36,6 +36,34 @@ def test_hot_keys_are_bounded(sides):
     assert skew.hot_keys(left, ["k"]) == []
 
 
+def test_counting_on_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(skew, "COUNTED_ROWS", 2000)
+    df = spark.range(40000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    (hot,) = skew.hot_keys(df, ["k"], 1000)
+    assert hot.key == (7,) and 8000 < hot.rows < 20000 and hot.pieces > 5
+
+
+def test_probes_and_unique_sides(sides):
+    left, right = sides
+    grouped = right.groupBy("k").agg(F.max("b").alias("b"))
+    for how in ("inner", "left", "right", "full"):
+        got = skew.skew_join(left, grouped, ["k"], how, 30, probe_left=left.select("k"), unique_right=True)
+        assert rows(got) == rows(left.join(grouped, ["k"], how))
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("hot", [None, 30])
+def test_on_filters(sides, how, hot):
+    from millrace.operators.joins import outer_join_with_filters
+
+    left = sides[0].withColumn("lk", F.col("k"))
+    right = sides[1].withColumn("rk", F.col("k"))
+    got = outer_join_with_filters(left, right, ["k"], how, F.col("a") > 200, F.col("b") < 900, hot)
+    l, r = left.drop("k"), right.drop("k")
+    plain = l.join(r, (l.lk == r.rk) & (l.a > 200) & (r.b < 900), how)
+    assert rows(got) == rows(plain)
+
+
 def test_broadcast_check(spark):
     df = spark.range(1000).select(F.repeat(F.lit("x"), 100).alias("s"))
     assert skew.fits_broadcast(df)

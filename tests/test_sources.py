@@ -111,11 +111,13 @@ def test_incremental_stream_and_batch(spark, kv, tmp_path):
     kv.limit(200).repartition(3).write.parquet(src)
     run = lambda: incremental.load_new_files(spark, src, kv.schema, dst, chk, max_files=1)
     assert run() == 200 and run() == 0
-    seen = incremental.file_listing(spark.read.parquet(src)).collect()
+    seen = spark.createDataFrame(incremental.file_listing(spark, src).collect())
+    assert seen.count() == 3
     kv.where("key < 50").write.mode("append").parquet(src)
     n = kv.where("key < 50").count()
-    fresh = incremental.unseen(spark.read.parquet(src), spark.createDataFrame(seen))
-    assert fresh.count() == n and fresh.columns == kv.columns
+    fresh = incremental.read_unseen(spark, src, kv.schema, seen)
+    assert rows(fresh) == rows(kv.where("key < 50"))
+    assert incremental.read_unseen(spark, src, kv.schema, incremental.file_listing(spark, src)).count() == 0
     assert run() == n and spark.read.schema(kv.schema).parquet(dst).count() == 200 + n
 
 

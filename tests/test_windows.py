@@ -101,3 +101,30 @@ def test_windows_over_users(users):
     ahead = W.near_rows(users, ["name"], by, 1, 1, {
         "nxt": lambda w: F.lead("id").over(w), "prv": lambda w: F.lag("id").over(w)})
     assert rows(ahead) == [(1, "A", 3, None), (2, "B", None, None), (3, "A", None, 1)]
+
+
+def test_no_keys_at_all(skewed):
+    names = {"rn": ("row_number",), "s": ("sum", "v"), "nt": ("ntile", 5)}
+    order = [("u", "asc")]
+    assert rows(W.running(skewed, [], order, names, hot_rows=500)) == rows(W.running(skewed, [], order, names))
+    exprs = {"p": lambda w: F.lag("v").over(w)}
+    assert rows(W.near_rows(skewed, [], order, 1, 0, exprs, hot_rows=500)) == rows(
+        W.near_rows(skewed, [], order, 1, 0, exprs))
+
+
+@pytest.mark.parametrize("hot", [None, 300])
+def test_chained_partition_functions(skewed, hot):
+    step = lambda d, p: W.near_rows(
+        d, p.keys, p.order, 1, 0, {"step": lambda w: F.col("u") - F.lag("u").over(w)}, hot=p.hot)
+    large = lambda d, p: W.over_partition(d, p.keys, {"m": F.avg("step")}, p.hot).where("step > m")
+    got = W.partition_functions(skewed, ["k"], [("u", "asc")], step, large, hot_rows=hot)
+    w = Window.partitionBy("k")
+    expect = skewed.withColumn("step", F.col("u") - F.lag("u").over(w.orderBy("u"))).withColumn(
+        "m", F.avg("step").over(w)).where("step > m")
+    assert rows(got) == rows(expect)
+
+
+def test_windows_over_one_key_share_a_shuffle(skewed):
+    df = W.running(skewed, ["k"], [("u", "asc")], {"s": ("sum", "v")}, hot=[])
+    plan = W.over_partition(df, ["k"], {"n": F.count(F.lit(1))}, [])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1
