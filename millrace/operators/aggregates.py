@@ -76,7 +76,9 @@ def exact_percentiles(
     a group's values.
     """
     if df.count() <= (MIN_HOT_ROWS if hot_rows is None else hot_rows):
-        return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in points.items()])
+        together = F.percentile(value, F.array(*[F.lit(float(p)) for p in points.values()])).alias("_all")
+        found = df.groupBy(*keys).agg(together)
+        return found.select(*keys, *[F.get("_all", F.lit(i)).alias(n) for i, n in enumerate(points)])
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     counts = materialize(counted, "value_counts")  # read several times below
     upto = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot_rows)

@@ -236,7 +236,7 @@ def join_theta(spark, sf):
 
 
 @query("join_self", """
-    SELECT a.role AS role, b.role AS next_role, count(*) AS n, sum(length(b.text)) AS chars
+    SELECT a.role AS role, b.role AS next_role, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS chars
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
     GROUP BY a.role, b.role""")
 def join_self(spark, sf):
