@@ -6,6 +6,8 @@ partitions are persisted. The driver keeps names, never rows.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +87,10 @@ class CachedPartitions:
             held.unpersist()
         del self.values[key], self._versions[key]
 
-    def _write(self, key: str, df: DataFrame) -> str:
+    def _write(self, values: tuple, df: DataFrame) -> str:
         self._count += 1
-        path = f"{self.base}/{key}/v{self._count:06d}"
+        folder = "/".join(f"{c}={quote(str(v), safe='')}" for c, v in zip(self.partition_columns, values))
+        path = f"{self.base}/{folder}/v{self._count:06d}"
         df.select(*[F.col(f.name).cast(f.dataType) for f in self._data_schema().fields]).write.parquet(path)
         return path
 
@@ -95,7 +98,7 @@ class CachedPartitions:
         """INSERT INTO a partition: read through the policy (a use of it), then
         a new entry over old and new files takes its place."""
         key = self.key_of(values)
-        path = self._write(key, df)
+        path = self._write(values, df)
         if key in self.values:
             self.policy.get(key)
         else:
@@ -105,7 +108,7 @@ class CachedPartitions:
 
     def overwrite(self, df: DataFrame, *values) -> None:
         key = self.key_of(values)
-        path = self._write(key, df)  # before the old entry goes: df may read it
+        path = self._write(values, df)  # before the old entry goes: df may read it
         self.values.setdefault(key, tuple(values))
         self._versions[key] = [path]
         self.policy.put(key, self._load(key))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import CatalogError
+from millrace.operators.scripts import sql_text
 from millrace.scratch import materialize, new_dir, new_name
 
 PROPERTY = "millrace.cache"
@@ -182,7 +183,8 @@ class TableCatalog:
 
     def insert_partition(self, name: str, df: DataFrame, overwrite: bool = False, **partition) -> None:
         """Static partition insert: ``PARTITION (k = v)``."""
-        spec = ", ".join(f"{k} = {v!r}" for k, v in partition.items())
+        literal = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else sql_text(str(v))
+        spec = ", ".join(f"{k} = {literal(v)}" for k, v in partition.items())
         word = "OVERWRITE TABLE" if overwrite else "INTO"
         statement = f"INSERT {word} {name} PARTITION ({spec}) SELECT * FROM {{rows}}"
         self._replace(df, lambda rows: self.spark.sql(statement, rows=rows))

@@ -101,7 +101,7 @@ def bloom_words(keys: DataFrame, column: str, bits: int) -> np.ndarray:
         .toPandas()
     )
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
     return out
 
 

@@ -13,7 +13,8 @@ from millrace.scratch import new_name
 MAX_FILE_BYTES = 64 * 1024
 
 
-def _sql_text(text: str) -> str:
+def sql_text(text: str) -> str:
+    """A string literal of Spark SQL."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -56,7 +57,7 @@ def transform(df: DataFrame, command: str, schema: str, **how) -> DataFrame:
     view = new_name("script_rows")
     df.createOrReplaceTempView(view)
     text = df.sparkSession.sql(
-        f"SELECT TRANSFORM ({given}) {row_format} USING {_sql_text(shell_command(command, **how))} "
+        f"SELECT TRANSFORM ({given}) {row_format} USING {sql_text(shell_command(command, **how))} "
         f"AS ({taken}) {row_format} FROM {view}"
     )
     df.sparkSession.catalog.dropTempView(view)

@@ -53,8 +53,9 @@ def _task_slots(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[HotKey]:
     """Keys too large for one task, with the number of pieces to cut each into.
 
-    A key is hot above ``max(hot_rows, total / slots)`` rows, so at most
-    ``slots`` keys come back, whatever the size of the input.
+    A key is hot above ``max(hot_rows, total / slots)`` rows, where ``slots`` is
+    the number of shuffle partitions (200 at least), so at most ``slots`` keys
+    come back, whatever the size of the input.
     """
     floor = MIN_HOT_ROWS if hot_rows is None else hot_rows
     total = df.count()
@@ -131,7 +132,7 @@ def _marks(left: DataFrame, keys: list[str], hot_l: list[HotKey], hot_r: list[Ho
 
 
 def _marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    # At most a few hundred hot keys per side (see hot_keys), so this broadcast is bounded.
+    # At most one hot key per task slot and side (see hot_keys), so this broadcast is bounded.
     return lookup(df, F.broadcast(marks), keys).fillna(1, [LEFT_WAYS, RIGHT_WAYS])
 
 

@@ -106,6 +106,16 @@ def test_overwrite_from_itself(spark, kv):
     assert not spark.catalog.databaseExists(db)
 
 
+def test_odd_static_partition_values(spark):
+    with temporary_database(spark) as db:
+        c, t = TableCatalog(spark), f"{db}.t"
+        df = spark.createDataFrame([(1, "x")], "k int, p string")
+        c.create(t, df, partition_by=["p"])
+        for v in ("it's", 'say "hi"', "back\\slash"):
+            c.insert_partition(t, df.select("k"), p=v)
+        assert {r["p"] for r in spark.table(t).collect()} == {"x", "it's", 'say "hi"', "back\\slash"}
+
+
 def test_incremental_stream_and_batch(spark, kv, tmp_path):
     src, dst, chk = (str(tmp_path / d) for d in ("in", "out", "chk"))
     kv.limit(200).repartition(3).write.parquet(src)
