@@ -151,18 +151,20 @@ def bucketed_join(
 ) -> DataFrame:
     """Write both sides bucketed by the join keys, then join without an exchange.
 
-    ``save(label, df, (buckets, columns))`` stores a table and returns it. If a
-    key is hot, both sides are bucketed by key and salt, so a bucket never
+    ``save(label, df, (buckets, columns))`` stores a table and returns it. Rows
+    are brought together by bucket first, so a bucket is one file. If a key is hot, both sides are bucketed by key and salt, so a bucket never
     holds all rows of that key (inner joins only).
     """
     hot_l, hot_r = hot_keys(left, keys, hot_rows), hot_keys(right, keys, hot_rows)
     if not hot_l and not hot_r:
-        a, b = save("left", left, (buckets, keys)), save("right", right, (buckets, keys))
+        a = save("left", left.repartition(buckets, *keys), (buckets, keys))
+        b = save("right", right.repartition(buckets, *keys), (buckets, keys))
         return a.join(b, keys, how)
     if how != "inner":
         raise ValueError("hot keys in a bucketed join are supported for inner joins")
     marks, cols = _marks(left, keys, hot_l, hot_r), [*keys, LEFT_SALT, RIGHT_SALT]
     a = _spread(_marked(left, marks, keys), (LEFT_SALT, LEFT_WAYS), (RIGHT_SALT, RIGHT_WAYS))
     b = _spread(_marked(right, marks, keys), (RIGHT_SALT, RIGHT_WAYS), (LEFT_SALT, LEFT_WAYS))
-    a, b = save("left", a, (buckets, cols)), save("right", b, (buckets, cols))
+    a = save("left", a.repartition(buckets, *cols), (buckets, cols))
+    b = save("right", b.repartition(buckets, *cols), (buckets, cols))
     return a.join(b, cols).drop(LEFT_SALT, RIGHT_SALT)

@@ -23,20 +23,26 @@ def top_k(df: DataFrame, order: Order, k: int) -> DataFrame:
     return df.orderBy(*order_cols(order)).limit(k)
 
 
-def distribute_by(df: DataFrame, parts: int, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+def distribute_by(
+    df: DataFrame, keys: list[str], parts: int | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """DISTRIBUTE BY: rows of one key share a partition. A key too large for one
-    task is spread over as many partitions as it has pieces."""
+    task is spread over as many partitions as it has pieces. Without ``parts``
+    the session's shuffle partitions apply and AQE merges small ones."""
+    count = [parts] if parts else []
     hot = hot_keys(df, keys, hot_rows)
     if not hot:
-        return df.repartition(parts, *keys)
+        return df.repartition(*count, *keys)
     marked = _marked(df, _marks(df, keys, hot, []), keys)
     salted = marked.withColumn(SPREAD, row_salt(df, F.col(LEFT_WAYS)))
-    return salted.repartition(parts, *keys, SPREAD).drop(LEFT_WAYS, RIGHT_WAYS, SPREAD)
+    return salted.repartition(*count, *keys, SPREAD).drop(LEFT_WAYS, RIGHT_WAYS, SPREAD)
 
 
-def cluster_by(df: DataFrame, parts: int, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+def cluster_by(
+    df: DataFrame, keys: list[str], parts: int | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """CLUSTER BY = DISTRIBUTE BY + SORT BY the same keys."""
-    return distribute_by(df, parts, keys, hot_rows).sortWithinPartitions(*keys)
+    return distribute_by(df, keys, parts, hot_rows).sortWithinPartitions(*keys)
 
 
 def first_in_groups(df: DataFrame, groups: list[str], order: Order, k: int) -> DataFrame:

@@ -273,7 +273,8 @@ def join_bucketed(spark, sf):
             df.write.bucketBy(n, *cols).sortBy(*cols).saveAsTable(f"{db}.{label}")
             return spark.table(f"{db}.{label}")
 
-        joined = joins.bucketed_join(l, o, ["k"], 4, save)
+        buckets = max(4, l.count() // 2_000_000)  # about two million lines each
+        joined = joins.bucketed_join(l, o, ["k"], buckets, save)
         return materialize(
             joined.groupBy("o_orderstatus", "l_returnflag").agg(
                 F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")

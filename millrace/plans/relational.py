@@ -204,13 +204,13 @@ def sort_within_partitions(spark, sf):
 @query("distribute_by", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
 def distribute_by(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return ordering.distribute_by(o, 8, ["o_custkey"])
+    return ordering.distribute_by(o, ["o_custkey"])
 
 
 @query("cluster_by", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
 def cluster_by(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return ordering.cluster_by(o, 8, ["o_custkey"])
+    return ordering.cluster_by(o, ["o_custkey"])
 
 
 @query("sort_by_limit", """

@@ -36,7 +36,7 @@ def test_total_sort_and_null_order(spark):
 
 
 def test_cluster_by_keeps_keys_together_and_sorted(kv):
-    parts = ordering.cluster_by(kv, 6, ["key"]).withColumn("p", F.spark_partition_id())
+    parts = ordering.cluster_by(kv, ["key"], 6).withColumn("p", F.spark_partition_id())
     assert parts.groupBy("key").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
     seen = parts.rdd.mapPartitions(lambda it: [[r["key"] for r in it]]).collect()
     assert all(p == sorted(p) for p in seen) and Counter(k for p in seen for k in p) == Counter(k for k, _ in KV_ROWS)
@@ -44,7 +44,7 @@ def test_cluster_by_keeps_keys_together_and_sorted(kv):
 
 def test_hot_key_is_spread(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), "id").repartition(4)
-    out = ordering.distribute_by(df, 8, ["k"], hot_rows=200).withColumn("p", F.spark_partition_id())
+    out = ordering.distribute_by(df, ["k"], 8, hot_rows=200).withColumn("p", F.spark_partition_id())
     assert out.where("k = 1").select("p").distinct().count() > 4
     assert out.columns[:-1] == df.columns and rows(out.drop("p")) == rows(df)
 
@@ -262,6 +262,7 @@ def test_bucketed_join(spark, hot):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert all(len(spark.table(t).inputFiles()) <= 4 for t in tables)  # a file per bucket, not per task
     for t in set(tables):
         spark.sql(f"DROP TABLE {t}")
 
