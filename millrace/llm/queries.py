@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -29,3 +29,20 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file lies; the driver alone reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@R.query("op4_token_count")
+def op4_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_count.count_tokens(table(spark, sf, "documents"), vocabulary())
+
+
+@R.query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf, "documents"))
