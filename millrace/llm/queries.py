@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -46,3 +46,8 @@ def op4_token_count(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"))
+
+
+@R.query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
