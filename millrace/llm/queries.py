@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, mixing, packing, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -51,3 +51,52 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# Weights and levels as in millrace.llm.mixing; water filling by the share of weights not yet filled up.
+MIX_SQL = """
+WITH base AS (
+  SELECT doc_id,
+    CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 'web'
+         ELSE ['web', 'books', 'code', 'forum'][(CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT) % 4) + 1] END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+w(path, weight) AS (VALUES ('web', 4), ('books', 3), ('code', 2), ('forum', 1), ('web/en', 3), ('books/en', 3), ('code/en', 3), ('forum/en', 3)),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS capacity FROM base GROUP BY ALL),
+total AS (SELECT CAST(floor(sum(tokens) / 2) AS BIGINT) AS budget FROM leaves),
+d0 AS (SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity, coalesce(any_value(weight), 1) AS weight FROM leaves LEFT JOIN w ON path = domain GROUP BY domain),
+d1 AS (SELECT *, budget - coalesce(sum(capacity) OVER p, 0) AS b_left, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS w_left FROM d0, total
+  WINDOW p AS (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d2 AS (SELECT *, capacity * w_left <= weight * b_left AS filled FROM d1),
+d AS (SELECT domain, CAST(CASE WHEN filled THEN capacity ELSE least(capacity,
+    (weight * (budget - coalesce(sum(capacity) FILTER (filled) OVER (), 0))) // (sum(weight) FILTER (NOT filled) OVER ())) END AS BIGINT) AS budget FROM d2),
+l0 AS (SELECT domain, lang, CAST(sum(capacity) AS BIGINT) AS capacity, coalesce(any_value(weight), 1) AS weight FROM leaves LEFT JOIN w ON path = domain || '/' || lang GROUP BY domain, lang),
+l1 AS (SELECT l0.*, budget, budget - coalesce(sum(capacity) OVER p, 0) AS b_left, sum(weight) OVER (PARTITION BY domain) - coalesce(sum(weight) OVER p, 0) AS w_left FROM l0 JOIN d USING (domain)
+  WINDOW p AS (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l2 AS (SELECT *, capacity * w_left <= weight * b_left AS filled FROM l1),
+l AS (SELECT domain, lang, CAST(CASE WHEN filled THEN capacity ELSE least(capacity,
+    (weight * (budget - coalesce(sum(capacity) FILTER (filled) OVER p, 0))) // (sum(weight) FILTER (NOT filled) OVER p)) END AS BIGINT) AS budget FROM l2 WINDOW p AS (PARTITION BY domain)),
+s1 AS (SELECT leaves.*, budget, budget - coalesce(sum(capacity) OVER p, 0) AS b_left, count(*) OVER (PARTITION BY domain, lang) - (row_number() OVER q - 1) AS w_left FROM leaves JOIN l USING (domain, lang)
+  WINDOW p AS (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         q AS (PARTITION BY domain, lang ORDER BY capacity, source)),
+s2 AS (SELECT *, capacity * w_left <= b_left AS filled FROM s1),
+s AS (SELECT domain, lang, source, tokens, CAST(CASE WHEN filled THEN capacity ELSE least(capacity,
+    (budget - coalesce(sum(capacity) FILTER (filled) OVER p, 0)) // (count(*) FILTER (NOT filled) OVER p)) END AS BIGINT) AS budget FROM s2 WINDOW p AS (PARTITION BY domain, lang)),
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM s),
+ordered AS (SELECT base.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || epochs || ':' || doc_id), n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached FROM base JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS INT) AS epoch FROM ordered WHERE rest > 0 AND reached <= rest
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(epochs)) AS INT) FROM ordered WHERE epochs > 0
+"""
+
+
+@R.query("op1_mixture", MIX_SQL)
+def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@R.query("op2_packing")
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
