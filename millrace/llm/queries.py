@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, mixing, packing, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, mixing, ngram_join, packing, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -100,3 +100,8 @@ def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("op2_packing")
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@R.query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf, "documents"))
