@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, mixing, ngram_join, packing, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, metric_search, mixing, ngram_join, packing, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -105,3 +105,9 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf, "documents"))
+
+
+@R.query("op3_top_products")
+def op3_top_products(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return metric_search.top_inner_products(vectors, vectors.where("vec_id % 20 = 0"))
