@@ -12,8 +12,9 @@ least ``threshold`` of a template's distinct words:
   in that order;
 * what is left is verified by the full intersection.
 
-All of it is DataFrame operations. Texts are never shuffled: lines are reduced
-to their words of the vocabulary inside the scan, and only finds are grouped.
+All of it is DataFrame operations. Texts are read once and never shuffled: inside
+the scan a document is reduced to its words of the vocabulary, and if those could
+meet a template, to those of each line. Only finds are grouped.
 """
 
 from __future__ import annotations
@@ -67,8 +68,15 @@ def phrase_starts(words: Column, phrase: Sequence[str]) -> Column:
     return F.filter(places, stands)
 
 
-def _base(docs: DataFrame, id_column: str, text_column: str, vocabulary: list[str], phrases) -> DataFrame:
-    """Per document: words, phrase places, and which words of the templates it holds."""
+def _need(size: int, threshold: float) -> int:
+    return max(1, math.ceil(round(threshold * size, 9)))
+
+
+def _base(docs: DataFrame, id_column: str, text_column: str, phrases, templates, threshold: float) -> DataFrame:
+    """Per document: words, phrase places, which words of the templates it holds
+    (``held``), and, if it holds enough of any template's, those of each line."""
+    sets = [_template_words(text) for _, text in templates]
+    vocabulary = sorted({w for s in sets for w in s})
     none = F.array().cast("array<int>")
     lower = docs.select(F.col(id_column).alias("id"), ascii_lower(text_of(text_column)).alias("lower"))
     cut = lower.withColumn("words", words_of(F.col("lower")))
@@ -79,24 +87,26 @@ def _base(docs: DataFrame, id_column: str, text_column: str, vocabulary: list[st
     found = cut.select(
         "id", F.size("words").cast("long").alias("n_words"),
         *[s.alias(f"s{i}") for i, s in enumerate(starts)],
-        F.array_intersect(F.lit(vocabulary), F.col("words")).alias("held"),
+        F.array_intersect(F.lit(vocabulary), F.col("words")).alias("held"), "lower",
     )
+    enough = [F.size(F.array_intersect(F.lit(s), F.col("held"))) >= _need(len(s), threshold) for s in sets]
+    by_line = F.transform(F.split("lower", "\n"), lambda line: F.array_intersect(F.lit(vocabulary), words_of(line)))
+    found = found.withColumn("lines", F.when(reduce(lambda a, b: a | b, enough, F.lit(False)), by_line)).drop("lower")
     names = [f"s{i}" for i in range(len(phrases))]
     every = F.concat(*names) if names else none
     labels = F.array_compact(F.array(*[F.when(F.size(n) > 0, label) for n, (_, label) in zip(names, phrases)]))
     return found.select(
         "id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"), labels.cast("array<string>").alias("base"), "held",
+        F.array_max(every).cast("long").alias("last_word"), labels.cast("array<string>").alias("base"), "held", "lines",
     )
 
 
 def matching_blocks(
-    docs: DataFrame, held: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
-    threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text",
+    held: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(id, block, template, label, containment) of every line that holds at
     least ``threshold`` of a template's words. ``held`` has, per document, the
-    array ``held`` of the templates' words in it; the order comes from there."""
+    templates' words in it (``held``, which gives the order) and in each line."""
     sets = [_template_words(text) for _, text in templates]
     # At most one row per word of the templates comes back.
     counted = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
@@ -104,7 +114,7 @@ def matching_blocks(
     rank = {w: i for i, w in enumerate(order)}
     prefix, verify = [], []
     for number, ((label, _), words) in enumerate(zip(templates, sets)):
-        need = max(1, math.ceil(round(threshold * len(words), 9)))
+        need = _need(len(words), threshold)
         ranked = sorted(words, key=rank.__getitem__)
         for word in ranked[: len(words) - need + 1]:
             prefix.append((word, number, need))
@@ -119,14 +129,9 @@ def matching_blocks(
         + rows(f"({n}, {text(label)}, array({rows(map(text, ws))}))" for n, label, _, ws in verify)
         + " AS t(template, label, set)"
     )
-    lower = docs.select(F.col(id_column).alias("id"), ascii_lower(text_of(text_column)).alias("lower"))
-    rare = sorted({w for w, _, _ in prefix})
-    some = reduce(lambda a, b: a | b, [F.col("lower").contains(w) for w in rare])
-    lines = lower.where(some).select("id", F.posexplode(F.split("lower", "\n")).alias("block", "line"))
-    lines = lines.where(reduce(lambda a, b: a | b, [F.col("line").contains(w) for w in rare]))
     least = min(k for _, _, k in prefix)
-    cut = lines.select("id", "block", F.array_intersect(F.lit(order), words_of(F.col("line"))).alias("has"))
-    cut = cut.where(F.size("has") >= least)
+    lines = held.where("lines IS NOT NULL").select("id", F.posexplode("lines").alias("block", "line")).where(F.size("line") >= least)
+    cut = lines.select("id", "block", F.array_intersect(F.lit(order), F.col("line")).alias("has"))
     seen = cut.select("id", "block", "has", F.posexplode("has").alias("place", "word"))
     near = seen.join(F.broadcast(keys), "word").where(F.size("has") - F.col("place") >= F.col("need"))
     common = F.size(F.array_intersect("has", "set"))
@@ -149,9 +154,8 @@ def scan_licenses(
     repeat an id share their template labels. An empty table gives no rows.
     Other columns of ``docs`` play no part.
     """
-    vocabulary = sorted({w for _, t in templates for w in _template_words(t)})
-    base = stored(_base(docs, id_column, text_column, vocabulary, phrases), "license-base")
-    blocks = matching_blocks(docs, base, templates, threshold, id_column, text_column)
+    base = stored(_base(docs, id_column, text_column, phrases, templates, threshold), "license-base")
+    blocks = matching_blocks(base, templates, threshold)
     more = blocks.groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
     joined = base.join(more, base["id"].eqNullSafe(more["id"]), "left").drop(more["id"])
     joined_labels = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
