@@ -119,7 +119,7 @@ def matching_blocks(
         for word in ranked[: len(words) - need + 1]:
             prefix.append((word, number, need))
         verify.append((number, label, need, ranked))
-    spark = docs.sparkSession
+    spark = held.sparkSession
     rows = lambda part: ", ".join(part)
     text = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     # Two fixed tables, as large as the templates.
@@ -157,7 +157,8 @@ def scan_licenses(
     base = stored(_base(docs, id_column, text_column, phrases, templates, threshold), "license-base")
     blocks = matching_blocks(base, templates, threshold)
     more = blocks.groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
-    joined = base.join(more, base["id"].eqNullSafe(more["id"]), "left").drop(more["id"])
+    more = more.withColumnRenamed("id", "more_id")
+    joined = base.join(more, F.col("id").eqNullSafe(F.col("more_id")), "left")
     joined_labels = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
     return joined.select(
         F.col("id").alias(id_column), "n_words", "n_base", "first_word", "last_word",
