@@ -44,6 +44,7 @@ BLOCK = 2_000_000  # shingles of a block of documents
 OWNER_BYTES = 16_000_000  # bytes of text for each owner of hashes
 PART = 1_000_000  # shingles that one task joins; larger parts are tiled
 CHUNK = 4_000_000  # bytes of text hashed at a time
+SHORT = 40  # leading bits of a shingle by which its frequency is counted
 
 _P, _MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -167,29 +168,39 @@ BLOCKS = {"sender": pa.int32(), "block": pa.int32(), "owner": pa.int32(), "codes
 BLOCKS_SQL = "sender int, block int, owner int, codes binary, twice binary, firsts binary, docs binary, ids binary, sizes binary"
 
 
-def _send_blocks(words: int, width: int, owners: int, block: int):
-    """Map side of step 1: blocks of (id, text) rows, one message per owner."""
+def _send_blocks(words: int, width: int, owners: int, block: int, percent: int, prefix: bool):
+    """Map side of step 1: blocks of (id, text) rows, one message per owner. The
+    hashes sent are those of the lower half, or each set's n - need + 1 smallest."""
+    top = np.uint64(1 << 63)
 
-    def message(sender: int, number: int, ids: list[int], sets: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+    def chosen(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """(the hashes that are sent, how many of them must be shared)"""
+        n = len(hashes)
+        if prefix:
+            return hashes[: n - need(n, percent) + 1], min(n, 1)
+        lower = hashes[: np.searchsorted(hashes, top)]
+        return lower, max(0, len(lower) - (n - need(n, percent)))
+
+    def message(sender: int, number: int, ids: list[int], sets: list[np.ndarray], sizes: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in BLOCKS}
 
         def row(**values) -> None:
             for k in out:
                 out[k].append(values.get(k))
 
-        half = np.array([len(s) for s in sets], np.uint32)
+        sent = np.array([len(s) for s in sets], np.int64)
         row(sender=sender, block=number, owner=-1, ids=np.array(ids, np.int64).tobytes(),
-            sizes=np.column_stack([np.array(sizes, np.uint32), half]).tobytes())
-        tokens = np.concatenate(sets) >> np.uint64(64 - width) if sets else np.empty(0, np.uint64)
+            sizes=np.array(sizes, np.uint32).tobytes())
+        tokens = _mixed(np.concatenate(sets)) >> np.uint64(64 - width)  # mixed again, so that owners get equal shares
         kind = "u2" if len(ids) < 1 << 16 else "u4"
-        where = np.repeat(np.arange(len(ids), dtype=kind), half)
+        where = np.repeat(np.arange(len(ids), dtype=kind), sent)
         order = np.argsort(tokens, kind="stable")
         tokens, where = tokens[order], where[order]
         firsts = np.diff(tokens, prepend=~tokens[:1]) != 0
         places = np.flatnonzero(firsts)
         distinct = tokens[places]
         counts = np.diff(places, append=len(tokens))
-        for owner, a, z in _owners(distinct, width - 1, owners):  # the top bit is 0
+        for owner, a, z in _owners(distinct, width, owners):
             i, j = places[a], places[z] if z < len(places) else len(tokens)
             row(sender=sender, block=number, owner=owner, codes=_pack_gaps(distinct[a:z]), twice=_bits(counts[a:z] > 1),
                 firsts=_bits(firsts[i:j]), docs=kind.encode() + where[i:j].tobytes())
@@ -201,16 +212,15 @@ def _send_blocks(words: int, width: int, owners: int, block: int):
         sender, number, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
         sets: list[np.ndarray] = []
-        sizes: list[int] = []
-        top = np.uint64(1 << 63)
+        sizes: list[tuple[int, int]] = []
         for batch in batches:
             for doc, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
-                lower = hashes[: np.searchsorted(hashes, top)]
+                sent, must = chosen(hashes)
                 ids.append(doc)
-                sizes.append(len(hashes))
-                sets.append(lower)
-                held += len(lower) + 1
-                if held >= block:
+                sizes.append((len(hashes), must))
+                sets.append(sent)
+                held += len(sent)
+                if held >= block or len(ids) == (1 << 16) - 1:  # places in a block fit two bytes
                     yield message(sender, number, ids, sets, sizes)
                     ids, sets, sizes, held, number = [], [], [], 0, number + 1
         if ids:
@@ -247,27 +257,29 @@ def _count_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["sender", "block"]].assign(counts=counts, ids=None, sizes=None)
 
 
-def _decide(percent: int):
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[rows["ids"].notna()].iloc[0]
-        ids = np.frombuffer(head["ids"], np.int64)
-        n, half = np.frombuffer(head["sizes"], np.uint32).astype(np.int64).reshape(-1, 2).T
-        shared = np.zeros(len(ids), np.int64)
-        for blob in rows["counts"].dropna():
-            part = np.frombuffer(zlib.decompress(blob), np.uint32)
-            shared[: len(part)] += part
-        maybe = (n > 0) & (shared >= half - (n - need(n, percent)))
-        return pd.DataFrame({"id": ids, "n_shingles": n, "maybe": maybe})
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    head = rows[rows["ids"].notna()].iloc[0]
+    ids = np.frombuffer(head["ids"], np.int64)
+    n, must = np.frombuffer(head["sizes"], np.uint32).astype(np.int64).reshape(-1, 2).T
+    shared = np.zeros(len(ids), np.int64)
+    for blob in rows["counts"].dropna():
+        part = np.frombuffer(zlib.decompress(blob), np.uint32)
+        shared[: len(part)] += part
+    return pd.DataFrame({"id": ids, "n_shingles": n, "maybe": (n > 0) & (shared >= must)})
 
-    return decide
 
+def screened(docs: DataFrame, words: int, percent: int, block: int, owner_bytes: int, prefix: bool = False) -> DataFrame:
+    """(id, n_shingles, maybe) of every (id, text) row; without ``maybe`` it has no link.
 
-def _screened(docs: DataFrame, words: int, percent: int, block: int, owner_bytes: int) -> DataFrame:
-    """(id, n_shingles, maybe) of every row; without ``maybe`` it has no link."""
+    Whole texts send the lower half of their hashes: much is shared by chance or
+    in common passages, and the count of shared ones rules that out. With
+    ``prefix``, for short texts, each set sends its n - need + 1 smallest hashes,
+    of which linked sets have one in common: half as many.
+    """
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     owners = max(16, -(-size // owner_bytes))
     width = min(63, max(32, (size // 4).bit_length() + 6))
-    sent = stored(docs.mapInArrow(_send_blocks(words, width, owners, block), BLOCKS_SQL), "shingles")
+    sent = stored(docs.mapInArrow(_send_blocks(words, width, owners, block, percent, prefix), BLOCKS_SQL), "shingles")
     lists = sent.where("owner >= 0")
     answers = lists.select("sender", "block", "owner", "codes", "twice").groupBy("owner").applyInPandas(
         _again, "sender int, block int, owner int, bits binary"
@@ -276,7 +288,7 @@ def _screened(docs: DataFrame, words: int, percent: int, block: int, owner_bytes
     counted = told.mapInPandas(_count_shared, "sender int, block int, counts binary, ids binary, sizes binary")
     heads = sent.where("owner < 0").selectExpr("sender", "block", "cast(null as binary) AS counts", "ids", "sizes")
     return stored(
-        counted.unionByName(heads).groupBy("sender", "block").applyInPandas(_decide(percent), "id long, n_shingles long, maybe boolean"),
+        counted.unionByName(heads).groupBy("sender", "block").applyInPandas(_decide, "id long, n_shingles long, maybe boolean"),
         "screened",
     )
 
@@ -314,14 +326,19 @@ def _set_blocks(words: int, block: int):
     return run
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """Leading bits, by which frequencies are counted: a function of the shingle, so any order by it is total."""
+    return tokens >> np.uint64(64 - SHORT)
+
+
 def _send_tokens(owners: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for sender, block, tokens in zip(frame["sender"], frame["block"], frame["tokens"]):
-                distinct, counts = np.unique(np.frombuffer(tokens, np.uint64), return_counts=True)
+                distinct, counts = np.unique(_short(np.frombuffer(tokens, np.uint64)), return_counts=True)
                 rows = [
                     (sender, block, o, _pack_gaps(distinct[a:z]), zlib.compress(counts[a:z].astype(np.uint32).tobytes(), 1))
-                    for o, a, z in _owners(distinct, 64, owners)
+                    for o, a, z in _owners(distinct, SHORT, owners)
                 ]
                 yield pd.DataFrame(rows, columns=["sender", "block", "owner", "codes", "counts"])
 
@@ -339,7 +356,7 @@ def _frequencies(lists: pd.DataFrame) -> pd.DataFrame:
     return lists[["sender", "block", "owner"]].assign(levels=[zlib.compress(p.tobytes(), 1) for p in parts])
 
 
-ORDERED = "id long, copies long, n int, skip int, gkey string, tokens binary"
+ORDERED = "id long, copies long, n int, skip int, g long, gkey binary, tokens binary"
 
 
 def _ordered(percent: int):
@@ -349,11 +366,12 @@ def _ordered(percent: int):
         out = []
         for row in blocks.itertuples():
             tokens = np.frombuffer(row.tokens, np.uint64)
-            distinct = np.unique(tokens)
+            short = _short(tokens)
+            distinct = np.unique(short)
             level = np.concatenate([
                 np.frombuffer(zlib.decompress(x), np.uint8) for x in levels.sort_values("owner")["levels"]
             ]) if len(levels) else np.empty(0, np.uint8)
-            own = level[np.searchsorted(distinct, tokens)]
+            own = level[np.searchsorted(distinct, short)]
             sizes = np.frombuffer(row.sizes, np.uint32)
             ends = np.cumsum(sizes)
             for doc, copies, n, end in zip(np.frombuffer(row.ids, np.int64), np.frombuffer(row.copies, np.int64), sizes.tolist(), ends.tolist()):
@@ -363,30 +381,32 @@ def _ordered(percent: int):
                     continue  # too few shared shingles for any link
                 part = part[np.argsort(ranks, kind="stable")]  # equal ranks stay in the order of hashes
                 prefix = part[: n - need(n, percent) + 1]
-                key = hashlib.blake2b(prefix.tobytes() + n.to_bytes(4, "little"), digest_size=16).hexdigest()
-                out.append((int(doc), int(copies), n, skip, key, part.tobytes()))
-        return pd.DataFrame(out, columns=["id", "copies", "n", "skip", "gkey", "tokens"])
+                key = hashlib.blake2b(prefix.tobytes() + n.to_bytes(4, "little"), digest_size=16).digest()
+                out.append((int(doc), int(copies), n, skip, int.from_bytes(key[:8], "little", signed=True), key, part.tobytes()))
+        return pd.DataFrame(out, columns=["id", "copies", "n", "skip", "g", "gkey", "tokens"])
 
     return run
 
 
 def _postings(percent: int):
-    """(token, gid) of the shared prefix shingles of each group."""
+    """(token, g) of the shared prefix shingles of each set's group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for gid, n, skip, tokens in zip(frame["id"], frame["n"], frame["skip"], frame["tokens"]):
-                p = n - need(n, percent) + 1
-                part = np.frombuffer(tokens, np.uint64)[skip:p]
-                yield pd.DataFrame({"token": part.view(np.int64), "gid": np.full(len(part), gid, np.int64)})
+            parts = [
+                np.frombuffer(tokens, np.int64)[skip : n - need(n, percent) + 1]
+                for n, skip, tokens in zip(frame["n"].tolist(), frame["skip"].tolist(), frame["tokens"])
+            ]
+            if parts:
+                yield pd.DataFrame({"token": np.concatenate(parts), "g": np.repeat(frame["g"].to_numpy(), [len(x) for x in parts])})
 
     return run
 
 
 def join_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
-    """(id, root, links) of the documents of one task: the grouped prefix join.
+    """(id, root, links, first) of the documents of one task: the grouped prefix join.
 
-    ``frame`` has id, copies, n, skip, gkey, tokens and tile; ``one`` and ``two``
+    ``first`` is the smallest id linked directly, if any. ``frame`` has id, copies, n, skip, gkey, tokens and tile; ``one`` and ``two``
     name the tiles that meet here (equal: all pairs inside).
     """
     frame = frame.sort_values(["n", "gkey", "id"], ignore_index=True)
@@ -399,8 +419,8 @@ def join_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     ends = np.cumsum(n)
     starts = ends - n
     # Groups: consecutive rows of the same size and prefix.
-    key = frame["gkey"].to_numpy()
-    cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (n[1:] != n[:-1]))))
+    key = frame["gkey"].tolist()
+    cuts = np.flatnonzero([i == 0 or key[i] != key[i - 1] for i in range(len(key))])
     stops = np.append(cuts[1:], len(frame))
     p = n - need(n, percent) + 1
     index: dict[int, list[int]] = {}
@@ -413,6 +433,8 @@ def join_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
         return x
 
     links = np.zeros(len(frame), np.int64)
+    none = np.iinfo(np.int64).max
+    first = np.full(len(frame), none)
     flag = np.zeros(int(local.max()) + 1 if len(local) else 0, bool)
     for g, (a, z) in enumerate(zip(cuts.tolist(), stops.tolist())):
         size = n[a]
@@ -447,6 +469,8 @@ def join_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
             if len(linked):
                 links[x] += copies[linked].sum()
                 links[linked] += copies[x]
+                first[x] = min(first[x], ids[linked].min())
+                first[linked] = np.minimum(first[linked], ids[x])
                 root = find(x)
                 for y in linked.tolist():
                     r = find(y)
@@ -459,7 +483,9 @@ def join_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     roots = [find(x) for x in range(len(frame))]
     for x, r in enumerate(roots):
         least[r] = min(least.get(r, ids[x]), ids[x])
-    return pd.DataFrame({"id": ids, "root": [least[r] for r in roots], "links": links})
+    seen = pd.array(np.where(first == none, 0, first), dtype="Int64")
+    seen[first == none] = pd.NA
+    return pd.DataFrame({"id": ids, "root": [least[r] for r in roots], "links": links, "first": seen})
 
 
 def _sequence(words: str = "text") -> Column:
@@ -485,70 +511,78 @@ def similar_documents(
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     known, unknown = rows.where("id IS NOT NULL"), rows.where("id IS NULL")
-    screened = _screened(known, words, percent, block, owner_bytes)
-    maybe = rows_with(known, screened.where("maybe").select("id").distinct(), ["id"])
+    sizes = screened(known, words, percent, block, owner_bytes)
+    maybe = rows_with(known, sizes.where("maybe").select("id").distinct(), ["id"])
     classes = stored(maybe.where(F.trim(F.regexp_replace("text", SPACES, " ")) != "").select("id", _sequence().alias("seq")), "sequences")
     heads = stored(classes.groupBy("seq").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "heads")
     # The head's own row: ids may repeat with other texts, so the sequence is matched, too.
     keys = heads.select(F.col("head").alias("id"), "seq", "copies")
     texts = rows_with(known, keys.select("id"), ["id"]).withColumn("seq", _sequence())
     texts = texts.join(keys, ["id", "seq"]).dropDuplicates(["id", "seq"]).select("id", "text", "copies")
-    sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
-    size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
-    owners = max(16, -(-size // owner_bytes))
-    sent = sets.select("sender", "block", "tokens").mapInPandas(
-        _send_tokens(owners), "sender int, block int, owner int, codes binary, counts binary"
-    )
-    levels = sent.groupBy("owner").applyInPandas(_frequencies, "sender int, block int, owner int, levels binary")
-    ordered = stored(
-        sets.groupBy("sender", "block").cogroup(levels.groupBy("sender", "block")).applyInPandas(_ordered(percent), ORDERED),
-        "ordered",
-    )
-    labels = stored(_labels(ordered, percent, part), "labels")
+    labels = linked_sets(texts, percent, words, block, owner_bytes, part)
     tied = classes.join(heads, "seq").join(labels.withColumnRenamed("id", "head"), "head", "left")
     found = tied.groupBy("id").agg(
         F.min(F.coalesce("root", "head")).alias("component_id"),
         F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = screened.join(found, "id", "left").select(
+    out = sizes.join(found, "id", "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     if unknown.limit(1).count():
-        size_of = _screened(unknown.withColumn("id", F.lit(0).cast("long")), words, percent, block, owner_bytes)
+        size_of = screened(unknown.withColumn("id", F.lit(0).cast("long")), words, percent, block, owner_bytes)
         out = out.unionByName(size_of.select(
             F.lit(None).cast("long").alias(id_column), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
         ))
     return out
 
 
-def _labels(ordered: DataFrame, percent: int, part: int) -> DataFrame:
-    """(id, root, links) of the documents that have a candidate."""
-    groups = ordered.groupBy("gkey").agg(F.min("id").alias("gid"))
-    tagged = stored(ordered.join(groups, "gkey"), "groups")
-    lead = tagged.where("id = gid").select("id", "n", "skip", "tokens")
-    postings = stored(lead.mapInPandas(_postings(percent), "token long, gid long"), "postings")
-    shared = postings.groupBy("token").agg(F.min("gid").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    edges = postings.join(shared, "token").where("gid <> low").select(F.col("gid").alias("a"), F.col("low").alias("b")).distinct()
-    parts = components(edges)
-    placed = tagged.join(parts.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("root", "gid")).drop("root")
-    placed = placed.select("comp", "id", "copies", "n", "skip", "gkey", "tokens")
-    weights = stored(placed.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("w")).where("k > 1"), "parts")
+def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int, part: int) -> DataFrame:
+    """Steps 2 to 5 for (id, text, copies) rows with different word sequences:
+    (id, root, links, first) of those that have a candidate, once each."""
+    sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
+    size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
+    owners = max(16, -(-size // owner_bytes))
+    sent = sets.select("sender", "block", "tokens").mapInPandas(
+        _send_tokens(owners), "sender int, block int, owner int, codes binary, counts binary"
+    )
+    levels = sent.groupBy("owner").applyInPandas(_frequencies, "sender int, block int, owner int, levels binary")
+    ordered = stored(
+        sets.groupBy("sender", "block").cogroup(levels.groupBy("sender", "block")).applyInPandas(_ordered(percent), ORDERED),
+        "ordered",
+    )
+    postings = ordered.select("n", "skip", "g", "tokens").mapInPandas(_postings(percent), "token long, g long")
+    postings = stored(postings.distinct(), "postings")  # members of a group post the same
+    shared = postings.groupBy("token").agg(F.min("g").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    edges = postings.join(shared, "token").where("g <> low").select(F.col("g").alias("a"), F.col("low").alias("b")).distinct()
+    parts = components(edges).withColumnRenamed("node", "g")
+    sized = ordered.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("w"))
+    sized = sized.join(parts, "g", "left").select("g", F.coalesce("root", "g").alias("comp"), "k", "w")
+    sized = stored(sized, "group-parts")
+    weights = sized.groupBy("comp").agg(F.sum("k").alias("k"), F.sum("w").alias("w")).where("k > 1")
+    weights = stored(weights.select("comp", "w", F.ceil(F.col("w") / part).cast("int").alias("tiles")), "parts")
     total = weights.agg(F.sum("w").alias("w")).first()["w"] or 0
-    tiles = F.ceil(F.col("w") / part).cast("int")
-    placed = placed.join(weights.select("comp", tiles.alias("tiles")), "comp")
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    where = sized.select("g", "comp").join(weights.select("comp", "tiles"), "comp")
+    placed = ordered.join(where, "g").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     bundle = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // part)))).cast("long")
-    small = placed.where("tiles = 1").select(bundle.alias("task"), F.lit(0).alias("one"), F.lit(0).alias("two"), "*")
-    large = placed.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    large = large.select((-1 - F.col("comp")).alias("task"), F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "*").drop("other")
-    columns = ["task", "one", "two", "id", "copies", "n", "skip", "gkey", "tokens", "tile"]
-    tasks = small.select(columns).unionByName(large.select(columns))
+    several = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    large = F.col("tiles") > 1
+    tasks = several.select(
+        F.when(large, F.col("comp")).otherwise(bundle).alias("task"), large.alias("large"), F.least("tile", "other").alias("one"),
+        F.greatest("tile", "other").alias("two"), "id", "copies", "n", "skip", "gkey", "tokens", "tile",
+    )
     joined = stored(
-        tasks.groupBy("task", "one", "two").applyInPandas(lambda f: join_tile(f, percent), "id long, root long, links long"), "joined"
+        tasks.groupBy("task", "large", "one", "two").applyInPandas(
+            lambda f: join_tile(f, percent), "id long, root long, links long, first long"
+        ),
+        "joined",
     )
-    links = joined.groupBy("id").agg(F.sum("links").alias("links"))
-    if not weights.where(tiles > 1).limit(1).count():
+    if not weights.where("tiles > 1").limit(1).count():
         return joined
+    # Tiles of a large part met in several tasks: their roots are tied together.
+    each = joined.groupBy("id").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
     roots = components(joined.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return links.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "links")
+    return stored(
+        each.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "links", "first"),
+        "labels",
+    )

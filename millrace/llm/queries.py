@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, metric_search, mixing, ngram_join, packing, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, line_dedup, metric_search, mixing, ngram_join, packing, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -111,3 +112,10 @@ def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 def op3_top_products(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return metric_search.top_inner_products(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@R.query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = line_dedup.remove_repeated_lines(docs)
+    return done.select("doc_id", "n_lines", "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
