@@ -149,6 +149,7 @@ def _prefixes(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id the mixture takes, each once, columns as they are."""
+    """The rows of ``docs`` whose id the mixture takes, each once, columns as they
+    are. Rows without an id are not taken."""
     taken = mix(docs, id_column=id_column, **options).select(id_column).distinct()
     return rows_with(docs, taken, [id_column]).select(docs.columns)

@@ -119,3 +119,10 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     done = line_dedup.remove_repeated_lines(docs)
     return done.select("doc_id", "n_lines", "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@R.query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
