@@ -239,7 +239,7 @@ def top_inner_products(
     A query is never its own answer: rows with its id are left out, repeated ones
     too. Other rows that repeat an id count once each. Vectors that are NULL, hold
     NULL or non-finite components or have no id take no part; of vectors of
-    different lengths the shorter counts as ending in zeros. With fewer than k
+    different lengths the shorter counts as ending in zeros. Scores must fit a long. With fewer than k
     candidates all are returned; without any, no rows.
     """
     usable_rows = vectors.where(usable(column) & F.col(id_column).isNotNull())
