@@ -32,8 +32,9 @@ def _merge(measures: Measures) -> list[Column]:
         if kind == "avg":
             out.append((F.sum(f"_s_{name}") / F.sum(f"_c_{name}")).alias(name))
         else:
-            merge = {"min": F.min, "max": F.max}.get(kind, F.sum)
-            out.append(merge(f"_p_{name}").alias(name))
+            merged = {"min": F.min, "max": F.max}.get(kind, F.sum)(f"_p_{name}")
+            # A count over no rows at all is 0, though there is no part to add.
+            out.append((F.coalesce(merged, F.lit(0)) if kind == "count" else merged).alias(name))
     return out
 
 

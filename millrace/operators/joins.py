@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.scratch import materialize
 from millrace.skew import (
     LEFT_SALT,
     LEFT_WAYS,
@@ -20,18 +18,41 @@ from millrace.skew import (
     _marks,
     _spread,
     checked_broadcast,
+    fits_broadcast,
     hot_keys,
     skew_join,
 )
 
-MAX_BLOOM_BITS = 1 << 26  # 8 MB on the driver and on every executor
-BLOOM_HASHES = 5
-
+def null_safe_join(
+    left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner", hot_rows: int | None = None
+) -> DataFrame:
+    """Join on ``<=>`` for each (left column, right column): NULL matches NULL.
 
-def null_safe_join(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner") -> DataFrame:
-    """Join on ``<=>`` for each (left column, right column): NULL matches NULL."""
-    cond = reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
-    return left.join(right, cond, how)
+    Each key column becomes a pair of columns, is NULL or not and its value or a
+    filler, which an ordinary join compares; so hot keys, NULL among them, are
+    split like any other. The sides' columns must not share names.
+    """
+    keys = [f"_key_{i}{part}" for i in range(len(pairs)) for part in ("n", "v")]
+
+    def keyed(df: DataFrame, names: list[str]) -> DataFrame:
+        cols = []
+        for i, (a, b) in enumerate(pairs.items()):
+            kind = left.schema[a].dataType if left.schema[a].dataType == right.schema[b].dataType else T.StringType()
+            filler = F.lit("0").cast(kind) if not isinstance(kind, T.StringType) else F.lit("")
+            c = F.col(names[i])
+            cols += [c.isNull().alias(f"_key_{i}n"), F.coalesce(c.cast(kind), filler).alias(f"_key_{i}v")]
+        return df.select("*", *cols)
+
+    same = all(
+        left.schema[a].dataType == right.schema[b].dataType
+        and isinstance(left.schema[a].dataType, (T.StringType, T.IntegralType, T.DecimalType))
+        for a, b in pairs.items()
+    )
+    if not same:  # types without a filler, or different ones: Spark's own null-safe comparison
+        cond = reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
+        return left.join(right, cond, how)
+    joined = skew_join(keyed(left, list(pairs)), keyed(right, list(pairs.values())), keys, how, hot_rows)
+    return joined.drop(*keys)
 
 
 def outer_join_with_filters(
@@ -72,69 +93,39 @@ def cross_with_one_row(df: DataFrame, single: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(single))
 
 
-def theta_join(df: DataFrame, table: DataFrame, condition: Column, max_rows: int = 10_000) -> DataFrame:
-    """Join on any condition with a table proven small by a count. A larger one
-    is refused: without an equality each pair of rows would be compared."""
-    rows = table.count()
-    if rows > max_rows:
-        raise ValueError(f"theta join with {rows} rows on the small side (limit {max_rows})")
+def theta_join(df: DataFrame, table: DataFrame, condition: Column, max_rows: int = 10_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """Join on any condition with a table proven small by its rows and bytes. A
+    larger one is refused: without an equality each pair of rows would be
+    compared. Intervals have one: see ``interval_join``."""
+    if not fits_broadcast(table, max_rows, max_bytes):
+        raise ValueError(f"theta join with more than {max_rows} rows or {max_bytes} bytes on the small side")
     return df.join(F.broadcast(table), condition)
 
 
-# ---------------------------------------------------------------- bloom prefilter
-
+def interval_join(
+    df: DataFrame, value: str, intervals: DataFrame, low: str, high: str, width: float,
+    condition: Column | None = None, hot_rows: int | None = None,
+) -> DataFrame:
+    """Rows of ``df`` with the intervals that hold ``value``: low <= value < high,
+    or ``condition`` if given, which must lie within low <= value <= high.
 
-def _bit_positions(key: Column, bits: int) -> list[Column]:
-    """Double hashing: ``h1 + i * h2`` for the i-th bit."""
-    h1, h2 = F.xxhash64(key), F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1))
-    spread = [F.shiftright(h1, 1) + F.shiftright(h2, 8) * i for i in range(BLOOM_HASHES)]
-    return [F.pmod(s, F.lit(bits).cast("bigint")) for s in spread]
+    Both sides get a cell number, value divided by ``width``, and meet on it: an
+    interval has one copy per cell it touches, so neither side is bounded. A
+    width near the usual interval's length keeps copies and comparisons few.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(width))).cast("bigint")
+    wide = intervals.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    inside = (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)) if condition is None else condition
+    return skew_join(df.withColumn("_cell", cell(value)), wide, ["_cell"], "inner", hot_rows).where(inside).drop("_cell")
 
 
-def bloom_words(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """The filter as 64-bit words. Bits meet in a partial ``bit_or`` per word, so
-    at most ``bits / 64`` rows reach the driver."""
-    positions = keys.select(F.explode(F.array(*_bit_positions(F.col(column), bits))).alias("p"))
-    words = (
-        positions.groupBy(F.floor(F.col("p") / 64).alias("w"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("b"))
-        .toPandas()
-    )
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    return out
-
-
-def bloom_prefilter(big: DataFrame, keys: DataFrame, column: str, bits_per_key: int = 10) -> DataFrame:
-    """Drop most rows of ``big`` whose ``column`` is not in ``keys``; rows that
-    pass may still miss, so an exact join follows. Above the size limit for the
-    filter ``big`` comes back unchanged."""
-    n = keys.count()
-    bits = max(64, 1 << int(n * bits_per_key).bit_length())
-    if bits > MAX_BLOOM_BITS:
-        return big
-    words = big.sparkSession.sparkContext.broadcast(bloom_words(keys, column, bits))
-
-    @F.pandas_udf("boolean")
-    def member(*positions: pd.Series) -> pd.Series:
-        table, hit = words.value, None
-        for p in positions:
-            p = p.to_numpy()
-            on = (table[p >> 6] >> (p & 63)) & 1
-            hit = on if hit is None else hit & on
-        return pd.Series(hit.astype(bool))
-
-    # Marked nondeterministic so that Spark does not also apply it to the other join side.
-    hit = member.asNondeterministic()(*_bit_positions(F.col(column), bits))
-    return big.where(F.col(column).isNotNull()).where(hit)
-
-
-def bloom_semi_join(big: DataFrame, small: DataFrame, column: str, hot_rows: int | None = None) -> DataFrame:
-    """Semi join whose big side is thinned before the shuffle."""
-    keys = materialize(small.select(column).distinct(), "bloom_keys")  # read three times below
-    return skew_join(
-        bloom_prefilter(big, keys, column), keys, [column], "left_semi", hot_rows, probe_left=big.select(column)
-    )
+def semi_join(big: DataFrame, small: DataFrame, column: str, hot_rows: int | None = None) -> DataFrame:
+    """Rows of ``big`` whose ``column`` occurs in ``small``. Keys that are few, by
+    measure, are copied and nothing is shuffled; else hot keys are split, and
+    Spark's own runtime filter thins the big side where it pays."""
+    keys = small.select(column).distinct()
+    side = checked_broadcast(keys)
+    return skew_join(big, keys, [column], "left_semi", hot_rows) if side is keys else big.join(side, column, "left_semi")
 
 
 # ---------------------------------------------------------------- bucketed tables
@@ -152,8 +143,10 @@ def bucketed_join(
     """Write both sides bucketed by the join keys, then join without an exchange.
 
     ``save(label, df, (buckets, columns))`` stores a table and returns it. Rows
-    are brought together by bucket first, so a bucket is one file. If a key is hot, both sides are bucketed by key and salt, so a bucket never
-    holds all rows of that key (inner joins only).
+    are brought together by bucket first, so a bucket is one file. If a key is hot,
+    both sides of an inner join are bucketed by key and salt, so a bucket never
+    holds all rows of that key; for other joins the rows of hot keys are joined
+    apart, split, and the rest through the bucketed tables.
     """
     hot_l, hot_r = hot_keys(left, keys, hot_rows), hot_keys(right, keys, hot_rows)
     if not hot_l and not hot_r:
@@ -161,7 +154,13 @@ def bucketed_join(
         b = save("right", right.repartition(buckets, *keys), (buckets, keys))
         return a.join(b, keys, how)
     if how != "inner":
-        raise ValueError("hot keys in a bucketed join are supported for inner joins")
+        hot = _marks(left, keys, hot_l, hot_r).select(*keys)
+        part = lambda df, way: df.join(F.broadcast(hot), keys, way)  # noqa: E731  at most a key per task slot
+        a, b = part(left, "left_anti"), part(right, "left_anti")
+        a = save("left", a.repartition(buckets, *keys), (buckets, keys))
+        b = save("right", b.repartition(buckets, *keys), (buckets, keys))
+        split = skew_join(part(left, "left_semi"), part(right, "left_semi"), keys, how, hot_rows)
+        return a.join(b, keys, how).unionByName(split)
     marks, cols = _marks(left, keys, hot_l, hot_r), [*keys, LEFT_SALT, RIGHT_SALT]
     a = _spread(_marked(left, marks, keys), (LEFT_SALT, LEFT_WAYS), (RIGHT_SALT, RIGHT_WAYS))
     b = _spread(_marked(right, marks, keys), (RIGHT_SALT, RIGHT_WAYS), (LEFT_SALT, LEFT_WAYS))

@@ -24,13 +24,14 @@ def top_k(df: DataFrame, order: Order, k: int) -> DataFrame:
 
 
 def distribute_by(
-    df: DataFrame, keys: list[str], parts: int | None = None, hot_rows: int | None = None
+    df: DataFrame, keys: list[str], parts: int | None = None, spread: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
-    """DISTRIBUTE BY: rows of one key share a partition. A key too large for one
-    task is spread over as many partitions as it has pieces. Without ``parts``
-    the session's shuffle partitions apply and AQE merges small ones."""
+    """DISTRIBUTE BY: rows of one key share a partition, however many they are.
+    Only with ``spread`` a key too large for one task goes to as many partitions
+    as it has pieces. Without ``parts`` the session's shuffle partitions apply
+    and AQE merges small ones."""
     count = [parts] if parts else []
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows) if spread else []
     if not hot:
         return df.repartition(*count, *keys)
     marked = _marked(df, _marks(df, keys, hot, []), keys)
@@ -39,10 +40,10 @@ def distribute_by(
 
 
 def cluster_by(
-    df: DataFrame, keys: list[str], parts: int | None = None, hot_rows: int | None = None
+    df: DataFrame, keys: list[str], parts: int | None = None, spread: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
     """CLUSTER BY = DISTRIBUTE BY + SORT BY the same keys."""
-    return distribute_by(df, keys, parts, hot_rows).sortWithinPartitions(*keys)
+    return distribute_by(df, keys, parts, spread, hot_rows).sortWithinPartitions(*keys)
 
 
 def first_in_groups(df: DataFrame, groups: list[str], order: Order, k: int) -> DataFrame:

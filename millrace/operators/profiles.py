@@ -1,29 +1,12 @@
-"""Column profiles per block: sort order, step width and encoded sizes."""
+"""Column profiles per block: sort order, step width, runs and distinct values."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.windows import Order, near_rows
 
-# What one value of a type takes, in bytes; strings add a 4-byte length.
-WIDTHS = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
-    T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 12, T.TimestampNTZType: 12,
-}
-# Fixed limits of the encodings.
-MAX_DICTIONARY = 32766
-RUN_HEADER, DICTIONARY_HEADER, DICTIONARY_CODE, DELTA_BYTE, DELTA_REACH = 4, 4, 2, 1, 127
-BITS_PER_WORD, WORD_BYTES = 64, 8
-GOOD_RATIO = 0.8
-
-RUN_LENGTH_TYPES = (T.LongType, T.IntegerType, T.StringType, T.ShortType, T.ByteType, T.BooleanType)
-DICTIONARY_TYPES = (T.StringType, T.LongType, T.IntegerType)
-DELTA_TYPES = (T.IntegerType, T.LongType)
-
-
 def order_profile(
     df: DataFrame, block: list[str], order: Order, column: str, hot_rows: int | None = None
 ) -> DataFrame:
@@ -41,77 +24,13 @@ def order_profile(
     )
 
 
-def value_bytes(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return (F.octet_length(column) + 4).cast("bigint")
-    if type(kind) not in WIDTHS:
-        raise ValueError(f"no profile for {column}: {kind.simpleString()}")
-    return F.lit(WIDTHS[type(kind)]).cast("bigint")
-
-
-def encoding_advice(
+def column_runs(
     df: DataFrame, block: list[str], order: Order, columns: list[str], hot_rows: int | None = None
 ) -> DataFrame:
-    """Per block and column: plain size, size under each encoding that fits the
-    type (NULL where it does not) and the smallest one if it saves enough.
-
-    Columns: the block, ``column_name``, ``n_values``, ``n_runs``, ``n_distinct``,
-    ``plain``, ``run_length``, ``dictionary``, ``delta``, ``bitset``, ``advice``.
-    NULLs are stored apart and take no part. All columns share one window and
-    one shuffle: each row is turned into one row per column first.
-    """
-    kinds = {c: type(df.schema[c].dataType) for c in columns}
-    place = [(f"_o{i}", d) for i, (_, d) in enumerate(order)]
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(c).cast("string").alias("_v"),
-            (F.col(c) if kinds[c] in DELTA_TYPES else F.lit(None)).cast("bigint").alias("_num"),
-            value_bytes(df, c).alias("_bytes"),
-        )
-        for c in columns
-    ]
-    values = df.select(
-        *block, *[F.col(c).alias(o) for (c, _), (o, _) in zip(order, place)], F.inline(F.array(*cells))
-    ).where(F.col("_v").isNotNull())
-    group = [*block, "column_name"]
-    marked = near_rows(
-        values, group, place, 1, 0,
-        {"_before": lambda w: F.lag("_v").over(w), "_before_num": lambda w: F.lag("_num").over(w)}, hot_rows,
-    )
-    starts = F.col("_before").isNull() | (F.col("_before") != F.col("_v"))
-    far = F.col("_before_num").isNull() | (F.abs(F.col("_num") - F.col("_before_num")) > DELTA_REACH)
-    runs = marked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.sum("_bytes").alias("plain"),
-        F.count_if(starts).alias("n_runs"),
-        F.sum(F.when(starts, F.col("_bytes") + RUN_HEADER)).alias("_rle"),
-        F.sum(F.when(far, F.col("_bytes") + DELTA_BYTE).otherwise(F.lit(DELTA_BYTE))).alias("_delta"),
-    )
-    distinct = (
-        values.groupBy(*group, "_v").agg(F.max("_bytes").alias("_b"))
-        .groupBy(*group).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("_b").alias("_dict_bytes"))
-    )
-
-    def size(types: tuple, col: Column) -> Column:
-        fit = [c for c in columns if kinds[c] in types]
-        return F.when(F.col("column_name").isin(fit), col).cast("bigint") if fit else F.lit(None).cast("bigint")
-
-    dictionary = F.when(
-        F.col("n_distinct") <= MAX_DICTIONARY,
-        F.col("_dict_bytes") + DICTIONARY_HEADER + F.col("n_values") * DICTIONARY_CODE,
-    )
-    bitset = F.ceil(F.col("plain") / BITS_PER_WORD) * WORD_BYTES + RUN_HEADER
-    sized = runs.join(distinct, group).select(
-        *group, "n_values", "n_runs", "n_distinct", "plain",
-        size(RUN_LENGTH_TYPES, F.col("_rle")).alias("run_length"),
-        size(DICTIONARY_TYPES, dictionary).alias("dictionary"),
-        size(DELTA_TYPES, F.col("_delta")).alias("delta"),
-        size((T.BooleanType,), bitset).alias("bitset"),
-    )
-    best = F.least("run_length", "dictionary", "delta", "bitset")
-    advice = F.lit("none")
-    for name in ("bitset", "delta", "dictionary", "run_length"):
-        advice = F.when(F.col(name) == best, F.lit(name)).otherwise(advice)
-    return sized.withColumn("advice", F.when(best < F.col("plain") * GOOD_RATIO, advice).otherwise(F.lit("none")))
+    """Per block and column: values, runs of equal neighbours in the order, and
+    distinct values. NULLs are left out. All columns share one window."""
+    marked = near_rows(df, block, order, 1, 0, {f"_p_{c}": (lambda w, c=c: F.lag(c).over(w)) for c in columns}, hot_rows)
+    starts = lambda c: F.col(c).isNotNull() & (F.col(f"_p_{c}").isNull() | (F.col(f"_p_{c}") != F.col(c)))
+    counts = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_values"), F.count_if(starts(c)).alias("n_runs"),
+                       F.count_distinct(c).alias("n_distinct")).alias(c) for c in columns]
+    return marked.groupBy(*block).agg(*counts).select(*block, F.inline(F.array(*columns)))

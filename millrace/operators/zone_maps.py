@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,4 +199,6 @@ def scan_kept_files(spark: SparkSession, path: str, zones: DataFrame, predicate:
         return whole.where(predicate.exact())
     if not kept:
         return whole.where(F.lit(False))
-    return spark.read.schema(whole.schema).parquet(*[r[BLOCK] for r in kept]).where(predicate.exact())
+    # The names are URLs; basePath keeps the partition columns, as in a scan of the whole directory.
+    names = [unquote(r[BLOCK]) for r in kept]
+    return spark.read.schema(whole.schema).option("basePath", path).parquet(*names).where(predicate.exact())

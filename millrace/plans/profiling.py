@@ -95,36 +95,14 @@ def column_order_profile(spark, sf):
     return parts[0].union(parts[1])
 
 
-def _advice_sql(column, kind, size):
-    delta = (
-        "sum(CASE WHEN p IS NULL OR abs(v - p) > 127 THEN b + 1 ELSE 1 END)" if kind in ("long", "int") else "NULL"
-    )
-    dictionary = "CASE WHEN count(DISTINCT v) <= 32766 THEN 4 + 2 * count(*) + max(db) END" if kind != "boolean" else "NULL"
-    bitset = "CAST(ceil(sum(b) / 64.0) AS BIGINT) * 8 + 4" if kind == "boolean" else "NULL"
-    return f"""SELECT block, '{column}' AS column_name, count(*) AS n_values,
-        count(CASE WHEN p IS NULL OR p <> v THEN 1 END) AS n_runs, count(DISTINCT v) AS n_distinct,
-        CAST(sum(b) AS BIGINT) AS plain, CAST(sum(CASE WHEN p IS NULL OR p <> v THEN b + 4 END) AS BIGINT) AS run_length,
-        CAST({dictionary} AS BIGINT) AS dictionary, CAST({delta} AS BIGINT) AS delta, CAST({bitset} AS BIGINT) AS bitset
-        FROM (SELECT s.*, d.db FROM
-                (SELECT *, lag(v) OVER (PARTITION BY block ORDER BY o_orderkey) AS p FROM
-                   (SELECT o_orderkey // 1000 AS block, o_orderkey, {column} AS v, {size} AS b
-                    FROM (SELECT *, o_totalprice > 400000 AS big FROM orders) o) r) s
-              JOIN (SELECT block, sum(b) AS db FROM
-                      (SELECT DISTINCT o_orderkey // 1000 AS block, {column} AS v, {size} AS b
-                       FROM (SELECT *, o_totalprice > 400000 AS big FROM orders) o) r GROUP BY block) d
-                ON s.block = d.block) t
-        GROUP BY block"""
-
-
-ADVISED = [("o_orderkey", "long", "8"), ("o_custkey", "long", "8"), ("o_orderstatus", "string", "length(o_orderstatus) + 4"),
-           ("o_orderpriority", "string", "length(o_orderpriority) + 4"), ("big", "boolean", "1")]
-
-
-@query("encoding_advice", "SELECT *, CASE WHEN least(run_length, dictionary, delta, bitset) < plain * 0.8 THEN CASE "
-       "least(run_length, dictionary, delta, bitset) WHEN run_length THEN 'run_length' WHEN dictionary THEN 'dictionary' "
-       "WHEN delta THEN 'delta' ELSE 'bitset' END ELSE 'none' END AS advice FROM ("
-       + " UNION ALL ".join(_advice_sql(*a) for a in ADVISED) + ") t")
-def encoding_advice(spark, sf):
-    big = (F.col("o_totalprice") > 400000).alias("big")
-    o = _order_blocks(spark, sf, "o_custkey", "o_orderstatus", "o_orderpriority", big)
-    return profiles.encoding_advice(o, ["block"], BY_KEY, [a[0] for a in ADVISED])
+RUNS = [("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus")]
+
+
+@query("column_runs", " UNION ALL ".join(f"""
+    SELECT '{c}' AS column_name, block, count(*) AS n_values, count(CASE WHEN p IS NULL OR p <> v THEN 1 END) AS n_runs,
+           count(DISTINCT v) AS n_distinct
+    FROM (SELECT o_orderkey // 1000 AS block, {c} AS v, lag({c}) OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS p
+          FROM orders) t GROUP BY block""" for c, _ in RUNS))
+def column_runs(spark, sf):
+    o = _order_blocks(spark, sf, "o_custkey", "o_orderstatus")
+    return profiles.column_runs(o, ["block"], BY_KEY, [c for c, _ in RUNS])

@@ -95,21 +95,22 @@ def udaf_grouped(spark, sf):
 
 
 @table_function("v bigint")
-def shift_and_cap(rows: DataFrame, n: int) -> DataFrame:
-    """Keys moved up by ``n``, kept below a fixed cap."""
+def shift_and_cap(rows: DataFrame, n: int, cap: int) -> DataFrame:
+    """Keys moved up by ``n``, kept below ``cap``."""
     key = F.col(rows.columns[0]) + n
-    return rows.select(key.alias("v")).where("v < 1000")
+    return rows.select(key.alias("v")).where(F.col("v") < cap)
 
 
 @table_function()
-def shift_any(spark: SparkSession, rows: DataFrame, n: int) -> tuple[DataFrame, str]:
+def shift_any(spark: SparkSession, rows: DataFrame, n: int, cap: int) -> tuple[DataFrame, str]:
     """As above; the result's column name and type follow the input's."""
     first = rows.schema.fields[0]
     moved = spark.sql("SELECT x + :n AS v FROM {rows}", args={"n": n}, rows=rows.select(F.col(first.name).alias("x")))
-    return moved.where("v < 1000"), f"shifted_{first.name} {first.dataType.simpleString()}"
+    return moved.where(F.col("v") < cap), f"shifted_{first.name} {first.dataType.simpleString()}"
 
 
-SHIFTED = "SELECT o_custkey + 15 AS {name} FROM orders WHERE o_custkey + 15 < 1000"
+CAP = 10**12  # above every key: the whole table goes through
+SHIFTED = f"SELECT o_custkey + 15 AS {{name}} FROM orders WHERE o_custkey + 15 < {CAP}"
 
 
 def _with_view(spark, sf, run):
@@ -126,19 +127,19 @@ def _with_view(spark, sf, run):
 
 @query("tgf_static_schema", SHIFTED.format(name="v"))
 def tgf_static_schema(spark, sf):
-    return _with_view(spark, sf, lambda wh, view: wh.generate("shift_and_cap", view, 15))
+    return _with_view(spark, sf, lambda wh, view: wh.generate("shift_and_cap", view, 15, CAP))
 
 
 @query("tgf_dynamic_schema", SHIFTED.format(name="shifted_o_custkey"))
 def tgf_dynamic_schema(spark, sf):
-    return _with_view(spark, sf, lambda wh, view: wh.sql_df(f"generate shift_any({view}, 15)"))
+    return _with_view(spark, sf, lambda wh, view: wh.sql_df(f"generate shift_any({view}, 15, {CAP})"))
 
 
 @query("tgf_save_as", "SELECT v, count(*) AS n FROM (" + SHIFTED.format(name="v") + ") t GROUP BY v")
 def tgf_save_as(spark, sf):
     def run(wh, view):
         with temporary_database(spark) as db:
-            wh.generate("shift_and_cap", view, 15, as_table=f"{db}.shifted")
+            wh.generate("shift_and_cap", view, 15, CAP, as_table=f"{db}.shifted")
             return materialize(spark.table(f"{db}.shifted").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
 
     return _with_view(spark, sf, run)

@@ -1,7 +1,5 @@
 """Window and partition-function queries."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import epoch_micros
@@ -53,9 +51,9 @@ def win_rows_frame(spark, sf):
     o = _orders(spark, sf)
     hot = hot_keys(o, ["o_custkey"])
     out = W.running(o, ["o_custkey"], BY_DATE, {"upto": ("sum", "o_totalprice")}, hot=hot)
+    out = W.running(out, ["o_custkey"], W.backwards(BY_DATE), {"onward": ("sum", "o_totalprice")}, hot=hot)
     out = W.over_partition(out, ["o_custkey"], {"whole": F.sum("o_totalprice")}, hot)
-    onward = F.col("whole") - F.col("upto") + F.col("o_totalprice")
-    return out.select("o_orderkey", F.round("upto", 2).alias("upto"), F.round(onward, 2).alias("onward"),
+    return out.select("o_orderkey", F.round("upto", 2).alias("upto"), F.round("onward", 2).alias("onward"),
                       F.round("whole", 2).alias("whole"))
 
 
@@ -195,13 +193,7 @@ def ptf_chain(spark, sf):
 
 @query("ptf_map_side", CHAIN_SQL.format(extra=", CAST(props->>'k' AS BIGINT) AS k"))
 def ptf_map_side(spark, sf):
-    def parse_props(batches):
-        for pdf in batches:
-            yield pdf.assign(k=pdf.pop("props").map(lambda s: json.loads(s)["k"]))
-
-    e = _events(spark, sf, "props").withColumn("us", epoch_micros(F.col("ts"))).select(
-        "event_id", "user_id", "ts", "us", "props"
-    )
-    raw = e.mapInPandas(parse_props, "event_id bigint, user_id bigint, ts timestamp_ntz, us bigint, k bigint")
+    e = _events(spark, sf, "props").withColumn("us", epoch_micros(F.col("ts")))
+    raw = e.select("event_id", "user_id", "ts", "us", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     chained = W.partition_functions(raw, ["user_id"], BY_TIME, gap_to_previous, above_mean_gap)
     return chained.select("event_id", "user_id", "gap", "k")

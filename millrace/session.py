@@ -19,7 +19,9 @@ from millrace.operators.table_functions import TableFunction, TableFunctions
 from millrace.sources.sinks import load_data
 
 # Statements Spark SQL does not know.
-GENERATE = re.compile(r"\s*generate\s+([\w.]+)\s*\((.*?)\)\s*(?:as\s+(\w+))?\s*;?\s*", re.IGNORECASE | re.DOTALL)
+GENERATE = re.compile(r"\s*generate\s+([\w.]+)\s*\((.*)\)\s*(?:as\s+(\w+))?\s*;?\s*", re.IGNORECASE | re.DOTALL)
+# One argument: a quoted text, with any commas and brackets, or a bare word.
+ARGUMENT = re.compile(r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|([^,'"]*?))\s*(?:,|$)""", re.DOTALL)
 CACHE = re.compile(r"\s*(cache|uncache)\s+(?!table\b)([\w.]+)\s*;?\s*", re.IGNORECASE)
 LOAD = re.compile(
     r"\s*load\s+data\s+(?:local\s+)?inpath\s+['\"](.+?)['\"]\s+(overwrite\s+)?into\s+table\s+([\w.]+)"
@@ -33,6 +35,23 @@ DDL = re.compile(
 )
 
 
+def generate_arguments(text: str) -> list[str]:
+    """The arguments of a GENERATE statement; quotes keep commas and brackets."""
+    args, at = [], 0
+    while text.strip() and at <= len(text):
+        m = ARGUMENT.match(text, at)
+        if not m:
+            raise QueryError(f"cannot read the arguments {text!r}")
+        quoted = m.group(1) if m.group(1) is not None else m.group(2)
+        args.append(m.group(3).strip() if quoted is None else re.sub(r"\\(.)", r"\1", quoted, flags=re.DOTALL))
+        if m.end() == len(text) and not text[at:].rstrip().endswith(","):
+            break
+        at = m.end()
+        if at == len(text):
+            break
+    return args
+
+
 @dataclass(frozen=True)
 class Options:
     max_rows: int = 1000  # rows handed to the driver by sql() and run_sql()
@@ -74,7 +93,7 @@ class Warehouse:
         try:
             m = GENERATE.fullmatch(command)
             if m:
-                args = [a.strip().strip("'\"") for a in m.group(2).split(",")] if m.group(2).strip() else []
+                args = generate_arguments(m.group(2))
                 return self.generate(m.group(1), *args, as_table=m.group(3))
             m = CACHE.fullmatch(command)
             if m:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +43,34 @@ def compact_files(spark: SparkSession, source: str, target: str, file_bytes: int
     """Rewrite a directory of small files into files of about ``file_bytes``.
 
     The reader already packs small files into even splits, so neighbouring
-    splits are merged without a shuffle. Returns the number of files aimed at.
+    splits are merged without a shuffle. A directory of partitions keeps them:
+    the rows of each are brought together first. Returns the number of files
+    aimed at, over all partitions.
     """
-    total = file_sizes(spark, source).agg(F.sum("length")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    scan(spark, source).coalesce(files).write.mode("errorifexists").parquet(target)
+    sizes = file_sizes(spark, source).agg(F.sum("length").alias("total"), F.first("path").alias("path")).first()
+    files = max(1, -(-(sizes["total"] or 0) // file_bytes))
+    parts = partition_names(source, sizes["path"] or "")
+    if not parts:
+        scan(spark, source).coalesce(files).write.mode("errorifexists").parquet(target)
+        return files
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")  # directory names stay as they are
+    try:
+        rows = scan(spark, source)
+        gathered = rows.hint("rebalance", *[F.col(f"`{c}`") for c in parts])
+        gathered.write.mode("errorifexists").partitionBy(*parts).parquet(target)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return files
 
 
+def partition_names(directory: str, file: str) -> list[str]:
+    """The partition columns that the path of a file below ``directory`` names."""
+    below = urlparse(file).path.removeprefix(urlparse(directory).path.rstrip("/"))
+    return [part.partition("=")[0] for part in below.split("/")[:-1] if "=" in part]
+
+
 def export_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Data and schema under one directory."""
     writer = df.write.mode("errorifexists")

@@ -45,10 +45,11 @@ def file_listing(spark: SparkSession, source: str) -> DataFrame:
 def read_unseen(
     spark: SparkSession, source: str, schema: T.StructType, seen: DataFrame, format: str = "parquet"
 ) -> DataFrame:
-    """Batch form: read only files that are not in the ``seen`` listing. File
-    names pass through the driver, as in any file scan; rows do not."""
+    """Batch form: read only files that are not in the ``seen`` listing; partition
+    columns come from the directories. File names pass through the driver, as in
+    any file scan; rows do not."""
     new = file_listing(spark, source).join(seen.select("file").distinct(), "file", "left_anti")
     files = [r["file"] for r in new.toLocalIterator()]
     if not files:
         return spark.createDataFrame([], schema)
-    return spark.read.format(format).schema(schema).load(files)
+    return spark.read.format(format).schema(schema).option("basePath", source).load(files)

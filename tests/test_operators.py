@@ -44,7 +44,9 @@ def test_cluster_by_keeps_keys_together_and_sorted(kv):
 
 def test_hot_key_is_spread(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), "id").repartition(4)
-    out = ordering.distribute_by(df, ["k"], 8, hot_rows=200).withColumn("p", F.spark_partition_id())
+    whole = ordering.distribute_by(df, ["k"], 8, hot_rows=200).withColumn("p", F.spark_partition_id())
+    assert whole.where("k = 1").select("p").distinct().count() == 1  # unless told otherwise
+    out = ordering.distribute_by(df, ["k"], 8, spread=True, hot_rows=200).withColumn("p", F.spark_partition_id())
     assert out.where("k = 1").select("p").distinct().count() > 4
     assert out.columns[:-1] == df.columns and rows(out.drop("p")) == rows(df)
 
@@ -227,17 +229,44 @@ def test_theta_join_is_bounded(spark, kv):
         joins.theta_join(kv, kv.select(F.col("key").alias("o")), F.col("key") < F.col("o"), max_rows=100)
 
 
-def test_bloom_filter(spark):
+@pytest.mark.parametrize("hot", [None, 20])
+def test_interval_join_has_no_row_cap(spark, kv, hot):
+    spans = spark.createDataFrame([(float(i), i - 3.0, i + 4.5) for i in range(-10, 520)], "mid double, lo double, hi double")
+    got = joins.interval_join(kv, "key", spans, "lo", "hi", 8.0, hot_rows=hot)
+    want = kv.join(F.broadcast(spans), (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+def test_semi_join(spark):
     members = spark.range(0, 4000, 2).select(F.col("id").alias("k"))
-    words = joins.bloom_words(members, "k", 1 << 15)
-    assert words.dtype == np.int64 and 0 < sum(bin(int(w) & (2**64 - 1)).count("1") for w in words) < (1 << 15)
     probe = spark.range(40000).select(F.col("id").alias("k")).union(spark.createDataFrame([(None,)], "k bigint"))
-    passed = joins.bloom_prefilter(probe, members, "k")
-    ids = {r["k"] for r in passed.collect()}
-    assert set(range(0, 4000, 2)) <= ids and None not in ids
-    assert len(ids) - 2000 < 0.05 * 38000  # false positives stay few
-    assert joins.bloom_prefilter(probe, members.limit(0), "k").count() == 0
-    assert rows(joins.bloom_semi_join(probe, members, "k")) == [(k,) for k in range(0, 4000, 2)]
+    assert rows(joins.semi_join(probe, members.union(members), "k")) == [(k,) for k in range(0, 4000, 2)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_null_safe_join_splits_null(spark, how):
+    a = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("x"), F.col("id").alias("a"))
+    b = spark.range(40).select(F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("y"), F.col("id").alias("b"))
+    want = a.join(b, a.x.eqNullSafe(b.y), how)
+    for hot in (None, 10):
+        got = joins.null_safe_join(a, b, {"x": "y"}, how, hot)
+        assert got.columns == want.columns and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full", "left_semi", "left_anti"])
+def test_bucketed_outer_joins_with_hot_keys(spark, how):
+    left = spark.range(600).select(F.when(F.col("id") < 300, 5).when(F.col("id") > 590, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(0, 900, 3).select(F.when(F.col("id") < 100, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+
+    def save(label, df, buckets):
+        name = f"bucketed_outer_{label}"
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        df.write.bucketBy(buckets[0], *buckets[1]).sortBy(*buckets[1]).saveAsTable(name)
+        return spark.table(name)
+
+    got = joins.bucketed_join(left, right, ["k"], 4, save, how, hot_rows=30)
+    want = left.join(right, "k", how)
+    assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
 
 
 @pytest.mark.parametrize("hot", [None, 50])

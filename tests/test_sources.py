@@ -1,4 +1,5 @@
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,25 @@ def test_compaction(spark, kv, tmp_path):
     assert rows(spark.read.parquet(large)) == rows(kv)
 
 
+def test_compaction_keeps_partitions(spark, kv, tmp_path):
+    small, large = str(tmp_path / "s"), str(tmp_path / "l")
+    parts = kv.withColumn("p", F.format_string("0%d a", F.col("key") % 3))
+    parts.repartition(9).write.partitionBy("p").parquet(small)
+    sinks.compact_files(spark, small, large)
+    assert len(data_files(large)) == 3 < len(data_files(small))
+    folders = lambda d: sorted(x.name for x in pathlib.Path(d).iterdir() if x.is_dir())
+    assert folders(large) == folders(small) and rows(spark.read.parquet(large)) == rows(parts)
+
+
+def test_unseen_files_of_a_partitioned_directory(spark, kv, tmp_path):
+    path = str(tmp_path / "in")
+    parts = kv.withColumn("p", F.concat(F.lit("a "), F.col("key") % 2))
+    parts.where("key < 100").write.partitionBy("p").parquet(path)
+    seen = spark.createDataFrame(incremental.file_listing(spark, path).collect(), "file string")
+    parts.where("key >= 100").write.mode("append").partitionBy("p").parquet(path)
+    assert rows(incremental.read_unseen(spark, path, parts.schema, seen)) == rows(parts.where("key >= 100"))
+
+
 def test_export_import(spark, kv, tmp_path):
     path = str(tmp_path / "x")
     source = kv.withColumn("p", F.col("key") % 3)

@@ -84,27 +84,23 @@ def test_order_profile(spark):
         assert got == {"up": ("ascending", 8), "down": ("descending", 7), "mix": ("unordered", None), "one": ("ascending", 0)}
 
 
-def brute_sizes(values, width):
-    runs = [v for i, v in enumerate(values) if i == 0 or values[i - 1] != v]
-    rle = sum(width(v) + 4 for v in runs)
-    dictionary = 4 + sum(width(v) for v in set(values)) + 2 * len(values)
-    return len(runs), len(set(values)), sum(map(width, values)), rle, dictionary
-
-
 @pytest.mark.parametrize("hot", [None, 40])
-def test_encoding_advice(spark, hot):
+def test_column_runs(spark, hot):
     n = 400
-    ints = [i // 50 for i in range(n)]
-    steps = [i * 3 + (1000 if i % 100 == 0 else 0) for i in range(n)]
-    words = [f"w{i % 5}" if i % 9 else None for i in range(n)]
-    flags = [i % 3 == 0 for i in range(n)]
-    df = spark.createDataFrame(list(zip(range(n), ints, steps, words, flags)), "t int, i int, st bigint, w string, f boolean").withColumn("g", F.lit(1))
-    out = {r["column_name"]: r for r in profiles.encoding_advice(df, ["g"], [("t", "asc")], ["i", "st", "w", "f"], hot).collect()}
-    fields = lambda c: tuple(out[c][x] for x in ("n_runs", "n_distinct", "plain", "run_length", "dictionary"))
-    assert fields("i") == brute_sizes(ints, lambda v: 4)
-    assert fields("st") == brute_sizes(steps, lambda v: 8)
-    assert fields("w") == brute_sizes([w for w in words if w], lambda v: len(v) + 4)
-    far = sum(1 for i in range(n) if i == 0 or abs(steps[i] - steps[i - 1]) > 127)
-    assert out["st"]["delta"] == far * 9 + (n - far)
-    assert out["f"]["bitset"] == -(-n // 64) * 8 + 4 and out["f"]["dictionary"] is None
-    assert {c: out[c]["advice"] for c in out} == {"i": "run_length", "st": "delta", "w": "dictionary", "f": "bitset"}
+    ints, words = [i // 50 for i in range(n)], [f"w{i % 5}" if i % 9 else None for i in range(n)]
+    df = spark.createDataFrame(list(zip(range(n), ints, words)), "t int, i int, w string").withColumn("g", F.lit(1))
+    got = {r["column_name"]: tuple(r)[2:] for r in profiles.column_runs(df, ["g"], [("t", "asc")], ["i", "w"], hot).collect()}
+    runs = sum(w is not None and (i == 0 or words[i - 1] != w) for i, w in enumerate(words))
+    assert got == {"i": (400, 8, 8), "w": (sum(w is not None for w in words), runs, 5)}
+
+
+def test_kept_files_of_a_partitioned_table(spark, tmp_path):
+    """Partition columns come back, also for values that paths must escape."""
+    path = str(tmp_path / "parts")
+    df = spark.range(200).select("id", F.concat(F.lit("a b"), F.floor(F.col("id") / 50), F.lit(":x%")).alias("g"))
+    df.write.partitionBy("g").parquet(path)
+    zones = Z.file_zone_map(spark, path, ["id"])
+    predicate = Z.Between("id", 60, 120) & Z.Other("g <> 'a b2:x%'")
+    got = Z.scan_kept_files(spark, path, zones, predicate)
+    assert sorted((r.id, r.g) for r in got.collect()) == [(i, "a b1:x%") for i in range(60, 100)]
+    assert len(got.inputFiles()) < len(spark.read.parquet(path).inputFiles())
