@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, rows_with, stored, text_of
+from millrace.llm.common import SPACES, ascii_lower, rows_with, small_batches, stored, text_of
 from millrace.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-BLOCK = 2_000_000  # shingles of a block of documents
-OWNER_BYTES = 16_000_000  # bytes of text for each owner of hashes
-PART = 1_000_000  # shingles that one task joins; larger parts are tiled
-CHUNK = 4_000_000  # bytes of text hashed at a time
+BLOCK = 1_000_000  # shingles of a block of documents
+OWNER_BYTES = 8_000_000  # bytes of text for each owner of hashes
+PART = 500_000  # shingles that one task joins; larger parts are tiled
+CHUNK = 1_000_000  # bytes of text hashed at a time
 SHORT = 40  # leading bits of a shingle by which its frequency is counted
 
 _P, _MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -279,7 +279,8 @@ def screened(docs: DataFrame, words: int, percent: int, block: int, owner_bytes:
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     owners = max(16, -(-size // owner_bytes))
     width = min(63, max(32, (size // 4).bit_length() + 6))
-    sent = stored(docs.mapInArrow(_send_blocks(words, width, owners, block, percent, prefix), BLOCKS_SQL), "shingles")
+    with small_batches(docs.sparkSession):
+        sent = stored(docs.mapInArrow(_send_blocks(words, width, owners, block, percent, prefix), BLOCKS_SQL), "shingles")
     lists = sent.where("owner >= 0")
     answers = lists.select("sender", "block", "owner", "codes", "twice").groupBy("owner").applyInPandas(
         _again, "sender int, block int, owner int, bits binary"
@@ -540,7 +541,8 @@ def similar_documents(
 def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int, part: int) -> DataFrame:
     """Steps 2 to 5 for (id, text, copies) rows with different word sequences:
     (id, root, links, first) of those that have a candidate, once each."""
-    sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
+    with small_batches(texts.sparkSession):
+        sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
     size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
     owners = max(16, -(-size // owner_bytes))
     sent = sets.select("sender", "block", "tokens").mapInPandas(
