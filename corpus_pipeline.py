@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from millrace.llm.common import rows_with, stored, text_of
+from millrace.llm.common import rows_with, small_batches, stored, text_of
 from millrace.plans.registry import table
 
 
@@ -19,9 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7 stay. The model learns from this stage's
     own documents and the table ``labels``; of repeated rows all stay or go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    # The row travels as one column, so that its names cannot clash with the features'.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of().alias("text"))
-    return model.score(rows).where("score < 0.7").select("_row.*")
+    # A row is known by its id and its text: ids may repeat.
+    key = F.xxhash64("doc_id", text_of())
+    with small_batches(spark):
+        scored = model.score(docs.select(key.alias("_key"), text_of().alias("text")))
+        toxic = stored(scored.where("score >= 0.7").select("_key").distinct(), "toxic")
+    return rows_with(docs.withColumn("_key", key), toxic, ["_key"], "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
