@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -39,6 +40,22 @@ def gather(df: DataFrame, partition_columns: list[str]) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in partition_columns])
 
 
+@dataclass(frozen=True)
+class Insert:
+    """One target of a multi-insert: SQL expressions over the source's columns."""
+
+    where: str = "true"
+    columns: tuple[str, ...] = ("*",)
+    group_by: tuple[str, ...] = ()
+    overwrite: bool = False
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        chosen = df.where(self.where)
+        if self.group_by:
+            return chosen.groupBy(*[F.expr(g) for g in self.group_by]).agg(*[F.expr(c) for c in self.columns])
+        return chosen.selectExpr(*self.columns)
+
+
 class TableCatalog:
     """Create, fill, cache and drop tables. MEMORY tables write through to their
     files; the cache and the files always agree. MEMORY_ONLY differs in its
@@ -215,16 +232,17 @@ class TableCatalog:
             self.spark.catalog.uncacheTable(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def multi_insert(self, df: DataFrame, targets: dict[str, str]) -> None:
-        """``FROM src INSERT ... INSERT ...`` into uncached tables."""
+    def multi_insert(self, df: DataFrame, targets: dict[str, str | Insert]) -> None:
+        """``FROM src INSERT ... INSERT ...`` into uncached tables. Each target
+        has its own condition, columns and groups, and is written directly from
+        its own pruned scan: no copy of the source is staged."""
         for name in targets:
             if self.mode(name) != NONE:
                 raise CatalogError(f"{name} is cached; insert into it on its own")
-        from millrace.sources.sinks import split_write
-
-        parts = split_write(df, targets, new_dir(self.spark, "multi"))
-        for name, part in parts.items():
-            self.insert(name, part)
+        for name, target in targets.items():
+            part = target if isinstance(target, Insert) else Insert(target)
+            rows = part.rows(df)
+            self.overwrite(name, rows) if part.overwrite else self.insert(name, rows)
 
 
 @contextmanager

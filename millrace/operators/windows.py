@@ -363,35 +363,22 @@ def near_values(
     """RANGE frames: rows whose numeric ``value`` lies between ``preceding``
     below and ``following`` above the current one.
 
-    Hot keys are cut into blocks of equal value width, at least as wide as the
-    frame; rows within reach of a border are copied into the neighbour.
+    Hot keys are cut at sampled quantiles of the value, so blocks hold about as
+    many rows however the values lie; a row is copied into every block with a
+    row that looks at it.
     """
     hot = hot_keys(df, keys, hot_rows)
     if not hot:
         w = Window.partitionBy(*keys).orderBy(value).rangeBetween(-preceding, following)
         return df.select("*", *[e(w).alias(n) for n, e in exprs.items()])
-    table = _hot_table(df, keys, hot)
-    reach = max(preceding, following, 1)
-    widths = (
-        lookup(df, F.broadcast(table), keys, "inner")
-        .groupBy(*keys, "_pieces")
-        .agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .withColumn(
-            "_width", F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")), F.lit(reach))
-        )
-        .select(*keys, "_lo", "_width")
-    )
-    marked = lookup(df, F.broadcast(widths), keys)
-    own = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.col("_width")), F.lit(0))
-    start = F.col("_lo") + F.col(HOME) * F.col("_width")
-    blocks = F.array_compact(
-        F.array(
-            F.col(HOME),
-            F.when(F.col(value) >= start + F.col("_width") - preceding, F.col(HOME) + 1),
-            F.when(F.col(value) <= start + following, F.col(HOME) - 1),
-        )
-    )
-    copies = marked.withColumn(HOME, own).withColumn(BLOCK, F.explode(blocks))
+    marked = _cut(df, keys, [(value, "asc")], hot)
+
+    def block_of(x: Column) -> Column:
+        passed = F.size(F.filter(F.col(CUTS), lambda c: c[value] <= x))
+        return F.when(F.col(CUTS).isNull() | x.isNull(), F.col(PIECE)).otherwise(passed)
+
+    first, last = block_of(F.col(value) - following), block_of(F.col(value) + preceding)
+    copies = marked.withColumn(HOME, F.col(PIECE)).withColumn(BLOCK, F.explode(F.sequence(first, last)))
     w = Window.partitionBy(*keys, BLOCK).orderBy(value).rangeBetween(-preceding, following)
     return (
         copies.select("*", *[e(w).alias(n) for n, e in exprs.items()])

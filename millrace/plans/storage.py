@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.catalog.tables import MEMORY, TableCatalog, temporary_database
+from millrace.catalog.tables import Insert, MEMORY, TableCatalog, temporary_database
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize, new_dir
 from millrace.sources import scans, sinks, text_formats
@@ -190,12 +190,38 @@ def insert_dynamic_partition(spark, sf):
 def multi_insert(spark, sf):
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
     targets = {"returned": "l_returnflag = 'R'", "accepted": "l_returnflag = 'A'", "large": "l_quantity >= 40"}
-    parts = sinks.split_write(l, targets, new_dir(spark, "multi"))
-    tagged = [
-        df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")).select(F.lit(name).alias("tgt"), "n", "qty")
-        for name, df in parts.items()
-    ]
-    return tagged[0].union(tagged[1]).union(tagged[2])
+    with temporary_database(spark) as db:
+        catalog = TableCatalog(spark)
+        for name in targets:
+            catalog.create(f"{db}.{name}", l.limit(0))
+        catalog.multi_insert(l, {f"{db}.{name}": where for name, where in targets.items()})
+        tagged = [
+            spark.table(f"{db}.{name}").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+            .select(F.lit(name).alias("tgt"), "n", "qty")
+            for name in targets
+        ]
+        return materialize(tagged[0].union(tagged[1]).union(tagged[2]))
+
+
+@query("multi_insert_aggregates", """
+    SELECT 'by_flag' AS tgt, l_returnflag AS k, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'by_year', CAST(year(l_shipdate) AS VARCHAR), count(*), round(max(l_quantity), 2) FROM lineitem
+              WHERE l_quantity > 10 GROUP BY 2
+    UNION ALL SELECT 'plain', l_linestatus, 1, l_quantity FROM lineitem WHERE l_quantity >= 49""")
+def multi_insert_aggregates(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    with temporary_database(spark) as db:
+        catalog = TableCatalog(spark)
+        names = ("by_flag", "by_year", "plain")
+        for name in names:
+            spark.sql(f"CREATE TABLE {db}.{name} (k STRING, n BIGINT, qty DOUBLE) USING parquet")
+        catalog.multi_insert(l, {
+            f"{db}.by_flag": Insert(columns=("count(*)", "round(sum(l_quantity), 2)"), group_by=("l_returnflag",)),
+            f"{db}.by_year": Insert("l_quantity > 10", ("count(*)", "round(max(l_quantity), 2)"), ("cast(year(l_shipdate) as string)",)),
+            f"{db}.plain": Insert("l_quantity >= 49", ("l_linestatus", "1L", "l_quantity")),
+        })
+        parts = [spark.table(f"{db}.{n}").select(F.lit(n).alias("tgt"), "k", "n", "qty") for n in names]
+        return materialize(parts[0].union(parts[1]).union(parts[2]))
 
 
 @query("ctas", BY_STATUS.format(where=" WHERE o_totalprice > 50000"))

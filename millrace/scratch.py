@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []  # folders made in each open scope
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -40,7 +43,25 @@ def remove_scratch(spark: SparkSession, path: str) -> bool:
 
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path nobody else uses; it is not created."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders made inside are deleted at the end, but for those the caller has
+    put into the list it is given: for work whose result is written by then."""
+    keep: list[str] = []
+    _scopes.append(made := [])
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            if path not in keep:
+                remove_scratch(spark, path)
 
 
 def new_name(label: str) -> str:

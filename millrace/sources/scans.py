@@ -71,12 +71,9 @@ def scan_partitions(
 
 
 def spread_small(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Give a scan of few small files to all cores, for work that is heavy per
-    row. A scan with a file per core, or a core's worth of bytes per core, is
-    left alone: there the reader's own splits suffice and nothing is shuffled."""
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    sizes = spark.read.format("binaryFile").load(files).agg(F.sum("length"))
-    return df if (sizes.first()[0] or 0) > cores * split_bytes else df.repartition(cores)
+    """Give a small scan to all cores, for work that is heavy per row. Its size is
+    the planner's estimate; with a core's worth of bytes per core it is left
+    alone: there the reader's own splits suffice and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > cores * split_bytes else df.repartition(cores)

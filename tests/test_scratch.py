@@ -38,3 +38,17 @@ def test_a_cluster_needs_the_setting():
 
     with pytest.raises(RuntimeError):
         scratch.scratch_root(Session())
+
+
+def test_scope_deletes_what_is_not_kept(spark):
+    import os
+
+    from millrace.scratch import materialize, scratch_scope
+
+    with scratch_scope(spark) as keep:
+        first = materialize(spark.range(5), "first")
+        second = materialize(first.where("id > 2"), "second")
+        keep += {os.path.dirname(f) for f in second.inputFiles()}
+        keep[:] = [k.removeprefix("file://") for k in keep]
+        gone = [os.path.dirname(f).removeprefix("file://") for f in first.inputFiles()]
+    assert second.count() == 2 and not any(os.path.exists(g) for g in gone)
