@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.windows import running
 from millrace.scratch import materialize
-from millrace.skew import MIN_HOT_ROWS, checked_broadcast, lookup, row_salt
+from millrace.skew import checked_broadcast, lookup, row_salt
 
 Measures = dict[str, tuple]  # output name -> ("sum"|"count"|"min"|"max"|"avg", column)
 
@@ -45,7 +45,21 @@ def grouping_sets(
     expand that small result, instead of copying every input row per set.
 
     ``grouping_id`` names an SQL-standard id column: bit set = column rolled up.
+    A measure ``("count_distinct", column)`` cannot be merged from parts: its
+    distinct values are grouped on their own and joined by the grouping.
     """
+    distinct = {n: m for n, m in measures.items() if m[0] == "count_distinct"}
+    if distinct:
+        gid = grouping_id or "_gid"
+        plain = {n: m for n, m in measures.items() if n not in distinct} or {"_rows": ("count",)}
+        out = grouping_sets(df, dims, sets, plain, gid)
+        for name, (_, column) in distinct.items():
+            values = df.select(*dims, F.col(column).alias("_value")).distinct()
+            counted = values.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(
+                F.count_distinct("_value").alias(name), F.grouping_id().cast("bigint").alias(gid)
+            )
+            out = lookup(out, counted, [*dims, gid])
+        return out.select(*dims, *measures, *([grouping_id] if grouping_id else []))
     finest = df.groupBy(*dims).agg(*_partial(measures))
     extra = [F.grouping_id().cast("bigint").alias(grouping_id)] if grouping_id else []
     return finest.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(*_merge(measures), *extra)
@@ -71,15 +85,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbours.
 
-    Spark's ``percentile`` keeps a group's values in memory, which is fine up to
-    about a task's worth of rows. Beyond that equal values are counted first and
-    positions come from a running count that cuts large groups, so no task holds
-    a group's values.
+    Equal values are counted first, and positions come from a running count that
+    cuts large groups, so no task holds a group's values.
     """
-    if df.count() <= (MIN_HOT_ROWS if hot_rows is None else hot_rows):
-        together = F.percentile(value, F.array(*[F.lit(float(p)) for p in points.values()])).alias("_all")
-        found = df.groupBy(*keys).agg(together)
-        return found.select(*keys, *[F.get("_all", F.lit(i)).alias(n) for i, n in enumerate(points)])
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     counts = materialize(counted, "value_counts")  # read several times below
     upto = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot_rows)

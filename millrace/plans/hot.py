@@ -1,12 +1,14 @@
-"""Queries that run the branches for hot keys: limits so low that they apply to small tables."""
+"""Queries that run the branches for hot keys (limits so low that they apply to
+small tables), and checks of what contents alone do not show."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog.tables import temporary_database
-from millrace.operators import joins
+from millrace.operators import joins, ordering
 from millrace.operators import windows as W
 from millrace.operators import zone_maps as Z
-from millrace.operators.aggregates import exact_percentiles
+from millrace.operators.aggregates import cube, exact_percentiles
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize, new_dir
 from millrace.skew import skew_join
@@ -163,3 +165,43 @@ def incremental_batch(spark, sf):
     o.hint("rebalance", F.col("g")).write.mode("append").partitionBy("g").parquet(path)
     return read_unseen(spark, path, o.schema, seen).groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("distribute_by_check", "SELECT o_custkey, 1 AS parts, count(*) AS n FROM orders GROUP BY o_custkey")
+def distribute_by_check(spark, sf):
+    """In how many partitions each key's rows lie."""
+    spread = ordering.distribute_by(_orders(spark, sf), ["o_custkey"]).withColumn("part", F.spark_partition_id())
+    return spread.groupBy("o_custkey").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("cluster_by_check", "SELECT count(*) AS n, 0 AS disorder FROM orders")
+def cluster_by_check(spark, sf):
+    """Rows that come before a smaller key of their partition."""
+    rows = ordering.cluster_by(_orders(spark, sf).select("o_custkey"), ["o_custkey"]).select(
+        "o_custkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    before = Window.partitionBy("part").orderBy("at")
+    step = rows.withColumn("down", F.lag("o_custkey").over(before) > F.col("o_custkey"))
+    return step.agg(F.count(F.lit(1)).alias("n"), F.count_if("down").alias("disorder"))
+
+
+@query("agg_cube_distinct", """
+    SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers,
+           count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def agg_cube_distinct(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", F.year("o_orderdate").alias("y"))
+    return cube(o, ["o_orderstatus", "o_orderpriority"], {
+        "n": ("count",), "customers": ("count_distinct", "o_custkey"), "years": ("count_distinct", "y")})
+
+
+@query("view_persistent", """
+    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus""")
+def view_persistent(spark, sf):
+    """A view replaced, renamed, and read through another view."""
+    with temporary_database(spark) as db:
+        _orders(spark, sf).write.saveAsTable(f"{db}.t")
+        spark.sql(f"CREATE VIEW {db}.v AS SELECT o_orderstatus, o_totalprice FROM {db}.t")
+        spark.sql(f"CREATE OR REPLACE VIEW {db}.v AS SELECT o_orderstatus, o_totalprice AS price FROM {db}.t WHERE o_totalprice > 100000")
+        spark.sql(f"ALTER VIEW {db}.v RENAME TO {db}.large")
+        spark.sql(f"CREATE VIEW {db}.sums AS SELECT o_orderstatus, count(*) AS n, round(sum(price), 2) AS total FROM {db}.large GROUP BY o_orderstatus")
+        return materialize(spark.table(f"{db}.sums"))

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 # A key with fewer rows than this fits comfortably in one task.
 MIN_HOT_ROWS = 1_000_000
+# No task gets more rows of one key than this, whatever the number of partitions.
+MAX_TASK_ROWS = 50_000_000
 # Keys are counted on about this many rows when the input is larger.
 COUNTED_ROWS = 2_000_000
 # Limits for a side that is copied to every executor.
@@ -54,14 +56,15 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> lis
     """Keys too large for one task, with the number of pieces to cut each into.
 
     A key is hot above ``max(hot_rows, total / slots)`` rows, where ``slots`` is
-    the number of shuffle partitions (200 at least), so at most ``slots`` keys
-    come back, whatever the size of the input.
+    the number of shuffle partitions (200 at least), and above ``MAX_TASK_ROWS``
+    in any case. So at most ``slots`` keys come back, or one per
+    ``MAX_TASK_ROWS`` rows where that is more: 20,000 for 10^12 rows.
     """
     floor = MIN_HOT_ROWS if hot_rows is None else hot_rows
     total = df.count()
     if total <= floor:
         return []
-    limit = max(floor, total // _task_slots(df))
+    limit = max(floor, min(total // _task_slots(df), MAX_TASK_ROWS))
     fraction = min(1.0, COUNTED_ROWS / total)
     counted = df.select(*keys)
     if fraction < 1.0:
