@@ -37,7 +37,7 @@ from millrace.llm.common import stored
 SCALE = 64
 PIVOTS = 256  # at most; the documented bound of the sample
 CELL_ROWS = 8192  # vectors of one tree
-PAGE = 256  # entries of a page
+PAGE = 1024  # entries of a leaf page
 QUERY_BLOCK = 4096  # queries that search a tree together
 SLACK = 1e-6
 
@@ -75,16 +75,24 @@ def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """An M-tree over the rows of a matrix, as arrays by page."""
+    """An M-tree over the rows of a matrix, as arrays by page. ``order`` sorts the
+    rows by leaf page, so that a page is a slice of them."""
 
     def __init__(self, points: np.ndarray, page: int = PAGE) -> None:
         self.points = points
         self.centres: list[np.ndarray] = []
         self.radius: list[float] = []
-        self.rows: list[np.ndarray | None] = []  # of leaf pages
+        self.rows: list[np.ndarray | slice | None] = []  # of leaf pages
         self.kids: list[list[int]] = []  # of inner pages
         self.to_parent: list[np.ndarray] = []  # distances of the entries to the page's centre
         self.root = self._load(np.arange(len(points)), page)
+        leaves = [k for k, rows in enumerate(self.rows) if rows is not None]
+        self.order = np.concatenate([self.rows[k] for k in leaves])
+        at = 0
+        for k in leaves:
+            n = len(self.rows[k])
+            self.rows[k] = slice(at, at + n)
+            at += n
 
     def _page(self, centre: np.ndarray, radius: float, rows, kids, to_parent) -> int:
         for store, value in zip((self.centres, self.radius, self.rows, self.kids, self.to_parent), (centre, radius, rows, kids, to_parent)):
@@ -116,7 +124,8 @@ class Tree:
         return self._page(centre, float(dist.max()), None, kids, to_parent)
 
     def search(self, query: np.ndarray, reach: float, visit) -> None:
-        """Call ``visit(rows)``, which gives the new reach, best page first."""
+        """Call ``visit(rows)``, which gives the new reach, best page first;
+        ``rows`` is a slice or an array of places in ``order``."""
         start = float(np.linalg.norm(query - self.centres[self.root]))
         heap = [(max(0.0, start - self.radius[self.root]), self.root, start)]
         while heap:
@@ -126,8 +135,9 @@ class Tree:
             gaps = np.abs(self.to_parent[page] - to_centre)
             rows = self.rows[page]
             if rows is not None:
-                close = gaps <= reach
-                reach = visit(rows if close.all() else rows[close])
+                close = np.flatnonzero(gaps <= reach)
+                if len(close):  # a page of which most may count is cheaper to compute as a whole
+                    reach = visit(rows.start + close if 4 * len(close) < len(gaps) else rows)
                 continue
             for kid, gap in zip(self.kids[page], gaps.tolist()):
                 if gap - self.radius[kid] > reach:
@@ -152,13 +162,15 @@ def _search(dim: int, longest: float, k: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         points = _matrix(vectors["v"], dim)
         ids = vectors["vec_id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        points, ids = points[order], ids[order]
         tree = Tree(_lift(points, longest))
+        points, ids = points[tree.order], ids[tree.order]
         asked = _matrix(queries["v"], dim)
         fast = points.astype(np.float64) if exact(points, asked) else None
+        # Beyond 2^53 a double may round a score up; a threshold must not.
+        under = float if fast is not None else (lambda score: float(np.nextafter(float(score), -np.inf)))
         out_q, out_v, out_s = [], [], []
         for qid, q, limit in zip(queries["query_id"].to_numpy(np.int64), asked, queries["least"].to_numpy(np.float64)):
+            limit = under(limit)
             square = float((q.astype(np.float64) ** 2).sum())
             best_s, best_v = np.empty(0, np.int64), np.empty(0, np.int64)
             qf = q.astype(np.float64)
@@ -169,19 +181,17 @@ def _search(dim: int, longest: float, k: int):
 
             def visit(rows: np.ndarray) -> float:
                 nonlocal best_s, best_v, limit
-                if len(rows):
-                    scores = np.rint(fast[rows] @ qf).astype(np.int64) if fast is not None else points[rows] @ q
-                    if limit > -np.inf:
-                        good = scores >= limit
-                        rows, scores = rows[good], scores[good]
-                    if len(rows):
-                        s, v = np.concatenate((best_s, scores)), np.concatenate((best_v, ids[rows]))
-                        other = v != qid
-                        s, v = s[other], v[other]
-                        top = np.lexsort((v, -s))[:k]
-                        best_s, best_v = s[top], v[top]
-                        if len(best_s) == k:
-                            limit = max(limit, float(best_s[-1]))
+                scores = fast[rows] @ qf if fast is not None else points[rows] @ q
+                good = np.flatnonzero(scores >= limit)
+                if len(good):
+                    found = np.rint(scores[good]).astype(np.int64) if fast is not None else scores[good]
+                    s, v = np.concatenate((best_s, found)), np.concatenate((best_v, ids[rows][good]))
+                    other = v != qid
+                    s, v = s[other], v[other]
+                    top = np.lexsort((v, -s))[:k]
+                    best_s, best_v = s[top], v[top]
+                    if len(best_s) == k:
+                        limit = max(limit, under(best_s[-1]))
                 return reach_of(limit) if limit > -np.inf else np.inf
 
             tree.search(np.append(qf, 0.0), reach_of(limit) if limit > -np.inf else np.inf, visit)
