@@ -254,7 +254,7 @@ def test_tree_skips_distances():
     tree, seen = metric_search.Tree(points, 20), []
 
     def visit(rows):
-        seen.extend(rows.tolist())
+        seen.extend(tree.order[rows].tolist())
         d = np.sort(np.linalg.norm(points[seen] - points[0], axis=1))
         return float(d[4]) if len(d) > 4 else np.inf
 
