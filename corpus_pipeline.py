@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from millrace.llm.common import rows_with, small_batches, stored, text_of
 from millrace.plans.registry import table
+from millrace.scratch import new_dir, remove_scratch, scratch_scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that all stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of the documents that all stages keep. A stage's scratch
+    tables go when its result is written, its input when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch_scope(spark) as keep:
+            path = new_dir(spark, "pipeline-" + name.replace(" ", "-"))
+            stage(spark, docs, sf_dir).write.parquet(path)
+            keep.append(path)
+        if before:
+            remove_scratch(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
