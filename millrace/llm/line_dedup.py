@@ -1,11 +1,15 @@
 """Near-duplicate lines across all documents, by an exact set-similarity join.
 
-A line's tokens are its distinct five-word shingles, ordered by rarity. Lines
-whose prefixes (the n - need + 1 first tokens) share a token, with length and
-overlap filters, are verified by counting common tokens; of two lines that reach
-the Jaccard threshold the later goes. The join is that of ``ngram_join``: lines
-that share none of their smallest hashes with any other line are settled first,
-equal lines are collapsed to one, and the rest is joined in independent parts.
+A line's tokens are its distinct words or, with ``words`` above 1, shingles of so
+many words, ordered by rarity. Lines whose prefixes (the n - need + 1 first
+tokens) share a token are verified by counting common tokens; of two lines that
+reach the Jaccard threshold the later goes. Equal lines are collapsed to one.
+
+Words meet in one join by prefix token with length and positional filters and a
+bound from 256-bit signatures, so only pairs that pass all three become rows.
+Shingles take the join of ``ngram_join``: lines that share none of their smallest
+hashes with any other line are settled first, the rest is joined in independent
+parts.
 
 Lines are addressed by one number, id * 2^24 + place, so their order is that of
 documents and of lines within them.
@@ -13,11 +17,15 @@ documents and of lines within them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import SPACES, ascii_lower, stored, text_of
-from millrace.llm.ngram_join import OWNER_BYTES, PART, linked_sets, screened
+from millrace.llm.ngram_join import OWNER_BYTES, PART, linked_sets, need, ordered_sets, screened
 from millrace.skew import checked_broadcast
 
 PERCENT = 75
@@ -59,6 +67,69 @@ def _picked(docs: DataFrame, picked: DataFrame, id_column: str, text_column: str
     return found.select((F.col("doc") * (1 << LINE_BITS) + F.col("at")).alias("id"), F.get("lines", F.col("at")).alias("text"))
 
 
+SIGNS = ("s0", "s1", "s2", "s3")  # 256 bits: the parity of a line's tokens at each place
+
+
+def _signature(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _word_postings(percent: int):
+    """The shared prefix tokens of each line, with their places and the line's signature."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            n, skip, ids = (frame[c].to_numpy(np.int64) for c in ("n", "skip", "id"))
+            sets = [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
+            if not sets:
+                continue
+            counts = np.maximum(0, n - need(n, percent) + 1 - skip)
+            row = np.repeat(np.arange(len(n)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + skip[row]
+            starts = np.cumsum(n) - n
+            signs = np.array([_signature(x) for x in sets])[row]
+            token = np.concatenate(sets).view(np.int64)[starts[row] + at]
+            yield pd.DataFrame({"token": token, "id": ids[row], "n": n[row], "at": at} | {c: signs[:, k] for k, c in enumerate(SIGNS)})
+
+    return run
+
+
+def _reach(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            common = np.array([
+                len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                for a, b in zip(frame["a_tokens"], frame["b_tokens"])
+            ], np.int64)
+            sizes = (frame["a_tokens"].str.len() + frame["b_tokens"].str.len()).to_numpy(np.int64) // 8
+            yield frame.loc[100 * common >= percent * (sizes - common), ["a", "b"]]
+
+    return run
+
+
+def linked_words(texts: DataFrame, percent: int, block: int, owner_bytes: int) -> DataFrame:
+    """(id, first) of the (id, text, copies) rows that an earlier one matches in
+    its distinct words, with the earliest of those."""
+    ordered = ordered_sets(texts, percent, 1, block, owner_bytes)
+    kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
+    postings = stored(ordered.select("id", "n", "skip", "tokens").mapInPandas(_word_postings(percent), kinds), "word-postings")
+    again = postings.groupBy("token").count().where("count > 1").select("token")
+    postings = stored(postings.join(again, "token", "left_semi"), "word-postings-shared")
+    a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
+    common = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"  # fewest in a pair that matches
+    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SIGNS)  # at most the tokens that only one of them has
+    fits = (
+        f"a_id < b_id AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) "
+        f"AND least(a_n - a_at, b_n - b_at) >= {common} AND {differ} <= a_n + b_n - 2 * {common}"
+    )
+    near = a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    near = stored(near, "word-pairs")
+    whole = [ordered.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")) for side in "ab"]
+    found = near.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens").mapInPandas(_reach(percent), "a long, b long")
+    return found.groupBy("b").agg(F.min("a").alias("first")).withColumnRenamed("b", "id")
+
+
 def later_lines(
     docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text",
     block: int = BLOCK, owner_bytes: int = OWNER_BYTES, part: int = PART,
@@ -66,18 +137,23 @@ def later_lines(
     """(doc, line, first_doc, first_line): every line that an earlier line
     matches, with the earliest it matches directly."""
     lines = _lines(docs, id_column, text_column)
-    maybe = screened(lines, words, percent, block, owner_bytes, prefix=True)
-    # A line needs a whole shingle; shorter ones are left alone.
     left, digest = _sequence()
-    own = _picked(docs, maybe.where("maybe").select("id"), id_column, text_column)
-    long_enough = F.size(F.split(F.regexp_replace("text", f"^{SPACES}|{SPACES}$", ""), SPACES)) >= words
-    classes = stored(own.where(long_enough).select("id", digest).select("id", left.alias("seq")), "line-sequences")
+    trimmed = F.regexp_replace("text", f"^{SPACES}|{SPACES}$", "")
+    if words == 1:  # most words occur in many lines: nothing to screen by
+        own = lines.where(trimmed != "")
+    else:
+        maybe = screened(lines, words, percent, block, owner_bytes, prefix=True)
+        own = _picked(docs, maybe.where("maybe").select("id"), id_column, text_column)
+        # A line needs a whole shingle; shorter ones are left alone.
+        own = own.where(F.size(F.split(trimmed, SPACES)) >= words)
+    classes = stored(own.select("id", digest).select("id", left.alias("seq")), "line-sequences")
     heads = stored(classes.groupBy("seq").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "line-heads")
     texts = _picked(docs, heads.select(F.col("head").alias("id")), id_column, text_column)
     # Ids may repeat with other texts, so the line's own sequence is matched, too.
     texts = texts.select("id", "text", digest).withColumn("seq", left)
     texts = texts.join(heads.select(F.col("head").alias("id"), "seq", "copies"), ["id", "seq"]).dropDuplicates(["id", "seq"])
-    links = linked_sets(texts.select("id", "text", "copies"), percent, words, block, owner_bytes, part)
+    texts = texts.select("id", "text", "copies")
+    links = linked_words(texts, percent, block, owner_bytes) if words == 1 else linked_sets(texts, percent, words, block, owner_bytes, part)
     found = classes.join(heads, "seq").join(links.select(F.col("id").alias("head"), "first"), "head", "left")
     first = F.least("head", F.coalesce("first", "head"))
     earlier = found.select("id", first.alias("first")).where("first < id").groupBy("id").agg(F.min("first").alias("first"))
@@ -93,7 +169,7 @@ def remove_repeated_lines(
     columns: ``n_lines`` and ``removed``, the places (from 0) of lines removed.
 
     Lines match if 100 * common >= percent * union of their distinct shingles of
-    lower-cased words. A line goes if any earlier line matches it, whether or not
+    lower-cased words; with ``words`` = 1 these are the words themselves. A line goes if any earlier line matches it, whether or not
     that one stays; earlier means a smaller id, or an earlier place in the same
     text. Lines of fewer than ``words`` words, empty ones among them, stay. A
     NULL text stays NULL with no lines; rows without an id are left as they are.

@@ -538,9 +538,9 @@ def similar_documents(
     return out
 
 
-def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int, part: int) -> DataFrame:
-    """Steps 2 to 5 for (id, text, copies) rows with different word sequences:
-    (id, root, links, first) of those that have a candidate, once each."""
+def ordered_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int) -> DataFrame:
+    """Step 2 for (id, text, copies) rows: their shingles by rising frequency;
+    sets with too few shared shingles for any link are left out."""
     with small_batches(texts.sparkSession):
         sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
     size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
@@ -549,10 +549,16 @@ def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_by
         _send_tokens(owners), "sender int, block int, owner int, codes binary, counts binary"
     )
     levels = sent.groupBy("owner").applyInPandas(_frequencies, "sender int, block int, owner int, levels binary")
-    ordered = stored(
+    return stored(
         sets.groupBy("sender", "block").cogroup(levels.groupBy("sender", "block")).applyInPandas(_ordered(percent), ORDERED),
         "ordered",
     )
+
+
+def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int, part: int) -> DataFrame:
+    """Steps 2 to 5 for (id, text, copies) rows with different word sequences:
+    (id, root, links, first) of those that have a candidate, once each."""
+    ordered = ordered_sets(texts, percent, words, block, owner_bytes)
     postings = ordered.select("n", "skip", "g", "tokens").mapInPandas(_postings(percent), "token long, g long")
     postings = stored(postings.distinct(), "postings")  # members of a group post the same
     shared = postings.groupBy("token").agg(F.min("g").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")

@@ -117,7 +117,7 @@ def op3_top_products(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    done = line_dedup.remove_repeated_lines(docs)
+    done = line_dedup.remove_repeated_lines(docs, words=1)  # every line with a word takes part
     return done.select("doc_id", "n_lines", "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -402,6 +402,24 @@ def test_lines_of_odd_ids(spark):
     assert line_dedup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"block": 300, "owner_bytes": 2000}])
+def test_lines_by_words(spark, odd, sizes):
+    rows, _ = odd
+    rows = [*rows, (500, "in erre to it therble whrehe at."), (501, "x\nin erre to it rendon whrehe at."), (-4, "b a\n\n \nA b\nc"), (None, "c")]
+    sets = {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if i is not None and (w := WORD.findall(line.translate(LOW))):
+                sets[i, k] = set(w)
+    gone = defaultdict(list)
+    for key in sorted(sets):
+        if any(o < key and 100 * len(sets[key] & sets[o]) >= 75 * len(sets[key] | sets[o]) for o in sets):
+            gone[key[0]].append(key[1])
+    got = line_dedup.remove_repeated_lines(documents(spark, rows).repartition(5), words=1, **sizes).collect()
+    assert gone[501] == [1] and gone[-4] == [3]
+    assert len(got) == len(rows) and all(r.removed == gone[r.doc_id] for r in got)
+
+
 # --- op 8, exact copies ------------------------------------------------------------
 
 
