@@ -6,7 +6,7 @@ tokens) share a token are verified by counting common tokens; of two lines that
 reach the Jaccard threshold the later goes. Equal lines are collapsed to one.
 
 Words meet in one join by prefix token with length and positional filters and a
-bound from 256-bit signatures, so only pairs that pass all three become rows.
+bound from 128-bit signatures, so only pairs that pass all three become rows.
 Shingles take the join of ``ngram_join``: lines that share none of their smallest
 hashes with any other line are settled first, the rest is joined in independent
 parts.
@@ -67,11 +67,11 @@ def _picked(docs: DataFrame, picked: DataFrame, id_column: str, text_column: str
     return found.select((F.col("doc") * (1 << LINE_BITS) + F.col("at")).alias("id"), F.get("lines", F.col("at")).alias("text"))
 
 
-SIGNS = ("s0", "s1", "s2", "s3")  # 256 bits: the parity of a line's tokens at each place
+SIGNS = ("s0", "s1")  # 128 bits: the parity of a line's tokens at each place
 
 
 def _signature(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((tokens & np.uint64(127)).astype(np.int64), minlength=128) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -114,8 +114,6 @@ def linked_words(texts: DataFrame, percent: int, block: int, owner_bytes: int) -
     ordered = ordered_sets(texts, percent, 1, block, owner_bytes)
     kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
     postings = stored(ordered.select("id", "n", "skip", "tokens").mapInPandas(_word_postings(percent), kinds), "word-postings")
-    again = postings.groupBy("token").count().where("count > 1").select("token")
-    postings = stored(postings.join(again, "token", "left_semi"), "word-postings-shared")
     a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
     common = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"  # fewest in a pair that matches
     differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SIGNS)  # at most the tokens that only one of them has
@@ -149,10 +147,13 @@ def later_lines(
     classes = stored(own.select("id", digest).select("id", left.alias("seq")), "line-sequences")
     heads = stored(classes.groupBy("seq").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "line-heads")
     texts = _picked(docs, heads.select(F.col("head").alias("id")), id_column, text_column)
-    # Ids may repeat with other texts, so the line's own sequence is matched, too.
-    texts = texts.select("id", "text", digest).withColumn("seq", left)
-    texts = texts.join(heads.select(F.col("head").alias("id"), "seq", "copies"), ["id", "seq"]).dropDuplicates(["id", "seq"])
-    texts = texts.select("id", "text", "copies")
+    if words > 1 or docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count():
+        # Ids may repeat with other texts, so the line's own sequence is matched, too.
+        texts = texts.select("id", "text", digest).withColumn("seq", left)
+        texts = texts.join(heads.select(F.col("head").alias("id"), "seq", "copies"), ["id", "seq"]).dropDuplicates(["id", "seq"])
+        texts = texts.select("id", "text", "copies")
+    else:  # words ask for no copies
+        texts = texts.withColumn("copies", F.lit(1).cast("long"))
     links = linked_words(texts, percent, block, owner_bytes) if words == 1 else linked_sets(texts, percent, words, block, owner_bytes, part)
     found = classes.join(heads, "seq").join(links.select(F.col("id").alias("head"), "first"), "head", "left")
     first = F.least("head", F.coalesce("first", "head"))
