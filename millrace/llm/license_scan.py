@@ -1,20 +1,22 @@
 """License scan: exact phrases, and a set-similarity join of text blocks with license templates.
 
-Phrases give the base labels. The join finds every line whose words contain at
-least ``threshold`` of a template's distinct words:
+Phrases give the base labels. The join finds every text block whose words contain at
+least ``threshold`` of a template's distinct words. Blocks are the lines, and, for
+notices wrapped over lines, the runs of as many consecutive words as the template
+has, whatever line breaks they cross:
 
 * the words of the templates, a fixed vocabulary, are counted over all documents
   and ordered by rising frequency;
 * a template's prefix is its rarest size - need + 1 words, need being
-  ceil(threshold * size): a line that meets the threshold holds one of them;
-* length filter: the line holds at least ``need`` words of the vocabulary;
+  ceil(threshold * size): a block that meets the threshold holds one of them;
+* length filter: the block holds at least ``need`` words of the vocabulary;
 * positional filter: at least ``need`` of them stand at or after the shared word
   in that order;
 * what is left is verified by the full intersection.
 
 All of it is DataFrame operations. Texts are read once and never shuffled: inside
 the scan a document is reduced to its words of the vocabulary, and if those could
-meet a template, to those of each line. Only finds are grouped.
+meet a template, to those of each block. Only finds are grouped.
 """
 
 from __future__ import annotations
@@ -52,9 +54,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAPS), "")
 
 
+def _all_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
+
+
 def _template_words(text: str) -> list[str]:
-    cut = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower())
-    return list(dict.fromkeys(cut.split()))
+    return list(dict.fromkeys(_all_words(text)))
+
+
+def _runs(number: int, text: str, need: int) -> Column:
+    """Blocks of the runs of ``words`` as long as the template that hold ``need``
+    of its words. A run may start at one of them: no other holds more."""
+    own, length = F.lit(_template_words(text)), len(_all_words(text))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(own, F.get("words", i - 1)))
+    held = F.transform(starts, lambda i: F.array_intersect(own, F.slice("words", i, length)))
+    return F.transform(F.array_distinct(F.filter(held, lambda w: F.size(w) >= need)), lambda w: _block(F.lit(number), w))
+
+
+def _block(only: Column, words: Column) -> Column:
+    """A text block; ``only`` is the one template it is compared with, or NULL."""
+    return F.struct(only.cast("int").alias("only"), words.alias("words"))
 
 
 def phrase_starts(words: Column, phrase: Sequence[str]) -> Column:
@@ -74,7 +93,7 @@ def _need(size: int, threshold: float) -> int:
 
 def _base(docs: DataFrame, id_column: str, text_column: str, phrases, templates, threshold: float) -> DataFrame:
     """Per document: words, phrase places, which words of the templates it holds
-    (``held``), and, if it holds enough of any template's, those of each line."""
+    (``held``), and, if it holds enough of any template's, those of each block."""
     sets = [_template_words(text) for _, text in templates]
     vocabulary = sorted({w for s in sets for w in s})
     none = F.array().cast("array<int>")
@@ -87,26 +106,31 @@ def _base(docs: DataFrame, id_column: str, text_column: str, phrases, templates,
     found = cut.select(
         "id", F.size("words").cast("long").alias("n_words"),
         *[s.alias(f"s{i}") for i, s in enumerate(starts)],
-        F.array_intersect(F.lit(vocabulary), F.col("words")).alias("held"), "lower",
+        F.array_intersect(F.lit(vocabulary), F.col("words")).alias("held"), "lower", "words",
     )
     enough = [F.size(F.array_intersect(F.lit(s), F.col("held"))) >= _need(len(s), threshold) for s in sets]
-    by_line = F.transform(F.split("lower", "\n"), lambda line: F.array_intersect(F.lit(vocabulary), words_of(line)))
-    found = found.withColumn("lines", F.when(reduce(lambda a, b: a | b, enough, F.lit(False)), by_line)).drop("lower")
+    by_line = F.transform(F.split("lower", "\n"), lambda line: _block(F.lit(None), F.array_intersect(F.lit(vocabulary), words_of(line))))
+    wrapped = [
+        F.when(e & F.col("lower").contains("\n"), _runs(k, text, _need(len(s), threshold))).otherwise(F.array().cast("array<struct<only:int,words:array<string>>>"))
+        for k, (e, s, (_, text)) in enumerate(zip(enough, sets, templates))
+    ]
+    blocks = F.concat(by_line, *wrapped)
+    found = found.withColumn("blocks", F.when(reduce(lambda a, b: a | b, enough, F.lit(False)), blocks)).drop("lower", "words")
     names = [f"s{i}" for i in range(len(phrases))]
     every = F.concat(*names) if names else none
     labels = F.array_compact(F.array(*[F.when(F.size(n) > 0, label) for n, (_, label) in zip(names, phrases)]))
     return found.select(
         "id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"), labels.cast("array<string>").alias("base"), "held", "lines",
+        F.array_max(every).cast("long").alias("last_word"), labels.cast("array<string>").alias("base"), "held", "blocks",
     )
 
 
 def matching_blocks(
     held: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(id, block, template, label, containment) of every line that holds at
+    """(id, block, template, label, containment) of every block that holds at
     least ``threshold`` of a template's words. ``held`` has, per document, the
-    templates' words in it (``held``, which gives the order) and in each line."""
+    templates' words in it (``held``, which gives the order) and in each block."""
     sets = [_template_words(text) for _, text in templates]
     # At most one row per word of the templates comes back.
     counted = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
@@ -130,10 +154,10 @@ def matching_blocks(
         + " AS t(template, label, set)"
     )
     least = min(k for _, _, k in prefix)
-    lines = held.where("lines IS NOT NULL").select("id", F.posexplode("lines").alias("block", "line")).where(F.size("line") >= least)
-    cut = lines.select("id", "block", F.array_intersect(F.lit(order), F.col("line")).alias("has"))
-    seen = cut.select("id", "block", "has", F.posexplode("has").alias("place", "word"))
-    near = seen.join(F.broadcast(keys), "word").where(F.size("has") - F.col("place") >= F.col("need"))
+    blocks = held.where("blocks IS NOT NULL").select("id", F.posexplode("blocks").alias("block", "one")).where(F.size("one.words") >= least)
+    cut = blocks.select("id", "block", "one.only", F.array_intersect(F.lit(order), F.col("one.words")).alias("has"))
+    seen = cut.select("id", "block", "only", "has", F.posexplode("has").alias("place", "word"))
+    near = seen.join(F.broadcast(keys), "word").where("only IS NULL OR only = template").where(F.size("has") - F.col("place") >= F.col("need"))
     common = F.size(F.array_intersect("has", "set"))
     checked = near.join(F.broadcast(full), "template").withColumn("common", common).where("common >= need")
     return checked.select("id", "block", "template", "label", (F.col("common") / F.size("set")).alias("containment")).distinct()
@@ -149,7 +173,7 @@ def scan_licenses(
     Base: places of the phrases (all are counted, the smallest and largest start
     are given). ``labels`` adds those of matching templates; both lists are
     distinct, sorted, joined by commas, empty if there is none. ``score`` is 1
-    where a phrase stands, else the largest containment of a matching line, else
+    where a phrase stands, else the largest containment of a matching block, else
     0. NULL counts as an empty text: no words, no labels, NULL places. Rows that
     repeat an id share their template labels. An empty table gives no rows.
     Other columns of ``docs`` play no part.

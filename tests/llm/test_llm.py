@@ -489,6 +489,15 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
+    cc = "This work is licensed under a Creative Commons Attribution 4.0\nInternational License."
+    far = "all of it\n" + "word " * 9 + "\nrights are\nnot reserved"
+    docs = documents(spark, [(1, bsd), (2, "x\n" + cc + "\ny"), (3, "All rights\n\nreserved."), (4, far), (5, "all rights are\nreserved")])
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("cc-by", 1.0), 3: ("reserved", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 # --- op 10, near copies ------------------------------------------------------------
 
 
