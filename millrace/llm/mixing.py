@@ -92,7 +92,7 @@ def budgets(leaves: DataFrame, total: int, weights: Mapping[str, int] = WEIGHTS,
 def mix(
     docs: DataFrame, share: float = 0.5, total: int | None = None, weights: Mapping[str, int] = WEIGHTS,
     max_epochs: int = 2, seed: int = 17, tokens: Column | None = None, domain: Column | None = None,
-    id_column: str = "doc_id",
+    id_column: str = "doc_id", row_key: Column | None = None,
 ) -> DataFrame:
     """The documents of the mixture: one row per document and epoch it is taken in.
 
@@ -104,12 +104,14 @@ def mix(
     tokens (NULL or empty texts) cost nothing and come in every whole epoch of
     their leaf, and in the last as far as the budget reaches. Rows that repeat an
     id follow each other, ordered by tokens, and are chosen row by row. A NULL id
-    is ordered as an empty one. An empty table gives no rows.
+    is ordered as an empty one. An empty table gives no rows. ``row_key`` is
+    carried along as one more column.
     """
     lang, source = (F.coalesce(F.col(c), F.lit("unknown")) for c in ("lang", "source"))
     base = docs.select(
         F.col(id_column).alias("id"), (domain_of(F.col("source")) if domain is None else domain).alias("domain"),
         lang.alias("lang"), source.alias("source"), (word_count() if tokens is None else tokens).cast("long").alias("n_tokens"),
+        *([] if row_key is None else [row_key.alias("row_key")]),
     )
     base = stored(base, "mix-tokens")
     sums = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
@@ -124,7 +126,7 @@ def mix(
     plan = stored(plan, "mix-plan")
     rows = base.join(plan, list(LEVELS))
     taken = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)))
-    columns = ["id", *LEVELS, "n_tokens", "epoch"]
+    columns = ["id", *LEVELS, "n_tokens", "epoch", *([] if row_key is None else ["row_key"])]
     taken = taken.select(columns).unionByName(_prefixes(rows.where("rest > 0"), seed).select(columns))
     return taken.withColumnRenamed("id", id_column)
 
@@ -149,7 +151,20 @@ def _prefixes(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id the mixture takes, each once, columns as they
-    are. Rows without an id are not taken."""
-    taken = mix(docs, id_column=id_column, **options).select(id_column).distinct()
-    return rows_with(docs, taken, [id_column]).select(docs.columns)
+    """The rows of ``docs`` that the mixture takes, each once, columns as they
+    are. A row is known by its id (NULL or not), text, language, source and
+    tokens; of rows equal in all of these as many stay as the mixture takes."""
+    tokens = options.get("tokens")
+    parts = [F.col(c).cast("string").alias(c) for c in (id_column, "text", "lang", "source") if c in docs.columns]
+    parts += [] if tokens is None else [tokens.cast("long").alias("_tokens")]
+    key = F.sha2(F.to_json(F.struct(*parts)), 256)  # NULL fields are left out, so the key is never NULL
+    mixed = mix(docs, id_column=id_column, row_key=key, **options).withColumnRenamed("row_key", "_key")
+    taken = stored(mixed.groupBy("_key", "epoch").count().groupBy("_key").agg(F.max("count").alias("_n")), "mix-taken")
+    rows = docs.withColumn("_key", key)
+    repeated = rows.groupBy("_key").count().where("count > 1")
+    some = stored(repeated.join(taken, "_key").where("count > _n").select("_key", "_n"), "mix-some")
+    if not some.limit(1).count():
+        return rows_with(rows, taken.select("_key"), ["_key"]).select(docs.columns)
+    out = rows_with(rows, taken.join(some, "_key", "left_anti").select("_key"), ["_key"])
+    numbered = rows.join(some, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return out.select(docs.columns).unionByName(numbered.where("_at <= _n").select(docs.columns))

@@ -155,6 +155,18 @@ def test_mixture_of_nulls(spark):
         ("unknown", "unknown", 2), ("unknown", "zzz", 3)]
 
 
+def test_mixed_rows_without_or_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b", "en", "src1", 3), (None, "c d e", "en", "src1", 5), (4, None, "en", "src1", None)], DOCS)
+    got = mixing.mixed_documents(docs, share=1.0, max_epochs=1)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    rows = [(7, "a b", "en", "src1", 3), (7, "c d e f", "en", "src1", 7), (8, "x", "en", "src2", 1), (8, "x", "en", "src2", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for total, want in ((6, ["a b", "x", "x"]), (5, ["a b", "x", "x"]), (2, ["x"])):
+        got = [r.text for r in mixing.mixed_documents(docs, total=total, max_epochs=1, weights={}).collect()]
+        taken = sorted({2: "a b", 4: "c d e f", 1: "x"}[r.n_tokens] for r in mixing.mix(docs, total=total, max_epochs=1, weights={}).collect())
+        assert sorted(got) == taken == want
+
+
 # --- op 2, packing -------------------------------------------------------------
 
 
