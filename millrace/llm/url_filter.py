@@ -24,9 +24,9 @@ MAX_LABELLED = 20_000  # bound of the labelled sample that a model is fitted on
 
 # The small labelled table: 1 = block. Host labels are enough; paths vary to keep them neutral.
 BAD_NAMES = (
-    "casino-win", "best-casino", "casino-slots", "online-casino", "free-bets", "sports-bets", "bets-now", "lucky-slots",
-    "jackpot-win", "win-prizes", "cheap-pills", "pills-online", "cheap-meds", "meds-discount", "viagra-shop",
-    "spam-farm", "link-farm", "content-farm", "click-farm", "ads-track", "ad-tracker", "track-clicks", "popup-ads",
+    "best-casino", "casino-slots", "online-casino", "sports-bets", "bets-now", "lucky-slots",
+    "jackpot-win", "win-prizes", "pills-online", "cheap-meds", "meds-discount", "viagra-shop",
+    "link-farm", "content-farm", "click-farm", "ad-tracker", "track-clicks", "popup-ads",
     "ads-server", "free-money", "quick-loans", "payday-loans", "cheap-loans", "xxx-videos", "adult-cams", "hot-cams",
     "crypto-doubler", "free-crypto", "replica-watches", "cheap-replica", "free-gift-cards", "free-download-crack",
     "warez-keys", "hacked-keygen", "seo-backlinks",
@@ -35,8 +35,8 @@ GOOD_NAMES = (
     "news", "weather", "library", "museum", "university", "school", "garden", "recipes", "travel", "history",
     "science", "physics", "chemistry", "biology", "maths", "music", "theatre", "cinema", "books", "poetry",
     "sports", "football", "cycling", "hiking", "photography", "painting", "health", "hospital", "council", "parliament",
-    "docs", "wiki", "forum", "archive", "journal", "gazette", "thering", "theran", "thonth", "erinthe",
-    "open-data", "city-council", "world-news", "local-history", "public-library", "science-daily", "thather", "tioner",
+    "docs", "wiki", "forum", "archive", "journal", "gazette",
+    "open-data", "city-council", "world-news", "local-history", "public-library", "science-daily",
 )
 SUBDOMAINS = ("", "www.", "blog.", "m.")
 PATHS = ("/en/12", "/de/407/", "/fr/88.html", "/es/951", "/en/300", "/")
