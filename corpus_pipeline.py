@@ -35,10 +35,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents joined by links the one with the smallest id
-    stays; so do documents without an id."""
-    found = ngram_join.similar_documents(docs)
-    gone = stored(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return rows_with(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
+    stays. No id is larger than any other; of equal ids one row stays."""
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        found = ngram_join.similar_documents(docs)
+        gone = stored(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+        return rows_with(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
+    # Ids do not tell rows apart: each row gets a number, written with it once.
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = ngram_join.similar_documents(rows.select("_row", "text"), id_column="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.sha2(text_of(), 256).alias("sha"), F.col("_row"))
+    tied = stored(groups.join(rows.select("_row", order.alias("at")), "_row"), "near-groups")
+    stays = tied.groupBy("component_id").agg(F.min("at")["_row"].alias("_row"))
+    return rows_with(rows, stored(stays.select("_row"), "near-stay"), ["_row"]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

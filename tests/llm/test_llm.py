@@ -605,3 +605,17 @@ def test_pipeline_takes_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES[1:]:
             docs = stage(spark, docs, sf)
             docs.collect()
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    long = [f"w{i}" for i in range(40)]
+    near, clean, other = " ".join(long), "clean text of its own with some more words", " ".join(f"v{i}" for i in range(40))
+    rows = [(1, near), (5, near + " end"), (5, clean), (None, other), (None, other + " end"), (9, None)]
+    docs = documents(spark, rows)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == 4 and {(1, near), (5, clean), (9, None)} <= set(kept)
+    assert len({(None, other), (None, other + " end")} & set(kept)) == 1
