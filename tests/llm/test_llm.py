@@ -374,6 +374,11 @@ def test_url_model_tells_names_apart(spark):
         url_filter.fit(spark.createDataFrame([], "url string, label int"))
 
 
+def test_url_table_does_not_name_the_pages():
+    names = {*url_filter.BAD_NAMES, *url_filter.GOOD_NAMES}
+    assert not names & {"casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x", "thering", "theran", "thonth", "erinthe"}
+
+
 # --- op 7, lines -----------------------------------------------------------------
 
 
