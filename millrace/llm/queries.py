@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, line_dedup, metric_search, mixing, ngram_join, packing, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, line_dedup, merkle, metric_search, mixing, ngram_join, packing, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -121,6 +121,48 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+# The CRC-32 bit by bit, as DuckDB has no function for it; the tree level by level, then every leaf's climb.
+MERKLE_SQL = """
+WITH RECURSIVE
+coded AS (SELECT doc_id, coalesce('=' || source, '') AS s, text,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) AS crc
+  FROM documents),
+leaves AS (SELECT doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other,
+    row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY s) AS n
+  FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM coded)),
+low AS (SELECT s, 0 AS lvl, pos, n, leaf AS hash FROM leaves
+  UNION ALL SELECT s, lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY s, lvl, pos // 3),
+tops AS (SELECT s, hash, row_number() OVER (ORDER BY s) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, pos, n, hash FROM tops
+  UNION ALL SELECT lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3),
+runs AS (SELECT s, lvl, pos // 3 AS run, list(hash ORDER BY pos) AS h FROM low WHERE n > 1 GROUP BY ALL),
+high_runs AS (SELECT lvl, pos // 3 AS run, list(hash ORDER BY pos) AS h FROM high WHERE n > 1 GROUP BY ALL),
+climb AS (SELECT doc_id, s, leaf, 0 AS lvl, pos, n, other AS folded, '' AS met FROM leaves
+  UNION ALL SELECT doc_id, s, leaf, lvl + 1, pos // 3, (n + 2) // 3,
+    sha256(concat(array_to_string(h[1:pos % 3], ''), folded, array_to_string(h[pos % 3 + 2:], ''))),
+    concat(met, array_to_string(h[1:pos % 3], ''), array_to_string(h[pos % 3 + 2:], ''))
+  FROM (SELECT * FROM climb WHERE n > 1) JOIN (SELECT s AS rs, lvl AS rl, run, h FROM runs) ON rs = s AND rl = lvl AND run = pos // 3),
+high_climb AS (SELECT doc_id, s, leaf, 0 AS lvl, tops.pos, tops.n, folded, met FROM climb JOIN tops USING (s) WHERE climb.n = 1
+  UNION ALL SELECT doc_id, s, leaf, lvl + 1, pos // 3, (n + 2) // 3,
+    sha256(concat(array_to_string(h[1:pos % 3], ''), folded, array_to_string(h[pos % 3 + 2:], ''))),
+    concat(met, array_to_string(h[1:pos % 3], ''), array_to_string(h[pos % 3 + 2:], ''))
+  FROM (SELECT * FROM high_climb WHERE n > 1) JOIN (SELECT lvl AS rl, run, h FROM high_runs) ON rl = lvl AND run = pos // 3)
+SELECT doc_id, leaf, tops.hash AS subroot, peak.hash AS root, sha256(met) AS proof_sha256, folded AS folded_root, folded = peak.hash AS verified
+FROM high_climb JOIN tops USING (s), (SELECT hash FROM high WHERE n = 1) AS peak WHERE high_climb.n = 1
+"""
+
+
+@R.query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    done = merkle.manifest(table(spark, sf, "documents"))
+    proof = F.sha2(F.col("siblings").cast("binary"), 256)
+    return done.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 @R.query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
