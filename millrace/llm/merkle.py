@@ -6,13 +6,15 @@ the sizes of the partitions before. A node covers consecutive leaves, so its
 identifier is its level and the number of its first leaf.
 
 Levels are built from below, three nodes to a run; per source first, then over
-the sources' subroots. The built levels become rows of nodes, linked to their
+the sources' subroots. A block of ``fanout ** DEPTH`` consecutive leaves is one row,
+whose levels are arrays. The levels above become rows of nodes, linked to their
 parents, with the siblings before and after. A Spark recursive query then ascends
-from every leaf: each step appends the run's siblings to the leaf's path and folds
-them with the hash so far.
+from every block: each step appends the run's siblings to the path and folds them
+into the hash of each of the block's leaves.
 
 All leaves meet in few nodes near the top. A node has one row per piece of
-``PIECE`` leaves under it, so no key of the climb's join has more rows than that.
+``PIECE`` blocks' worth of leaves under it, so no key of the climb's join has more
+rows than that.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from millrace.scratch import new_name
 from millrace.skew import checked_broadcast
 
 FANOUT = 3
-PIECE = 256  # leaves that climb through one copy of a node
+DEPTH = 3  # levels inside a block
+PIECE = 64  # blocks that climb through one copy of a node
 LEVEL = 1 << 56  # node identifier: level * LEVEL + number of the first leaf
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -118,6 +121,32 @@ def _levels(nodes: DataFrame, level: int, fanout: int) -> tuple[list[DataFrame],
     return runs, tops, level
 
 
+def _blocks(leaves: DataFrame, fanout: int, depth: int) -> DataFrame:
+    """One row per block: start, n (blocks of the source), at, part, first, last,
+    its leaves, and from its own levels its hash, each leaf's folded hash and path."""
+    width, join = fanout**depth, "array_join({}, '')".format
+    at = F.expr(f"(rank - start) div {width}").alias("at")
+    rows = leaves.groupBy("start", at).agg(
+        F.max("n").alias("leaves_n"), F.min("part").alias("part"), F.array_sort(F.collect_list(F.struct("rank", "key", "leaf", "tampered_leaf"))).alias("leaves")
+    )  # at most `width` leaves
+    rows = rows.withColumn("n", F.expr(f"(leaves_n + {width - 1}) div {width}"))
+    rows = rows.withColumn("first", F.expr("leaves[0].rank")).withColumn("last", F.expr("element_at(leaves, -1).rank"))
+    rows = rows.withColumn("l0", F.col("leaves.leaf")).withColumn("f0", F.col("leaves.tampered_leaf")).withColumn("p0", F.transform("leaves", lambda _: F.lit("")))
+    sha = "sha2(cast({} as binary), 256)".format
+    for k in range(depth):
+        # A source smaller than a block ends where one node is left.
+        more = F.expr(f"leaves_n > {width} OR size(l{k}) > 1")
+        place, node = f"((i div {fanout**k}) % {fanout})", f"(i div {fanout**k})"
+        before = join(f"slice(l{k}, {node} - {place} + 1, {place})")
+        after = join(f"slice(l{k}, {node} + 2, {fanout - 1} - {place})")
+        up = F.expr(f"transform(sequence(0, (size(l{k}) - 1) div {fanout}), j -> {sha(join(f'slice(l{k}, {fanout} * j + 1, {fanout})'))})")
+        folded = F.expr(f"transform(f{k}, (f, i) -> {sha(f'concat({before}, f, {after})')})")
+        path = F.expr(f"transform(p{k}, (p, i) -> concat(p, {before}, {after}))")
+        rows = rows.withColumns({f"l{k + 1}": F.when(more, up).otherwise(F.col(f"l{k}")), f"f{k + 1}": F.when(more, folded).otherwise(F.col(f"f{k}")), f"p{k + 1}": F.when(more, path).otherwise(F.col(f"p{k}"))})
+    done = F.arrays_zip(F.col("leaves.key").alias("key"), F.col("leaves.leaf").alias("leaf"), F.col(f"p{depth}").alias("path"))
+    return rows.select("start", "n", "at", "part", "first", "last", F.expr(f"l{depth}[0]").alias("hash"), F.transform(F.col(f"f{depth}"), F.unhex).alias("folded"), done.alias("leaves"))
+
+
 def _linked(runs: DataFrame, piece: int) -> DataFrame:
     """Node rows: id, piece, parent and the siblings' digests before and after."""
     each = runs.select(F.col("id").alias("parent"), "members.hash", F.posexplode("members").alias("k", "m"))
@@ -131,21 +160,22 @@ def _linked(runs: DataFrame, piece: int) -> DataFrame:
 
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT rank, piece, id AS node, 0 AS step, hash, CAST('' AS BINARY) AS siblings FROM {leaves}
+  SELECT first, piece, first AS node, 0 AS step, folded, CAST('' AS BINARY) AS siblings FROM {blocks}
   UNION ALL
-  SELECT c.rank, c.piece, n.parent, c.step + 1,
-         unhex(sha2(CAST(lower(concat(hex(n.before), hex(c.hash), hex(n.after))) AS BINARY), 256)), concat(n.before, n.after)
+  SELECT c.first, c.piece, n.parent, c.step + 1,
+         transform(c.folded, f -> unhex(sha2(CAST(lower(concat(hex(n.before), hex(f), hex(n.after))) AS BINARY), 256))),
+         concat(n.before, n.after)
   FROM climb c JOIN {nodes} n ON n.id = c.node AND n.piece = c.piece)
-SELECT rank, step, hash, siblings FROM climb
+SELECT first, step, folded, siblings FROM climb
 """
 
 
-def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rank, folded, siblings) of each (rank, piece, id, hash) leaf: what folding
-    up to the root gives, and the digests met on the way, level by level."""
-    spark = leaves.sparkSession
-    names = {k: new_name(f"merkle_{k}") for k in ("leaves", "nodes")}
-    leaves.createOrReplaceTempView(names["leaves"])
+def climb(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(first, folded, siblings) of each (first, piece, folded) block: what folding
+    up to the root makes of its leaves, and the digests met, level by level."""
+    spark = blocks.sparkSession
+    names = {k: new_name(f"merkle_{k}") for k in ("blocks", "nodes")}
+    blocks.createOrReplaceTempView(names["blocks"])
     nodes.createOrReplaceTempView(names["nodes"])
     try:
         with _unbounded_recursion(spark):
@@ -154,13 +184,13 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
         for name in names.values():
             spark.catalog.dropTempView(name)
     path = F.array_sort(F.collect_list(F.struct("step", "siblings")))  # one entry per level
-    met = steps.groupBy("rank").agg(F.max_by("hash", "step").alias("folded"), path.alias("path"))
-    return met.select("rank", F.lower(F.hex("folded")).alias("folded"), F.lower(F.array_join(F.transform("path", lambda p: F.hex(p["siblings"])), "")).alias("siblings"))
+    met = steps.groupBy("first").agg(F.max_by("folded", "step").alias("folded"), path.alias("path"))
+    return met.select("first", "folded", F.lower(F.array_join(F.transform("path", lambda p: F.hex(p["siblings"])), "")).alias("siblings"))
 
 
 def manifest(
     docs: DataFrame, tampered: Column | None = None, changed: Column | None = None, fields: tuple[str, ...] = FIELDS,
-    id_column: str = "doc_id", source_column: str = "source", fanout: int = FANOUT, piece: int = PIECE,
+    id_column: str = "doc_id", source_column: str = "source", fanout: int = FANOUT, depth: int = DEPTH, piece: int = PIECE,
 ) -> DataFrame:
     """One row per row of ``docs``: the id column, leaf, subroot (of its source),
     root, siblings (the proof's digests as one hex text), folded_root, verified.
@@ -181,31 +211,35 @@ def manifest(
     tampered = chosen_by_id(F.col(id_column)) if tampered is None else F.coalesce(tampered, F.lit(False))
     changed = without_breaks(F.col("text")) if changed is None else changed
     leaves, sources = _leaves(docs, tampered, changed, fields, id_column, source_column)
-    first = leaves.select("start", "n", (F.col("rank") - F.col("start")).alias("at"), F.col("rank").alias("id"), F.col("rank").alias("first"), F.col("rank").alias("last"), F.col("leaf").alias("hash"))
-    runs, tops, level = _levels(first, 1, fanout)
+    blocks = stored(_blocks(leaves, fanout, depth), "merkle-blocks")
+    runs, tops, level = _levels(blocks.select("start", "n", "at", F.col("first").alias("id"), "first", "last", "hash"), 1, fanout)
     if not tops:
         empty = docs.select(F.col(id_column), *[F.lit("").alias(c) for c in ("leaf", "subroot", "root", "siblings", "folded_root")])
         return empty.withColumn("verified", F.lit(False)).where("false")
     subroots = tops[0]
     for top in tops[1:]:
         subroots = subroots.unionByName(top)
-    subroots = stored(subroots.select("id", "first", "last", "hash"), "merkle-subroots")
+    subroots = stored(subroots.select("start", "id", "first", "last", "hash"), "merkle-subroots")
     ranked = _ranked(subroots, ["first"], "merkle-subroot-ranges").withColumnRenamed("rank", "at")
     trees = ranked.select(F.lit(0).cast("long").alias("start"), F.lit(subroots.count()).cast("long").alias("n"), "at", "id", "first", "last", "hash")
     upper, peak, _ = _levels(trees, level + 1, fanout)
     root = peak[-1].first()["hash"]
-    base = leaves.select("rank", F.expr(f"rank div {piece}").alias("piece"), F.col("rank").alias("id"), F.unhex("tampered_leaf").alias("hash"))
-    linked = [_linked(r, piece) for r in runs + upper]
+    share = piece * fanout**depth
+    base = blocks.select("first", F.expr(f"first div {share}").alias("piece"), "folded")
+    linked = [_linked(r, share) for r in runs + upper]
     if linked:
         nodes = linked[0]
         for more in linked[1:]:
             nodes = nodes.unionByName(more)
         climbed = climb(base, stored(nodes, "merkle-nodes"))
-    else:  # a single leaf is the root
-        climbed = base.select("rank", F.lower(F.hex("hash")).alias("folded"), F.lit("").alias("siblings"))
-    named = sources.join(subroots.select(F.col("first").alias("start"), F.col("hash").alias("subroot")), "start")
-    out = leaves.drop("start", "n").join(checked_broadcast(named.select("part", "source_key", "subroot")), ["part", "source_key"]).join(climbed, "rank")
+    else:  # one block is all there is
+        climbed = base.select("first", "folded", F.lit("").alias("siblings"))
+    # A source in a part: no more rows of one of them than the part has.
+    named = sources.join(subroots.select("start", F.col("hash").alias("subroot")), "start").select("part", "start", "subroot")
+    out = blocks.drop("folded", "hash").join(checked_broadcast(named), ["part", "start"]).join(climbed, "first")
+    out = out.select("subroot", "siblings", "folded", F.posexplode("leaves").alias("place", "row"))
+    folded = F.lower(F.hex(F.get("folded", F.col("place"))))
     return out.select(
-        F.col("key").alias(id_column), "leaf", "subroot", F.lit(root).alias("root"), "siblings",
-        F.col("folded").alias("folded_root"), (F.col("folded") == F.lit(root)).alias("verified"),
+        F.col("row.key").alias(id_column), F.col("row.leaf").alias("leaf"), "subroot", F.lit(root).alias("root"),
+        F.concat("row.path", "siblings").alias("siblings"), folded.alias("folded_root"), (folded == F.lit(root)).alias("verified"),
     )
