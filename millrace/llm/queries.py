@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_count, exact_dedup, license_scan, line_dedup, merkle, metric_search, mixing, ngram_join, packing, toxicity, url_filter
+from millrace.llm import bpe_count, exact_dedup, license_scan, line_dedup, merkle, metric_search, mixing, ngram_join, packing, passages, phrases, toxicity, url_filter
 from millrace.plans.registry import Registry, table
 
 R = Registry()
@@ -163,6 +163,51 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+PASSAGES_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 34], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM w)),
+again AS (SELECT doc_id, pos FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM again),
+lists AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(words, ' ')
+    ELSE array_to_string(list_where(words, list_transform(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i))), ' ') END) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)
+"""
+
+
+@R.query("op12_passage_dedup", PASSAGES_SQL)
+def op12_passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = passages.without_repeats(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces),
+f AS (SELECT lang, k, array_to_string(words[pos:pos + k - 1], ' ') AS phrase, count(*) AS f
+  FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE pos + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+long AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1),
+covers AS (SELECT lang, array_to_string(p[i:i + j - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, p, a, k, unnest(range(2, k)) AS j FROM long), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i + j - 1 <= k GROUP BY ALL),
+kept AS (SELECT long.* FROM long LEFT JOIN covers USING (lang, phrase) WHERE covers.a IS NULL OR covers.a < long.a),
+cuts AS (SELECT lang, phrase, k, a, c, array_to_string(p[:c], ' ') AS head, array_to_string(p[c + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, l.f AS l, r.f AS r, n, c, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.phrase = head JOIN f AS r ON r.lang = cuts.lang AND r.phrase = tail JOIN n ON n.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst) WHERE rank <= 2000
+"""
+
+
+@R.query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 @R.query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
