@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,35 +24,39 @@ from millrace.skew import (
     skew_join,
 )
 
+# What stands for NULL beside the flag that says so; any value of the type does.
+FILLERS = {
+    T.StringType: "", T.BinaryType: b"", T.BooleanType: False, T.ByteType: 0, T.ShortType: 0, T.IntegerType: 0, T.LongType: 0,
+    T.DecimalType: 0, T.FloatType: 0.0, T.DoubleType: 0.0, T.DateType: datetime.date(1970, 1, 1),
+    T.TimestampType: datetime.datetime(1970, 1, 1), T.TimestampNTZType: datetime.datetime(1970, 1, 1),
+}
+
+
 def null_safe_join(
-    left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner", hot_rows: int | None = None
+    left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner", hot_rows: int | None = None,
+    unique_right: bool = False,
 ) -> DataFrame:
     """Join on ``<=>`` for each (left column, right column): NULL matches NULL.
 
     Each key column becomes a pair of columns, is NULL or not and its value or a
     filler, which an ordinary join compares; so hot keys, NULL among them, are
-    split like any other. The sides' columns must not share names.
+    split like any other. The sides' columns must not share names. Arrays and
+    structs, and pairs of different types, are left to Spark's own comparison.
     """
     keys = [f"_key_{i}{part}" for i in range(len(pairs)) for part in ("n", "v")]
+    kinds = [left.schema[a].dataType for a in pairs]
+    if not all(k == right.schema[b].dataType and type(k) in FILLERS for k, b in zip(kinds, pairs.values())):
+        cond = reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
+        return left.join(right, cond, how)
 
     def keyed(df: DataFrame, names: list[str]) -> DataFrame:
         cols = []
-        for i, (a, b) in enumerate(pairs.items()):
-            kind = left.schema[a].dataType if left.schema[a].dataType == right.schema[b].dataType else T.StringType()
-            filler = F.lit("0").cast(kind) if not isinstance(kind, T.StringType) else F.lit("")
-            c = F.col(names[i])
-            cols += [c.isNull().alias(f"_key_{i}n"), F.coalesce(c.cast(kind), filler).alias(f"_key_{i}v")]
+        for i, (name, kind) in enumerate(zip(names, kinds)):
+            c = F.col(f"`{name}`")
+            cols += [c.isNull().alias(f"_key_{i}n"), F.coalesce(c, F.lit(FILLERS[type(kind)]).cast(kind)).alias(f"_key_{i}v")]
         return df.select("*", *cols)
 
-    same = all(
-        left.schema[a].dataType == right.schema[b].dataType
-        and isinstance(left.schema[a].dataType, (T.StringType, T.IntegralType, T.DecimalType))
-        for a, b in pairs.items()
-    )
-    if not same:  # types without a filler, or different ones: Spark's own null-safe comparison
-        cond = reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
-        return left.join(right, cond, how)
-    joined = skew_join(keyed(left, list(pairs)), keyed(right, list(pairs.values())), keys, how, hot_rows)
+    joined = skew_join(keyed(left, list(pairs)), keyed(right, list(pairs.values())), keys, how, hot_rows, unique_right=unique_right)
     return joined.drop(*keys)
 
 

@@ -8,6 +8,7 @@ piece, and a summary with one row per piece supplies what came before.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from millrace.operators.joins import null_safe_join
 from millrace.scratch import materialize
 from millrace.skew import HotKey, checked_broadcast, hot_keys, lookup
 
@@ -107,14 +109,26 @@ def _cut(df: DataFrame, keys: list[str], order: Order, hot: list[HotKey]) -> Dat
     cut_type = T.StructType([T.StructField(n, df.schema[n].dataType) for n in names])
     schema = T.StructType(
         [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField(CUTS, T.ArrayType(cut_type))]
-    )
-    # One row per hot key, a bounded number of cut points each.
-    bounds = df.sparkSession.createDataFrame([(*k, v) for k, v in cuts.items()], schema)
-    passed = F.size(F.filter(F.col(CUTS), lambda c: _at_or_before(c, order)))
-    return lookup(df, F.broadcast(bounds), keys).withColumn(
-        PIECE, F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(passed)
+        + [T.StructField(CUTS, T.ArrayType(T.ArrayType(cut_type)))]
     )
+    # One row per hot key, a bounded number of cut points each, in two levels.
+    bounds = df.sparkSession.createDataFrame([(*k, _two_levels(v)) for k, v in cuts.items()], schema)
+    return lookup(df, F.broadcast(bounds), keys).withColumn(PIECE, _passed(lambda c: _at_or_before(c, order)))
+
+
+def _two_levels(cuts: list) -> list[list]:
+    """Runs of about the square root of the number of cut points."""
+    size = max(1, math.isqrt(len(cuts)))
+    return [cuts[i : i + size] for i in range(0, len(cuts), size)]
+
+
+def _passed(test: Callable[[Column], Column]) -> Column:
+    """How many cut points pass ``test``; those that do come first. Whole runs by
+    their first point, then the last run begun: 20,000 points take some 280 tests."""
+    begun = F.size(F.filter(F.col(CUTS), lambda run: test(run[0])))
+    inside = F.size(F.filter(F.get(F.col(CUTS), begun - 1), test))
+    some = (begun - 1) * F.size(F.get(F.col(CUTS), F.lit(0))) + inside
+    return F.when(F.col(CUTS).isNull() | (begun == 0), F.lit(0)).otherwise(some)
 
 
 # ---------------------------------------------------------------- running functions
@@ -297,10 +311,80 @@ def following(
 ) -> DataFrame:
     """Frames from the current row to the end of the partition: what ``running``
     gives in the reverse order. The order must be total, so that rows and their
-    peers are the same; ``first_value`` there is the last value of the partition."""
+    peers are the same (``over_ties`` needs no such order); ``first_value`` there
+    is the last value of the partition."""
     return running(df, keys, backwards(order), functions, hot_rows)
 
 
+# ---------------------------------------------------------------- ties
+
+TIED = {"rank", "dense_rank", "percent_rank", "cume_dist", "count", "sum", "avg", "min", "max"}
+
+
+def over_ties(
+    df: DataFrame, keys: list[str], order: Order, functions: dict[str, tuple], hot_rows: int | None = None,
+    onward: bool = False,
+) -> DataFrame:
+    """Ranks and running aggregates (the default frame, which takes in the
+    current row's peers) where many rows may be equal in the order.
+
+    Equal rows are first reduced to one row per key and order value with their
+    number and sums; the window runs over those and is joined back, the rows of a
+    popular value split over tasks. So no task holds all rows of a value or a key.
+    ``functions`` are those of ``running`` but for row numbers, tiles and single
+    values, which ties leave open. With ``onward`` frames reach from the current
+    row and its peers to the end of the partition, and ranks count from there.
+    """
+    if not {name for name, *_ in functions.values()} <= TIED:
+        raise ValueError(f"only {sorted(TIED)} are settled among ties")
+    names = list(dict.fromkeys([*keys, *[c for c, _ in order]]))
+    order = backwards(order) if onward else order
+    w = plain_window(keys, order)
+    types = df.select(*[_plain(fn, w, w).alias(n) for n, fn in functions.items()]).schema
+    parts: dict[str, Column] = {"_tie_n": F.count(F.lit(1))}
+    carried: dict[str, tuple] = {"_tie_upto": ("sum", "_tie_n"), "_tie_rank": ("row_number",)}
+    for out, (name, *args) in functions.items():
+        if name in ("sum", "avg"):
+            parts[f"_tie_s_{out}"] = F.sum(_column(args[0]))
+        if name in ("avg", "count") and args:
+            parts[f"_tie_c_{out}"] = F.count(_column(args[0]))
+        if name in ("min", "max"):
+            parts[f"_tie_s_{out}"] = getattr(F, name)(_column(args[0]))
+            carried[f"_tie_r_s_{out}"] = (name, f"_tie_s_{out}")
+    for part in parts:
+        if part != "_tie_n":
+            carried.setdefault(f"_tie_r_{part[5:]}", ("sum", part))
+    peers = materialize(df.groupBy(*names).agg(*[c.alias(n) for n, c in parts.items()]), "peers")
+    ranked = running(peers, keys, order, carried, hot_rows)
+    if {name for name, *_ in functions.values()} & {"percent_rank", "cume_dist"}:
+        ranked = over_partition(ranked, keys, {"_tie_all": F.sum("_tie_n")}, hot=None) if keys else (
+            ranked.crossJoin(F.broadcast(peers.agg(F.sum("_tie_n").alias("_tie_all"))))  # one row
+        )
+    rank = F.col("_tie_upto") - F.col("_tie_n") + 1
+
+    def result(out: str, name: str, args: list) -> Column:
+        if name == "rank":
+            return rank
+        if name == "dense_rank":
+            return F.col("_tie_rank")
+        if name == "percent_rank":
+            return F.when(F.col("_tie_all") > 1, (rank - 1) / (F.col("_tie_all") - 1)).otherwise(F.lit(0.0))
+        if name == "cume_dist":
+            return F.col("_tie_upto") / F.col("_tie_all")
+        if name == "count":
+            return F.col(f"_tie_r_c_{out}") if args else F.col("_tie_upto")
+        if name == "avg":
+            return F.col(f"_tie_r_s_{out}") / F.col(f"_tie_r_c_{out}")
+        return F.col(f"_tie_r_s_{out}")
+
+    results = ranked.select(
+        *[F.col(c).alias(f"_tie_k_{c}") for c in names],
+        *[result(out, name, args).cast(types[out].dataType).alias(out) for out, (name, *args) in functions.items()],
+    )
+    joined = null_safe_join(df, results, {c: f"_tie_k_{c}" for c in names}, "inner", hot_rows, unique_right=True)
+    return joined.select(*df.columns, *functions)
+
+
 # ---------------------------------------------------------------- bounded frames
 
 
@@ -374,8 +458,7 @@ def near_values(
     marked = _cut(df, keys, [(value, "asc")], hot)
 
     def block_of(x: Column) -> Column:
-        passed = F.size(F.filter(F.col(CUTS), lambda c: c[value] <= x))
-        return F.when(F.col(CUTS).isNull() | x.isNull(), F.col(PIECE)).otherwise(passed)
+        return F.when(F.col(CUTS).isNull() | x.isNull(), F.col(PIECE)).otherwise(_passed(lambda c: c[value] <= x))
 
     first, last = block_of(F.col(value) - following), block_of(F.col(value) + preceding)
     copies = marked.withColumn(HOME, F.col(PIECE)).withColumn(BLOCK, F.explode(F.sequence(first, last)))

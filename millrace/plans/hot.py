@@ -40,6 +40,34 @@ def running_hot(spark, sf):
                       "first_price", "last_price")
 
 
+@query("ranking_ties_hot", """
+    SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr,
+           round(cume_dist() OVER w, 9) AS cd, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS total,
+           round(avg(o_totalprice) OVER w, 4) AS mean, min(o_totalprice) OVER w AS low, max(o_totalprice) OVER w AS top
+    FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)""")
+def ranking_ties_hot(spark, sf):
+    # Each order value has thousands of rows; all keys and values count as hot here.
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    out = W.over_ties(o, ["o_orderstatus"], [("o_orderpriority", "asc")], {
+        "rk": ("rank",), "dr": ("dense_rank",), "pr": ("percent_rank",), "cd": ("cume_dist",), "n": ("count",),
+        "total": ("sum", "o_totalprice"), "mean": ("avg", "o_totalprice"), "low": ("min", "o_totalprice"), "top": ("max", "o_totalprice"),
+    }, hot_rows=2)
+    return out.select(
+        "o_orderkey", F.col("rk").cast("bigint").alias("rk"), F.col("dr").cast("bigint").alias("dr"), F.round("pr", 9).alias("pr"),
+        F.round("cd", 9).alias("cd"), "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "low", "top",
+    )
+
+
+@query("following_ties_hot", """
+    SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS total, max(o_custkey) OVER w AS top
+    FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def following_ties_hot(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    out = W.over_ties(o, ["o_orderstatus"], [("o_orderpriority", "asc")], {
+        "n": ("count",), "total": ("sum", "o_totalprice"), "top": ("max", "o_custkey")}, hot_rows=HOT, onward=True)
+    return out.select("o_orderkey", "n", F.round("total", 2).alias("total"), "top")
+
+
 @query("following_hot", """
     SELECT o_orderkey, round(sum(v) OVER w, 2) AS onward, min(v) OVER w AS low, max(v) OVER w AS top, count(v) OVER w AS n,
            last_value(o_totalprice) OVER w AS last_price

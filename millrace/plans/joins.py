@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.tables import temporary_database
 from millrace.operators import joins
+from millrace.operators.inequality import inequality_counts, inequality_join
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize
 from millrace.skew import skew_join
@@ -236,6 +237,32 @@ def join_theta(spark, sf):
     )
 
 
+@query("join_inequality", """
+    SELECT o_orderpriority, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty
+    FROM orders JOIN lineitem ON o_orderdate > l_shipdate AND 20 * o_totalprice < l_extendedprice
+    GROUP BY o_orderpriority, l_returnflag""")
+def join_inequality(spark, sf):
+    # Orders placed after a line was shipped and worth a twentieth of it: neither side is small.
+    o = table(spark, sf, "orders").selectExpr("o_orderpriority", "o_orderdate", "20 * o_totalprice AS twenty")
+    l = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_shipdate", "l_extendedprice")
+    pairs = inequality_join(o, l, ("o_orderdate", ">", "l_shipdate"), ("twenty", "<", "l_extendedprice"))
+    return pairs.groupBy("o_orderpriority", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")
+    )
+
+
+@query("join_inequality_counts", """
+    SELECT p.o_orderkey, count(q.o_orderkey) AS better
+    FROM orders p LEFT JOIN orders q ON q.o_orderdate >= p.o_orderdate AND q.o_totalprice > p.o_totalprice
+    GROUP BY p.o_orderkey""")
+def join_inequality_counts(spark, sf):
+    # How many later orders are worth more: far more pairs than rows, counted where they meet.
+    p = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    q = p.select(F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
+    done = inequality_counts(p, q, ("o_orderdate", "<=", "d"), ("o_totalprice", "<", "v"), "better")
+    return done.select("o_orderkey", "better")
+
+
 @query("join_self", """
     SELECT a.role AS role, b.role AS next_role, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS chars
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1

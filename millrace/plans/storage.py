@@ -5,8 +5,8 @@ from pyspark.sql import types as T
 
 from millrace.catalog.tables import Insert, MEMORY, TableCatalog, temporary_database
 from millrace.plans.registry import Registry, table
-from millrace.scratch import materialize, new_dir
-from millrace.sources import scans, sinks, text_formats
+from millrace.scratch import materialize, new_dir, new_name
+from millrace.sources import scans, sinks, text_formats, text_source
 from millrace.streaming import incremental
 
 R = Registry()
@@ -113,6 +113,42 @@ def source_regex(spark, sf):
     return text_formats.parse_regex(spark.read.text(path), r"(\d+)\|(.+)", ["k", "p"])
 
 
+@query("source_registered_format", """
+    SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS price FROM orders
+    WHERE o_orderkey BETWEEN 100 AND 40000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def source_registered_format(spark, sf):
+    path = new_dir(spark, "order_text")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.array("o_orderstatus").alias("tags"))
+    text_formats.render_delimited(o).write.text(path)
+    text_source.register(spark)
+    columns = "o_orderkey bigint, o_orderpriority string, o_totalprice double, tags array<string>"
+    back = spark.read.format("delimited_text").schema(columns).options(
+        path=path, split_bytes=str(1 << 20), columns="o_orderkey,o_orderpriority,o_totalprice").load()
+    # The reader gets both filters and parses the prices of the lines that pass.
+    kept = back.where("o_orderkey BETWEEN 100 AND 40000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    return kept.select("o_orderkey", "o_orderpriority", F.round("o_totalprice", 2).alias("price"))
+
+
+@query("create_text_table", """
+    SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nations,
+           count(CASE WHEN c_nationkey % 5 = 0 THEN 1 END) AS fifth
+    FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY c_mktsegment""")
+def create_text_table(spark, sf):
+    plain, matched = new_dir(spark, "customer_lines"), new_dir(spark, "customer_pattern")
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    c.select(F.concat_ws("|", *c.columns).alias("value")).write.text(plain)
+    c.select(F.concat_ws(" ", F.lit("key"), "c_custkey", F.lit("nation"), "c_nationkey").alias("value")).write.text(matched)
+    one, two = new_name("customers"), new_name("nations")
+    text_source.create_text_table(spark, one, "k bigint, segment string, nation int", plain, field="|")
+    text_source.create_text_table(spark, two, "k string, nation string", matched, "regex_text", pattern=r"key (\d+) nation (\d*[05])")
+    joined = spark.sql(f"""
+        SELECT a.segment, count(*) AS n, sum(a.nation) AS nations, count(b.k) AS fifth
+        FROM {one} a LEFT JOIN {two} b ON a.k = CAST(b.k AS BIGINT) WHERE a.segment <> 'BUILDING' GROUP BY a.segment""")
+    for name in (one, two):
+        spark.catalog.dropTempView(name)
+    return joined
+
+
 @query("source_orc_roundtrip", """
     SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem
     WHERE l_quantity > 25 GROUP BY l_returnflag""")

@@ -150,3 +150,64 @@ def test_windows_over_one_key_share_a_shuffle(skewed):
     df = W.running(skewed, ["k"], [("u", "asc")], {"s": ("sum", "v")}, hot=[])
     plan = W.over_partition(df, ["k"], {"n": F.count(F.lit(1))}, [])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(k") == 1
+
+
+# --- ties ----------------------------------------------------------------------
+
+
+TIE_SQL = """SELECT id, rank() OVER w AS rk, dense_rank() OVER w AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd,
+    count(*) OVER w AS n, count(v) OVER w AS nv, sum(v) OVER w AS total, avg(v) OVER w AS mean, min(v) OVER w AS low, max(v) OVER w AS top
+    FROM tied WINDOW w AS (PARTITION BY k ORDER BY {order})"""
+TIE_FUNCTIONS = {
+    "rk": ("rank",), "dr": ("dense_rank",), "pr": ("percent_rank",), "cd": ("cume_dist",), "n": ("count",), "nv": ("count", "v"),
+    "total": ("sum", "v"), "mean": ("avg", "v"), "low": ("min", "v"), "top": ("max", "v"),
+}
+
+
+def _tied(spark):
+    rows = spark.range(400).selectExpr(
+        "id", "nullif(CAST(id % 3 AS INT), 2) AS k", "nullif(DATE'2024-01-01' + CAST(id % 4 AS INT), DATE'2024-01-01') AS d",
+        "CASE WHEN id % 5 = 0 THEN double('NaN') ELSE CAST(id % 5 AS DOUBLE) END AS x", "nullif(id % 11, 3) AS v")
+    rows.createOrReplaceTempView("tied")
+    return rows
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+@pytest.mark.parametrize("order", [[("d", "asc")], [("x", "desc"), ("d", "asc")]])
+def test_over_ties(spark, hot_rows, order):
+    rows = _tied(spark)
+    out = W.over_ties(rows, ["k"], order, TIE_FUNCTIONS, hot_rows)
+    want = spark.sql(TIE_SQL.format(order=", ".join(" ".join(o) for o in order)))
+    assert out.select("id", *TIE_FUNCTIONS).dtypes == want.dtypes
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("id", *TIE_FUNCTIONS).collect())
+    assert rounded(out) == rounded(want)
+
+
+def test_over_ties_onward_and_without_keys(spark):
+    rows = _tied(spark)
+    out = W.over_ties(rows, [], [("d", "asc")], {"n": ("count",), "total": ("sum", "v"), "cd": ("cume_dist",)}, 3, onward=True)
+    want = spark.sql("SELECT id, count(*) OVER w AS n, sum(v) OVER w AS total, cume_dist() OVER (ORDER BY d DESC) AS cd FROM tied WINDOW w AS (ORDER BY d RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+    assert sorted(map(tuple, out.select("id", "n", "total", "cd").collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="ties"):
+        W.over_ties(rows, [], [("d", "asc")], {"n": ("row_number",)})
+
+
+def test_a_popular_value_is_no_single_task(spark, monkeypatch):
+    """Nine tenths of the rows share key and value; the join back deals them out."""
+    rows = spark.range(20_000).selectExpr("id", "1 AS k", "CASE WHEN id % 10 = 0 THEN id ELSE 0 END AS d")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = W.over_ties(rows, ["k"], [("d", "asc")], {"rk": ("rank",)}, hot_rows=500)
+        largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert largest < 8_000  # of 20,000 rows over 8 partitions; 18,000 share the value
+
+
+def test_cut_points_in_two_levels(spark):
+    for n in (0, 1, 2, 3, 10, 50):
+        cuts = W._two_levels([{"v": i} for i in range(0, 2 * n, 2)])
+        df = spark.createDataFrame([(cuts, x) for x in range(-1, 2 * n + 1)], "_cuts array<array<struct<v:int>>>, x int")
+        got = df.select("x", W._passed(lambda c: c["v"] <= F.col("x")).alias("p")).collect()
+        assert all(r["p"] == max(0, min(n, r["x"] // 2 + 1)) for r in got)
