@@ -112,10 +112,11 @@ def exact_percentiles(
     return lookup(totals.drop("_all"), found, keys) if keys else found  # groups of NULLs only stay
 
 
-def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """compute_stats for every column, one row each, from one aggregate.
 
-    ``exact=False`` estimates distinct counts with a sketch: no distinct shuffle.
+    Distinct counts are estimated with a sketch. ``exact=True`` counts them, with
+    a copy of each row per column and a shuffle of all distinct values.
     """
     distinct = F.count_distinct if exact else F.approx_count_distinct
     parts, rows = [F.count(F.lit(1)).alias("_rows")], []

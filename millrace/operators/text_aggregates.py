@@ -35,6 +35,11 @@ def _top(runs: DataFrame, places: list[str], k: int) -> DataFrame:
     )
 
 
+def ngrams(sentences: DataFrame, n: int) -> DataFrame:
+    """Every run of ``n`` consecutive words as one text, a row each (``ngram``)."""
+    return _windows(sentences, n).select(F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("ngram"))
+
+
 def top_ngrams(sentences: DataFrame, n: int, k: int) -> DataFrame:
     """The k most frequent n-grams, ties by text. ``sentences`` has an array
     column ``words``. Exact: counts are combined per task before the shuffle."""

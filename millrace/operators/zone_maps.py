@@ -2,6 +2,7 @@
 
 A zone map is a DataFrame with one row per block: ``block``, ``n_rows`` and for
 each column ``min_c``, ``max_c``, ``nulls_c``. NULLs stay outside min and max.
+``distinct_c`` is a sketch of the distinct values where one was asked for.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.sketches import distinct_sketch
 from millrace.skew import checked_broadcast
 
 BLOCK = "block"
 MAX_FILE_LIST = 200_000
 
 
-def zone_map(df: DataFrame, block: Column, columns: list[str]) -> DataFrame:
+def zone_map(df: DataFrame, block: Column, columns: list[str], distinct: list[str] | None = None) -> DataFrame:
+    """Statistics of each block in one pass; ``distinct`` names the columns whose
+    distinct values are sketched as well."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs += [distinct_sketch(c, df.schema[c].dataType).alias(f"distinct_{c}") for c in distinct or []]
     for c in columns:
         aggs += [
             F.min(c).alias(f"min_{c}"),
@@ -38,7 +43,7 @@ def merge_zone_maps(*maps: DataFrame) -> DataFrame:
     aggs = []
     for c in both.columns:
         if c != BLOCK:
-            merge = F.min if c.startswith("min_") else F.max if c.startswith("max_") else F.sum
+            merge = F.min if c.startswith("min_") else F.max if c.startswith("max_") else F.hll_union_agg if c.startswith("distinct_") else F.sum
             aggs.append(merge(c).alias(c))
     return both.groupBy(BLOCK).agg(*aggs)
 

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as A
+from millrace.operators import sketches as S
 from millrace.operators import text_aggregates as X
 from millrace.plans.registry import Registry, table
+from millrace.scratch import materialize
 from millrace.sources.scans import spread_small
 
 R = Registry()
@@ -190,20 +192,45 @@ def agg_percentile(spark, sf):
     return exact.select("o_orderstatus", *[F.round(p, 4).alias(p) for p in points])
 
 
-@query("agg_percentile_approx")
-def agg_percentile_approx(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p50"),
-        F.percentile_approx("l_extendedprice", 0.9, 10000).alias("p90"),
-    )
+WITHIN_SQL = """
+    SELECT l_returnflag, point, true AS within FROM (SELECT DISTINCT l_returnflag FROM lineitem) t, (SELECT unnest({points}) AS point) p"""
 
 
-@query("agg_histogram")
+@query("agg_percentile_approx", WITHIN_SQL.format(points="['p50', 'p90']"))
+def agg_percentile_approx(spark, sf):
+    """Spark's approximate percentiles, checked: ranks within a thousandth."""
+    l = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    points = {"p50": 0.5, "p90": 0.9}
+    told = l.groupBy("l_returnflag").agg(*[F.percentile_approx("l_extendedprice", p, 10000).alias(n) for n, p in points.items()])
+    errors = S.rank_errors(l, ["l_returnflag"], "l_extendedprice", told, points)
+    return errors.select("l_returnflag", "point", (F.col("error") <= 1e-3).alias("within"))
+
+
+@query("agg_percentile_sketch", WITHIN_SQL.format(points="['p01', 'p50', 'p90', 'p999']"))
+def agg_percentile_sketch(spark, sf):
+    """Quantiles from sketches of blocks, merged per group; ranks within 1 %."""
+    l = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", F.expr("l_orderkey div 5000").alias("block"))
+    points = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p999": 0.999}
+    blocks = materialize(S.quantile_sketches(l, ["l_returnflag", "block"], "l_extendedprice"), "quantile-sketches")
+    told = S.sketched_quantiles(S.merge_quantile_sketches(blocks, ["l_returnflag"]), points)
+    errors = S.rank_errors(l, ["l_returnflag"], "l_extendedprice", told, points)
+    return errors.select("l_returnflag", "point", (F.col("error") <= 0.01).alias("within"))
+
+
+@query("agg_histogram", """
+    SELECT o_orderstatus, CAST(least(10, count(DISTINCT o_totalprice)) AS BIGINT) AS bins, count(*) AS n, true AS ordered, true AS mean_within
+    FROM orders GROUP BY o_orderstatus""")
 def agg_histogram(spark, sf):
-    bins = table(spark, sf, "orders").groupBy("o_orderstatus").agg(
-        F.histogram_numeric("o_totalprice", F.lit(10)).alias("h")
+    """Histograms of ten bins: all rows are in them, centers rise, and their mean is the values'."""
+    o = table(spark, sf, "orders")
+    bins = o.groupBy("o_orderstatus").agg(F.histogram_numeric("o_totalprice", F.lit(10)).alias("h"), F.avg("o_totalprice").alias("mean"))
+    total = F.aggregate("h", F.lit(0.0), lambda a, b: a + b["y"])
+    weighted = F.aggregate("h", F.lit(0.0), lambda a, b: a + b["x"] * b["y"])
+    return bins.select(
+        "o_orderstatus", F.size("h").cast("bigint").alias("bins"), F.round(total).cast("bigint").alias("n"),
+        (F.transform("h", lambda b: b["x"]) == F.array_sort(F.transform("h", lambda b: b["x"]))).alias("ordered"),
+        (F.abs(weighted / total - F.col("mean")) < 1e-6 * F.col("mean")).alias("mean_within"),
     )
-    return bins.select("o_orderstatus", F.inline("h")).withColumnsRenamed({"x": "center", "y": "height"})
 
 
 @query("agg_collect_set", """
@@ -231,6 +258,17 @@ def agg_ngrams(spark, sf):
     return X.top_ngrams(X.sentence_words(d, "text"), 2, 20)
 
 
+@query("agg_ngrams_bounded", f"""
+    SELECT ngram, count(*) AS frequency FROM
+      (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram
+       FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
+    GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
+def agg_ngrams_bounded(spark, sf):
+    # Summaries of fixed size find the candidates, a second pass counts them.
+    d = spread_small(table(spark, sf, "documents").select("text"))
+    return S.frequent_exactly(X.ngrams(X.sentence_words(d, "text"), 2), 20).withColumnRenamed("item", "ngram")
+
+
 @query("agg_context_ngrams", f"""
     SELECT ngram, count(*) AS frequency FROM
       (SELECT unnest(list_transform(list_filter(range(1, len(w)), lambda i: w[i] = 'the'), lambda i: w[i + 1])) AS ngram
@@ -257,7 +295,7 @@ def agg_compute_stats(spark, sf):
     c = table(spark, sf, "customer").selectExpr(
         "c_custkey", "c_nationkey", "nullif(c_mktsegment, 'BUILDING') AS seg", "c_name"
     )
-    return A.column_stats(c).drop("n_true", "n_false")
+    return A.column_stats(c, exact=True).drop("n_true", "n_false")
 
 
 @query("agg_salted_two_level", """

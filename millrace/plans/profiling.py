@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import profiles
 from millrace.operators import zone_maps as Z
+from millrace.operators.sketches import distinct_estimates
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize
 
@@ -43,6 +44,24 @@ def zone_map_append(spark, sf):
     return Z.merge_zone_maps(_line_zones(l.where("l_returnflag = 'R'")), _line_zones(l.where("l_returnflag <> 'R'")))
 
 
+@query("zone_map_distinct", """
+    SELECT block, count(*) AS n_rows, true AS keys_within, true AS parts_within FROM (SELECT l_orderkey // 1000 AS block FROM lineitem) t GROUP BY block
+    UNION ALL SELECT NULL, count(*), true, true FROM lineitem""")
+def zone_map_distinct(spark, sf):
+    """Distinct values of blocks and of the table, from sketches merged on append,
+    within 5 % of the exact numbers."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    block, columns = F.expr("l_orderkey div 1000"), ["l_orderkey", "l_partkey"]
+    old, new = (Z.zone_map(l.where(f"l_returnflag {op} 'R'"), block, columns, columns) for op in ("=", "<>"))
+    zones = materialize(Z.merge_zone_maps(old, new), "zones")  # the old rows are not read again
+    told = distinct_estimates(zones, columns, ["block"]).unionByName(distinct_estimates(zones, columns), allowMissingColumns=True)
+    exact = l.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(c).alias(f"x_{c}") for c in columns])
+    whole = l.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(c).alias(f"x_{c}") for c in columns])
+    both = exact.unionByName(whole, allowMissingColumns=True).join(told.withColumnRenamed("block", "b"), F.col("block").eqNullSafe(F.col("b")))
+    near = lambda c: F.abs(F.col(c) - F.col(f"x_{c}")) <= 0.05 * F.col(f"x_{c}")
+    return both.select("block", "n_rows", near("l_orderkey").alias("keys_within"), near("l_partkey").alias("parts_within"))
+
+
 def _predicate():
     near = Z.Between("l_orderkey", 1010, 2345) | Z.literal_first(9700, "<", "l_orderkey")
     return near & Z.Compare("l_quantity", ">=", 45.0) & Z.Other("l_returnflag <> 'N'")
