@@ -5,9 +5,10 @@ are frequent there under a lowered threshold, level by level. One pass over all
 documents then counts exactly every phrase whose parts without its last and
 without its first word are proposed (or that is one word): the proposed phrases
 and their negative border. If a phrase that was not proposed turns out frequent,
-phrases built on it were missed: further passes count those whose parts are now
-known to be frequent and that no earlier pass counted, until none is new. The
-sample decides how many passes there are, never the result.
+phrases built on it were missed: an expansion pass counts those whose parts are
+now known to be frequent or were not counted either. A part that was counted and
+is not frequent rules a phrase out, so nothing is left open after it. The sample
+decides whether that pass is needed and how much it counts, never the result.
 
 Tasks test the parts against a Bloom filter, at most ``FILTER_BITS`` large whatever
 the input; what it lets through too much is counted in vain and nothing is lost.
@@ -24,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,18 @@ from millrace.operators.ordering import first_in_groups
 MAX_WORDS = 5
 MIN_COUNT = 100
 BEST = 2000
-SAMPLE = 8  # one document in so many proposes
-BLOCK = 1_500_000  # words that are counted together before they leave Python
+SAMPLE = 4  # one document in so many proposes
+BLOCK = 500_000  # words that are counted together before they leave Python
 FILTER_BITS = 1 << 29  # of the filter that all tasks hold: 64 MB
 BITS_PER_PHRASE = 16
 OUT_ROWS, OUT_BYTES = 100_000, 16_000_000  # about so much leaves Python at once
 SPREAD = 64  # parts of a language that are ranked on their own first
 
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTS = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "mark": pa.int64(), "known": pa.bool_(), "f": pa.int64()}
-COUNTS_SQL = "lang string, phrase string, words int, mark long, known boolean, f long"
+#: ``key``: language, a tab, and the phrase, which holds none; without one for all words of the language.
+COUNTS_SQL = "key string, f long"
+KNOWN_SQL = "lang string, phrase string, words int, f long, mark long, known boolean"
+KNOWN = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "f": pa.int64(), "mark": pa.int64(), "known": pa.bool_()}
 
 
 class Filter:
@@ -76,21 +80,31 @@ def filter_of(phrases: DataFrame) -> Filter:
 # ---------------------------------------------------------------- counting in tasks
 
 
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_CUT = _table(b".,;:!?\n\x0b\x0c\r")
+_WORD = ~(_CUT | _table(b" \t"))
+
+
 class Words:
-    """The words of a run of texts: bytes with one space after each word, where
-    words begin, two hashes of each, its piece and its language."""
+    """The words of a run of texts: bytes with one space after each word, their
+    lengths with it, hashes, pieces and languages."""
 
     def __init__(self) -> None:
-        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in ("data", "lens", "h1", "h2", "piece", "lang")}
+        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in ("data", "lens", "h", "piece", "lang")}
         self.held = self.pieces = 0
 
     def add(self, b: np.ndarray, ends: np.ndarray, langs: np.ndarray) -> None:
-        b = b + (((b >= 65) & (b <= 90)) * np.uint8(32))
-        cut = ((b >= 10) & (b <= 13)) | np.isin(b, np.frombuffer(b".,;:!?", np.uint8))
-        word = ~(cut | (b == 32) | (b == 9))
+        b = _LOWER[b]
+        cut, word = _CUT[b], _WORD[b]
         inner = word[:-1] & word[1:]
-        edges = ends[(ends > 0) & (ends < len(b))]
-        inner[edges - 1] = False
+        inner[ends[(ends > 0) & (ends < len(b))] - 1] = False
         starts = np.flatnonzero(word & ~np.concatenate(([False], inner))[: len(b)])
         if not len(starts):
             return
@@ -100,19 +114,18 @@ class Words:
         filled = np.ones(len(data), bool)
         filled[np.cumsum(lens) - 1] = False
         data[filled] = b[word]
-        breaks = np.zeros(len(b) + 1, np.int64)
-        np.cumsum(cut, out=breaks[1:])
+        breaks = np.flatnonzero(cut)
         doc = np.searchsorted(ends, starts, "right") - 1  # empty texts end where they start
-        piece = breaks[starts] + doc  # rises with every break and every text
+        piece = np.searchsorted(breaks, starts) + doc  # rises with every break and every text
         up, down = _power_tables(len(b) + 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
         h = _mixed((sums[stops] - sums[starts]) * down[starts])
-        values = (data, lens, h, _mixed(h ^ _SECOND), piece + self.pieces, langs[doc])
+        values = (data, lens.astype(np.int32), h, (piece + self.pieces).astype(np.int32), langs[doc].astype(np.int32))
         for name, v in zip(self.parts, values):
             self.parts[name].append(v)
         self.held += len(starts)
-        self.pieces += int(breaks[-1]) + len(ends)
+        self.pieces += len(breaks) + len(ends)
 
     def joined(self) -> dict[str, np.ndarray]:
         return {k: np.concatenate(v) for k, v in self.parts.items()}
@@ -131,59 +144,69 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int,
         first = last
 
 
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive words; the last n - 1 places get any."""
-    if n == 1:
-        return h
-    up, down = _power_tables(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    out = np.zeros(len(h), np.uint64)
-    m = max(0, len(h) - n + 1)
-    out[:m] = _mixed((sums[n:] - sums[:m]) * down[:m] + np.uint64(n))
-    return out
+class Runs:
+    """Hashes of consecutive words at given places, from running sums."""
 
+    def __init__(self, h: np.ndarray) -> None:
+        self.h, (up, self.down) = h, _power_tables(len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=self.sums[1:])
 
-def _candidates(marks: list[np.ndarray], whole: list[np.ndarray], proposed: Filter | None) -> list[np.ndarray]:
-    """Per level, the places of phrases whose parts are proposed, their own parts
-    too; a function of the phrase's words alone. Level 1 is all words."""
-    places, out = np.arange(len(marks[0])), []
-    for level, mark in enumerate(marks):
-        if level:
-            if proposed is None:
-                out.append(np.empty(0, np.int64))
-                continue
-            inside = np.zeros(len(mark) + 1, bool)
-            inside[places[proposed.has(marks[level - 1][places])]] = True
-            places = np.flatnonzero(inside[:-1] & inside[1:] & whole[level])
+    def at(self, places: np.ndarray, n: int) -> np.ndarray:
+        if n == 1:
+            return self.h[places]
+        return _mixed((self.sums[places + n] - self.sums[places]) * self.down[places] + np.uint64(n))
+
+
+def _candidates(marks, piece: np.ndarray, top: int, possible) -> list[np.ndarray]:
+    """Per level, the places of phrases both of whose parts are possible; level 1
+    is all words. ``possible(level, places, marks)`` tells for phrases of a level."""
+    places = np.arange(len(piece))
+    out = [places]
+    for level in range(1, top):
+        inside = np.zeros(len(piece) + 1, bool)
+        inside[places[possible(level, places, marks(places, level))]] = True
+        places = np.flatnonzero(inside[:-1] & inside[1:])
+        places = places[places + level < len(piece)]
+        places = places[piece[places + level] == piece[places]]
         out.append(places)
     return out
 
 
-def _counted(words: Words, langs: list[str], levels: set[int], proposed: Filter | None, before: list[Filter | None]) -> Iterator[pa.RecordBatch]:
+def _proposed(marks, piece: np.ndarray, top: int, proposals: Filter | None) -> list[np.ndarray]:
+    """What the first pass counts: a function of a phrase's words alone."""
+    return _candidates(marks, piece, top, lambda _, places, m: np.zeros(len(places), bool) if proposals is None else proposals.has(m))
+
+
+def _missed(marks, piece: np.ndarray, top: int, proposals: Filter | None, frequent: Filter) -> list[np.ndarray]:
+    """What the first pass did not count and may be frequent all the same."""
+    counted = []
+    for places in _proposed(marks, piece, top, proposals):
+        counted.append(np.zeros(len(piece), bool))
+        counted[-1][places] = True
+    found = _candidates(marks, piece, top, lambda level, places, m: frequent.has(m) | ~counted[level - 1][places])
+    return [places[~counted[level][places]] for level, places in enumerate(found)]
+
+
+def _counted(words: Words, langs: list[str], levels: set[int], filters: list[Filter | None]) -> Iterator[pa.RecordBatch]:
     w = words.joined()
-    n, begin = len(w["h1"]), np.cumsum(w["lens"]) - w["lens"]
-    names = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)[w["lang"]]
-    top = max(levels | {1})
-    runs = [_runs(w["h1"], k) for k in range(1, top + 1)]
-    marks = [_mixed(r ^ names) for r in runs]
-    # A phrase is whole if its last word is in the piece of its first.
-    whole = [np.concatenate((w["piece"][k:] == w["piece"][: n - k], np.zeros(min(k, n), bool)))[:n] for k in range(top)]
-    found = _candidates(marks, whole, proposed)
-    for old in before:
-        done = _candidates(marks, whole, old)
-        found = [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(found, done)]
+    n, begin = len(w["h"]), np.cumsum(w["lens"], dtype=np.int64) - w["lens"]
+    names = _names(langs)
+    first, second = Runs(w["h"]), Runs(_mixed(w["h"] ^ _SECOND))
+    marks = lambda places, k: _mixed(first.at(places, k) ^ names[w["lang"][places]])
+    top = max(levels)
+    found = _proposed(marks, w["piece"], top, *filters) if len(filters) == 1 else _missed(marks, w["piece"], top, *filters)
     for level in sorted(levels):
-        if level > len(found) or not len(found[level - 1]):
+        at = found[level - 1]
+        if not len(at):
             continue
-        at, mark = found[level - 1], marks[level - 1]
-        second = _runs(w["h2"], level)
-        order = at[np.argsort(mark[at], kind="stable")]
-        m, s = mark[order], second[order]
+        m, s = marks(at, level), second.at(at, level)
+        order = np.argsort(m)  # where two phrases share a mark their rows may be several, and are summed later
+        at, m, s = at[order], m[order], s[order]
         new = np.ones(len(order), bool)
         new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
         cuts = np.flatnonzero(new)
-        counts, firsts = np.diff(cuts, append=len(order)), order[cuts]
+        counts, firsts = np.diff(cuts, append=len(order)), at[cuts]
         ends = begin[firsts + level - 1] + w["lens"][firsts + level - 1] - 1
         share = np.cumsum(ends - begin[firsts]) // OUT_BYTES + np.arange(len(firsts)) // OUT_ROWS
         pieces = np.flatnonzero(np.diff(share, prepend=-1))
@@ -192,34 +215,62 @@ def _counted(words: Words, langs: list[str], levels: set[int], proposed: Filter
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             taken = w["data"][np.arange(offsets[-1]) + np.repeat(begin[f] - offsets[:-1], sizes)]
             phrase = pa.StringArray.from_buffers(len(f), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken))
-            known = np.zeros(len(f), bool) if proposed is None else proposed.has(mark[f])
-            yield pa.RecordBatch.from_arrays(
-                [pa.DictionaryArray.from_arrays(pa.array(w["lang"][f].astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string()), phrase,
-                 pa.array(np.full(len(f), level, np.int32)), pa.array(mark[f].view(np.int64)), pa.array(known), pa.array(c)],
-                names=list(COUNTS),
-            )
-    if 1 in levels:  # all words of each language, as a row without a phrase
+            lang = pa.array(langs, pa.string()).take(pa.array(w["lang"][f]))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, phrase, "\t"), pa.array(c)], names=["key", "f"])
+    if 1 in levels:
         totals = np.bincount(w["lang"], minlength=len(langs))
-        rows = [(x, int(c)) for x, c in zip(langs, totals) if c]
-        yield _batch({"lang": [x for x, _ in rows], "phrase": [None] * len(rows), "words": [0] * len(rows), "mark": [0] * len(rows), "known": [True] * len(rows), "f": [c for _, c in rows]}, COUNTS)
+        rows = [(x + "\t", int(c)) for x, c in zip(langs, totals) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["key", "f"])
+
+
+def _names(langs: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+
+
+def _told(filters):
+    """(key, f) rows of frequent phrases with their marks and whether all that is
+    built on them has been counted: so it is if they were proposed, and always in
+    the second pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [k.rpartition("\t") for k in batch.column("key").to_pylist()]
+            size = np.array([p.count(" ") + 1 if p else 0 for _, _, p in keys], np.int64)
+            words, texts = Words(), [p.encode() for _, _, p in keys]
+            ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            words.add(np.frombuffer(b"".join(texts), np.uint8), ends, np.zeros(len(texts), np.int64))
+            marks = np.zeros(len(keys), np.uint64)
+            some = np.flatnonzero(size)
+            if len(some):
+                h = Runs(words.joined()["h"])
+                starts = (np.cumsum(size) - size)[some]
+                for k in np.unique(size[some]):
+                    own = size[some] == k
+                    marks[some[own]] = h.at(starts[own], int(k))
+                marks[some] = _mixed(marks[some] ^ _names([keys[i][0] for i in some]))
+            given = filters.value
+            known = np.ones(len(keys), bool) if len(given) > 1 else np.zeros(len(keys), bool) if given[0] is None else given[0].has(marks)
+            yield _batch({"lang": [x for x, _, _ in keys], "phrase": [p or None for _, _, p in keys], "words": size.astype(np.int32),
+                          "f": batch.column("f"), "mark": marks.view(np.int64), "known": known}, KNOWN)
+
+    return run
 
 
 def _count(levels: set[int], filters, block: int):
-    """(lang, text) rows to counts of phrases. ``filters``: a broadcast list; the
-    last one proposes, what the others proposed was counted before."""
+    """(lang, text) rows to counts of phrases. ``filters``: a broadcast list, the
+    proposals; in an expansion pass the frequent phrases follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *before, proposed = filters.value
         words, langs = Words(), {}
         for batch in batches:
             own = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], np.int64)
             for data, ends, first, last in _texts(batch):
                 words.add(data, ends, own[first:last])
                 if words.held >= block:
-                    yield from _counted(words, list(langs), levels, proposed, before)
+                    yield from _counted(words, list(langs), levels, filters.value)
                     words = Words()
         if words.held:
-            yield from _counted(words, list(langs), levels, proposed, before)
+            yield from _counted(words, list(langs), levels, filters.value)
 
     return run
 
@@ -230,11 +281,9 @@ def _pass(texts: DataFrame, levels: set[int], filters: list[Filter | None], leas
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(filters)
     with small_batches(spark):
-        rows = texts.mapInArrow(_count(levels, sent, block), COUNTS_SQL)
-        counts = rows.groupBy("lang", "phrase").agg(
-            F.max("words").alias("words"), F.max("mark").alias("mark"), F.max("known").alias("known"), F.sum("f").alias("f")
-        )
-        return stored(counts.where((F.col("words") == 0) | (F.col("f") >= least)), label)
+        counts = texts.mapInArrow(_count(levels, sent, block), COUNTS_SQL).groupBy("key").agg(F.sum("f").alias("f"))
+        frequent = counts.where((F.col("f") >= least) | F.col("key").endswith("\t"))
+        return stored(frequent.mapInArrow(_told(sent), KNOWN_SQL), label)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -242,9 +291,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def lowered(least: int, sample: int) -> int:
-    """The threshold in the sample: two deviations below what ``least`` leads to expect."""
+    """The threshold in the sample: one and a half deviations below what ``least`` leads to expect."""
     expected = least / sample
-    return max(1, math.floor(expected - 2 * math.sqrt(expected)))
+    return max(1, math.floor(expected - 1.5 * math.sqrt(expected)))
 
 
 def frequent_phrases(
@@ -265,16 +314,11 @@ def frequent_phrases(
             break
         proposed.append(found)
         current = filter_of(_union(proposed))
-    filters = [current]
-    counted = [_pass(texts, set(range(1, max_words + 1)), filters, least, block, "phrase-counts")]
-    fresh = counted[0]
-    for _ in range(max_words):
-        # Frequent, not proposed, and short enough to be part of a phrase that was missed.
-        if not fresh.where(f"words > 0 AND words < {max_words} AND NOT known").limit(1).count():
-            break
-        filters.append(filter_of(_union(counted).where(f"words > 0 AND words < {max_words}")))
-        fresh = _pass(texts, set(range(2, max_words + 1)), filters, least, block, "phrase-expansion")
-        counted.append(fresh)
+    counted = [_pass(texts, set(range(1, max_words + 1)), [current], least, block, "phrase-counts")]
+    # Frequent, not proposed, and short enough to be part of a phrase that was missed.
+    if counted[0].where(f"words > 0 AND words < {max_words} AND NOT known").limit(1).count():
+        frequent = filter_of(counted[0].where(f"words > 0 AND words < {max_words}"))
+        counted.append(_pass(texts, set(range(2, max_words + 1)), [current, frequent], least, block, "phrase-expansion"))
     return _union(counted).select("lang", "phrase", "words", "f")
 
 
