@@ -1,5 +1,6 @@
 """Scans, sources, sinks and incremental loading."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -333,3 +334,39 @@ def incremental_load(spark, sf):
         new = incremental.load_new_files(spark, source, o.schema, target, check)
         counts.append((run, new, spark.read.schema(o.schema).parquet(target).count()))
     return spark.createDataFrame(counts, "run int, n_new bigint, n_after bigint")
+
+
+@query("incremental_table", """
+    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, 4 AS loads FROM orders GROUP BY o_orderstatus""")
+def incremental_table(spark, sf):
+    """Four files in four batches into a cached, partitioned table. The second batch is
+    cut off between write and commit, one is repeated, and a run without news adds none."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    source, checkpoint = new_dir(spark, "arriving"), new_dir(spark, "loads-checkpoint")
+
+    def arrive(part):
+        o.where(F.pmod("o_orderkey", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(source)
+
+    with temporary_database(spark) as db:
+        loads = incremental.TableLoads(spark, f"{db}.loaded", o.schema, new_dir(spark, "loaded"), ["o_orderstatus"])
+        spark.sql(f"CACHE TABLE {db}.loaded")
+        arrive(0)
+        incremental.load_into_table(spark, source, o.schema, loads, checkpoint)
+        arrive(1)
+
+        def cut_off(batch, number):
+            loads.write(batch.limit(5), number)
+            raise RuntimeError("lost before the commit")
+
+        try:
+            incremental.load_into_table(spark, source, o.schema, loads, checkpoint, append=cut_off)
+        except StreamingQueryException:
+            pass
+        for part in (2, 3):
+            arrive(part)
+        incremental.load_into_table(spark, source, o.schema, loads, checkpoint, max_files=1)
+        incremental.load_into_table(spark, source, o.schema, loads, checkpoint)
+        loads.append(o, loads.ledger()[0])  # a repeated number changes nothing
+        sums = spark.table(f"{db}.loaded").groupBy("o_orderstatus").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        return materialize(sums.withColumn("loads", F.lit(len(loads.ledger()))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.tables import temporary_database
 from millrace.operators import scripts
+from millrace.operators.sql_table_functions import Sessions, Unpivot, register_lateral, register_over_table
 from millrace.operators.table_functions import table_function
 from millrace.operators.user_functions import aggregate_with, scalar_function
 from millrace.plans.registry import Registry, table
@@ -143,3 +144,38 @@ def tgf_save_as(spark, sf):
             return materialize(spark.table(f"{db}.shifted").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
 
     return _with_view(spark, sf, run)
+
+
+def _digits(text):
+    return enumerate(int(c) for c in text or "" if c.isdigit())
+
+
+@query("udtf_polymorphic", """
+    SELECT name, digit, count(*) AS n, count(DISTINCT c_custkey) AS customers FROM
+      (SELECT c_custkey, name, CAST(unnest(string_split(regexp_replace(value, '[^0-9]', '', 'g'), '')) AS INT) AS digit
+       FROM (SELECT c_custkey, 'c_name' AS name, c_name AS value FROM customer
+             UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) u) d
+    GROUP BY name, digit""")
+def udtf_polymorphic(spark, sf):
+    # The first function's columns depend on its arguments, the second runs beside each of its rows.
+    register_over_table(spark, "unpivot_columns", Unpivot())
+    register_lateral(spark, "digits_of", _digits, "place int, digit int")
+    return spark.sql("""
+        SELECT name, digit, count(*) AS n, count(DISTINCT c_custkey) AS customers
+        FROM unpivot_columns(TABLE(SELECT c_custkey, c_name, c_nationkey FROM {c}), 'c_custkey') u, LATERAL digits_of(u.value)
+        GROUP BY name, digit""", c=table(spark, sf, "customer"))
+
+
+@query("udtf_partitions", """
+    SELECT user_id, count(*) AS n, max(s) AS sessions FROM
+      (SELECT user_id, sum(CASE WHEN ts - before > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+         (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
+          FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events) e) b) t
+    GROUP BY user_id""")
+def udtf_partitions(spark, sf):
+    register_over_table(spark, "number_sessions", Sessions())
+    e = table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("ts"))
+    return spark.sql("""
+        SELECT user_id, count(*) AS n, max(session) AS sessions
+        FROM number_sessions(TABLE({e}) PARTITION BY user_id ORDER BY (ts, event_id), 'ts', 3600)
+        GROUP BY user_id""", e=e)
