@@ -150,14 +150,17 @@ def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def multi_group_by(df: DataFrame, groupings: dict[str, list[str]], measures: Measures) -> DataFrame:
-    """Several GROUP BYs over one scan, tagged: columns ``grouping``, ``key``
-    (the values joined by ``|``, NULL as ``\\N``) and the measures."""
+    """Several GROUP BYs over one scan, tagged: ``grouping`` names the one a row
+    belongs to, its key columns hold the key in their own types (the others are
+    NULL), ``key`` is the key as one text: values joined by ``|``, NULL as ``\\N``,
+    with bars and backslashes inside values escaped by a backslash."""
     dims = list(dict.fromkeys(c for cols in groupings.values() for c in cols))
-    grouped = grouping_sets(df, dims, list(groupings.values()), measures, "_gid")
-    tag, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    sets = [list(c) for c in dict.fromkeys(tuple(sorted(set(c), key=dims.index)) for c in groupings.values())]
+    grouped = grouping_sets(df, dims, sets, measures, "_gid")
+    tags = []
     for name, cols in groupings.items():
         gid = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in cols)
-        tag = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(tag)
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
-        key = F.when(F.col("_gid") == gid, text).otherwise(key)
-    return grouped.select(tag.alias("grouping"), key.alias("key"), *measures)
+        cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([|\\])", r"\\$1"), F.lit("\\N")) for c in cols]
+        tags.append(F.when(F.col("_gid") == gid, F.struct(F.lit(name).alias("grouping"), F.concat_ws("|", *cells).alias("key"))))
+    # Several names may stand for the same columns.
+    return grouped.select(F.explode(F.array_compact(F.array(*tags))).alias("_tag"), *dims, *measures).select("_tag.*", *dims, *measures)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,8 +95,12 @@ def map_join(fact: DataFrame, dimension: DataFrame, keys: list[str], how: str =
 
 
 def cross_with_one_row(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Cross join with a global aggregate: exactly one row on the right."""
-    return df.crossJoin(F.broadcast(single))
+    """Cross join with a table of at most one row; the query fails if it has more."""
+    names = single.columns
+    checked = single.limit(2).groupBy().agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_one"))
+    ok = F.assert_true(F.size("_one") <= 1, F.lit("more than one row on the right of a cross join"))
+    one = checked.where(ok.isNull()).select(F.inline("_one"))
+    return df.crossJoin(F.broadcast(one))
 
 
 def theta_join(df: DataFrame, table: DataFrame, condition: Column, max_rows: int = 10_000, max_bytes: int = 16 << 20) -> DataFrame:
@@ -172,3 +177,31 @@ def bucketed_join(
     a = save("left", a.repartition(buckets, *cols), (buckets, cols))
     b = save("right", b.repartition(buckets, *cols), (buckets, cols))
     return a.join(b, cols).drop(LEFT_SALT, RIGHT_SALT)
+
+
+@contextmanager
+def uneven_buckets(spark: SparkSession, ratio: int = 16) -> Iterator[None]:
+    """Inside, tables whose bucket counts are multiples of each other are joined
+    without an exchange: buckets of the finer table are read together, as many as
+    the coarser one needs, up to ``ratio`` to one. Run the query inside, too."""
+    wanted = {
+        "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "true",
+        "spark.sql.bucketing.coalesceBucketsInJoin.maxBucketRatio": str(ratio),
+        "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def append_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str]) -> None:
+    """Create or extend a table bucketed and sorted by ``keys``. An append must
+    name the table's own buckets; rows are brought together by bucket first, so it
+    adds one file per bucket."""
+    gathered = df.repartition(buckets, *keys)
+    gathered.write.mode("append").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

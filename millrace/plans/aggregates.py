@@ -317,4 +317,4 @@ def agg_multi_group_by(spark, sf):
         table(spark, sf, "orders"),
         {"status": ["o_orderstatus"], "priority": ["o_orderpriority"], "both": ["o_orderstatus", "o_orderpriority"]},
         {"n": ("count",), "top": ("max", "o_totalprice")},
-    )
+    ).select("grouping", "key", "n", "top")

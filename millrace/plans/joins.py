@@ -310,6 +310,22 @@ def join_bucketed(spark, sf):
         )
 
 
+@query("join_bucketed_uneven", """
+    SELECT o_orderstatus, l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus, l_returnflag""")
+def join_bucketed_uneven(spark, sf):
+    # Twelve buckets, filled by two appends, against four.
+    o, l = _orders(spark, sf, "o_orderstatus"), _lines(spark, sf, "l_returnflag", "l_extendedprice")
+    with temporary_database(spark) as db, joins.uneven_buckets(spark):
+        joins.append_bucketed(o, f"{db}.o", 4, ["k"])
+        for part in ("l_returnflag = 'R'", "l_returnflag <> 'R'"):
+            joins.append_bucketed(l.where(part), f"{db}.l", 12, ["k"])
+        joined = spark.table(f"{db}.l").join(spark.table(f"{db}.o").hint("merge"), "k")
+        return materialize(joined.groupBy("o_orderstatus", "l_returnflag").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")
+        ))
+
+
 @query("join_array_payload", """
     SELECT d.doc_id, l.quality, len(string_split(d.text, ' ')) AS n_words, string_split(d.text, ' ')[1] AS first_word
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")

@@ -370,3 +370,17 @@ def incremental_table(spark, sf):
         sums = spark.table(f"{db}.loaded").groupBy("o_orderstatus").agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
         return materialize(sums.withColumn("loads", F.lit(len(loads.ledger()))))
+
+
+@query("compact_partition", """
+    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, true AS fewer FROM orders GROUP BY o_orderstatus""")
+def compact_partition(spark, sf):
+    """A partition of many small files is merged in place; a table without partitions, too."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    with temporary_database(spark) as db:
+        o.repartition(12).write.partitionBy("o_orderstatus").saveAsTable(f"{db}.many")
+        done = [sinks.compact_partition(spark, f"{db}.many", {"o_orderstatus": s}, 1 << 20) for s in ("F", "O")]
+        for one in done:
+            one.remove_old()
+        sums = spark.table(f"{db}.many").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        return materialize(sums.withColumn("fewer", F.lit(all(d.after < d.before for d in done))))

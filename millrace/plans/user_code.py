@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from millrace.catalog.tables import temporary_database
 from millrace.operators import scripts
 from millrace.operators.sql_table_functions import Sessions, Unpivot, register_lateral, register_over_table
 from millrace.operators.table_functions import table_function
-from millrace.operators.user_functions import aggregate_with, scalar_function
+from millrace.operators.user_functions import aggregate_segments, aggregate_with, scalar_function
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize, new_name
 from millrace.session import Warehouse
@@ -95,6 +96,35 @@ def udaf_grouped(spark, sf):
     return out.select("s", "n", F.round("geo_mean", 4).alias("geo_mean"), F.round("spread", 4).alias("spread"))
 
 
+class LogSums:
+    """The geometric mean for many groups at a time."""
+
+    state = "n bigint, logs double, lo double, hi double"
+    result = "n bigint, geo_mean double, spread double"
+
+    def fold(self, rows, starts):
+        x = rows.column(0).to_numpy()
+        return np.diff(starts, append=len(x)), np.add.reduceat(np.log(x), starts), np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+
+    def merge(self, states, starts):
+        n, logs, lo, hi = (c.to_numpy() for c in states.columns)
+        return np.add.reduceat(n, starts), np.add.reduceat(logs, starts), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
+
+    def finish(self, states):
+        n, logs, lo, hi = (c.to_numpy() for c in states.columns)
+        return n, np.exp(logs / n), hi - lo
+
+
+@query("udaf_many_keys", """
+    SELECT l_orderkey, count(*) AS n, round(exp(avg(ln(l_extendedprice))), 4) AS geo_mean,
+           round(max(l_extendedprice) - min(l_extendedprice), 4) AS spread FROM lineitem GROUP BY l_orderkey""")
+def udaf_many_keys(spark, sf):
+    # One key per order: a call takes thousands of them.
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice")
+    out = aggregate_segments(l, ["l_orderkey"], ["l_extendedprice"], LogSums())
+    return out.select("l_orderkey", "n", F.round("geo_mean", 4).alias("geo_mean"), F.round("spread", 4).alias("spread"))
+
+
 @table_function("v bigint")
 def shift_and_cap(rows: DataFrame, n: int, cap: int) -> DataFrame:
     """Keys moved up by ``n``, kept below ``cap``."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+import uuid
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import CatalogError
+from millrace.skew import checked_broadcast
 from millrace.sources.scans import as_table, scan
 from millrace.sources.text_formats import parse_delimited
 
@@ -65,6 +70,82 @@ def compact_files(spark: SparkSession, source: str, target: str, file_bytes: int
     return files
 
 
+# ---------------------------------------------------------------- compaction in place
+
+
+@dataclass
+class Compaction:
+    """What a compaction did, and the files it replaced: readers that began before
+    the swap may still read those until ``remove_old``."""
+
+    before: int
+    after: int
+    old_files: list[str]
+    spark: SparkSession
+
+    def remove_old(self) -> None:
+        for file in self.old_files:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+        self.old_files = []
+
+
+def best_fit(sizes: dict[str, int], capacity: int) -> dict[str, int]:
+    """Files to bins of ``capacity`` bytes, largest first, each into the fullest
+    bin that has room; a file above the capacity gets a bin of its own."""
+    bins: dict[str, int] = {}
+    room: list[tuple[int, int]] = []  # (room left, bin), ascending
+    for file, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        i = bisect.bisect_left(room, (size, -1))
+        left, number = room.pop(i) if i < len(room) else (max(capacity, size), len(set(bins.values())))
+        bins[file] = number
+        bisect.insort(room, (left - size, number))
+    return bins
+
+
+def compact_partition(spark: SparkSession, name: str, partition: dict[str, object] | None = None, file_bytes: int = 512 * 1024 * 1024) -> Compaction:
+    """Merge the small files of a catalog table's partition (or of a table without
+    partitions) into files of about ``file_bytes``, in place.
+
+    Files are dealt to output tasks by size. The new files go into a new folder,
+    are counted, and the table is pointed at that folder in one step; so a reader
+    sees the old files or the new ones, and a failure before that step changes
+    nothing. File names and sizes pass through the driver, rows do not.
+    """
+    spec = ", ".join(f"`{k}` = {_sql_literal(v)}" for k, v in (partition or {}).items())
+    clause = f" PARTITION ({spec})" if partition else ""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}{clause}").where("col_name = 'Location'")
+    location = described.first()["data_type"].rstrip("/")
+    fields = [f for f in spark.table(name).schema.fields if f.name not in (partition or {})]
+    rows = spark.read.schema(T.StructType(fields)).parquet(location)
+    sizes = {r["path"]: r["length"] for r in file_sizes(spark, location).collect()}
+    bins = best_fit(sizes, file_bytes)
+    targets = len(set(bins.values()))
+    if targets >= len(sizes):
+        return Compaction(len(sizes), len(sizes), [], spark)
+    folder = f"{location.rpartition('/')[0]}/_compacted-{uuid.uuid4().hex}" if partition else f"{location}-{uuid.uuid4().hex}"
+    plan = spark.createDataFrame([(_plain_path(f), b) for f, b in bins.items()], "file string, bin int")  # one row per file
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:/+", "/")
+    dealt = rows.select("*", plain.alias("_file")).join(checked_broadcast(plan.withColumnRenamed("file", "_file")), "_file")
+    dealt.repartitionById(targets, F.col("bin")).drop("_file", "bin").write.mode("errorifexists").parquet(folder)
+    written = spark.read.schema(T.StructType(fields)).parquet(folder)
+    if written.count() != rows.count():
+        raise CatalogError(f"{name}{clause}: the new files do not hold all rows; the old ones stay")
+    spark.sql(f"ALTER TABLE {name}{clause} SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(name)
+    return Compaction(len(sizes), file_sizes(spark, folder).count(), list(sizes), spark)
+
+
+def _plain_path(file: str) -> str:
+    return re.sub("^file:/+", "/", file)
+
+
+def _sql_literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) and not isinstance(value, bool) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def partition_names(directory: str, file: str) -> list[str]:
     """The partition columns that the path of a file below ``directory`` names."""
     below = urlparse(file).path.removeprefix(urlparse(directory).path.rstrip("/"))
