@@ -36,6 +36,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def packed(rows: DataFrame, *, leave_out: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The given columns beside the whole row as one struct ``own``, so that no
+    name of the rows can clash with a name of ours; ``select("own.*")`` unpacks."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in leave_out]
+    return rows.select(*[c.alias(n) for n, c in columns.items()], F.struct(*kept).alias("own"))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what runs inside: whole texts

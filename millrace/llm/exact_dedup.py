@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import golomb
-from millrace.llm.common import SPACES, rows_with, stored, text_of
+from millrace.llm.common import SPACES, packed, rows_with, stored, text_of
 
 BLOCK_ROWS = 65_536  # documents whose fingerprints travel together
 OWNER_ROWS = 1_000_000  # fingerprints that one owner merges at a time
@@ -192,12 +192,12 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are: of equal texts
     the row with the smallest id, once even if that row is repeated."""
     groups = stored(duplicate_groups(docs, id_column), "exact-groups").where("group_size > 1")
-    keys = groups.select(_row_key(id_column, F.col("text_sha256")).alias("_key"), "kept")
-    gone = keys.where("NOT kept").select("_key").distinct()
-    repeated = keys.where("kept").groupBy("_key").count().where("count > 1").select("_key")
+    keys = groups.select(_row_key(id_column, F.col("text_sha256")).alias("key"), "kept")
+    gone = keys.where("NOT kept").select("key").distinct()
+    repeated = keys.where("kept").groupBy("key").count().where("count > 1").select("key")
     sha = F.sha2(normalised().cast("binary"), 256)
-    rest = rows_with(docs.withColumn("_key", _row_key(id_column, sha)), gone, ["_key"], "left_anti")
+    rest = rows_with(packed(docs, key=_row_key(id_column, sha)), gone, ["key"], "left_anti")
     if repeated.limit(1).count():
-        once = rows_with(rest, repeated, ["_key"]).dropDuplicates(["_key"])
-        rest = rows_with(rest, repeated, ["_key"], "left_anti").unionByName(once)
-    return rest.select(docs.columns)
+        once = rows_with(rest, repeated, ["key"]).dropDuplicates(["key"])
+        rest = rows_with(rest, repeated, ["key"], "left_anti").unionByName(once)
+    return rest.select("own.*")

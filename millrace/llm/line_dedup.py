@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, stored, text_of
+from millrace.llm.common import SPACES, ascii_lower, packed, stored, text_of
 from millrace.llm.ngram_join import OWNER_BYTES, PART, linked_sets, need, ordered_sets, screened
 from millrace.skew import checked_broadcast
 
@@ -179,16 +179,13 @@ def remove_repeated_lines(
     2^39, lines of a text fewer than 2^24. An empty table gives no rows.
     """
     gone = later_lines(docs, percent, words, id_column, text_column, **sizes).groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    clash = {"n_lines", "removed"}
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
-    rows = rows.withColumn("_doc", F.col(id_column).cast("long"))
-    rows = rows.join(checked_broadcast(stored(gone, "gone").withColumnRenamed("doc", "_doc")), "_doc", "left").drop("_doc")
-    lines = F.split(F.col(text_column), "\n", -1)
+    rows = packed(docs, leave_out=("n_lines", "removed", text_column.lower()), doc=F.col(f"`{id_column}`").cast("long"), text=F.col(f"`{text_column}`"))
+    rows = rows.join(checked_broadcast(stored(gone, "gone")), "doc", "left")
+    lines = F.split(F.col("text"), "\n", -1)
     removed = F.coalesce(F.array_sort("gone"), F.array().cast("array<int>"))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.transform(places, lambda at: F.get(lines, at))
     return rows.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c not in (text_column, "gone")],
-        F.when(F.size(removed) == 0, F.col(text_column)).otherwise(F.array_join(kept, "\n")).alias(text_column),
+        "own.*", F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_column),
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed.alias("removed"),
     )

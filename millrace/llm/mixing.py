@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import rows_with, stored, word_count
+from millrace.llm.common import packed, rows_with, stored, word_count
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_ROWS = 4096
@@ -158,13 +158,14 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> Da
     parts = [F.col(c).cast("string").alias(c) for c in (id_column, "text", "lang", "source") if c in docs.columns]
     parts += [] if tokens is None else [tokens.cast("long").alias("_tokens")]
     key = F.sha2(F.to_json(F.struct(*parts)), 256)  # NULL fields are left out, so the key is never NULL
-    mixed = mix(docs, id_column=id_column, row_key=key, **options).withColumnRenamed("row_key", "_key")
-    taken = stored(mixed.groupBy("_key", "epoch").count().groupBy("_key").agg(F.max("count").alias("_n")), "mix-taken")
-    rows = docs.withColumn("_key", key)
-    repeated = rows.groupBy("_key").count().where("count > 1")
-    some = stored(repeated.join(taken, "_key").where("count > _n").select("_key", "_n"), "mix-some")
+    mixed = mix(docs, id_column=id_column, row_key=key, **options)
+    taken = stored(mixed.groupBy("row_key", "epoch").count().groupBy("row_key").agg(F.max("count").alias("n")), "mix-taken")
+    rows = packed(docs, row_key=key)
+    repeated = rows.groupBy("row_key").count().where("count > 1")
+    some = stored(repeated.join(taken, "row_key").where("count > n").select("row_key", "n"), "mix-some")
     if not some.limit(1).count():
-        return rows_with(rows, taken.select("_key"), ["_key"]).select(docs.columns)
-    out = rows_with(rows, taken.join(some, "_key", "left_anti").select("_key"), ["_key"])
-    numbered = rows.join(some, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return out.select(docs.columns).unionByName(numbered.where("_at <= _n").select(docs.columns))
+        return rows_with(rows, taken.select("row_key"), ["row_key"]).select("own.*")
+    out = rows_with(rows, taken.join(some, "row_key", "left_anti").select("row_key"), ["row_key"])
+    # Rows of one key are equal in all that counts: which of them stay is told by their place among the copies.
+    numbered = rows.join(some, "row_key").withColumn("at", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    return out.select("own.*").unionByName(numbered.where("at <= n").select("own.*"))

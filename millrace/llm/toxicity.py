@@ -61,7 +61,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     # Bounded by max_rows, so safe to copy to every executor.
     chosen = F.broadcast(present.orderBy(F.xxhash64("id"), "id").limit(max_rows))
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).join(chosen, "id")
-    return rows.dropDuplicates(["id"])
+    label = F.first("label").alias("label")  # one per id
+    return rows.groupBy("id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), label)
 
 
 def learn_lexicon(sample: DataFrame, least: int = 6, most: int = MAX_LEXICON) -> dict[str, float]:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower
+from millrace.llm.common import ascii_lower, packed
 
 # (verdict, rule): fixed values of the query's contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -143,13 +143,10 @@ def judge_urls(
     from pyspark.ml.functions import vector_to_array
 
     model = fit(seed_urls(pages.sparkSession) if labelled is None else labelled)
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
-    parts = pages.withColumn("_url", F.col(url_column)).select(*[F.col(f"`{c}`") for c in kept], host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    host, path = host_of(F.col(f"`{url_column}`")), path_of(F.col(f"`{url_column}`"))
+    parts = packed(pages, leave_out=("host", "path", "rule", "score", "verdict"), host=host, path=path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumn("rule", rule).withColumn("_ruled", verdict)
-    judged = model.transform(judged.withColumn("_grams", grams(F.col("host"), F.col("path"))))
-    judged = judged.withColumn("score", F.element_at(vector_to_array("_chance"), -1))
+    judged = parts.select("*", rule.alias("rule"), verdict.alias("ruled"), grams(F.col("host"), F.col("path")).alias("_grams"))
+    judged = model.transform(judged).withColumn("score", F.element_at(vector_to_array("_chance"), -1))
     by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("_ruled", by_model)).drop(
-        "_ruled", "_grams", "_features", "_raw", "_chance", "_class"
-    )
+    return judged.select("own.*", "host", "path", "rule", "score", F.coalesce("ruled", by_model).alias("verdict"))
