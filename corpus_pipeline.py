@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from millrace.llm.common import rows_with, small_batches, stored, text_of
+from millrace.llm.common import packed, rows_with, small_batches, stored, text_of
 from millrace.plans.registry import table
 from millrace.scratch import new_dir, remove_scratch, scratch_scope
 
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A row is known by its id and its text: ids may repeat.
     key = F.xxhash64("doc_id", text_of())
     with small_batches(spark):
-        scored = model.score(docs.select(key.alias("_key"), text_of().alias("text")))
-        toxic = stored(scored.where("score >= 0.7").select("_key").distinct(), "toxic")
-    return rows_with(docs.withColumn("_key", key), toxic, ["_key"], "left_anti").select(docs.columns)
+        scored = model.score(docs.select(key.alias("key"), text_of().alias("text")))
+        toxic = stored(scored.where("score >= 0.7").select("key").distinct(), "toxic")
+    return rows_with(packed(docs, key=key), toxic, ["key"], "left_anti").select("own.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         gone = stored(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
         return rows_with(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
     # Ids do not tell rows apart: each row gets a number, written with it once.
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    groups = ngram_join.similar_documents(rows.select("_row", "text"), id_column="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.sha2(text_of(), 256).alias("sha"), F.col("_row"))
-    tied = stored(groups.join(rows.select("_row", order.alias("at")), "_row"), "near-groups")
-    stays = tied.groupBy("component_id").agg(F.min("at")["_row"].alias("_row"))
-    return rows_with(rows, stored(stays.select("_row"), "near-stay"), ["_row"]).select(docs.columns)
+    rows = stored(packed(docs, row=F.monotonically_increasing_id()), "numbered-rows")
+    groups = ngram_join.similar_documents(rows.select("row", "own.text"), id_column="row").select("row", "component_id")
+    doc, sha = F.col("own.doc_id"), F.sha2(text_of("own.text"), 256)
+    order = F.struct(doc.isNull().alias("no_id"), doc.alias("id"), sha.alias("sha"), F.col("row"))
+    tied = stored(groups.join(rows.select("row", order.alias("at")), "row"), "near-groups")
+    stays = tied.groupBy("component_id").agg(F.min("at")["row"].alias("row"))
+    return rows_with(rows, stored(stays.select("row"), "near-stay"), ["row"]).select("own.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
