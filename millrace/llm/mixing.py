@@ -92,7 +92,7 @@ def budgets(leaves: DataFrame, total: int, weights: Mapping[str, int] = WEIGHTS,
 def mix(
     docs: DataFrame, share: float = 0.5, total: int | None = None, weights: Mapping[str, int] = WEIGHTS,
     max_epochs: int = 2, seed: int = 17, tokens: Column | None = None, domain: Column | None = None,
-    id_column: str = "doc_id", row_key: Column | None = None,
+    id_column: str = "doc_id", row_key: Column | None = None, cut: bool = False,
 ) -> DataFrame:
     """The documents of the mixture: one row per document and epoch it is taken in.
 
@@ -100,6 +100,11 @@ def mix(
     are wanted, by default ``share`` of all tokens (rounded down). Tokens are
     words unless ``tokens`` says otherwise; domains come from ``domain_of``.
 
+    Without ``cut`` documents stay whole, and a leaf's last epoch ends before the
+    first one that passes its budget. With it that document is taken, too, up to
+    the tokens that are left: each leaf gives its budget to the token. One more
+    column, ``taken``, has the number of tokens to take from the row's start.
+
     NULL languages and sources count as the text ``unknown``. Documents without
     tokens (NULL or empty texts) cost nothing and come in every whole epoch of
     their leaf, and in the last as far as the budget reaches. Rows that repeat an
@@ -126,13 +131,15 @@ def mix(
     plan = stored(plan, "mix-plan")
     rows = base.join(plan, list(LEVELS))
     taken = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)))
-    columns = ["id", *LEVELS, "n_tokens", "epoch", *([] if row_key is None else ["row_key"])]
-    taken = taken.select(columns).unionByName(_prefixes(rows.where("rest > 0"), seed).select(columns))
+    columns = ["id", *LEVELS, "n_tokens", "epoch", *([] if row_key is None else ["row_key"]), *(["taken"] if cut else [])]
+    taken = taken.withColumn("taken", F.col("n_tokens")).select(columns)
+    taken = taken.unionByName(_prefixes(rows.where("rest > 0"), seed, cut).select(columns))
     return taken.withColumnRenamed("id", id_column)
 
 
-def _prefixes(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows in seeded order whose running tokens stay within ``rest`` of their leaf."""
+def _prefixes(rows: DataFrame, seed: int, cut: bool = False) -> DataFrame:
+    """Rows in seeded order whose running tokens stay within ``rest`` of their
+    leaf; with ``cut`` the row that passes it as well, with the tokens ``taken``."""
     # Digits so that a bucket has about BUCKET_ROWS rows: 16^digits >= n_rows / BUCKET_ROWS.
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_rows") / BUCKET_ROWS) / math.log(16))).cast("int")
     epoch = F.col("epochs").cast("int")
@@ -146,8 +153,10 @@ def _prefixes(rows: DataFrame, seed: int) -> DataFrame:
     marks = marks.withColumn("inside", F.col("start") + F.col("in_bucket") <= F.col("limit"))
     placed = keyed.join(marks.select(*leaf, "bucket", "start", "inside"), [*leaf, "bucket"])
     within = Window.partitionBy(*leaf, "bucket").orderBy("digest", "n_tokens")
-    cut = placed.where("NOT inside").withColumn("reached", F.col("start") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.where("inside").unionByName(cut.where("reached <= rest").drop("reached"))
+    ending = placed.where("NOT inside").withColumn("reached", F.col("start") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ending = ending.where("reached <= rest" + " OR reached - n_tokens < rest" * cut)
+    ending = ending.withColumn("taken", F.least("n_tokens", F.expr("rest - reached + n_tokens"))).drop("reached")
+    return placed.where("inside").withColumn("taken", F.col("n_tokens")).unionByName(ending)
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:

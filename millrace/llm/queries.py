@@ -98,6 +98,19 @@ def op1_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
 
+def _cut_sql() -> str:
+    """The same plan; each leaf's last document is cut at the tokens that are left."""
+    head, _, tail = MIX_SQL.rpartition("SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS INT) AS epoch FROM ordered WHERE rest > 0 AND reached <= rest")
+    prefix = """SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS INT) AS epoch, CAST(least(n_tokens, rest - reached + n_tokens) AS BIGINT) AS taken
+FROM ordered WHERE rest > 0 AND (reached <= rest OR reached - n_tokens < rest)"""
+    return head + prefix + tail.replace("CAST(unnest(range(epochs)) AS INT)", "CAST(unnest(range(epochs)) AS INT), n_tokens")
+
+
+@R.query("op1_mixture_cut", _cut_sql())
+def op1_mixture_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), cut=True)
+
+
 @R.query("op2_packing")
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
