@@ -213,6 +213,48 @@ def cluster_by_check(spark, sf):
     return step.agg(F.count(F.lit(1)).alias("n"), F.count_if("down").alias("disorder"))
 
 
+def _numbered(rows, *columns):
+    return rows.select(*columns, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+
+
+@query("sort_total_check", "SELECT count(*) AS n, 0 AS disorder, 0 AS overlaps FROM orders")
+def sort_total_check(spark, sf):
+    """ORDER BY: rows that come before a smaller one of their partition, and
+    partitions that begin before the one before them ends."""
+    o = _orders(spark, sf).select("o_totalprice", "o_orderkey")
+    rows = _numbered(ordering.total_sort(o, [("o_totalprice", "desc")], "o_orderkey"), F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey").alias("v"))
+    rows = materialize(rows, "sorted")
+    step = rows.withColumn("down", F.lag("v").over(Window.partitionBy("part").orderBy("at")) > F.col("v"))
+    parts = step.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("down").alias("down"), F.min("v").alias("low"), F.max("v").alias("high"))
+    late = F.lag("high").over(Window.orderBy("part")) > F.col("low")  # one row per partition
+    return parts.withColumn("late", late).agg(F.sum("n").alias("n"), F.sum("down").alias("disorder"), F.count_if("late").alias("overlaps"))
+
+
+@query("sort_within_check", "SELECT count(*) AS n, 0 AS disorder FROM customer")
+def sort_within_check(spark, sf):
+    """SORT BY: every partition is in order."""
+    c = table(spark, sf, "customer").select("c_mktsegment", "c_acctbal").repartition(5)
+    rows = _numbered(c.sortWithinPartitions("c_mktsegment", "c_acctbal"), F.struct("c_mktsegment", "c_acctbal").alias("v"))
+    step = rows.withColumn("down", F.lag("v").over(Window.partitionBy("part").orderBy("at")) > F.col("v"))
+    return step.agg(F.count(F.lit(1)).alias("n"), F.count_if("down").alias("disorder"))
+
+
+@query("sort_by_limit_check", "SELECT true AS counts, true AS smallest")
+def sort_by_limit_check(spark, sf):
+    """SORT BY … LIMIT k: k rows of every partition, and none left out is smaller."""
+    o = materialize(_orders(spark, sf).select("o_orderkey", "o_totalprice").repartition(6), "dealt").withColumn("p", F.spark_partition_id())
+    order = [("o_totalprice", "asc"), ("o_orderkey", "asc")]
+    kept = materialize(ordering.sort_by_limit(o, order, 7), "kept")
+    value = F.struct("o_totalprice", "o_orderkey")
+    most = kept.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.max(value).alias("most"))
+    least = o.join(F.broadcast(kept.select("o_orderkey")), "o_orderkey", "left_anti").groupBy("p").agg(F.min(value).alias("least"))  # 7 rows per partition
+    sizes = o.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.join(most, "p", "left").join(least, "p", "left")
+    return both.agg(
+        F.every(F.col("k") == F.least(F.lit(7), F.col("n"))).alias("counts"), F.every(F.col("least").isNull() | (F.col("most") < F.col("least"))).alias("smallest")
+    )
+
+
 @query("agg_cube_distinct", """
     SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers,
            count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
