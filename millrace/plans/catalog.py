@@ -196,6 +196,32 @@ def show_describe(spark, sf):
         return materialize(out)
 
 
+@query("show_describe_check", """
+    SELECT 'SHOW COLUMNS' AS command, 4 AS n, true AS told UNION ALL SELECT 'SHOW PARTITIONS', (SELECT count(DISTINCT o_orderstatus) FROM orders), true
+    UNION ALL SELECT 'SHOW TABLES', 1, true UNION ALL SELECT 'SHOW TBLPROPERTIES', 1, true UNION ALL SELECT 'SHOW CREATE', 1, true""")
+def show_describe_check(spark, sf):
+    """What the commands must say of a partitioned table with a property."""
+    with temporary_database(spark) as db:
+        name = f"{db}.t"
+        o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+        TableCatalog(spark).create(name, o, partition_by=["o_orderstatus"])
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('owner.team' = 'mills')")
+        status = o.select(F.concat(F.lit("o_orderstatus="), "o_orderstatus").alias("p")).distinct()
+        shown = spark.sql(f"SHOW PARTITIONS {name}")
+        say = lambda command, df, told: df.agg(F.lit(command).alias("command"), F.count(F.lit(1)).alias("n"), F.every(told).alias("told"))
+        parts = [
+            say("SHOW COLUMNS", spark.sql(f"SHOW COLUMNS IN {name}"), F.col("col_name").isin(o.columns)),
+            say("SHOW PARTITIONS", shown.join(F.broadcast(status), shown["partition"] == status["p"], "left"), F.col("p").isNotNull()),  # three states
+            say("SHOW TABLES", spark.sql(f"SHOW TABLES IN {db}"), F.col("tableName") == "t"),
+            say("SHOW TBLPROPERTIES", spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'owner.team'"), F.col("value") == "mills"),
+            say("SHOW CREATE", spark.sql(f"SHOW CREATE TABLE {name}"), F.col("createtab_stmt").contains("PARTITIONED BY (o_orderstatus)")),
+        ]
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.union(more)
+        return materialize(out)
+
+
 @query("truncate_repair", """
     SELECT 'found' AS step, count(*) AS n FROM orders UNION ALL SELECT 'truncated', 0""")
 def truncate_repair(spark, sf):

@@ -356,7 +356,8 @@ def fn_struct(spark, sf):
     ).selectExpr("s_suppkey", "a.s_name AS by_position", "b.bal AS by_name", "concat(b.who, '@', b.land) AS both_fields")
 
 
-@query("fn_reflect")
+@query("fn_reflect", """
+    SELECT s_suppkey, CAST(s_acctbal AS VARCHAR) AS r, CAST(greatest(s_nationkey, 7) AS VARCHAR) AS j FROM supplier""")
 def fn_reflect(spark, sf):
     return table(spark, sf, "supplier").selectExpr(
         "s_suppkey", "reflect('java.lang.String', 'valueOf', s_acctbal) AS r",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import ordering, projection
+from millrace.operators.joins import cross_with_one_row
 from millrace.plans.registry import Registry, table
 from millrace.scratch import new_name
 
@@ -168,6 +169,20 @@ def sample_fraction(spark, sf):
     return table(spark, sf, "orders").sample(withReplacement=False, fraction=0.2, seed=42).select("o_orderkey")
 
 
+@query("sample_fraction_check", "SELECT true AS about_a_fifth, true AS known_once, true AS same_again")
+def sample_fraction_check(spark, sf):
+    """A row sample: about the share asked for, rows of the table, none twice, and the same with the same seed."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    one, two = (o.sample(withReplacement=False, fraction=0.2, seed=42) for _ in range(2))
+    known = one.join(o.withColumn("all", F.lit(1)), "o_orderkey")
+    counts = one.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d"))
+    for name, df in (("k", known), ("all", o), ("both", one.intersectAll(two))):
+        counts = cross_with_one_row(counts, df.agg(F.count(F.lit(1)).alias(name)))
+    near = F.abs(F.col("n") - F.col("all") * 0.2) <= F.greatest(F.lit(20.0), F.col("all") * 0.03)
+    return counts.select(near.alias("about_a_fifth"), ((F.col("n") == F.col("d")) & (F.col("n") == F.col("k"))).alias("known_once"),
+                         (F.col("both") == F.col("n")).alias("same_again"))
+
+
 # ---------------------------------------------------------------- ordering
 
 
