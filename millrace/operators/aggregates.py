@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.windows import running
 from millrace.scratch import materialize
-from millrace.skew import checked_broadcast, lookup, row_salt
+from millrace.skew import checked_broadcast, hot_keys, lookup, row_salt
 
 Measures = dict[str, tuple]  # output name -> ("sum"|"count"|"min"|"max"|"avg", column)
 
@@ -88,15 +88,18 @@ def exact_percentiles(
     Equal values are counted first, and positions come from a running count that
     cuts large groups, so no task holds a group's values.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialize(counted, "value_counts")  # read several times below
-    upto = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot_rows)
-    totals = df.groupBy(*keys).agg(F.count(value).alias("_all"))
-    placed = (
-        lookup(upto, checked_broadcast(totals), keys)
-        if keys
-        else upto.crossJoin(F.broadcast(totals))  # a global aggregate: one row
-    )
+    # One scan: values and their counts; NULLs keep their groups and count nothing.
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counted.withColumn("_n", F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(F.lit(0))), "value_counts")
+    hot = hot_keys(counts, keys, hot_rows)
+    if not hot:
+        whole = Window.partitionBy(*keys)
+        upto = F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        placed = counts.select("*", upto.alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    else:
+        placed = running(counts, keys, [(value, "asc")], {"_upto": ("sum", "_n")}, hot=hot)
+        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+        placed = lookup(placed, checked_broadcast(totals) if keys else F.broadcast(totals), keys)  # without keys: one row
     aggs = []
     for name, p in points.items():
         spot = F.lit(float(p)) * (F.col("_all") - 1)
@@ -108,8 +111,7 @@ def exact_percentiles(
         low, high = at(F.floor(spot)), at(F.ceil(spot))
         part = F.max(spot - F.floor(spot))
         aggs.append((low + (high - low) * part).alias(name))
-    found = placed.groupBy(*keys).agg(*aggs)
-    return lookup(totals.drop("_all"), found, keys) if keys else found  # groups of NULLs only stay
+    return placed.groupBy(*keys).agg(*aggs)
 
 
 def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
