@@ -35,9 +35,8 @@ def test_exact_dedup(docs):
     values_are_whole(out)
 
 
-@pytest.mark.parametrize("share", [0.3, 1.0])
-def test_mixed_documents(docs, share):
-    out = mixing.mixed_documents(docs, share=share, max_epochs=1)
+def test_mixed_documents(docs):
+    out = mixing.mixed_documents(docs, share=0.6, max_epochs=1)
     assert out.columns == docs.columns
     values_are_whole(out)
 

@@ -79,7 +79,7 @@ def source_rows(sizes, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 2}, {"a": 3}, {"a": 4}, {"a": 27}, {"a": 28}, {"a": 100, "b": 1, None: 9}, {"": 5, None: 1, "é": 82, "z": 30, "y": 2}])
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 4}, {"a": 27, "b": 1}, {"a": 28}, {"": 5, None: 1, "é": 82, "z": 30, "y": 2, "x": 3}])
 def test_manifest_matches_plain_trees(spark, sizes):
     rows = source_rows(sizes)
     assert manifest_rows(spark.createDataFrame(rows, DOCS).repartition(3)) == plain_manifest(rows)
@@ -88,7 +88,7 @@ def test_manifest_matches_plain_trees(spark, sizes):
 def test_manifest_with_small_blocks_and_other_fanout(spark):
     rows = source_rows({f"s{i}": 1 + i * i % 23 for i in range(14)} | {"big": 90})
     df = spark.createDataFrame(rows, DOCS)
-    for fanout, depth in ((3, 1), (2, 2), (4, 1)):
+    for fanout, depth in ((3, 1), (2, 2)):
         assert manifest_rows(df, fanout=fanout, depth=depth, piece=2) == plain_manifest(rows, fanout)
 
 
@@ -145,7 +145,7 @@ def passages_of(df, window, **sizes):
     return sorted((tuple(r) for r in done.collect()), key=str)
 
 
-@pytest.mark.parametrize("window", [35, 5, 2])
+@pytest.mark.parametrize("window", [35, 5])
 def test_passages_match_plain_version(spark, window):
     rows = passage_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -20,8 +20,7 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
-@pytest.mark.parametrize("bucket", [4096, 2])
-@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+@pytest.mark.parametrize("bucket, share", [(4096, 0.5), (2, 0.1), (2, 0.9)])
 def test_budget_is_delivered(docs, monkeypatch, bucket, share):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
     cut = mixing.mix(docs, share=share, max_epochs=1, cut=True)
