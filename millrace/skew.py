@@ -6,6 +6,7 @@ keys are found never changes a result.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +24,10 @@ COUNTED_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 
+# Detections that are remembered, and for how long.
+REMEMBERED, REMEMBERED_SECONDS = 256, 300.0
+_detected: dict = {}  # what was asked -> (when, hot keys)
+
 LEFT_SALT, RIGHT_SALT, LEFT_WAYS, RIGHT_WAYS = "_salt_l", "_salt_r", "_ways_l", "_ways_r"
 
 
@@ -61,6 +66,20 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> lis
     ``MAX_TASK_ROWS`` rows where that is more: 20,000 for 10^12 rows.
     """
     floor = MIN_HOT_ROWS if hot_rows is None else hot_rows
+    # The same input under the same keys is looked at once for a while: several joins of a
+    # query share it. What was found steers the work only, so an old answer is never wrong.
+    asked = (id(df.sparkSession), df.select(*keys).semanticHash(), tuple(keys), floor, _task_slots(df))
+    known = _detected.get(asked)
+    if known is not None and time.monotonic() - known[0] < REMEMBERED_SECONDS:
+        return known[1]
+    found = _detect(df, keys, floor)
+    if len(_detected) >= REMEMBERED:
+        _detected.clear()
+    _detected[asked] = (time.monotonic(), found)
+    return found
+
+
+def _detect(df: DataFrame, keys: list[str], floor: int) -> list[HotKey]:
     total = df.count()
     if total <= floor:
         return []

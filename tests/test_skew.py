@@ -70,3 +70,16 @@ def test_broadcast_check(spark):
     assert not skew.fits_broadcast(df, max_rows=999)
     assert not skew.fits_broadcast(df, max_bytes=100_000)
     assert "broadcast" not in skew.checked_broadcast(df, max_rows=10)._jdf.queryExecution().analyzed().toString()
+
+
+def test_an_input_is_looked_at_once(spark, monkeypatch):
+    """Joins of a query share the detection; another table, key or limit is asked anew."""
+    looked = []
+    detect = skew._detect
+    monkeypatch.setattr(skew, "_detect", lambda df, keys, floor: looked.append((tuple(keys), floor)) or detect(df, keys, floor))
+    monkeypatch.setattr(skew, "_detected", {})
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id % 2 AS j", "id AS v")
+    first = skew.hot_keys(rows, ["k"], 100)
+    assert [h.key for h in first] == [(7,)] and skew.hot_keys(rows, ["k"], 100) == first
+    assert skew.hot_keys(rows, ["j"], 100) and skew.hot_keys(rows, ["k"], 200) and skew.hot_keys(rows.where("v > 5"), ["k"], 100)
+    assert looked == [(("k",), 100), (("j",), 100), (("k",), 200), (("k",), 100)]
