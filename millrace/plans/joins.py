@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.tables import temporary_database
 from millrace.operators import joins
-from millrace.operators.inequality import inequality_counts, inequality_join
+from millrace.operators.inequality import inequality_counts, inequality_sums
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize
 from millrace.skew import skew_join
@@ -245,10 +245,11 @@ def join_inequality(spark, sf):
     # Orders placed after a line was shipped and worth a twentieth of it: neither side is small.
     o = table(spark, sf, "orders").selectExpr("o_orderpriority", "o_orderdate", "20 * o_totalprice AS twenty")
     l = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_shipdate", "l_extendedprice")
-    pairs = inequality_join(o, l, ("o_orderdate", ">", "l_shipdate"), ("twenty", "<", "l_extendedprice"))
-    return pairs.groupBy("o_orderpriority", "l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")
+    # The pairs grow with the square of the input, their sums need none of them.
+    out = inequality_sums(
+        o, l, ("o_orderdate", ">", "l_shipdate"), ("twenty", "<", "l_extendedprice"), ["o_orderpriority"], ["l_returnflag"], {"qty": "l_quantity"}
     )
+    return out.withColumn("qty", F.round("qty", 2))
 
 
 @query("join_inequality_counts", """
@@ -256,7 +257,7 @@ def join_inequality(spark, sf):
     FROM orders p LEFT JOIN orders q ON q.o_orderdate >= p.o_orderdate AND q.o_totalprice > p.o_totalprice
     GROUP BY p.o_orderkey""")
 def join_inequality_counts(spark, sf):
-    # How many later orders are worth more: far more pairs than rows, counted where they meet.
+    # How many later orders are worth more: far more pairs than rows, counted without making one.
     p = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     q = p.select(F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"))
     done = inequality_counts(p, q, ("o_orderdate", "<=", "d"), ("o_totalprice", "<", "v"), "better")
