@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.scratch import materialize
 from millrace.skew import (
     LEFT_SALT,
     LEFT_WAYS,
@@ -129,6 +130,30 @@ def interval_join(
     return skew_join(df.withColumn("_cell", cell(value)), wide, ["_cell"], "inner", hot_rows).where(inside).drop("_cell")
 
 
+def interval_counts(df: DataFrame, value: str, intervals: DataFrame, low: str, high: str, name: str = "n", hot_rows: int | None = None) -> DataFrame:
+    """``df`` with the number of intervals that hold ``value``: low <= value < high.
+
+    No pair is made. Up to a value as many intervals hold it as have begun without
+    having ended: a running sum over all ends and the distinct values, cut into
+    pieces along the values.
+    """
+    from millrace.operators.windows import running  # which uses this module
+
+    kind = df.schema[value].dataType
+    rows = df.withColumn("_at", F.col(f"`{value}`"))
+    real = intervals.select(F.col(f"`{low}`").alias("_lo"), F.col(f"`{high}`").alias("_hi")).where("_lo < _hi")
+    steps = real.select(F.inline(F.array(
+        F.struct(F.col("_lo").alias("_at"), F.lit(1).cast("long").alias("_step")), F.struct(F.col("_hi").alias("_at"), F.lit(-1).cast("long").alias("_step")))))
+    if steps.schema["_at"].dataType != kind:
+        raise ValueError(f"{value} and the intervals' ends are of different types; cast one of them")
+    asked = rows.select("_at", F.lit(0).cast("long").alias("_step"), F.lit(1).alias("_asked"))
+    ends = steps.withColumn("_asked", F.lit(0)).unionByName(asked).where("_at IS NOT NULL")
+    ends = materialize(ends.groupBy("_at").agg(F.sum("_step").alias("_step"), F.max("_asked").alias("_asked")), "interval-ends")
+    begun = running(ends, [], [("_at", "asc")], {name: ("sum", "_step")}, hot_rows).where("_asked = 1").select("_at", name)
+    joined = skew_join(rows, begun, ["_at"], "left", hot_rows, unique_right=True)
+    return joined.select(*df.columns, F.coalesce(name, F.lit(0)).alias(name))
+
+
 def semi_join(big: DataFrame, small: DataFrame, column: str, hot_rows: int | None = None) -> DataFrame:
     """Rows of ``big`` whose ``column`` occurs in ``small``. Keys that are few, by
     measure, are copied and nothing is shuffled; else hot keys are split, and
