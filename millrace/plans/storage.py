@@ -378,7 +378,8 @@ def compact_partition(spark, sf):
     """A partition of many small files is merged in place; a table without partitions, too."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     with temporary_database(spark) as db:
-        o.repartition(12).write.partitionBy("o_orderstatus").saveAsTable(f"{db}.many")
+        files = max(12, o.count() // 50_000)  # small beside the megabyte they are merged to, however large the table
+        o.repartition(files).write.partitionBy("o_orderstatus").saveAsTable(f"{db}.many")
         done = [sinks.compact_partition(spark, f"{db}.many", {"o_orderstatus": s}, 1 << 20) for s in ("F", "O")]
         for one in done:
             one.remove_old()
