@@ -11,6 +11,7 @@ from millrace.skew import skew_join
 
 R = Registry()
 query = R.query
+BUCKET_ROWS = 2_000_000  # lines that meet in a task
 
 
 def _orders(spark, sf, *cols):
@@ -315,12 +316,13 @@ def join_bucketed(spark, sf):
     SELECT o_orderstatus, l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus, l_returnflag""")
 def join_bucketed_uneven(spark, sf):
-    # Twelve buckets, filled by two appends, against four.
+    # Three times as many buckets, filled by two appends, as on the other side.
     o, l = _orders(spark, sf, "o_orderstatus"), _lines(spark, sf, "l_returnflag", "l_extendedprice")
+    buckets = max(4, l.count() // BUCKET_ROWS)
     with temporary_database(spark) as db, joins.uneven_buckets(spark):
-        joins.append_bucketed(o, f"{db}.o", 4, ["k"])
+        joins.append_bucketed(o, f"{db}.o", buckets, ["k"])
         for part in ("l_returnflag = 'R'", "l_returnflag <> 'R'"):
-            joins.append_bucketed(l.where(part), f"{db}.l", 12, ["k"])
+            joins.append_bucketed(l.where(part), f"{db}.l", 3 * buckets, ["k"])
         joined = spark.table(f"{db}.l").join(spark.table(f"{db}.o").hint("merge"), "k")
         return materialize(joined.groupBy("o_orderstatus", "l_returnflag").agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")
