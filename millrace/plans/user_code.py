@@ -15,9 +15,11 @@ from millrace.operators.user_functions import aggregate_segments, aggregate_with
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize, new_name
 from millrace.session import Warehouse
+from millrace.sources.scans import spread_rows
 
 R = Registry()
 query = R.query
+TASK_ROWS = 100_000  # rows of a task that calls a Python function for each
 
 
 @query("script_transform", """
@@ -193,7 +195,7 @@ def udtf_polymorphic(spark, sf):
     return spark.sql("""
         SELECT name, digit, count(*) AS n, count(DISTINCT c_custkey) AS customers
         FROM unpivot_columns(TABLE(SELECT c_custkey, c_name, c_nationkey FROM {c}), 'c_custkey') u, LATERAL digits_of(u.value)
-        GROUP BY name, digit""", c=table(spark, sf, "customer"))
+        GROUP BY name, digit""", c=spread_rows(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), TASK_ROWS))
 
 
 @query("udtf_partitions", """

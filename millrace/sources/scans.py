@@ -77,3 +77,10 @@ def spread_small(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFra
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size > cores * split_bytes else df.repartition(cores)
+
+
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Deal a scan to tasks of about ``rows`` rows, for work that needs memory per
+    row: the reader's own splits hold whole row groups, up to 128 MB of compressed file."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
