@@ -7,10 +7,11 @@ from millrace.operators import sketches as S
 from millrace.operators import text_aggregates as X
 from millrace.plans.registry import Registry, table
 from millrace.scratch import materialize
-from millrace.sources.scans import spread_small
+from millrace.sources.scans import spread_rows, spread_small
 
 R = Registry()
 query = R.query
+TASK_ROWS = 100_000  # rows of a task that holds the distinct values of each column
 
 
 @query("agg_basic", """
@@ -295,7 +296,7 @@ def agg_compute_stats(spark, sf):
     c = table(spark, sf, "customer").selectExpr(
         "c_custkey", "c_nationkey", "nullif(c_mktsegment, 'BUILDING') AS seg", "c_name"
     )
-    return A.column_stats(c, exact=True).drop("n_true", "n_false")
+    return A.column_stats(spread_rows(c, TASK_ROWS), exact=True).drop("n_true", "n_false")
 
 
 @query("agg_salted_two_level", """
