@@ -21,6 +21,7 @@ from millrace.skew import checked_broadcast
 HLL_BITS = 12  # 2^12 registers: a standard error of 1.6 %
 KLL_SIZE = 400  # ranks within about 0.7 % with one sketch or many
 HEAVY_COUNTERS = 4096
+SLOTS = 1 << 15  # what is not proposed is counted in so many groups
 
 
 # ---------------------------------------------------------------- distinct values
@@ -121,21 +122,37 @@ def heavy_hitters(items: DataFrame, counters: int = HEAVY_COUNTERS) -> DataFrame
     return summed.where("item IS NOT NULL").crossJoin(F.broadcast(total)).selectExpr("item", "lower", "lower + all_lost AS upper")  # one row
 
 
-def frequent_exactly(items: DataFrame, k: int, counters: int = HEAVY_COUNTERS) -> DataFrame:
+def most_frequent(items: DataFrame, proposed: DataFrame, k: int, slots: int = SLOTS) -> DataFrame:
     """(item, frequency): the k most frequent items of a column of texts, ties by
-    text, counted exactly in a second pass over the items that can be among them.
+    text. ``proposed``: a few texts (``item``) that are likely among them.
 
-    If the losses are too large to tell (a flat distribution), that second pass
-    counts all items: the result is exact either way.
+    One pass counts the proposed texts exactly and all others together per slot of
+    their hash, so a task sends at most ``slots`` rows beside the proposals. A slot
+    that holds less than the k-th proposal found hides nothing; items of the others
+    are counted in a second pass. The proposals decide how much that is, never the result.
     """
-    column = items.columns[0]
-    bounds = materialize(heavy_hitters(items, counters), "heavy-hitters")
-    floor = bounds.orderBy(F.desc("lower")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least")).first()
-    lost = bounds.select((F.col("upper") - F.col("lower")).alias("lost")).first()
-    rows = items.where(F.col(column).isNotNull())
-    # An item that no summary names was lost everywhere: at most `lost` times in all.
-    if floor["n"] == k and floor["least"] > lost["lost"]:
-        wanted = bounds.where(F.col("upper") >= floor["least"]).select(F.col("item").alias(column))
-        rows = rows.join(checked_broadcast(wanted), column, "left_semi")
-    counted = rows.groupBy(F.col(column).alias("item")).agg(F.count(F.lit(1)).alias("frequency"))
-    return counted.orderBy(F.desc("frequency"), "item").limit(k)
+    rows = items.select(F.col(f"`{items.columns[0]}`").alias("item")).where("item IS NOT NULL").withColumn("mark", F.xxhash64("item"))
+    names = proposed.where("item IS NOT NULL").groupBy(F.xxhash64("item").alias("mark")).agg(F.min("item").alias("name"))
+    names = materialize(names, "proposals")
+    known = F.col("item").eqNullSafe(F.col("name"))
+    beside = rows.join(checked_broadcast(names), "mark", "left").withColumn("known", known)
+    slot = F.when(F.col("known"), F.col("mark")).otherwise(F.pmod("mark", F.lit(slots)))
+    beside = beside.withColumn("slot", slot)
+    counted = materialize(beside.groupBy("known", "slot").agg(F.count(F.lit(1)).alias("frequency")), "slots")
+    found = counted.where("known").join(checked_broadcast(names), F.col("slot") == F.col("mark")).select(F.col("name").alias("item"), "frequency")
+    floor = found.orderBy(F.desc("frequency")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("frequency").alias("least")).first()
+    least = floor["least"] if floor["n"] == k else 0
+    left = counted.where((~F.col("known")) & (F.col("frequency") >= least)).select("slot")
+    if left.limit(1).count():
+        rest = beside.where("NOT known").join(checked_broadcast(left), "slot", "left_semi")
+        found = found.unionByName(rest.groupBy("item").agg(F.count(F.lit(1)).alias("frequency")))
+    return found.orderBy(F.desc("frequency"), "item").limit(k)
+
+
+def frequent_exactly(items: DataFrame, k: int, counters: int = HEAVY_COUNTERS, some: DataFrame | None = None) -> DataFrame:
+    """(item, frequency): the k most frequent items of a column of texts, ties by
+    text, counted exactly. Summaries of ``some`` (a sample of the items; by default
+    all of them) propose; ``most_frequent`` tells what else can be among them.
+    """
+    bounds = heavy_hitters(items if some is None else some, counters)
+    return most_frequent(items, bounds.orderBy(F.desc("lower"), "item").limit(counters).select("item"), k)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.sketches import most_frequent
+
 # Fixed patterns: where a sentence ends and what separates words.
 SENTENCE_END = r"[.!?\n]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 WORDS = "words"
+SAMPLE = 64  # one text in so many proposes what is counted one by one
+PROPOSALS = 4096
 
 
 def sentence_words(df: DataFrame, text: str) -> DataFrame:
@@ -17,6 +21,11 @@ def sentence_words(df: DataFrame, text: str) -> DataFrame:
     return sentences.select(F.array_remove(F.split("_s", NOT_WORD), "").alias(WORDS))
 
 
+def sampled(df: DataFrame, column: str) -> DataFrame:
+    """One row in ``SAMPLE``, copies apart, to propose what may be frequent."""
+    return df.where(F.pmod(F.xxhash64(column, F.monotonically_increasing_id()), F.lit(SAMPLE)) == 0)
+
+
 def _windows(sentences: DataFrame, n: int) -> DataFrame:
     """One row per run of ``n`` consecutive words, in columns ``w0`` ... The
     array is zipped with itself moved on, which needs no per-word function."""
@@ -27,12 +36,14 @@ def _windows(sentences: DataFrame, n: int) -> DataFrame:
     return long_enough.select(F.inline(named))
 
 
-def _top(runs: DataFrame, places: list[str], k: int) -> DataFrame:
-    counted = runs.groupBy(*places).agg(F.count(F.lit(1)).alias("frequency"))
-    return (
-        counted.select(F.concat_ws(" ", *places).alias("ngram"), "frequency")
-        .orderBy(F.desc("frequency"), "ngram").limit(k)
-    )
+def _texts(runs: DataFrame, places: list[str]) -> DataFrame:
+    return runs.select(F.concat_ws(" ", *places).alias("item"))
+
+
+def _top(runs: DataFrame, some: DataFrame, places: list[str], k: int) -> DataFrame:
+    """The k most frequent texts of ``runs``; the most frequent of ``some`` are proposed."""
+    proposed = _texts(some, places).groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(PROPOSALS)
+    return most_frequent(_texts(runs, places), proposed, k).withColumnRenamed("item", "ngram")
 
 
 def ngrams(sentences: DataFrame, n: int) -> DataFrame:
@@ -40,19 +51,23 @@ def ngrams(sentences: DataFrame, n: int) -> DataFrame:
     return _windows(sentences, n).select(F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("ngram"))
 
 
-def top_ngrams(sentences: DataFrame, n: int, k: int) -> DataFrame:
+def top_ngrams(sentences: DataFrame, n: int, k: int, some: DataFrame | None = None) -> DataFrame:
     """The k most frequent n-grams, ties by text. ``sentences`` has an array
-    column ``words``. Exact: counts are combined per task before the shuffle."""
-    return _top(_windows(sentences, n), [f"w{i}" for i in range(n)], k)
+    column ``words``. Exact: those frequent in ``some`` sentences (a sample taken
+    before the words were split, else of ``sentences``) are counted one by one, all
+    others in groups, and only groups large enough to hold one of the k are opened."""
+    places = [f"w{i}" for i in range(n)]
+    return _top(_windows(sentences, n), _windows(sampled(sentences, WORDS) if some is None else some, n), places, k)
 
 
-def top_context_ngrams(sentences: DataFrame, pattern: list[str | None], k: int) -> DataFrame:
-    """The k most frequent fillers of the ``None`` places in a word pattern."""
+def top_context_ngrams(sentences: DataFrame, pattern: list[str | None], k: int, some: DataFrame | None = None) -> DataFrame:
+    """The k most frequent fillers of the ``None`` places in a word pattern;
+    ``some`` as in ``top_ngrams``."""
     places = [f"w{i}" for i, p in enumerate(pattern) if p is None]
     if not places:
         raise ValueError("the pattern has no open place")
     fixed: list[Column] = [F.col(f"w{i}") == p for i, p in enumerate(pattern) if p is not None]
-    runs = _windows(sentences, len(pattern))
+    runs, few = _windows(sentences, len(pattern)), _windows(sampled(sentences, WORDS) if some is None else some, len(pattern))
     for condition in fixed:
-        runs = runs.where(condition)
-    return _top(runs, places, k)
+        runs, few = runs.where(condition), few.where(condition)
+    return _top(runs, few, places, k)

@@ -249,14 +249,20 @@ SENTENCES_SQL = """
     FROM (SELECT unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) AS s FROM documents) t"""
 
 
+def _sentences(spark, sf):
+    """The words of all sentences, and of those of a sample of the documents."""
+    d = table(spark, sf, "documents").select("text")
+    return X.sentence_words(spread_small(d), "text"), X.sentence_words(X.sampled(d, "text"), "text")
+
+
 @query("agg_ngrams", f"""
     SELECT ngram, count(*) AS frequency FROM
       (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_ngrams(spark, sf):
-    d = spread_small(table(spark, sf, "documents").select("text"))
-    return X.top_ngrams(X.sentence_words(d, "text"), 2, 20)
+    words, _ = _sentences(spark, sf)
+    return X.top_ngrams(words, 2, 20)
 
 
 @query("agg_ngrams_bounded", f"""
@@ -265,9 +271,9 @@ def agg_ngrams(spark, sf):
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_ngrams_bounded(spark, sf):
-    # Summaries of fixed size find the candidates, a second pass counts them.
-    d = spread_small(table(spark, sf, "documents").select("text"))
-    return S.frequent_exactly(X.ngrams(X.sentence_words(d, "text"), 2), 20).withColumnRenamed("item", "ngram")
+    # Summaries of fixed size find the candidates, a pass over all counts them.
+    words, some = _sentences(spark, sf)
+    return S.frequent_exactly(X.ngrams(words, 2), 20, some=X.ngrams(some, 2)).withColumnRenamed("item", "ngram")
 
 
 @query("agg_context_ngrams", f"""
@@ -276,8 +282,8 @@ def agg_ngrams_bounded(spark, sf):
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_context_ngrams(spark, sf):
-    d = spread_small(table(spark, sf, "documents").select("text"))
-    return X.top_context_ngrams(X.sentence_words(d, "text"), ["the", None], 20)
+    words, some = _sentences(spark, sf)
+    return X.top_context_ngrams(words, ["the", None], 20, some)
 
 
 def _stats_sql(column, text):
