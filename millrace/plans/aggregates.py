@@ -261,8 +261,8 @@ def _sentences(spark, sf):
        FROM ({SENTENCES_SQL}) s WHERE len(w) >= 2) g
     GROUP BY ngram ORDER BY frequency DESC, ngram LIMIT 20""")
 def agg_ngrams(spark, sf):
-    words, _ = _sentences(spark, sf)
-    return X.top_ngrams(words, 2, 20)
+    words, some = _sentences(spark, sf)
+    return X.top_ngrams(words, 2, 20, some)
 
 
 @query("agg_ngrams_bounded", f"""
