@@ -13,7 +13,11 @@ decides whether that pass is needed and how much it counts, never the result.
 Tasks test the parts against a Bloom filter, at most ``FILTER_BITS`` large whatever
 the input; what it lets through too much is counted in vain and nothing is lost.
 Counts are summed per block of text, then per task, then over all: a phrase is one
-row per task, however often it occurs.
+row per task, however often it occurs. Most phrases of the border occur a few times
+only, so their texts are not shuffled: before the pass over all documents another one
+sums counts by a 36-bit fingerprint, sent sorted as gaps (about two bytes each), and
+only phrases whose fingerprint is found often enough are counted by text. A sum is
+never less than the count of any phrase under it, so none that is frequent is lost.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import golomb
 from millrace.llm.common import small_batches, stored, text_of
 from millrace.llm.ngram_join import CHUNK, _batch, _mixed, _power_tables
 from millrace.operators.joins import map_join
@@ -42,11 +49,16 @@ BLOCK = 500_000  # words that are counted together before they leave Python
 FILTER_BITS = 1 << 29  # of the filter that all tasks hold: 64 MB
 BITS_PER_PHRASE = 16
 OUT_ROWS, OUT_BYTES = 100_000, 16_000_000  # about so much leaves Python at once
+FINGER_BITS = 36  # of a phrase's mark
+COUNT_BITS = 28  # of a count beside it
+OWNER_BYTES, MOST_OWNERS = 32_000_000, 14  # text whose fingerprints one owner sums; bits of an owner's number
 SPREAD = 64  # parts of a language that are ranked on their own first
 
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: ``key``: language, a tab, and the phrase, which holds none; without one for all words of the language.
 COUNTS_SQL = "key string, f long"
+PRINTS = {"owner": pa.int32(), "codes": pa.binary(), "twice": pa.binary(), "more": pa.binary()}
+PRINTS_SQL = "owner int, codes binary, twice binary, more binary"
 KNOWN_SQL = "lang string, phrase string, words int, f long, mark long, known boolean"
 KNOWN = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "f": pa.int64(), "mark": pa.int64(), "known": pa.bool_()}
 
@@ -64,6 +76,15 @@ class Filter:
         return out
 
 
+class Filters(NamedTuple):
+    """What a pass goes by: the proposals; in an expansion pass the frequent
+    phrases; and, if fingerprints were summed before, those found often enough."""
+
+    proposals: Filter | None = None
+    frequent: Filter | None = None
+    finalists: Filter | None = None
+
+
 def filter_of(phrases: DataFrame) -> Filter:
     """The filter of the ``mark`` column; only its bits come to the driver."""
     n = phrases.count()
@@ -188,19 +209,82 @@ def _missed(marks, piece: np.ndarray, top: int, proposals: Filter | None, freque
     return [places[~counted[level][places]] for level, places in enumerate(found)]
 
 
-def _counted(words: Words, langs: list[str], levels: set[int], filters: list[Filter | None]) -> Iterator[pa.RecordBatch]:
-    w = words.joined()
-    n, begin = len(w["h"]), np.cumsum(w["lens"], dtype=np.int64) - w["lens"]
-    names = _names(langs)
-    first, second = Runs(w["h"]), Runs(_mixed(w["h"] ^ _SECOND))
-    marks = lambda places, k: _mixed(first.at(places, k) ^ names[w["lang"][places]])
-    top = max(levels)
-    found = _proposed(marks, w["piece"], top, *filters) if len(filters) == 1 else _missed(marks, w["piece"], top, *filters)
+class Found:
+    """The phrases to count in a run of texts: their places per level, and their marks."""
+
+    def __init__(self, words: Words, langs: list[str], top: int, filters: Filters) -> None:
+        self.w, self.names = words.joined(), _names(langs)
+        self.first, piece = Runs(self.w["h"]), self.w["piece"]
+        self.places = (
+            _proposed(self.marks, piece, top, filters.proposals) if filters.frequent is None
+            else _missed(self.marks, piece, top, filters.proposals, filters.frequent)
+        )
+
+    def marks(self, places: np.ndarray, k: int) -> np.ndarray:
+        return _mixed(self.first.at(places, k) ^ self.names[self.w["lang"][places]])
+
+
+def _prints(marks: np.ndarray) -> np.ndarray:
+    return marks >> np.uint64(64 - FINGER_BITS)
+
+
+def _sent(bits: int, most: int, top: int, filters):
+    """Blocks of words to (owner, codes, twice, more): each owner's fingerprints as
+    gaps, a bit for those found repeatedly, and how often these were found, at most ``most``."""
+    low = np.uint64(FINGER_BITS - bits)
+
+    def made(words: Words, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        found = Found(words, langs, top, filters.value)
+        prints = np.sort(_prints(np.concatenate([found.marks(at, k) for k, at in enumerate(found.places, 1)])))
+        cuts = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        counts, prints = np.minimum(np.diff(cuts, append=len(prints)), most), prints[cuts]
+        owner = (prints >> low).astype(np.int64)
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        out: dict[str, list] = {k: [] for k in PRINTS}
+        for a, z in zip(starts, np.append(starts[1:], len(prints))):
+            c = counts[a:z]
+            row = (int(owner[a]), golomb.encode(prints[a:z] - (np.uint64(owner[a]) << low)), np.packbits(c > 1).tobytes(), c[c > 1].astype(np.uint32).tobytes())
+            for k, v in zip(PRINTS, row):
+                out[k].append(v)
+        yield _batch(out, PRINTS)
+
+    return made
+
+
+def _often(bits: int, least: int):
+    """Owner side: the fingerprints whose counts make ``least`` in all, as marks for a filter."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        packed = []
+        for code, twice, more in zip(lists["codes"], lists["twice"], lists["more"]):
+            prints = golomb.decode(code)
+            counts = np.ones(len(prints), np.uint64)
+            counts[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(prints)) > 0] = np.frombuffer(more, np.uint32)
+            packed.append(prints << np.uint64(COUNT_BITS) | counts)
+        both = np.concatenate(packed)
+        both.sort()
+        prints, counts = both >> np.uint64(COUNT_BITS), both & np.uint64((1 << COUNT_BITS) - 1)
+        starts = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        own = prints[starts[np.add.reduceat(counts, starts) >= least]] + (np.uint64(lists["owner"].iloc[0]) << np.uint64(FINGER_BITS - bits))
+        return pd.DataFrame({"mark": _mixed(own).view(np.int64)})
+
+    return run
+
+
+def _counted(words: Words, langs: list[str], levels: set[int], filters: Filters) -> Iterator[pa.RecordBatch]:
+    found = Found(words, langs, max(levels), filters)
+    w, marks, first = found.w, found.marks, found.first
+    begin = np.cumsum(w["lens"], dtype=np.int64) - w["lens"]
+    second = Runs(_mixed(w["h"] ^ _SECOND))
     for level in sorted(levels):
-        at = found[level - 1]
+        at = found.places[level - 1]
+        m = marks(at, level)
+        if filters.finalists is not None:
+            taken = filters.finalists.has(_mixed(_prints(m)))
+            at, m = at[taken], m[taken]
         if not len(at):
             continue
-        m, s = marks(at, level), second.at(at, level)
+        s = second.at(at, level)
         order = np.argsort(m)  # where two phrases share a mark their rows may be several, and are summed later
         at, m, s = at[order], m[order], s[order]
         new = np.ones(len(order), bool)
@@ -251,16 +335,15 @@ def _told(filters):
                     marks[some[own]] = h.at(starts[own], int(k))
                 marks[some] = _mixed(marks[some] ^ _names([keys[i][0] for i in some]))
             given = filters.value
-            known = np.ones(len(keys), bool) if len(given) > 1 else np.zeros(len(keys), bool) if given[0] is None else given[0].has(marks)
+            known = np.ones(len(keys), bool) if given.frequent is not None else np.zeros(len(keys), bool) if given.proposals is None else given.proposals.has(marks)
             yield _batch({"lang": [x for x, _, _ in keys], "phrase": [p or None for _, _, p in keys], "words": size.astype(np.int32),
                           "f": batch.column("f"), "mark": marks.view(np.int64), "known": known}, KNOWN)
 
     return run
 
 
-def _count(levels: set[int], filters, block: int):
-    """(lang, text) rows to counts of phrases. ``filters``: a broadcast list, the
-    proposals; in an expansion pass the frequent phrases follow."""
+def _in_blocks(block: int, made):
+    """(lang, text) rows to what ``made`` gives for the words of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, langs = Words(), {}
@@ -269,15 +352,32 @@ def _count(levels: set[int], filters, block: int):
             for data, ends, first, last in _texts(batch):
                 words.add(data, ends, own[first:last])
                 if words.held >= block:
-                    yield from _counted(words, list(langs), levels, filters.value)
+                    yield from made(words, list(langs))
                     words = Words()
         if words.held:
-            yield from _counted(words, list(langs), levels, filters.value)
+            yield from made(words, list(langs))
 
     return run
 
 
-def _pass(texts: DataFrame, levels: set[int], filters: list[Filter | None], least: int, block: int, label: str) -> DataFrame:
+def _count(levels: set[int], filters, block: int):
+    """(lang, text) rows to counts of phrases, by a broadcast of ``Filters``."""
+    return _in_blocks(block, lambda words, langs: _counted(words, langs, levels, filters.value))
+
+
+def _finalists(texts: DataFrame, top: int, proposals: Filter | None, size: int, least: int, block: int) -> Filter:
+    """The fingerprints that phrases of the proposals and their border have
+    ``least`` times or more. ``size``: about the bytes of the texts; it sets the number of owners."""
+    sent = texts.sparkSession.sparkContext.broadcast(Filters(proposals))
+    bits = min(MOST_OWNERS, (size // OWNER_BYTES).bit_length())
+    most = min(least, (1 << COUNT_BITS) - 1)  # a count this high is enough on its own
+    with small_batches(texts.sparkSession):
+        prints = texts.mapInArrow(_in_blocks(block, _sent(bits, most, top, sent)), PRINTS_SQL)
+        often = stored(prints.groupBy("owner").applyInPandas(_often(bits, most), "mark long"), "phrase-prints")
+    return filter_of(often)
+
+
+def _pass(texts: DataFrame, levels: set[int], filters: Filters, least: int, block: int, label: str) -> DataFrame:
     """(lang, phrase, words, mark, known, f) of phrases found ``least`` times or
     more, and the totals of languages (words = 0)."""
     spark = texts.sparkSession
@@ -311,16 +411,18 @@ def frequent_phrases(
     proposed: list[DataFrame] = []
     current: Filter | None = None
     for level in range(1, max_words):
-        found = _pass(few, {level}, [current], lowered(least, sample), block, "phrase-proposals").where("words > 0")
+        found = _pass(few, {level}, Filters(current), lowered(least, sample), block, "phrase-proposals").where("words > 0")
         if not found.limit(1).count():
             break
         proposed.append(found)
         current = filter_of(_union(proposed))
-    counted = [_pass(texts, set(range(1, max_words + 1)), [current], least, block, "phrase-counts")]
+    size = (few.select(F.sum(F.octet_length("text"))).first()[0] or 0) * sample
+    finalists = _finalists(texts, max_words, current, size, least, block)
+    counted = [_pass(texts, set(range(1, max_words + 1)), Filters(current, finalists=finalists), least, block, "phrase-counts")]
     # Frequent, not proposed, and short enough to be part of a phrase that was missed.
     if counted[0].where(f"words > 0 AND words < {max_words} AND NOT known").limit(1).count():
         frequent = filter_of(counted[0].where(f"words > 0 AND words < {max_words}"))
-        counted.append(_pass(texts, set(range(2, max_words + 1)), [current, frequent], least, block, "phrase-expansion"))
+        counted.append(_pass(texts, set(range(2, max_words + 1)), Filters(current, frequent), least, block, "phrase-expansion"))
     return _union(counted).select("lang", "phrase", "words", "f")
 
 
