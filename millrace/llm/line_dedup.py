@@ -24,13 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, packed, stored, text_of
+from millrace.llm.common import SPACES, ascii_lower, packed, rows_with, stored, text_of
 from millrace.llm.ngram_join import OWNER_BYTES, PART, linked_sets, need, ordered_sets, screened
+from millrace.scratch import passing
 from millrace.skew import checked_broadcast
 
 PERCENT = 75
 WORDS = 5
 BLOCK = 1_000_000
+BLANKS = " \t\n\x0b\f\r"  # the characters of SPACES
 LINE_BITS = 24  # lines of a document
 ID_LIMIT = 1 << (63 - LINE_BITS)
 
@@ -53,7 +55,9 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def _sequence() -> tuple[Column, Column]:
     """(key, digest it is taken from) of a line's word sequence: equal words, equal sets."""
-    trimmed = F.regexp_replace(ascii_lower(F.col("text")), f"^{SPACES}|{SPACES}$", "")
+    ascii_only = F.octet_length("text") == F.char_length("text")  # there `lower` does the same, and faster
+    text = F.when(ascii_only, F.lower("text")).otherwise(ascii_lower(F.col("text")))
+    trimmed = F.btrim(text, F.lit(BLANKS))
     return F.expr("left(h, 32)"), F.sha2(F.regexp_replace(trimmed, SPACES, " ").cast("binary"), 256).alias("h")
 
 
@@ -113,17 +117,22 @@ def linked_words(texts: DataFrame, percent: int, block: int, owner_bytes: int) -
     its distinct words, with the earliest of those."""
     ordered = ordered_sets(texts, percent, 1, block, owner_bytes)
     kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
-    postings = stored(ordered.select("id", "n", "skip", "tokens").mapInPandas(_word_postings(percent), kinds), "word-postings")
-    a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
+    rows = ordered.select("id", "n", "skip", "tokens").mapInPandas(_word_postings(percent), kinds)
     common = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"  # fewest in a pair that matches
     differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SIGNS)  # at most the tokens that only one of them has
     fits = (
         f"a_id < b_id AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) "
         f"AND least(a_n - a_at, b_n - b_at) >= {common} AND {differ} <= a_n + b_n - 2 * {common}"
     )
-    near = a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    near = stored(near, "word-pairs")
-    whole = [ordered.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")) for side in "ab"]
+    with passing(rows, "llm-word-postings") as postings:
+        a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
+        near = a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+        near = stored(near, "word-pairs")
+    # Most lines are in no pair: their tokens need not move.
+    whole = [
+        rows_with(ordered, near.select(F.col(side).alias("id")).distinct(), ["id"]).select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens"))
+        for side in "ab"
+    ]
     found = near.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens").mapInPandas(_reach(percent), "a long, b long")
     return found.groupBy("b").agg(F.min("a").alias("first")).withColumnRenamed("b", "id")
 
@@ -136,7 +145,7 @@ def later_lines(
     matches, with the earliest it matches directly."""
     lines = _lines(docs, id_column, text_column)
     left, digest = _sequence()
-    trimmed = F.regexp_replace("text", f"^{SPACES}|{SPACES}$", "")
+    trimmed = F.btrim("text", F.lit(BLANKS))
     if words == 1:  # most words occur in many lines: nothing to screen by
         own = lines.where(trimmed != "")
     else:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SPACES, ascii_lower, rows_with, small_batches, stored, text_of
 from millrace.llm.components import components
+from millrace.scratch import passing
 
 WORDS = 5
 PERCENT = 75
@@ -541,18 +543,19 @@ def similar_documents(
 def ordered_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int) -> DataFrame:
     """Step 2 for (id, text, copies) rows: their shingles by rising frequency;
     sets with too few shared shingles for any link are left out."""
-    with small_batches(texts.sparkSession):
-        sets = stored(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "sets")
-    size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
-    owners = max(16, -(-size // owner_bytes))
-    sent = sets.select("sender", "block", "tokens").mapInPandas(
-        _send_tokens(owners), "sender int, block int, owner int, codes binary, counts binary"
-    )
-    levels = sent.groupBy("owner").applyInPandas(_frequencies, "sender int, block int, owner int, levels binary")
-    return stored(
-        sets.groupBy("sender", "block").cogroup(levels.groupBy("sender", "block")).applyInPandas(_ordered(percent), ORDERED),
-        "ordered",
-    )
+    with ExitStack() as held:
+        with small_batches(texts.sparkSession):
+            sets = held.enter_context(passing(texts.mapInArrow(_set_blocks(words, max(1, block // 2)), SETS_SQL), "llm-sets"))
+        size = sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0
+        owners = max(16, -(-size // owner_bytes))
+        sent = sets.select("sender", "block", "tokens").mapInPandas(
+            _send_tokens(owners), "sender int, block int, owner int, codes binary, counts binary"
+        )
+        levels = sent.groupBy("owner").applyInPandas(_frequencies, "sender int, block int, owner int, levels binary")
+        return stored(
+            sets.groupBy("sender", "block").cogroup(levels.groupBy("sender", "block")).applyInPandas(_ordered(percent), ORDERED),
+            "ordered",
+        )
 
 
 def linked_sets(texts: DataFrame, percent: int, words: int, block: int, owner_bytes: int, part: int) -> DataFrame:

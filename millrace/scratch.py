@@ -69,6 +69,16 @@ def new_name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def passing(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written once, as by ``materialize``, and deleted at the end: for rows
+    that nothing reads once the work inside is written itself."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    yield df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_scratch(df.sparkSession, path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends
     there, and a lost executor costs no recomputation of what came before."""
