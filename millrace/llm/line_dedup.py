@@ -18,14 +18,17 @@ documents and of lines within them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, packed, rows_with, stored, text_of
-from millrace.llm.ngram_join import OWNER_BYTES, PART, linked_sets, need, ordered_sets, screened
+from millrace.llm.common import SPACES, ascii_lower, packed, small_batches, stored, text_of
+from millrace.llm.ngram_join import OWNER_BYTES, PART, _batch, _mixed, chunks, linked_sets, need, screened, word_hashes
 from millrace.scratch import passing
 from millrace.skew import checked_broadcast
 
@@ -45,11 +48,16 @@ def _doc(line: str) -> Column:
     return F.expr(f"({line} - pmod({line}, {1 << LINE_BITS})) div {1 << LINE_BITS}")
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, text) of every line."""
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc, text) of every row with an id."""
     key = F.col(id_column).cast("long")
     safe = F.when(F.abs(key) < ID_LIMIT, key).otherwise(F.raise_error(F.lit(f"ids must be below {ID_LIMIT}")).cast("long"))
-    cut = docs.where(key.isNotNull()).select(safe.alias("doc"), F.posexplode(F.split(text_of(text_column), "\n", -1)).alias("at", "text"))
+    return docs.where(key.isNotNull()).select(safe.alias("doc"), text_of(text_column).alias("text"))
+
+
+def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text) of every line."""
+    cut = _texts(docs, id_column, text_column).select("doc", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
     return cut.select((F.col("doc") * (1 << LINE_BITS) + F.col("at")).alias("id"), "text")
 
 
@@ -72,31 +80,140 @@ def _picked(docs: DataFrame, picked: DataFrame, id_column: str, text_column: str
 
 
 SIGNS = ("s0", "s1")  # 128 bits: the parity of a line's tokens at each place
+KNOWN = 1 << 20  # words whose frequency is told to all tasks
+_KEYS = np.array([0x8CB92BA72F3D8DD7, 0x4F2162926E40C299], np.uint64)
+
+
+@dataclass
+class _Sets:
+    """The word sets of the lines of a chunk that have words: their tokens side by side."""
+
+    text: np.ndarray  # of each line: number of its text in the batch,
+    at: np.ndarray  # its place in the text,
+    starts: np.ndarray  # its first token,
+    n: np.ndarray  # and number of tokens
+    tokens: np.ndarray
+    levels: np.ndarray | None  # of each token: its frequency class
+
+    def keys(self) -> list[np.ndarray]:
+        """A digest of each set, as two numbers."""
+        return [np.add.reduceat(_mixed(self.tokens ^ k), self.starts).view(np.int64) for k in _KEYS]
+
+    def signs(self) -> list[np.ndarray]:
+        bit = np.uint64(1) << (self.tokens & np.uint64(63))
+        upper = (self.tokens & np.uint64(64)) != 0
+        return [np.bitwise_xor.reduceat(np.where(upper == k, bit, np.uint64(0)), self.starts).view(np.int64) for k in (False, True)]
+
+
+def _line_sets(texts: pa.Array, known: np.ndarray | None = None, level: np.ndarray | None = None) -> Iterator[_Sets]:
+    """The lines' distinct words by (class, hash); the class of a word not in ``known`` is 0."""
+    for first, data, ends in chunks(texts):
+        spots, words = word_hashes(data, ends)
+        if not len(words):
+            continue
+        breaks = np.flatnonzero(data == 10)
+        text = np.searchsorted(ends, spots, "right")
+        at = np.searchsorted(breaks, spots) - np.searchsorted(breaks, np.concatenate(([0], ends[:-1])))[text]
+        heads = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+        line = np.repeat(np.arange(len(heads), dtype=np.uint16 if len(heads) < 1 << 16 else np.int64), np.diff(heads, append=len(words)))
+        order = np.argsort(words)
+        words, line, ranks = words[order], line[order], None
+        if known is not None:
+            new = np.diff(words, prepend=~words[:1]) != 0
+            distinct = words[new]
+            ranks = np.zeros(len(distinct), np.uint8)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                ranks = np.where(known[place] == distinct, level[place], ranks)
+            ranks = ranks[np.cumsum(new) - 1]
+            order = np.argsort(ranks, kind="stable")
+            words, line, ranks = words[order], line[order], ranks[order]
+        order = np.argsort(line, kind="stable")
+        words, line = words[order], line[order]
+        keep = np.ones(len(words), bool)
+        keep[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+        starts = np.flatnonzero(np.diff(line[keep].astype(np.int64), prepend=-1))
+        tokens = words[keep]
+        yield _Sets(first + text[heads], at[heads], starts, np.diff(starts, append=len(tokens)), tokens, None if ranks is None else ranks[order][keep])
+
+
+LINES = {"id": pa.int64(), "k0": pa.int64(), "k1": pa.int64()}
+
+
+def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(address, digest of the word set) of the lines of (doc, text) rows, and
+    rows without an address: (word, lines of this task that have it)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(place, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+    def told() -> pa.RecordBatch:
+        words, counts = merged()
+        return _batch({"id": pa.nulls(len(words), pa.int64()), "k0": words.view(np.int64), "k1": counts}, LINES)
+
+    for batch in batches:
+        docs = batch.column(0).to_numpy()
+        for sets in _line_sets(batch.column(1)):
+            k0, k1 = sets.keys()
+            yield _batch({"id": docs[sets.text] * (1 << LINE_BITS) + sets.at, "k0": k0, "k1": k1}, LINES)
+            held.append(np.unique(sets.tokens, return_counts=True))
+            if sum(len(w) for w, _ in held) > BLOCK:
+                held = [merged()]
+                if len(held[0][0]) > BLOCK // 2:
+                    yield told()
+                    held = []
+    if held:
+        yield told()
+
+
+POSTINGS = {"token": pa.int64(), "id": pa.int64(), "n": pa.int32(), "at": pa.int32()} | {c: pa.int64() for c in SIGNS}
+
+
+def _word_postings(percent: int, known: np.ndarray, level: np.ndarray, complete: bool):
+    """The prefix tokens of each line of (doc, text, copies), but for its
+    ``copies`` of earlier lines, with their places and the line's signature.
+    If ``known`` is ``complete`` all other words are in one line only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, copies = batch.column(0).to_numpy(), batch.column(2)
+            gone = copies.flatten()  # leaves out NULL lists
+            sizes = pc.fill_null(pc.list_value_length(copies), 0).to_numpy(zero_copy_only=False)
+            gone_at = np.repeat(np.arange(len(docs)), sizes) * (1 << LINE_BITS) + gone.field("at").to_numpy(zero_copy_only=False)
+            gone_key = gone.field("k0").to_numpy(zero_copy_only=False)
+            for sets in _line_sets(batch.column(1), known, level):
+                n, lines = sets.n, sets.text * (1 << LINE_BITS) + sets.at
+                stay = np.ones(len(n), bool)
+                if len(gone_at):
+                    place = np.minimum(np.searchsorted(lines, gone_at), len(lines) - 1)
+                    same = (lines[place] == gone_at) & (sets.keys()[0][place] == gone_key)
+                    stay[place[same]] = False
+                skip = np.add.reduceat((sets.levels == 0).astype(np.int64), sets.starts) if complete else np.zeros(len(n), np.int64)
+                stay &= n - skip >= need(n, percent)  # others share too few words with any line
+                counts = np.where(stay, n - need(n, percent) + 1 - skip, 0)
+                row = np.repeat(np.arange(len(n)), counts)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + skip[row]
+                values = {"token": sets.tokens[sets.starts[row] + at].view(np.int64), "id": docs[sets.text[row]] * (1 << LINE_BITS) + sets.at[row], "n": n[row], "at": at}
+                yield _batch(values | {c: s[row] for c, s in zip(SIGNS, sets.signs())}, POSTINGS)
 
-
-def _signature(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return run
 
 
-def _word_postings(percent: int):
-    """The shared prefix tokens of each line, with their places and the line's signature."""
+TOKENS = {"id": pa.int64(), "tokens": pa.binary()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            n, skip, ids = (frame[c].to_numpy(np.int64) for c in ("n", "skip", "id"))
-            sets = [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
-            if not sets:
-                continue
-            counts = np.maximum(0, n - need(n, percent) + 1 - skip)
-            row = np.repeat(np.arange(len(n)), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + skip[row]
-            starts = np.cumsum(n) - n
-            signs = np.array([_signature(x) for x in sets])[row]
-            token = np.concatenate(sets).view(np.int64)[starts[row] + at]
-            yield pd.DataFrame({"token": token, "id": ids[row], "n": n[row], "at": at} | {c: signs[:, k] for k, c in enumerate(SIGNS)})
 
-    return run
+def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(address, tokens) of the wanted lines of (doc, text, wanted) rows."""
+    for batch in batches:
+        docs, wanted = batch.column(0).to_numpy(), batch.column(2)
+        sizes = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
+        asked = np.repeat(np.arange(len(docs)), sizes) * (1 << LINE_BITS) + wanted.flatten().to_numpy(zero_copy_only=False)
+        for sets in _line_sets(batch.column(1)):
+            pick = np.flatnonzero(np.isin(sets.text * (1 << LINE_BITS) + sets.at, asked))
+            tokens = [np.sort(sets.tokens[a:z]).tobytes() for a, z in zip(sets.starts[pick].tolist(), (sets.starts + sets.n)[pick].tolist())]
+            yield _batch({"id": docs[sets.text[pick]] * (1 << LINE_BITS) + sets.at[pick], "tokens": tokens}, TOKENS)
 
 
 def _reach(percent: int):
@@ -112,29 +229,88 @@ def _reach(percent: int):
     return run
 
 
-def linked_words(texts: DataFrame, percent: int, block: int, owner_bytes: int) -> DataFrame:
-    """(id, first) of the (id, text, copies) rows that an earlier one matches in
-    its distinct words, with the earliest of those."""
-    ordered = ordered_sets(texts, percent, 1, block, owner_bytes)
-    kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
-    rows = ordered.select("id", "n", "skip", "tokens").mapInPandas(_word_postings(percent), kinds)
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(words, their frequency classes, whether these are all words of more than
+    one line): the most frequent ones, at most ``KNOWN``. Any order of words is
+    exact, so the others may count as equally rare."""
+    level = F.expr("cast(length(bin(lines - 1)) as tinyint)")
+    counts = stored(counts.where("lines > 1").select("word", level.alias("level")), "word-levels")
+    least, total = 128, 0
+    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):  # one row per class
+        total += row["count"]
+        if total > KNOWN:
+            break
+        least = row["level"]
+    found = counts.where(F.col("level") >= least).toArrow()
+    words = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], found.column("level").to_numpy().astype(np.uint8)[order], total <= KNOWN
+
+
+def _by_doc(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row per document with a list, bounded by the document's own lines."""
+    return lines.select(_doc("id").alias("doc"), value.alias("value")).groupBy("doc").agg(F.collect_set("value").alias(name))
+
+
+def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, first) of the lines that an earlier one matches in its distinct
+    words. No line's words are written but those of lines in pairs: the texts
+    are read again."""
+    spark, texts = docs.sparkSession, _texts(docs, id_column, text_column)
+    repeated = docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count()
+    with small_batches(spark), passing(texts.mapInArrow(_line_keys, "id long, k0 long, k1 long"), "llm-line-words") as found:
+        counts = found.where("id IS NULL").groupBy(F.col("k0").alias("word")).agg(F.sum("k1").alias("lines"))
+        known, level, complete = _frequent(counts)
+        lines = found.where("id IS NOT NULL")
+        heads = lines.groupBy("k0", "k1").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
+        heads = stored(heads.select("k0", "k1", "head"), "line-heads")
+        copies = stored(lines.join(checked_broadcast(heads), ["k0", "k1"]).where("id <> head").select("id", "head", "k0"), "line-copies")
+    gone = _by_doc(copies, F.struct(_place("id").alias("at"), "k0"), "copies")
     common = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"  # fewest in a pair that matches
     differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SIGNS)  # at most the tokens that only one of them has
     fits = (
         f"a_id < b_id AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) "
         f"AND least(a_n - a_at, b_n - b_at) >= {common} AND {differ} <= a_n + b_n - 2 * {common}"
     )
-    with passing(rows, "llm-word-postings") as postings:
+    kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
+    with small_batches(spark):
+        rows = texts.join(checked_broadcast(stored(gone, "line-gone")), "doc", "left").select("doc", "text", "copies")
+        postings = rows.mapInArrow(_word_postings(percent, known, level, complete), kinds)
+        postings = (postings.distinct() if repeated else postings).repartition("token")  # one shuffle for both sides
         a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
-        near = a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-        near = stored(near, "word-pairs")
-    # Most lines are in no pair: their tokens need not move.
-    whole = [
-        rows_with(ordered, near.select(F.col(side).alias("id")).distinct(), ["id"]).select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens"))
-        for side in "ab"
-    ]
-    found = near.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens").mapInPandas(_reach(percent), "a long, b long")
-    return found.groupBy("b").agg(F.min("a").alias("first")).withColumnRenamed("b", "id")
+        near = stored(a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "word-pairs")
+        # Most lines are in no pair: their tokens need not move.
+        ends = near.select(F.explode(F.array("a", "b")).alias("id"))
+        wanted = stored(_by_doc(ends, _place("id"), "wanted"), "lines-wanted")
+        tokens = texts.join(checked_broadcast(wanted), "doc").select("doc", "text", "wanted").mapInArrow(_wanted_tokens, "id long, tokens binary")
+        tokens = stored(tokens.distinct() if repeated else tokens, "line-tokens")
+    whole = [tokens.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")) for side in "ab"]
+    links = near.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens").mapInPandas(_reach(percent), "a long, b long")
+    links = stored(links.groupBy("b").agg(F.min("a").alias("first")), "line-links")
+    equal = copies.join(links.withColumnRenamed("b", "head"), "head", "left").select("id", F.least("head", F.coalesce("first", "head")).alias("first"))
+    return equal.unionByName(links.withColumnRenamed("b", "id")).groupBy("id").agg(F.min("first").alias("first"))
+
+
+def _later_by_shingles(
+    docs: DataFrame, percent: int, words: int, id_column: str, text_column: str, block: int, owner_bytes: int, part: int
+) -> DataFrame:
+    """(id, first) of the lines that an earlier one matches in its shingles."""
+    lines = _lines(docs, id_column, text_column)
+    left, digest = _sequence()
+    maybe = screened(lines, words, percent, block, owner_bytes, prefix=True)
+    own = _picked(docs, maybe.where("maybe").select("id"), id_column, text_column)
+    # A line needs a whole shingle; shorter ones are left alone.
+    own = own.where(F.size(F.split(F.btrim("text", F.lit(BLANKS)), SPACES)) >= words)
+    classes = stored(own.select("id", digest).select("id", left.alias("seq")), "line-sequences")
+    heads = stored(classes.groupBy("seq").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "line-heads")
+    texts = _picked(docs, heads.select(F.col("head").alias("id")), id_column, text_column)
+    # Ids may repeat with other texts, so the line's own sequence is matched, too.
+    texts = texts.select("id", "text", digest).withColumn("seq", left)
+    texts = texts.join(heads.select(F.col("head").alias("id"), "seq", "copies"), ["id", "seq"]).dropDuplicates(["id", "seq"])
+    links = linked_sets(texts.select("id", "text", "copies"), percent, words, block, owner_bytes, part)
+    found = classes.join(heads, "seq").join(links.select(F.col("id").alias("head"), "first"), "head", "left")
+    first = F.least("head", F.coalesce("first", "head"))
+    return found.select("id", first.alias("first")).where("first < id").groupBy("id").agg(F.min("first").alias("first"))
 
 
 def later_lines(
@@ -143,30 +319,10 @@ def later_lines(
 ) -> DataFrame:
     """(doc, line, first_doc, first_line): every line that an earlier line
     matches, with the earliest it matches directly."""
-    lines = _lines(docs, id_column, text_column)
-    left, digest = _sequence()
-    trimmed = F.btrim("text", F.lit(BLANKS))
     if words == 1:  # most words occur in many lines: nothing to screen by
-        own = lines.where(trimmed != "")
+        earlier = _later_by_words(docs, percent, id_column, text_column)
     else:
-        maybe = screened(lines, words, percent, block, owner_bytes, prefix=True)
-        own = _picked(docs, maybe.where("maybe").select("id"), id_column, text_column)
-        # A line needs a whole shingle; shorter ones are left alone.
-        own = own.where(F.size(F.split(trimmed, SPACES)) >= words)
-    classes = stored(own.select("id", digest).select("id", left.alias("seq")), "line-sequences")
-    heads = stored(classes.groupBy("seq").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "line-heads")
-    texts = _picked(docs, heads.select(F.col("head").alias("id")), id_column, text_column)
-    if words > 1 or docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count():
-        # Ids may repeat with other texts, so the line's own sequence is matched, too.
-        texts = texts.select("id", "text", digest).withColumn("seq", left)
-        texts = texts.join(heads.select(F.col("head").alias("id"), "seq", "copies"), ["id", "seq"]).dropDuplicates(["id", "seq"])
-        texts = texts.select("id", "text", "copies")
-    else:  # words ask for no copies
-        texts = texts.withColumn("copies", F.lit(1).cast("long"))
-    links = linked_words(texts, percent, block, owner_bytes) if words == 1 else linked_sets(texts, percent, words, block, owner_bytes, part)
-    found = classes.join(heads, "seq").join(links.select(F.col("id").alias("head"), "first"), "head", "left")
-    first = F.least("head", F.coalesce("first", "head"))
-    earlier = found.select("id", first.alias("first")).where("first < id").groupBy("id").agg(F.min("first").alias("first"))
+        earlier = _later_by_shingles(docs, percent, words, id_column, text_column, block, owner_bytes, part)
     return earlier.select(
         _doc("id").alias("doc"), _place("id").alias("line"), _doc("first").alias("first_doc"), _place("first").alias("first_line")
     )

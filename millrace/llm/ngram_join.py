@@ -81,11 +81,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hash_chunk(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a chunk; ``ends`` are text ends in ``data``."""
-    empty = np.empty(0, np.uint64)
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash in lower case) of each word of a chunk; ``ends`` are text ends in ``data``."""
     if not len(data):
-        return [empty] * len(ends)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     b = data + (((data >= 65) & (data <= 90)) * np.uint8(32))
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.zeros(len(b) + 1, bool)
@@ -97,7 +96,15 @@ def _hash_chunk(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarr
     up, down = _power_tables(len(b))
     sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)
     prior = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    hashes = _mixed((sums[stops] - prior) * down[starts])
+    return starts, _mixed((sums[stops] - prior) * down[starts])
+
+
+def _hash_chunk(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a chunk; ``ends`` are text ends in ``data``."""
+    empty = np.empty(0, np.uint64)
+    if not len(data):
+        return [empty] * len(ends)
+    starts, hashes = word_hashes(data, ends)
     cuts = np.searchsorted(starts, np.concatenate(([0], ends)))
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
@@ -119,9 +126,8 @@ def _hash_chunk(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarr
     return out
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text. A text of fewer words gives
-    its whole sequence as one, a text without words (or NULL) none."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, text ends in them) of about ``CHUNK`` bytes of texts each."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -129,10 +135,17 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
-        yield from _hash_chunk(data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first], words)
+        yield first, data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first]
         first = last
 
 
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. A text of fewer words gives
+    its whole sequence as one, a text without words (or NULL) none."""
+    for _, data, ends in chunks(texts):
+        yield from _hash_chunk(data, ends, words)
+
+
 def _pack_gaps(values: np.ndarray) -> bytes:
     """Ascending integers as gaps of the fewest bytes that hold the largest."""
     gaps = np.diff(values, prepend=np.uint64(0))
