@@ -17,7 +17,8 @@ documents and of lines within them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, ascii_lower, packed, small_batches, stored, text_of
-from millrace.llm.ngram_join import OWNER_BYTES, PART, _batch, _mixed, chunks, linked_sets, need, screened, word_hashes
+from millrace.llm import golomb
+from millrace.llm.common import SPACES, ascii_lower, packed, rows_with, small_batches, stored, text_of
+from millrace.llm.ngram_join import OWNER_BYTES, PART, SHORT, _batch, _mixed, _owners, _short, chunks, linked_sets, need, screened, word_hashes
 from millrace.scratch import passing
 from millrace.skew import checked_broadcast
 
@@ -80,7 +82,8 @@ def _picked(docs: DataFrame, picked: DataFrame, id_column: str, text_column: str
 
 
 SIGNS = ("s0", "s1")  # 128 bits: the parity of a line's tokens at each place
-KNOWN = 1 << 20  # words whose frequency is told to all tasks
+KNOWN = 1 << 20  # words whose frequency class is told to all tasks
+BITS = 29  # at most so many bits (as a power of 2) tell which words are in several lines
 _KEYS = np.array([0x8CB92BA72F3D8DD7, 0x4F2162926E40C299], np.uint64)
 
 
@@ -105,8 +108,27 @@ class _Sets:
         return [np.bitwise_xor.reduceat(np.where(upper == k, bit, np.uint64(0)), self.starts).view(np.int64) for k in (False, True)]
 
 
-def _line_sets(texts: pa.Array, known: np.ndarray | None = None, level: np.ndarray | None = None) -> Iterator[_Sets]:
-    """The lines' distinct words by (class, hash); the class of a word not in ``known`` is 0."""
+@dataclass
+class _Order:
+    """Frequency classes of words by the leading ``SHORT`` bits of their hashes:
+    0 surely in one line only, 1 rare, above that by rising frequency."""
+
+    known: np.ndarray
+    level: np.ndarray
+    twice: np.ndarray  # a bit for each value of the first bits of these
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        short = _short(words)
+        slot = short >> np.uint64(SHORT - (8 * len(self.twice)).bit_length() + 1)
+        ranks = self.twice[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, short), len(self.known) - 1)
+            ranks = np.where(self.known[place] == short, self.level[place] + np.uint8(1), ranks)
+        return ranks
+
+
+def _line_sets(texts: pa.Array, by: _Order | None = None) -> Iterator[_Sets]:
+    """The lines' distinct words by (class, hash), or by hash."""
     for first, data, ends in chunks(texts):
         spots, words = word_hashes(data, ends)
         if not len(words):
@@ -118,14 +140,9 @@ def _line_sets(texts: pa.Array, known: np.ndarray | None = None, level: np.ndarr
         line = np.repeat(np.arange(len(heads), dtype=np.uint16 if len(heads) < 1 << 16 else np.int64), np.diff(heads, append=len(words)))
         order = np.argsort(words)
         words, line, ranks = words[order], line[order], None
-        if known is not None:
+        if by is not None:
             new = np.diff(words, prepend=~words[:1]) != 0
-            distinct = words[new]
-            ranks = np.zeros(len(distinct), np.uint8)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-                ranks = np.where(known[place] == distinct, level[place], ranks)
-            ranks = ranks[np.cumsum(new) - 1]
+            ranks = by.ranks(words[new])[np.cumsum(new) - 1]
             order = np.argsort(ranks, kind="stable")
             words, line, ranks = words[order], line[order], ranks[order]
         order = np.argsort(line, kind="stable")
@@ -137,44 +154,74 @@ def _line_sets(texts: pa.Array, known: np.ndarray | None = None, level: np.ndarr
         yield _Sets(first + text[heads], at[heads], starts, np.diff(starts, append=len(tokens)), tokens, None if ranks is None else ranks[order][keep])
 
 
-LINES = {"id": pa.int64(), "k0": pa.int64(), "k1": pa.int64()}
+LINES = {"id": pa.int64(), "k0": pa.int64(), "k1": pa.int64(), "owner": pa.int32(), "codes": pa.binary(), "counts": pa.binary()}
+LINES_SQL = "id long, k0 long, k1 long, owner int, codes binary, counts binary"
 
 
-def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_keys(owners: int, block: int):
     """(address, digest of the word set) of the lines of (doc, text) rows, and
-    rows without an address: (word, lines of this task that have it)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for each owner of a range of words those of a block with their frequencies."""
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        return words, np.bincount(place, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+    def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, counts = _summed(*zip(*held))
+        runs = _owners(words, SHORT, owners)
+        values = {"owner": [o for o, _, _ in runs], "codes": [golomb.encode(words[a:z]) for _, a, z in runs],
+                  "counts": [zlib.compress(counts[a:z].astype(np.uint32).tobytes(), 1) for _, a, z in runs]}
+        return _batch(values | {k: pa.nulls(len(runs), pa.int64()) for k in ("id", "k0", "k1")}, LINES)
 
-    def told() -> pa.RecordBatch:
-        words, counts = merged()
-        return _batch({"id": pa.nulls(len(words), pa.int64()), "k0": words.view(np.int64), "k1": counts}, LINES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for sets in _line_sets(batch.column(1)):
+                k0, k1 = sets.keys()
+                none = {"owner": pa.nulls(len(k0), pa.int32())} | {k: pa.nulls(len(k0), pa.binary()) for k in ("codes", "counts")}
+                yield _batch({"id": docs[sets.text] * (1 << LINE_BITS) + sets.at, "k0": k0, "k1": k1} | none, LINES)
+                held.append(np.unique(_short(sets.tokens), return_counts=True))
+                if sum(len(w) for w, _ in held) > block:
+                    held = [_summed(*zip(*held))]
+                    if len(held[0][0]) > block // 2:
+                        yield told(held)
+                        held = []
+        if held:
+            yield told(held)
+
+    return run
+
+
+def _summed(words: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+    return distinct, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
 
-    for batch in batches:
-        docs = batch.column(0).to_numpy()
-        for sets in _line_sets(batch.column(1)):
-            k0, k1 = sets.keys()
-            yield _batch({"id": docs[sets.text] * (1 << LINE_BITS) + sets.at, "k0": k0, "k1": k1}, LINES)
-            held.append(np.unique(sets.tokens, return_counts=True))
-            if sum(len(w) for w, _ in held) > BLOCK:
-                held = [merged()]
-                if len(held[0][0]) > BLOCK // 2:
-                    yield told()
-                    held = []
-    if held:
-        yield told()
+
+def _owned_levels(lists: pd.DataFrame) -> pd.DataFrame:
+    """An owner's words of more than one line, by the bit length of their frequency less one."""
+    counts = [np.frombuffer(zlib.decompress(c), np.uint32) for c in lists["counts"]]
+    words, total = _summed([golomb.decode(c) for c in lists["codes"]], counts)
+    level = np.frexp((total - 1).astype(np.float64))[1]
+    rows = [(lists["owner"].iloc[0], k, words[level == k]) for k in np.unique(level[level > 0]).tolist()]
+    return pd.DataFrame([(o, k, len(w), golomb.encode(w)) for o, k, w in rows], columns=["owner", "level", "n", "codes"])
+
+
+def _owned_bits(owners: int, bits: int):
+    """An owner's part of the bits that tell which words are in several lines."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        owner = int(lists["owner"].iloc[0])
+        slots = np.concatenate([golomb.decode(c) for c in lists["codes"]]) >> np.uint64(SHORT - bits)
+        flags = np.zeros((1 << bits) // owners, np.uint8)
+        flags[slots.astype(np.int64) - owner * len(flags)] = 1
+        return pd.DataFrame({"owner": [owner], "twice": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    return run
 
 
 POSTINGS = {"token": pa.int64(), "id": pa.int64(), "n": pa.int32(), "at": pa.int32()} | {c: pa.int64() for c in SIGNS}
 
 
-def _word_postings(percent: int, known: np.ndarray, level: np.ndarray, complete: bool):
+def _word_postings(percent: int, by: _Order):
     """The prefix tokens of each line of (doc, text, copies), but for its
-    ``copies`` of earlier lines, with their places and the line's signature.
-    If ``known`` is ``complete`` all other words are in one line only."""
+    ``copies`` of earlier lines, with their places and the line's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,14 +230,14 @@ def _word_postings(percent: int, known: np.ndarray, level: np.ndarray, complete:
             sizes = pc.fill_null(pc.list_value_length(copies), 0).to_numpy(zero_copy_only=False)
             gone_at = np.repeat(np.arange(len(docs)), sizes) * (1 << LINE_BITS) + gone.field("at").to_numpy(zero_copy_only=False)
             gone_key = gone.field("k0").to_numpy(zero_copy_only=False)
-            for sets in _line_sets(batch.column(1), known, level):
+            for sets in _line_sets(batch.column(1), by):
                 n, lines = sets.n, sets.text * (1 << LINE_BITS) + sets.at
                 stay = np.ones(len(n), bool)
                 if len(gone_at):
                     place = np.minimum(np.searchsorted(lines, gone_at), len(lines) - 1)
                     same = (lines[place] == gone_at) & (sets.keys()[0][place] == gone_key)
                     stay[place[same]] = False
-                skip = np.add.reduceat((sets.levels == 0).astype(np.int64), sets.starts) if complete else np.zeros(len(n), np.int64)
+                skip = np.add.reduceat((sets.levels == 0).astype(np.int64), sets.starts)
                 stay &= n - skip >= need(n, percent)  # others share too few words with any line
                 counts = np.where(stay, n - need(n, percent) + 1 - skip, 0)
                 row = np.repeat(np.arange(len(n)), counts)
@@ -229,22 +276,30 @@ def _reach(percent: int):
     return run
 
 
-def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(words, their frequency classes, whether these are all words of more than
-    one line): the most frequent ones, at most ``KNOWN``. Any order of words is
-    exact, so the others may count as equally rare."""
-    level = F.expr("cast(length(bin(lines - 1)) as tinyint)")
-    counts = stored(counts.where("lines > 1").select("word", level.alias("level")), "word-levels")
-    least, total = 128, 0
-    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):  # one row per class
-        total += row["count"]
-        if total > KNOWN:
+def _order(found: DataFrame, owners: int) -> _Order:
+    """The classes of at most the ``KNOWN`` most frequent words, and bits for all
+    words of several lines. Any order of words is exact: those not known count as
+    equally rare, and of single ones those that share a bit as in several lines."""
+    lists = found.where("owner IS NOT NULL").select("owner", "codes", "counts")
+    levels = stored(lists.groupBy("owner").applyInPandas(_owned_levels, "owner int, level int, n long, codes binary"), "word-levels")
+    sizes = levels.groupBy("level").agg(F.sum("n").alias("n")).collect()  # at most 64 rows
+    least, known = 64, 0
+    for row in sorted(sizes, reverse=True):
+        known += row["n"]
+        if known > KNOWN:
             break
         least = row["level"]
-    found = counts.where(F.col("level") >= least).toArrow()
-    words = found.column("word").to_numpy().view(np.uint64)
+    rows = levels.where(F.col("level") >= least).select("level", "codes").collect()  # at most KNOWN words
+    words = [golomb.decode(r["codes"]) for r in rows]
+    level = np.concatenate([np.empty(0, np.uint8), *(np.full(len(w), r["level"], np.uint8) for w, r in zip(words, rows))])
+    words = np.concatenate([np.empty(0, np.uint64), *words])
     order = np.argsort(words)
-    return words[order], found.column("level").to_numpy().astype(np.uint8)[order], total <= KNOWN
+    bits = max(owners.bit_length() + 2, min(BITS, (16 * sum(r["n"] for r in sizes)).bit_length()))
+    part = (1 << bits) // owners // 8
+    twice = np.zeros((1 << bits) // 8, np.uint8)
+    for row in levels.groupBy("owner").applyInPandas(_owned_bits(owners, bits), "owner int, twice binary").collect():  # 2^BITS bits in all
+        twice[row["owner"] * part : (row["owner"] + 1) * part] = np.frombuffer(row["twice"], np.uint8)
+    return _Order(words[order], level[order], twice)
 
 
 def _by_doc(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -252,15 +307,16 @@ def _by_doc(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return lines.select(_doc("id").alias("doc"), value.alias("value")).groupBy("doc").agg(F.collect_set("value").alias(name))
 
 
-def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
+def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column: str, block: int, owner_bytes: int) -> DataFrame:
     """(id, first) of the lines that an earlier one matches in its distinct
     words. No line's words are written but those of lines in pairs: the texts
     are read again."""
     spark, texts = docs.sparkSession, _texts(docs, id_column, text_column)
     repeated = docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count()
-    with small_batches(spark), passing(texts.mapInArrow(_line_keys, "id long, k0 long, k1 long"), "llm-line-words") as found:
-        counts = found.where("id IS NULL").groupBy(F.col("k0").alias("word")).agg(F.sum("k1").alias("lines"))
-        known, level, complete = _frequent(counts)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    owners = 1 << min(BITS - 3, max(4, (size // owner_bytes).bit_length()))
+    with small_batches(spark), passing(texts.mapInArrow(_line_keys(owners, block), LINES_SQL), "llm-line-words") as found:
+        by = _order(found, owners)
         lines = found.where("id IS NOT NULL")
         heads = lines.groupBy("k0", "k1").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
         heads = stored(heads.select("k0", "k1", "head"), "line-heads")
@@ -275,7 +331,7 @@ def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column:
     kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
     with small_batches(spark):
         rows = texts.join(checked_broadcast(stored(gone, "line-gone")), "doc", "left").select("doc", "text", "copies")
-        postings = rows.mapInArrow(_word_postings(percent, known, level, complete), kinds)
+        postings = rows.mapInArrow(_word_postings(percent, by), kinds)
         postings = (postings.distinct() if repeated else postings).repartition("token")  # one shuffle for both sides
         a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
         near = stored(a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "word-pairs")
@@ -285,8 +341,15 @@ def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column:
         tokens = texts.join(checked_broadcast(wanted), "doc").select("doc", "text", "wanted").mapInArrow(_wanted_tokens, "id long, tokens binary")
         tokens = stored(tokens.distinct() if repeated else tokens, "line-tokens")
     whole = [tokens.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")) for side in "ab"]
-    links = near.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens").mapInPandas(_reach(percent), "a long, b long")
-    links = stored(links.groupBy("b").agg(F.min("a").alias("first")), "line-links")
+
+    def reached(pairs: DataFrame, label: str) -> DataFrame:
+        both = pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens")
+        return stored(both.mapInPandas(_reach(percent), "a long, b long").groupBy("b").agg(F.min("a").alias("first")), label)
+
+    # Most lines match the earliest they are paired with; only the others need more of their pairs.
+    earliest = near.groupBy("b").agg(F.min("a").alias("a"))
+    links = reached(earliest, "line-first")
+    links = stored(links.unionByName(reached(rows_with(near, links.select("b"), ["b"], "left_anti"), "line-more")), "line-links")
     equal = copies.join(links.withColumnRenamed("b", "head"), "head", "left").select("id", F.least("head", F.coalesce("first", "head")).alias("first"))
     return equal.unionByName(links.withColumnRenamed("b", "id")).groupBy("id").agg(F.min("first").alias("first"))
 
@@ -320,7 +383,7 @@ def later_lines(
     """(doc, line, first_doc, first_line): every line that an earlier line
     matches, with the earliest it matches directly."""
     if words == 1:  # most words occur in many lines: nothing to screen by
-        earlier = _later_by_words(docs, percent, id_column, text_column)
+        earlier = _later_by_words(docs, percent, id_column, text_column, block, owner_bytes)
     else:
         earlier = _later_by_shingles(docs, percent, words, id_column, text_column, block, owner_bytes, part)
     return earlier.select(
