@@ -5,8 +5,11 @@ many words, ordered by rarity. Lines whose prefixes (the n - need + 1 first
 tokens) share a token are verified by counting common tokens; of two lines that
 reach the Jaccard threshold the later goes. Equal lines are collapsed to one.
 
-Words meet in one join by prefix token with length and positional filters and a
-bound from 128-bit signatures, so only pairs that pass all three become rows.
+Words meet by prefix token, a range of tokens per group, with length and
+positional filters and a bound from signatures; what leaves a group is not the
+pairs that pass all three but the components they form, a row per line. Only
+lines in a component have their words moved, to a task for many small components
+or two tiles of a large one, where each line looks for the earliest it matches.
 Shingles take the join of ``ngram_join``: lines that share none of their smallest
 hashes with any other line are settled first, the rest is joined in independent
 parts.
@@ -29,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import golomb
-from millrace.llm.common import SPACES, ascii_lower, packed, rows_with, small_batches, stored, text_of
-from millrace.llm.ngram_join import OWNER_BYTES, PART, SHORT, _batch, _mixed, _owners, _short, chunks, linked_sets, need, screened, word_hashes
+from millrace.llm.common import SPACES, ascii_lower, packed, small_batches, stored, text_of
+from millrace.llm.components import components
+from millrace.llm.ngram_join import OWNER_BYTES, PART, SHORT, _batch, _mixed, _owners, _short, chunks, linked_sets, need, need_pair, screened, word_hashes
 from millrace.scratch import passing
 from millrace.skew import checked_broadcast
 
@@ -81,7 +85,9 @@ def _picked(docs: DataFrame, picked: DataFrame, id_column: str, text_column: str
     return found.select((F.col("doc") * (1 << LINE_BITS) + F.col("at")).alias("id"), F.get("lines", F.col("at")).alias("text"))
 
 
-SIGNS = ("s0", "s1")  # 128 bits: the parity of a line's tokens at each place
+SIGNED = np.array([40, 80, 160, 320])  # most tokens of lines with signatures of 1, 2, 4 and 8 words; beyond that, 16
+PAIRS = 500_000  # pairs looked at together
+MESSAGES = 1_000_000  # bytes of signatures in a batch of messages
 KNOWN = 1 << 20  # words whose frequency class is told to all tasks
 BITS = 29  # at most so many bits (as a power of 2) tell which words are in several lines
 _KEYS = np.array([0x8CB92BA72F3D8DD7, 0x4F2162926E40C299], np.uint64)
@@ -102,10 +108,18 @@ class _Sets:
         """A digest of each set, as two numbers."""
         return [np.add.reduceat(_mixed(self.tokens ^ k), self.starts).view(np.int64) for k in _KEYS]
 
-    def signs(self) -> list[np.ndarray]:
-        bit = np.uint64(1) << (self.tokens & np.uint64(63))
-        upper = (self.tokens & np.uint64(64)) != 0
-        return [np.bitwise_xor.reduceat(np.where(upper == k, bit, np.uint64(0)), self.starts).view(np.int64) for k in (False, True)]
+    def signs(self) -> list[list[bytes]]:
+        """The parity of each line's tokens at each place of its signature."""
+        bits = 64 << _level(self.n)
+        ends = np.cumsum(bits)
+        spots = (self.tokens & np.repeat(bits - 1, self.n).astype(np.uint64)).astype(np.int64) + np.repeat(ends - bits, self.n)
+        raw = np.packbits((np.bincount(spots, minlength=bits.sum()) & 1).astype(np.uint8), bitorder="little").tobytes()
+        return [[raw[a:z] for a, z in zip(((ends - bits) >> 3).tolist(), (ends >> 3).tolist())]]
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """The words of a signature, as a power of 2; folded in half it is that of a lower power."""
+    return np.searchsorted(SIGNED, n)
 
 
 @dataclass
@@ -216,14 +230,49 @@ def _owned_bits(owners: int, bits: int):
     return run
 
 
-POSTINGS = {"token": pa.int64(), "id": pa.int64(), "n": pa.int32(), "at": pa.int32()} | {c: pa.int64() for c in SIGNS}
+POSTINGS = {"owner": pa.int32(), "first": pa.int64()} | {c: pa.binary() for c in ("tokens", "docs", "places", "sizes", "ats", "signs")}
+POSTINGS_SQL = "owner int, first long, tokens binary, docs binary, places binary, sizes binary, ats binary, signs binary"
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold each."""
+    kind = next(k for k in (1, 2, 4, 8) if -(1 << (8 * k - 1)) <= values.min() and values.max() < 1 << (8 * k - 1))
+    return bytes([kind]) + values.astype(f"i{kind}").tobytes()
+
 
+def _wide(blobs: pd.Series) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, f"i{b[0]}", offset=1) for b in blobs]).astype(np.int64)
 
-def _word_postings(percent: int, by: _Order):
+
+def _word_postings(percent: int, by: _Order, owners: int, block: int):
     """The prefix tokens of each line of (doc, text, copies), but for its
-    ``copies`` of earlier lines, with their places and the line's signature."""
+    ``copies`` of earlier lines, with their places and the line's signature: a
+    message for each owner of a range of tokens and block."""
+    width = np.uint64(owners.bit_length() - 1)
+
+    def told(held: list[tuple[np.ndarray, ...]], signs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        tokens, docs, places, n, at, line = (np.concatenate(x) for x in zip(*held))
+        owner = (tokens >> (np.uint64(64) - width)).astype(np.uint16 if owners <= 1 << 16 else np.uint32)
+        tokens = ((tokens << width) >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.flatnonzero(np.diff(owner[order].astype(np.int64), prepend=-1))
+        out: dict[str, list] = {k: [] for k in POSTINGS}
+        for mine in np.split(order, cuts[1:]):
+            doc = docs[mine]
+            row = {"owner": int(owner[mine[0]]), "first": int(doc[0]), "tokens": tokens[mine].tobytes(), "docs": _narrow(np.diff(doc, prepend=doc[:1])),
+                   "places": _narrow(places[mine]), "sizes": _narrow(n[mine]), "ats": _narrow(at[mine]), "signs": b"".join([signs[k] for k in line[mine].tolist()])}
+            for k, v in row.items():
+                out[k].append(v)
+            if sum(map(len, out["signs"])) >= MESSAGES:
+                yield _batch(out, POSTINGS)
+                out = {k: [] for k in POSTINGS}
+        if out["owner"]:
+            yield _batch(out, POSTINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        signs: list[bytes] = []
+        count = 0
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(2)
             gone = copies.flatten()  # leaves out NULL lists
@@ -242,38 +291,174 @@ def _word_postings(percent: int, by: _Order):
                 counts = np.where(stay, n - need(n, percent) + 1 - skip, 0)
                 row = np.repeat(np.arange(len(n)), counts)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + skip[row]
-                values = {"token": sets.tokens[sets.starts[row] + at].view(np.int64), "id": docs[sets.text[row]] * (1 << LINE_BITS) + sets.at[row], "n": n[row], "at": at}
-                yield _batch(values | {c: s[row] for c, s in zip(SIGNS, sets.signs())}, POSTINGS)
+                small = [x.astype(np.int32) for x in (sets.at[row], n[row], at, len(signs) + row)]
+                held.append((sets.tokens[sets.starts[row] + at], docs[sets.text[row]], *small))
+                signs += sets.signs()[0]
+                count += len(row)
+                if count >= block:
+                    yield from told(held, signs)
+                    held, signs, count = [], [], 0
+        if count:
+            yield from told(held, signs)
+
+    return run
+
+
+def _tie(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the trees of each a and b. All nodes point to the least of their tree."""
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+class _Signs:
+    """Signatures of postings in the order of ``order``, folded to all lower powers."""
+
+    def __init__(self, data: np.ndarray, n: np.ndarray, order: np.ndarray):
+        words = 1 << _level(n)
+        begin, self.level = (np.cumsum(words) - words)[order], _level(n[order])
+        self.folds: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, fold = np.empty(0, np.int64), np.empty((0, 2 << len(SIGNED)), np.uint64)
+        for k in range(len(SIGNED), -1, -1):
+            own = np.flatnonzero(self.level == k)
+            rows, fold = np.concatenate((own, rows)), np.concatenate((data[begin[own][:, None] + np.arange(1 << k)], fold[:, : 1 << k] ^ fold[:, 1 << k :]))
+            place = np.zeros(len(order), np.int32)
+            place[rows] = np.arange(len(rows))
+            self.folds.insert(0, (place, fold))
+
+    def within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs can have at most ``most`` tokens that only one of them has."""
+        place, fold = self.folds[0]
+        fits = np.bitwise_count(fold[place[a], 0] ^ fold[place[b], 0]) <= most
+        least = np.minimum(self.level[a], self.level[b])
+        for k in range(1, len(self.folds)):
+            mine = np.flatnonzero(fits & (least == k))
+            place, fold = self.folds[k]
+            fits[mine] = np.bitwise_count(fold[place[a[mine]]] ^ fold[place[b[mine]]]).sum(axis=1) <= most[mine]
+        return fits
+
+
+def _owned_links(percent: int, repeated: bool):
+    """(id, root) of the lines that some pair of an owner's postings ties to a
+    smaller id: the components of the pairs that pass all filters."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.concatenate([np.frombuffer(b, np.uint32) for b in lists["tokens"]])
+        docs = np.concatenate([first + np.cumsum(_wide([d])) for first, d in zip(lists["first"], lists["docs"])])
+        ids = docs * (1 << LINE_BITS) + _wide(lists["places"])
+        n, at = _wide(lists["sizes"]), _wide(lists["ats"])
+        order = np.lexsort((n, tokens))
+        data = np.frombuffer(b"".join(lists["signs"]), np.uint64)
+        if repeated:  # rows of one id and text say the same
+            words = 1 << _level(n)
+            ends = np.cumsum(words)
+            each = pd.DataFrame({"token": tokens, "id": ids, "n": n, "at": at, "sign": [data[a:z].tobytes() for a, z in zip(ends - words, ends)]})
+            order = order[~each.duplicated().to_numpy()[order]]
+        signs = _Signs(data, n, order)
+        tokens, ids, n, at = tokens[order], ids[order], n[order], at[order]
+        count, known = len(order), np.unique(ids)
+        node, parent = np.searchsorted(known, ids), np.arange(len(known))
+        base = (np.cumsum(np.diff(tokens, prepend=tokens[:1]) != 0)) * (n.max() + 1)
+        stop = np.searchsorted(base + n, base + np.minimum(100 * n // percent, n.max()), "right")  # longer ones can't match
+        start = 0
+        while start < count:
+            # Lines followed by none but of their own component need not be looked at again.
+            tree = parent[node]
+            turns = np.append(np.flatnonzero(tree[1:] != tree[:-1]) + 1, count)
+            rows = np.arange(start, min(start + PAIRS, count))
+            partners = np.where(turns[np.searchsorted(turns, rows, "right")] >= stop[rows], 0, stop[rows] - rows - 1)
+            ends = np.cumsum(partners)
+            rows = rows[: max(1, int(np.searchsorted(ends, PAIRS, "right")))]
+            start += len(rows)
+            partners, ends = partners[: len(rows)], ends[: len(rows)]
+            a = np.repeat(rows, partners)
+            b = np.arange(len(a)) - np.repeat(ends - partners, partners) + a + 1
+            common = need_pair(n[a], n[b], percent)
+            fits = (np.minimum(n[a] - at[a], n[b] - at[b]) >= common) & (ids[a] != ids[b])
+            a, b, common = a[fits], b[fits], common[fits]
+            fits = signs.within(a, b, n[a] + n[b] - 2 * common)
+            _tie(parent, node[a[fits]], node[b[fits]])
+        tied = np.flatnonzero(parent != np.arange(len(known)))
+        return pd.DataFrame({"id": known[tied], "root": known[parent[tied]]})
 
     return run
 
 
-TOKENS = {"id": pa.int64(), "tokens": pa.binary()}
+TOKENS = {"id": pa.int64(), "comp": pa.int64(), "tokens": pa.binary()}
 
 
 def _wanted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(address, tokens) of the wanted lines of (doc, text, wanted) rows."""
+    """(address, component, tokens) of the wanted lines of (doc, text, wanted) rows."""
     for batch in batches:
         docs, wanted = batch.column(0).to_numpy(), batch.column(2)
-        sizes = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
-        asked = np.repeat(np.arange(len(docs)), sizes) * (1 << LINE_BITS) + wanted.flatten().to_numpy(zero_copy_only=False)
+        sizes, asked = pc.list_value_length(wanted).to_numpy(zero_copy_only=False), wanted.flatten()
+        spots = np.repeat(np.arange(len(docs)), sizes) * (1 << LINE_BITS) + asked.field("at").to_numpy(zero_copy_only=False)
+        order = np.argsort(spots)
+        spots, comps = spots[order], asked.field("comp").to_numpy(zero_copy_only=False)[order]
         for sets in _line_sets(batch.column(1)):
-            pick = np.flatnonzero(np.isin(sets.text * (1 << LINE_BITS) + sets.at, asked))
+            lines = sets.text * (1 << LINE_BITS) + sets.at
+            place = np.minimum(np.searchsorted(spots, lines), len(spots) - 1)
+            pick = np.flatnonzero(spots[place] == lines)
             tokens = [np.sort(sets.tokens[a:z]).tobytes() for a, z in zip(sets.starts[pick].tolist(), (sets.starts + sets.n)[pick].tolist())]
-            yield _batch({"id": docs[sets.text[pick]] * (1 << LINE_BITS) + sets.at[pick], "tokens": tokens}, TOKENS)
-
-
-def _reach(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            common = np.array([
-                len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-                for a, b in zip(frame["a_tokens"], frame["b_tokens"])
-            ], np.int64)
-            sizes = (frame["a_tokens"].str.len() + frame["b_tokens"].str.len()).to_numpy(np.int64) // 8
-            yield frame.loc[100 * common >= percent * (sizes - common), ["a", "b"]]
-
-    return run
+            yield _batch({"id": docs[sets.text[pick]] * (1 << LINE_BITS) + sets.at[pick], "comp": comps[place[pick]], "tokens": tokens}, TOKENS)
+
+
+def earliest_in_tile(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """(id, first) of the lines of (id, comp, tokens) that match one of a smaller
+    id in their component, with the smallest: a prefix join that stops at it."""
+    frame = frame.sort_values(["comp", "id"], ignore_index=True)
+    ids, comp = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64)
+    n = frame["tokens"].str.len().to_numpy(np.int64) // 8
+    ends = np.cumsum(n)
+    starts = ends - n
+    line = np.repeat(np.arange(len(n)), n)
+    turns = np.diff(comp, prepend=~comp[:1]) != 0
+    heads = np.flatnonzero(turns)[np.cumsum(turns) - 1]
+    _, word = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in frame["tokens"]]), return_inverse=True)
+    _, word, df = np.unique(heads[line] * (word.max() + 1) + word, return_inverse=True, return_counts=True)  # words of one component
+    flag = np.zeros(len(df), bool)
+    flag[word[heads[line] == line]] = True
+    common = np.add.reduceat(flag[word].astype(np.int64), starts)
+    # Most match the earliest line of all.
+    first = np.where((100 * common >= percent * (n + n[heads] - common)) & (ids > ids[heads]), heads, -1)  # its place
+    rest = np.flatnonzero((first < 0) & (ids > ids[heads]))
+    if len(rest):
+        flag[:] = False
+        order = np.lexsort((word, df[word], line))  # rarest first
+        at = np.arange(len(line)) - starts[line]
+        shared = order[(at <= (n - need(n, percent))[line]) & (df[word[order]] > 1)]
+        own = np.searchsorted(line[shared], np.arange(len(n) + 1))
+        by_word = np.argsort(word[shared], kind="stable")
+        lists, begin = line[shared][by_word], np.searchsorted(word[shared][by_word], word[shared])
+        until = np.empty(len(shared), np.int64)
+        until[by_word] = np.arange(len(shared))
+        for x in rest.tolist():
+            met = [lists[a:z] for a, z in zip(begin[own[x] : own[x + 1]].tolist(), until[own[x] : own[x + 1]].tolist()) if a < z]
+            if not met:
+                continue
+            rows = np.unique(np.concatenate(met))
+            rows = rows[(ids[rows] < ids[x]) & (100 * np.minimum(n[rows], n[x]) >= percent * np.maximum(n[rows], n[x]))]
+            flag[word[starts[x] : ends[x]]] = True
+            done, step = 0, 64
+            while done < len(rows) and first[x] < 0:
+                some = rows[done : done + step]
+                sizes = n[some]
+                offsets = np.cumsum(sizes) - sizes
+                spots = np.repeat(starts[some] - offsets, sizes) + np.arange(int(sizes.sum()))
+                common = np.add.reduceat(flag[word[spots]].astype(np.int64), offsets)
+                hits = np.flatnonzero(100 * common >= percent * (n[x] + sizes - common))
+                if len(hits):
+                    first[x] = some[hits[0]]
+                done, step = done + step, 2 * step
+            flag[word[starts[x] : ends[x]]] = False
+    found = np.flatnonzero(first >= 0)
+    return pd.DataFrame({"id": ids[found], "first": ids[first[found]]})
 
 
 def _order(found: DataFrame, owners: int) -> _Order:
@@ -307,12 +492,12 @@ def _by_doc(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return lines.select(_doc("id").alias("doc"), value.alias("value")).groupBy("doc").agg(F.collect_set("value").alias(name))
 
 
-def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column: str, block: int, owner_bytes: int) -> DataFrame:
+def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column: str, block: int, owner_bytes: int, part: int) -> DataFrame:
     """(id, first) of the lines that an earlier one matches in its distinct
     words. No line's words are written but those of lines in pairs: the texts
-    are read again."""
+    are read again. Pairs never become rows."""
     spark, texts = docs.sparkSession, _texts(docs, id_column, text_column)
-    repeated = docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count()
+    repeated = bool(docs.groupBy(F.col(id_column).cast("long")).count().where("count > 1").limit(1).count())
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     owners = 1 << min(BITS - 3, max(4, (size // owner_bytes).bit_length()))
     with small_batches(spark), passing(texts.mapInArrow(_line_keys(owners, block), LINES_SQL), "llm-line-words") as found:
@@ -322,34 +507,29 @@ def _later_by_words(docs: DataFrame, percent: int, id_column: str, text_column:
         heads = stored(heads.select("k0", "k1", "head"), "line-heads")
         copies = stored(lines.join(checked_broadcast(heads), ["k0", "k1"]).where("id <> head").select("id", "head", "k0"), "line-copies")
     gone = _by_doc(copies, F.struct(_place("id").alias("at"), "k0"), "copies")
-    common = f"(({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent})"  # fewest in a pair that matches
-    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SIGNS)  # at most the tokens that only one of them has
-    fits = (
-        f"a_id < b_id AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) "
-        f"AND least(a_n - a_at, b_n - b_at) >= {common} AND {differ} <= a_n + b_n - 2 * {common}"
-    )
-    kinds = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in SIGNS)
     with small_batches(spark):
         rows = texts.join(checked_broadcast(stored(gone, "line-gone")), "doc", "left").select("doc", "text", "copies")
-        postings = rows.mapInArrow(_word_postings(percent, by), kinds)
-        postings = (postings.distinct() if repeated else postings).repartition("token")  # one shuffle for both sides
-        a, b = (postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", *SIGNS)]) for side in "ab")
-        near = stored(a.join(b, "token").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "word-pairs")
+        postings = rows.mapInArrow(_word_postings(percent, by, owners, max(1, block // 4)), POSTINGS_SQL)
+        tied = postings.groupBy("owner").applyInPandas(_owned_links(percent, repeated), "id long, root long")
+        parts = components(stored(tied, "line-ties"), "id", "root")
         # Most lines are in no pair: their tokens need not move.
-        ends = near.select(F.explode(F.array("a", "b")).alias("id"))
-        wanted = stored(_by_doc(ends, _place("id"), "wanted"), "lines-wanted")
-        tokens = texts.join(checked_broadcast(wanted), "doc").select("doc", "text", "wanted").mapInArrow(_wanted_tokens, "id long, tokens binary")
+        wanted = stored(_by_doc(parts.withColumnRenamed("node", "id"), F.struct(_place("id").alias("at"), F.col("root").alias("comp")), "wanted"), "lines-wanted")
+        tokens = texts.join(checked_broadcast(wanted), "doc").select("doc", "text", "wanted").mapInArrow(_wanted_tokens, "id long, comp long, tokens binary")
         tokens = stored(tokens.distinct() if repeated else tokens, "line-tokens")
-    whole = [tokens.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")) for side in "ab"]
-
-    def reached(pairs: DataFrame, label: str) -> DataFrame:
-        both = pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "a_tokens", "b_tokens")
-        return stored(both.mapInPandas(_reach(percent), "a long, b long").groupBy("b").agg(F.min("a").alias("first")), label)
-
-    # Most lines match the earliest they are paired with; only the others need more of their pairs.
-    earliest = near.groupBy("b").agg(F.min("a").alias("a"))
-    links = reached(earliest, "line-first")
-    links = stored(links.unionByName(reached(rows_with(near, links.select("b"), ["b"], "left_anti"), "line-more")), "line-links")
+    weights = tokens.groupBy("comp").agg((F.sum(F.octet_length("tokens").cast("long")) / 8 / part).alias("w"))
+    total = weights.agg(F.sum("w").alias("w")).first()["w"] or 0
+    tiles = stored(weights.where("w > 1").select("comp", F.ceil("w").cast("int").alias("tiles")), "line-tiles")
+    placed = tokens.join(checked_broadcast(tiles), "comp", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    large = F.col("tiles") > 1
+    several = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where(~large | (F.col("tile") != F.col("other")))
+    bundle = F.pmod(F.xxhash64("comp"), F.lit(int(total) + 1)).cast("long")
+    tasks = several.select(
+        F.when(large, F.col("comp")).otherwise(bundle).alias("task"), large.alias("large"),
+        F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "id", "comp", "tokens",
+    )
+    joined = tasks.groupBy("task", "large", "one", "two").applyInPandas(lambda f: earliest_in_tile(f, percent), "id long, first long")
+    links = stored(joined.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("first")), "line-links")
     equal = copies.join(links.withColumnRenamed("b", "head"), "head", "left").select("id", F.least("head", F.coalesce("first", "head")).alias("first"))
     return equal.unionByName(links.withColumnRenamed("b", "id")).groupBy("id").agg(F.min("first").alias("first"))
 
@@ -383,7 +563,7 @@ def later_lines(
     """(doc, line, first_doc, first_line): every line that an earlier line
     matches, with the earliest it matches directly."""
     if words == 1:  # most words occur in many lines: nothing to screen by
-        earlier = _later_by_words(docs, percent, id_column, text_column, block, owner_bytes)
+        earlier = _later_by_words(docs, percent, id_column, text_column, block, owner_bytes, part)
     else:
         earlier = _later_by_shingles(docs, percent, words, id_column, text_column, block, owner_bytes, part)
     return earlier.select(
@@ -409,11 +589,13 @@ def remove_repeated_lines(
     gone = later_lines(docs, percent, words, id_column, text_column, **sizes).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     rows = packed(docs, leave_out=("n_lines", "removed", text_column.lower()), doc=F.col(f"`{id_column}`").cast("long"), text=F.col(f"`{text_column}`"))
     rows = rows.join(checked_broadcast(stored(gone, "gone")), "doc", "left")
-    lines = F.split(F.col("text"), "\n", -1)
+    # Lines are cut once, and only where some go.
+    rows = rows.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     removed = F.coalesce(F.array_sort("gone"), F.array().cast("array<int>"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.transform(places, lambda at: F.get(lines, at))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.transform(places, lambda at: F.get("lines", at))
     return rows.select(
-        "own.*", F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_column),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed.alias("removed"),
+        "own.*", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_column),
+        F.coalesce(n_lines, F.lit(0)).alias("n_lines"), removed.alias("removed"),
     )
