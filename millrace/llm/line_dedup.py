@@ -365,14 +365,15 @@ def _owned_links(percent: int, repeated: bool):
         count, known = len(order), np.unique(ids)
         node, parent = np.searchsorted(known, ids), np.arange(len(known))
         base = (np.cumsum(np.diff(tokens, prepend=tokens[:1]) != 0)) * (n.max() + 1)
-        stop = np.searchsorted(base + n, base + np.minimum(100 * n // percent, n.max()), "right")  # longer ones can't match
+        longest = (100 + percent) * (n - at) // percent - n  # of which the words from here on can be enough
+        stop = np.searchsorted(base + n, base + np.clip(longest, 0, n.max()), "right")
         start = 0
         while start < count:
             # Lines followed by none but of their own component need not be looked at again.
             tree = parent[node]
             turns = np.append(np.flatnonzero(tree[1:] != tree[:-1]) + 1, count)
             rows = np.arange(start, min(start + PAIRS, count))
-            partners = np.where(turns[np.searchsorted(turns, rows, "right")] >= stop[rows], 0, stop[rows] - rows - 1)
+            partners = np.where(turns[np.searchsorted(turns, rows, "right")] >= stop[rows], 0, np.maximum(stop[rows] - rows - 1, 0))
             ends = np.cumsum(partners)
             rows = rows[: max(1, int(np.searchsorted(ends, PAIRS, "right")))]
             start += len(rows)
